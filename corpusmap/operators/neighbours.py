@@ -107,6 +107,8 @@ def _unpruned_cells(df: DataFrame, cells: _Cells, metric: str) -> DataFrame:
             visit[rows, own] = False
             visit &= np.isfinite(cells.radius)[None, :]
             some = visit.any(axis=1)
+            if not some.any():
+                continue
             out = frame.loc[some, ["id", "vec", "bound"]]
             yield out.assign(
                 targets=[np.flatnonzero(v).astype(np.int32) for v in visit[some]]
@@ -155,6 +157,7 @@ def _block_join(
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"src": [], "dst": [], "distance": []})
+        b = b.sort_values("id", ignore_index=True)
         src, dst = a["id"].to_numpy(), b["id"].to_numpy()
         d = _pairwise(_space(a["vec"], metric), _space(b["vec"], metric), metric)
         d = np.round(d, DISTANCE_DECIMALS)
@@ -163,10 +166,13 @@ def _block_join(
         if d.shape[1] > k:
             limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
         rows, cols = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-        out = pd.DataFrame({"row": rows, "dst": dst[cols], "distance": d[rows, cols]})
-        out = out.sort_values(["row", "distance", "dst"]).groupby("row").head(k)
+        found = d[rows, cols]
+        # Columns are in id order, so they break ties.
+        order = np.lexsort((cols, found, rows))
+        rows, cols, found = rows[order], cols[order], found[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
         return pd.DataFrame(
-            {"src": src[out["row"]], "dst": out["dst"], "distance": out["distance"]}
+            {"src": src[rows[best]], "dst": dst[cols[best]], "distance": found[best]}
         )
 
     keys = ["cell", "q", "s"]
@@ -226,11 +232,10 @@ def knn_graph(
         return first
 
     first = materialize(first, "knn-first")
-    radius = np.full(len(pivots), np.inf)
-    radius[:] = -np.inf
+    # Cells without rows keep radius -inf and are never visited.
+    radius = np.full(len(pivots), -np.inf)
     for row in placed.groupBy("cell").agg(F.max("to_pivot").alias("r")).collect():
         radius[row["cell"]] = row["r"]
-    # Empty cells keep radius -inf and are never visited.
     cells = _Cells(pivots, cells.gaps, radius)
     reach = first.groupBy(F.col("src").alias("id")).agg(
         F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("reach")

@@ -11,12 +11,16 @@ CORRUPT = "_corrupt_record"
 
 
 def read_works(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Works of a JSON-lines snapshot, and the lines that are not works."""
+    """Works of a JSON-lines snapshot, and the lines that are not works.
+
+    Lines are parsed as a column, so that either part may be read for any of its columns.
+    """
     schema = T.StructType(WORK_RAW.fields + [T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    # Columns besides the corrupt one keep the reader from skipping the parse.
-    bad = rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT, "id")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    work = lines.select(F.from_json("value", schema, options).alias("work"))
+    good = work.where(F.col(f"work.{CORRUPT}").isNull()).select("work.*").drop(CORRUPT)
+    bad = work.where(F.col(f"work.{CORRUPT}").isNotNull()).select(f"work.{CORRUPT}")
     return good, bad
 
 
