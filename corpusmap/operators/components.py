@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmap.sources.scratch import materialize
+from corpusmap.sources.scratch import materialize_observed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,11 +25,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    ).first()
-    return tuple(row)
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, with a fingerprint of the set."""
+    table, seen = materialize_observed(
+        edges,
+        "stars",
+        n=F.count(F.lit(1)),
+        mix=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
+    )
+    return table, (seen["n"], seen["mix"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -37,16 +41,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     A component is named by its lowest node. Nodes without edges do not appear.
     """
-    current = materialize(
+    current, seen = _written(
         edges.where("src != dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct(),
-        "stars",
+        .distinct()
     )
-    seen = _fingerprint(current)
     while True:
-        current = materialize(_small_star(_large_star(current)), "stars")
-        now = _fingerprint(current)
+        current, now = _written(_small_star(_large_star(current)))
         if now == seen:
             break
         seen = now

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusmap.operators.components import connected_components
 from corpusmap.operators.indexing import dense_index
 from corpusmap.operators.neighbours import knn_graph
-from corpusmap.sources.scratch import materialize
+from corpusmap.sources.scratch import materialize, materialize_observed
 
 # Half of the 5×5 neighbourhood of a cell: two cells further apart are over eps apart.
 _HALF = [(0, 1), (0, 2)] + [(dx, dy) for dx in (1, 2) for dy in (-2, -1, 0, 1, 2)]
@@ -110,10 +110,13 @@ def _cell_edges(at_levels: DataFrame, cells: DataFrame) -> DataFrame:
         (F.col("cy") + F.col("dy")).alias("cy"),
     )
     b = cells.select("level", "cx", "cy", F.col("cell").alias("cb"), F.col("box").alias("b"))
-    judged = materialize(_judge(reach.join(b, ["level", "cx", "cy"])), "cell-pairs")
+    open_pairs = F.count_if(F.col("joined").isNull())
+    judged, seen = materialize_observed(
+        _judge(reach.join(b, ["level", "cx", "cy"])), "cell-pairs", open=open_pairs
+    )
     edges = judged.where("joined").select("ca", "cb")
     doubtful = judged.where("joined is null")
-    if doubtful.isEmpty():
+    if not seen["open"]:
         return edges
     involved = doubtful.select(F.explode(F.array("ca", "cb")).alias("cell")).distinct()
     members = materialize(
@@ -135,7 +138,7 @@ def _cell_edges(at_levels: DataFrame, cells: DataFrame) -> DataFrame:
     depth = 0
     while True:
         depth += 1
-        boxes = materialize(_boxes(members, depth), "boxes")
+        boxes = _boxes(members, depth)
         half_a = boxes.select(
             F.col("cell").alias("ca"),
             F.shiftright("sx", 1).alias("ax"),
@@ -152,9 +155,10 @@ def _cell_edges(at_levels: DataFrame, cells: DataFrame) -> DataFrame:
             F.col("sy").alias("by2"),
             F.col("box").alias("b"),
         )
-        tried = materialize(
+        tried, seen = materialize_observed(
             _judge(doubtful.join(half_a, ["ca", "ax", "ay"]).join(half_b, ["cb", "bx", "by"])),
             "box-pairs",
+            open=open_pairs,
         )
         found = tried.where("joined").select("ca", "cb").distinct()
         edges = edges.unionByName(found)
@@ -171,7 +175,7 @@ def _cell_edges(at_levels: DataFrame, cells: DataFrame) -> DataFrame:
                 F.col("by2").alias("by"),
             )
         )
-        if doubtful.isEmpty():
+        if not seen["open"]:
             return edges
 
 
@@ -239,12 +243,12 @@ def _follow(pointers: DataFrame) -> DataFrame:
     """Replace each node's pointer ``up`` by the end of its chain; ends point to themselves."""
     while True:
         ends = pointers.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        moved = materialize(
-            pointers.join(ends, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")),
-            "pointers",
+        step = pointers.join(ends, "up").select(
+            "node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")
         )
-        pointers = moved.select("node", "up")
-        if moved.where("moved").isEmpty():
+        table, seen = materialize_observed(step, "pointers", moved=F.count_if("moved"))
+        pointers = table.select("node", "up")
+        if not seen["moved"]:
             return pointers
 
 
@@ -288,7 +292,7 @@ def _select_clusters(nodes: DataFrame, eps: list[float]) -> DataFrame:
     value = tree.select("cluster", "owner", "mass", F.col("mass").alias("value"), F.lit(0.0).alias("below"))
     while True:
         sums = value.groupBy(F.col("owner").alias("cluster")).agg(F.sum("value").alias("new"))
-        updated = materialize(
+        updated, seen = materialize_observed(
             value.join(sums, "cluster", "left").select(
                 "cluster",
                 "owner",
@@ -298,16 +302,17 @@ def _select_clusters(nodes: DataFrame, eps: list[float]) -> DataFrame:
                 (F.greatest("mass", F.coalesce("new", F.lit(0.0))) != F.col("value")).alias("moved"),
             ),
             "values",
+            moved=F.count_if("moved"),
         )
         value = updated.drop("moved")
-        if updated.where("moved").isEmpty():
+        if not seen["moved"]:
             break
     wanted = value.select("cluster", "owner", (F.col("mass") >= F.col("below")).alias("wanted"))
     # The highest wanted cluster of each branch is chosen: blocked passes down.
     state = wanted.withColumn("blocked", F.lit(False))
     while True:
         over = state.select(F.col("cluster").alias("owner"), (F.col("wanted") | F.col("blocked")).alias("stop"))
-        updated = materialize(
+        updated, seen = materialize_observed(
             state.join(over, "owner", "left").select(
                 "cluster",
                 "owner",
@@ -316,9 +321,10 @@ def _select_clusters(nodes: DataFrame, eps: list[float]) -> DataFrame:
                 (F.coalesce("stop", F.lit(False)) != F.col("blocked")).alias("moved"),
             ),
             "chosen",
+            moved=F.count_if("moved"),
         )
         state = updated.drop("moved")
-        if updated.where("moved").isEmpty():
+        if not seen["moved"]:
             return state.where("wanted and not blocked").select(F.col("cluster").alias("node"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corpusmap.functions.ordering import candidate_share, hash_key, hash_unit
-from corpusmap.sources.scratch import materialize
+from corpusmap.sources.scratch import materialize, materialize_observed
 
 
 def _cell(value: str, low: float, high: float, depth: int) -> Column:
@@ -55,7 +55,7 @@ def quadtree_tiles(
             hash_unit(F.col("priority")) < share
         )
         found = counted.groupBy(*key, "n").agg(F.count_if(near).alias("found"))
-        tiles = materialize(
+        tiles, seen = materialize_observed(
             found.select(
                 *key,
                 "n",
@@ -65,6 +65,7 @@ def quadtree_tiles(
                 ).otherwise(share).alias("share"),
             ),
             "tile-sizes",
+            full=F.count_if(F.col("n") > capacity),
         )
         shared = placed.join(tiles, key)
         candidate = hash_unit(F.col("priority")) < F.col("share")
@@ -75,6 +76,9 @@ def quadtree_tiles(
             .withColumn("rank", F.row_number().over(window))
         )
         columns = placed.columns
+        if not seen["full"]:
+            done.append(placed)
+            break
         done.append(shared.where(F.col("n") <= capacity).select(*columns))
         done.append(ranked.where(F.col("rank") <= capacity).select(*columns))
         rest = (
@@ -83,8 +87,6 @@ def quadtree_tiles(
             .unionByName(ranked.where(F.col("rank") > capacity).select(*columns))
             .select("id", "x", "y", "priority")
         )
-        if tiles.where(F.col("n") > capacity).isEmpty():
-            break
     tiled = done[0]
     for part in done[1:]:
         tiled = tiled.unionByName(part)

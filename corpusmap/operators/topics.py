@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusmap.functions.text import capitalize, label_words, term_counts
+from corpusmap.sources.scratch import materialize
 
 # Scores are compared at this many decimals, so equal scores tie whatever the summing order.
 SCORE_DECIMALS = 9
@@ -51,8 +52,11 @@ def tfidf_by_group(
     """Weight of each kept term in each document, every document scaled to unit length.
 
     The document is collected before it is scaled: its terms are at most ``max_features``.
+    The vocabulary is written first, so the join knows its size.
     """
-    vocab = vocabulary(term_stats(docs), max_df, min_df, max_features)
+    vocab = materialize(
+        vocabulary(term_stats(docs), max_df, min_df, max_features), "vocabulary"
+    )
     weighted = docs.select("cluster", "id", F.inline("terms")).join(vocab, ["cluster", "term"])
     per_doc = (
         weighted.withColumn("w", F.col("tf") * F.col("idf"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmap.functions.text import source_name, strip_jats, truncate
-from corpusmap.sources.scratch import materialize
+from corpusmap.sources.scratch import materialize, materialize_observed
 
 # Zoom factors at which a label level appears.
 LEVEL_ZOOMS = [(1.5, 0), (4.0, 1)]
@@ -131,7 +131,7 @@ def declutter_labels(labels: DataFrame, pixels_per_unit: float) -> DataFrame:
     """
     turn = F.struct("level", -F.col("count"), "cluster", "text", "x", "y")
     columns = labels.columns
-    open_labels = materialize(
+    open_labels, seen = materialize_observed(
         labels.withColumns(
             {
                 "px": F.col("x") * pixels_per_unit,
@@ -142,6 +142,7 @@ def declutter_labels(labels: DataFrame, pixels_per_unit: float) -> DataFrame:
             }
         ),
         "labels-open",
+        n=F.count(F.lit(1)),
     )
     around = F.array(
         *[
@@ -151,7 +152,7 @@ def declutter_labels(labels: DataFrame, pixels_per_unit: float) -> DataFrame:
         ]
     )
     kept = []
-    while not open_labels.isEmpty():
+    while seen["n"]:
         firsts = open_labels.groupBy("cx", "cy").agg(F.min("turn").alias("turn"))
         near = (
             firsts.select("turn", "cx", "cy", F.inline(around))
@@ -181,7 +182,7 @@ def declutter_labels(labels: DataFrame, pixels_per_unit: float) -> DataFrame:
             (F.col("o.cx") == F.col("r.cx")) & (F.col("o.cy") == F.col("r.cy")) & hidden,
             "left_anti",
         )
-        open_labels = materialize(left, "labels-open")
+        open_labels, seen = materialize_observed(left, "labels-open", n=F.count(F.lit(1)))
     if not kept:
         return labels
     result = kept[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _FOLDER = "spark.checkpoint.dir"
 
@@ -31,3 +31,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialize`, with aggregates of the rows gathered while they are written."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *[m.alias(n) for n, m in metrics.items()]), name)
+    return table, seen.get
