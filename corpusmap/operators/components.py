@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmap.sources.scratch import materialize_observed
+from corpusmap.sources.scratch import discard, materialize_observed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -47,7 +47,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     while True:
-        current, now = _written(_small_star(_large_star(current)))
+        replaced = current
+        current, now = _written(_small_star(_large_star(replaced)))
+        discard(replaced)
         if now == seen:
             break
         seen = now

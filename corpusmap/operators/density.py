@@ -119,8 +119,10 @@ def _cell_edges(at_levels: DataFrame, cells: DataFrame) -> DataFrame:
     if not seen["open"]:
         return edges
     involved = doubtful.select(F.explode(F.array("ca", "cb")).alias("cell")).distinct()
+    # A row of points stands for up to one row per level, which its table size does not show:
+    # the merge hint keeps the planner from broadcasting that side.
     members = materialize(
-        at_levels.join(
+        at_levels.hint("merge").join(
             cells.join(involved, "cell", "left_semi").select("level", "cx", "cy", "cell"),
             ["level", "cx", "cy"],
         )
@@ -213,7 +215,13 @@ def dbscan_levels(points: DataFrame, eps: list[float], min_size: int = 1) -> Dat
     cells = _level_cells(points, eps)
     sizes = cells.groupBy("component").agg(F.sum("n").alias("size")).where(F.col("size") >= min_size)
     kept = cells.join(sizes, "component").select("level", "cx", "cy", "component")
-    members = _at_levels(points, eps).join(kept, ["level", "cx", "cy"]).select("level", "id", "component")
+    members = materialize(
+        _at_levels(points, eps)
+        .hint("merge")
+        .join(kept, ["level", "cx", "cy"])
+        .select("level", "id", "component"),
+        "level-members",
+    )
     names = members.groupBy("component").agg(F.min("id").alias("name"))
     return members.join(names, "component").select("level", "id", F.col("name").alias("component"))
 
@@ -371,7 +379,9 @@ def density_clusters(
         .join(numbers, "id")
         .select(F.col("node").alias("component"), F.col("cluster").cast("int").alias("cluster"))
     )
-    places = cells.join(labelled, "component").select("level", "cx", "cy", "cluster")
+    places = materialize(
+        cells.join(labelled, "component").select("level", "cx", "cy", "cluster"), "places"
+    )
     # At most one level per chosen cluster; levels are few.
     used = {r["level"] for r in places.select("level").distinct().collect()}
     members = (

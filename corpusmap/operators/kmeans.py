@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmap.functions.ordering import hash_key
-from corpusmap.sources.scratch import materialize
+from corpusmap.sources.scratch import materialize, materialize_observed
 
 
 def _squared(c: Column) -> Column:
@@ -78,9 +78,12 @@ def grouped_kmeans(
     narrow = points.select("id", group, "x", "y")
     centres = start_centres(narrow, group, k, seed)
     for _ in range(iters):
-        moved = materialize(update_centres(assign_centres(narrow, centres, group), group), "centres")
-        settled = moved.join(centres, [group, "centres"], "left_anti").isEmpty()
-        centres = moved
-        if settled:
+        found = update_centres(assign_centres(narrow, centres, group), group)
+        before = centres.select(group, F.col("centres").alias("before"))
+        moved, seen = materialize_observed(
+            found.join(before, group), "centres", moved=F.count_if(F.col("centres") != F.col("before"))
+        )
+        centres = moved.select(group, "centres")
+        if not seen["moved"]:
             break
     return assign_centres(narrow, centres, group), centres

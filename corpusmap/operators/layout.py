@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmap.operators.indexing import dense_index
-from corpusmap.sources.scratch import materialize
+from corpusmap.sources.scratch import discard, materialize
 
 # Largest step of one force along one axis.
 MAX_FORCE = 4.0
@@ -66,6 +66,7 @@ def layout_2d(
 ) -> DataFrame:
     """Coordinates (id, x, y) of the nodes of ``start`` under the edges (src, dst, weight)."""
     a, b = curve_parameters(min_dist)
+    start = materialize(start.select("id", "x", "y"), "start")
     nodes = materialize(dense_index(start.select("id"), "node", seed), "nodes")
     n = nodes.count()
     ends = nodes.select(F.col("id").alias("dst"), F.col("node").alias("other"))
@@ -119,7 +120,9 @@ def layout_2d(
             step = F.coalesce(f"f{axis}", F.lit(0.0)) / mass + F.coalesce(f"g{axis}", F.lit(0.0))
             return (F.col(axis) + F.lit(alpha) * step).alias(axis)
 
+        replaced = places
         places = materialize(
-            places.join(total, "node", "left").select("node", moved("x"), moved("y")), "layout"
+            replaced.join(total, "node", "left").select("node", moved("x"), moved("y")), "layout"
         )
+        discard(replaced)
     return places.join(nodes, "node").select("id", "x", "y")

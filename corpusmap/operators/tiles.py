@@ -30,7 +30,7 @@ def quadtree_tiles(
     A tile keeps its ``capacity`` first points in seeded order, the rest descends one depth; at
     ``max_depth`` everything stays. Priorities are uniform, so the first points of a full tile
     lie below a known share: only those are ranked, and a tile that holds a third of all rows is
-    never gathered. A tile with too few points below the share ranks all of its points.
+    never gathered. Should a tile have too few points below the share, all points are ranked.
     """
     x0, x1, y0, y1 = extent(points)
     rest = points.select("id", "x", "y", hash_key(F.col("id"), seed).alias("priority"))
@@ -48,41 +48,38 @@ def quadtree_tiles(
             done.append(placed)
             break
         placed = materialize(placed, "tile-rows")
-        sizes = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        share = candidate_share(capacity, F.col("n"))
-        counted = placed.join(sizes, key)
-        near = F.when(F.col("n") <= capacity, F.lit(True)).otherwise(
-            hash_unit(F.col("priority")) < share
-        )
-        found = counted.groupBy(*key, "n").agg(F.count_if(near).alias("found"))
-        tiles, seen = materialize_observed(
-            found.select(
-                *key,
-                "n",
-                # Share below which this tile's candidates lie.
-                F.when(
-                    (F.col("n") <= capacity) | (F.col("found") < F.lit(capacity)), F.lit(1.0)
-                ).otherwise(share).alias("share"),
-            ),
+        sizes, seen = materialize_observed(
+            placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")),
             "tile-sizes",
             full=F.count_if(F.col("n") > capacity),
         )
-        shared = placed.join(tiles, key)
-        candidate = hash_unit(F.col("priority")) < F.col("share")
-        window = W.partitionBy(*key).orderBy("priority", "id")
-        # Tiles within capacity keep all rows without ranking.
-        ranked = (
-            shared.where((F.col("n") > capacity) & candidate)
-            .withColumn("rank", F.row_number().over(window))
-        )
-        columns = placed.columns
         if not seen["full"]:
             done.append(placed)
             break
-        done.append(shared.where(F.col("n") <= capacity).select(*columns))
+        sized = placed.join(sizes, key)
+        over = F.col("n") > capacity
+        window = W.partitionBy(*key).orderBy("priority", "id")
+
+        def rank_first(candidate: Column) -> tuple[DataFrame, bool]:
+            ranked, hit = materialize_observed(
+                sized.where(over & candidate)
+                .withColumn("rank", F.row_number().over(window))
+                .select(*placed.columns, "rank"),
+                "tile-ranks",
+                reached=F.count_if(F.col("rank") == capacity),
+            )
+            return ranked, hit["reached"] == seen["full"]
+
+        candidate = hash_unit(F.col("priority")) < candidate_share(capacity, F.col("n"))
+        ranked, enough = rank_first(candidate)
+        if not enough:
+            candidate = F.lit(True)
+            ranked, _ = rank_first(candidate)
+        columns = placed.columns
+        done.append(sized.where(~over).select(*columns))
         done.append(ranked.where(F.col("rank") <= capacity).select(*columns))
         rest = (
-            shared.where((F.col("n") > capacity) & ~candidate)
+            sized.where(over & ~candidate)
             .select(*columns)
             .unionByName(ranked.where(F.col("rank") > capacity).select(*columns))
             .select("id", "x", "y", "priority")

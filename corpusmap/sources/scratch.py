@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _FOLDER = "spark.checkpoint.dir"
+_paths: dict[int, str] = {}
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -30,7 +32,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = path
+    weakref.finalize(table, _paths.pop, id(table), None)
+    return table
 
 
 def materialize_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -38,3 +43,12 @@ def materialize_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[D
     seen = Observation()
     table = materialize(df.observe(seen, *[m.alias(n) for n, m in metrics.items()]), name)
     return table, seen.get
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a scratch table that a loop has replaced; later plans must not read it."""
+    path = _paths.pop(id(table), None)
+    if path:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)

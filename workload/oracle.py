@@ -207,17 +207,20 @@ WITH {_TOPICS}
 SELECT cluster, keywords[1] AS label, array_to_string(keywords, ' ') AS keywords, count
 FROM topics"""
 _FIRST_NEW = "list_filter(s.keywords, lambda w: NOT list_contains(p.used, w))[1]"
-ORACLE_SQL["sublabels"] = f"""
-WITH RECURSIVE {_TOPICS},
+
+
+def _sub_labels(sub_of: str, middles: str) -> str:
+    """Sub-topic words given the sub-cluster of each document and the centre of each."""
+    return f"""{middles},
 sub_scores AS (
-  SELECT cluster, id % 3 AS sub, term, round(sum(weight), 9) AS score FROM weights GROUP BY ALL),
+  SELECT w.cluster, sub, term, round(sum(weight), 9) AS score
+  FROM weights w JOIN ({sub_of}) o ON w.id = o.id GROUP BY ALL),
 sub_best AS (
   SELECT cluster, sub, list({_CAP} ORDER BY rn) AS keywords FROM (
     SELECT *, row_number() OVER (PARTITION BY cluster, sub ORDER BY score DESC, term) AS rn
     FROM sub_scores WHERE score > 0) WHERE rn <= 3 GROUP BY cluster, sub),
-middles AS (SELECT cluster, id % 3 AS sub, avg(x) AS x, avg(y) AS y FROM docs GROUP BY ALL),
 picks AS (
-  SELECT cluster, -1 AS sub, keywords[1] AS text, [keywords[1]] AS used FROM topics
+  SELECT cluster, -1::BIGINT AS sub, keywords[1] AS text, [keywords[1]] AS used FROM topics
   UNION ALL
   SELECT p.cluster, p.sub + 1, {_FIRST_NEW},
          CASE WHEN {_FIRST_NEW} IS NULL THEN p.used ELSE list_append(p.used, {_FIRST_NEW}) END
@@ -228,6 +231,52 @@ UNION ALL
 SELECT p.cluster, p.text, round(m.x, 6), round(m.y, 6), 2
 FROM picks p JOIN middles m ON m.cluster = p.cluster AND m.sub = p.sub WHERE p.text IS NOT NULL"""
 
+
+_THIRDS = """middles AS (
+  SELECT cluster, id % 3 AS sub, avg(x) AS x, avg(y) AS y FROM docs GROUP BY ALL)"""
+ORACLE_SQL["sublabels"] = f"""
+WITH RECURSIVE {_TOPICS}, {_sub_labels("SELECT id, id % 3 AS sub FROM docs", _THIRDS)}"""
+
+_D2 = "((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y))"
+_KEY = "md5('42|' || p.id)"
+
+
+def _farthest(name: str, chosen: str) -> str:
+    return f"""{name} AS (
+  SELECT cluster, arg_min(x, (-gap, key, id)) AS x, arg_min(y, (-gap, key, id)) AS y FROM (
+    SELECT p.cluster, p.x, p.y, p.id, {_KEY} AS key, min({_D2}) AS gap
+    FROM points p JOIN ({chosen}) c ON p.cluster = c.cluster GROUP BY ALL)
+  WHERE gap > 0 GROUP BY cluster)"""
+
+
+_C12 = "SELECT cluster, 0 AS sub, x, y FROM c1 UNION ALL SELECT cluster, 1, x, y FROM c2"
+
+
+def _nearest(centres: str) -> str:
+    return f"""SELECT * FROM (
+    SELECT p.id, p.cluster, p.x, p.y, c.sub,
+           row_number() OVER (PARTITION BY p.id ORDER BY {_D2}, c.sub) AS rn
+    FROM points p JOIN {centres} c ON p.cluster = c.cluster) WHERE rn = 1"""
+
+
+_KMEANS_STEP = f"""c1 AS (
+  SELECT cluster, arg_min(x, ({_KEY}, id)) AS x, arg_min(y, ({_KEY}, id)) AS y
+  FROM points p GROUP BY cluster),
+{_farthest('c2', 'SELECT * FROM c1')},
+{_farthest('c3', _C12)},
+centres AS ({_C12} UNION ALL SELECT cluster, 2, x, y FROM c3),
+moved AS (
+  SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY x, y) - 1 AS sub, x, y FROM (
+    SELECT cluster, sub, avg(x) AS x, avg(y) AS y FROM ({_nearest('centres')})
+    GROUP BY cluster, sub))"""
+_LARGE = """points AS (
+  SELECT id, cluster, x, y FROM docs WHERE cluster IN (
+    SELECT cluster FROM topics WHERE count > 50 AND len(keywords) > 1))"""
+_MOVED = "middles AS (SELECT * FROM moved)"
+ORACLE_SQL["build_labels"] = f"""
+WITH RECURSIVE {_TOPICS}, {_LARGE}, {_KMEANS_STEP},
+{_sub_labels(_nearest('moved'), _MOVED)}"""
+
 # Vectors
 
 ORACLE_SQL["mean_pool"] = """
@@ -286,35 +335,9 @@ reach AS (
 named AS (SELECT level, id, min(root) AS component FROM reach GROUP BY level, id)
 SELECT level, id, component FROM (
   SELECT *, count(*) OVER (PARTITION BY level, component) AS size FROM named) WHERE size >= 3"""
-_D2 = "((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y))"
-_KEY = "md5('42|' || p.id)"
-
-
-def _farthest(name: str, chosen: str) -> str:
-    return f"""{name} AS (
-  SELECT cluster, arg_min(x, (-gap, key, id)) AS x, arg_min(y, (-gap, key, id)) AS y FROM (
-    SELECT p.cluster, p.x, p.y, p.id, {_KEY} AS key, min({_D2}) AS gap
-    FROM points p JOIN ({chosen}) c ON p.cluster = c.cluster GROUP BY ALL)
-  WHERE gap > 0 GROUP BY cluster)"""
-
-
-_C12 = "SELECT cluster, 0 AS sub, x, y FROM c1 UNION ALL SELECT cluster, 1, x, y FROM c2"
 ORACLE_SQL["grouped_kmeans_step"] = f"""
-WITH {_POINTS},
-c1 AS (
-  SELECT cluster, arg_min(x, ({_KEY}, id)) AS x, arg_min(y, ({_KEY}, id)) AS y
-  FROM points p GROUP BY cluster),
-{_farthest('c2', 'SELECT * FROM c1')},
-{_farthest('c3', _C12)},
-centres AS ({_C12} UNION ALL SELECT cluster, 2, x, y FROM c3),
-nearest AS (
-  SELECT p.cluster, p.x, p.y, c.sub,
-         row_number() OVER (PARTITION BY p.id ORDER BY {_D2}, c.sub) AS rn
-  FROM points p JOIN centres c ON p.cluster = c.cluster),
-means AS (
-  SELECT cluster, sub, avg(x) AS x, avg(y) AS y FROM nearest WHERE rn = 1 GROUP BY cluster, sub)
-SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY x, y) - 1 AS sub,
-       round(x, 6) AS x, round(y, 6) AS y FROM means"""
+WITH {_POINTS}, {_KMEANS_STEP}
+SELECT cluster, sub, round(x, 6) AS x, round(y, 6) AS y FROM moved"""
 
 # Self-organizing map
 

@@ -342,7 +342,7 @@ def order_clusters(spark, sf):
 
 @register
 def build_labels(spark, sf):
-    _, labels = atlas.build_labels(documents(spark, sf))
+    _, labels = atlas.build_labels(documents(spark, sf), kmeans_iters=1)
     return labels.select("cluster", "text", r6("x").alias("x"), r6("y").alias("y"), "level")
 
 
