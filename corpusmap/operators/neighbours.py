@@ -10,7 +10,6 @@ no task ever holds a whole cell.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,9 @@ from corpusmap.sources.scratch import materialize
 
 # Distances are compared at this many decimals, so copies tie and the id decides.
 DISTANCE_DECIMALS = 12
-MAX_PIVOTS = 4096
+MAX_PIVOTS = 16_384
+# Sources compared in one matrix product.
+CHUNK_ROWS = 2048
 
 
 def _space(vectors: pd.Series, metric: str) -> np.ndarray:
@@ -53,38 +54,29 @@ def _euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _pairwise(a, b, "euclidean")
 
 
-@dataclass(frozen=True)
-class _Cells:
-    """Pivots and what pruning needs to know of their cells; at most MAX_PIVOTS rows."""
-
-    pivots: np.ndarray
-    gaps: np.ndarray
-    radius: np.ndarray | None = None
-
-
-def _to_cells(df: DataFrame, cells: _Cells, metric: str, probes: int) -> DataFrame:
-    """Add the nearest cells (nearest first) and the distance to the own pivot."""
+def _to_cells(df: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
+    """Add the cell of the nearest pivot and the distance to it."""
     id_type = df.schema["id"].dataType.simpleString()
     vec_type = df.schema["vec"].dataType.simpleString()
-    take = min(probes, len(cells.pivots))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if frame.empty:
                 continue
-            d = _euclid(_space(frame["vec"], metric), cells.pivots)
-            near = np.argsort(d, axis=1, kind="stable")[:, :take].astype(np.int32)
-            yield frame.assign(
-                targets=list(near), cell=near[:, 0], to_pivot=d[np.arange(len(d)), near[:, 0]]
-            )
+            d = _euclid(_space(frame["vec"], metric), pivots)
+            cell = d.argmin(axis=1)
+            yield frame.assign(cell=cell, to_pivot=d[np.arange(len(d)), cell])
 
-    return df.mapInPandas(
-        run, f"id {id_type}, vec {vec_type}, targets array<int>, cell int, to_pivot double"
-    )
+    return df.mapInPandas(run, f"id {id_type}, vec {vec_type}, cell int, to_pivot double")
 
 
-def _unpruned_cells(df: DataFrame, cells: _Cells, metric: str) -> DataFrame:
-    """Cells other than the own one that may hold a row within ``bound`` of the query."""
+def _unpruned_cells(
+    df: DataFrame, pivots: np.ndarray, radius: np.ndarray, metric: str, probes: int | None
+) -> DataFrame:
+    """Cells other than the own one that may hold a row within ``bound`` of the query.
+
+    ``probes`` limits them to the cells of the nearest pivots.
+    """
     id_type = df.schema["id"].dataType.simpleString()
     vec_type = df.schema["vec"].dataType.simpleString()
 
@@ -92,27 +84,30 @@ def _unpruned_cells(df: DataFrame, cells: _Cells, metric: str) -> DataFrame:
         for frame in frames:
             if frame.empty:
                 continue
-            d = _euclid(_space(frame["vec"], metric), cells.pivots)
+            d = _euclid(_space(frame["vec"], metric), pivots)
             own = frame["cell"].to_numpy()
             reach = frame["bound"].to_numpy()
             if metric == "cosine":
                 reach = np.sqrt(2.0 * reach)
             rows = np.arange(len(d))
-            ball = d - cells.radius[None, :]
+            homes, home = np.unique(own, return_inverse=True)
+            gaps = _euclid(pivots[homes], pivots)
+            ball = d - radius[None, :]
             with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d**2 - (d[rows, own] ** 2)[:, None]) / (2.0 * cells.gaps[own])
+                plane = (d**2 - (d[rows, own] ** 2)[:, None]) / (2.0 * gaps[home])
             # Coinciding pivots have no bisecting plane.
             plane[~np.isfinite(plane)] = -np.inf
             visit = np.maximum(ball, plane) <= (reach * (1 + 1e-9) + 1e-7)[:, None]
             visit[rows, own] = False
-            visit &= np.isfinite(cells.radius)[None, :]
+            visit &= np.isfinite(radius)[None, :]
+            if probes is not None and probes < len(pivots):
+                last = np.partition(d, probes - 1, axis=1)[:, probes - 1]
+                visit &= d <= last[:, None]
             some = visit.any(axis=1)
             if not some.any():
                 continue
             out = frame.loc[some, ["id", "vec", "bound"]]
-            yield out.assign(
-                targets=[np.flatnonzero(v).astype(np.int32) for v in visit[some]]
-            )
+            yield out.assign(targets=[np.flatnonzero(v).astype(np.int32) for v in visit[some]])
 
     return df.mapInPandas(
         run, f"id {id_type}, vec {vec_type}, bound double, targets array<int>"
@@ -120,24 +115,28 @@ def _unpruned_cells(df: DataFrame, cells: _Cells, metric: str) -> DataFrame:
 
 
 def _block_join(
-    queries: DataFrame, sources: DataFrame, k: int, metric: str, block_rows: int
+    queries: DataFrame,
+    sources: DataFrame,
+    k: int,
+    metric: str,
+    query_rows: int,
+    source_rows: int,
 ) -> DataFrame:
     """The k nearest sources of each query within each block of each target cell.
 
-    Both sides of a cell are cut by a hash of the id into blocks of about ``block_rows``; each
-    pair of blocks is one bounded group.
+    Both sides of a cell are cut by a hash of the id into blocks of about ``query_rows`` and
+    ``source_rows``; each pair of blocks is one bounded group.
     """
     id_type = queries.schema["id"].dataType.simpleString()
 
-    def sized(df: DataFrame, name: str) -> DataFrame:
-        # At most one row per pivot, hence the broadcast below is bounded.
-        return df.groupBy("cell").agg(
-            F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name)
-        )
+    def sized(df: DataFrame, rows: int, name: str) -> DataFrame:
+        # At most one row per pivot, hence the broadcasts below are bounded.
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
     asked = queries.select("id", "vec", "bound", F.explode("targets").alias("cell"))
-    blocks = sized(sources, "s_blocks").join(
-        F.broadcast(sized(queries.select(F.explode("targets").alias("cell")), "q_blocks")), "cell"
+    asked_cells = queries.select(F.explode("targets").alias("cell"))
+    blocks = sized(sources, source_rows, "s_blocks").join(
+        F.broadcast(sized(asked_cells, query_rows, "q_blocks")), "cell"
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -159,14 +158,18 @@ def _block_join(
             return pd.DataFrame({"src": [], "dst": [], "distance": []})
         b = b.sort_values("id", ignore_index=True)
         src, dst = a["id"].to_numpy(), b["id"].to_numpy()
-        d = _pairwise(_space(a["vec"], metric), _space(b["vec"], metric), metric)
-        d = np.round(d, DISTANCE_DECIMALS)
-        d[src[:, None] == dst[None, :]] = np.inf
+        asked, offered = _space(a["vec"], metric), _space(b["vec"], metric)
         limit = a["bound"].to_numpy()
-        if d.shape[1] > k:
-            limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
-        rows, cols = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-        found = d[rows, cols]
+        parts = []
+        for at in range(0, len(dst), CHUNK_ROWS):
+            d = _pairwise(asked, offered[at : at + CHUNK_ROWS], metric)
+            d = np.round(d, DISTANCE_DECIMALS)
+            d[src[:, None] == dst[None, at : at + CHUNK_ROWS]] = np.inf
+            if d.shape[1] > k:
+                limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+            r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+            parts.append((r, c + at, d[r, c]))
+        rows, cols, found = (np.concatenate(column) for column in zip(*parts))
         # Columns are in id order, so they break ties.
         order = np.lexsort((cols, found, rows))
         rows, cols, found = rows[order], cols[order], found[order]
@@ -197,13 +200,15 @@ def knn_graph(
     probes: int = 8,
     exact_rows: int = 50_000,
     cell_rows: int = 1024,
-    block_rows: int = 2048,
+    query_rows: int = 2048,
+    source_rows: int = 32_768,
     seed: int = 42,
 ) -> DataFrame:
     """The k nearest other rows of each row: src, dst, rank, distance; ties go to the lower id.
 
-    ``exact`` gives the true neighbours. ``ivf`` looks only into the ``probes`` nearest cells:
-    cost per row is bounded, a few neighbours are missed. ``auto`` takes ``exact`` up to
+    A query meets its own cell first; the k-th distance found there bounds what later cells may
+    send. ``exact`` then visits every cell within that bound and gives the true neighbours.
+    ``ivf`` visits only those among the ``probes`` nearest: a few neighbours are missed. ``auto`` takes ``exact`` up to
     ``exact_rows`` rows. Of equal vectors only the k+1 lowest ids can be anyone's neighbour, so
     a large group of copies costs each of its members no more than k+1 candidates.
     """
@@ -219,16 +224,16 @@ def knn_graph(
     n_pivots = int(min(MAX_PIVOTS, max(1, -(-n_sources // cell_rows))))
     sampled = sources.orderBy(hash_key(F.col("id"), seed), "id").limit(n_pivots).select("vec")
     pivots = _space(sampled.toPandas()["vec"], metric) if n_sources else np.zeros((1, 1))
-    cells = _Cells(pivots, _euclid(pivots, pivots))
 
-    wide = probes if method == "ivf" else 1
-    placed = materialize(_to_cells(sources, cells, metric, wide), "knn-cells")
+    placed = materialize(_to_cells(sources, pivots, metric), "knn-cells")
     asking = placed
     if n_rows != n_sources:
-        asking = materialize(_to_cells(rows, cells, metric, wide), "knn-queries")
-    unbounded = asking.withColumn("bound", F.lit(float("inf")))
-    first = _k_best(_block_join(unbounded, placed, k, metric, block_rows), k)
-    if method == "ivf" or n_pivots == 1:
+        asking = materialize(_to_cells(rows, pivots, metric), "knn-queries")
+    at_home = asking.select(
+        "id", "vec", F.lit(float("inf")).alias("bound"), F.array("cell").alias("targets")
+    )
+    first = _k_best(_block_join(at_home, placed, k, metric, query_rows, source_rows), k)
+    if n_pivots == 1:
         return first
 
     first = materialize(first, "knn-first")
@@ -236,15 +241,15 @@ def knn_graph(
     radius = np.full(len(pivots), -np.inf)
     for row in placed.groupBy("cell").agg(F.max("to_pivot").alias("r")).collect():
         radius[row["cell"]] = row["r"]
-    cells = _Cells(pivots, cells.gaps, radius)
     reach = first.groupBy(F.col("src").alias("id")).agg(
         F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("reach")
     )
     bounded = asking.join(reach, "id", "left").select(
         "id", "vec", "cell", F.coalesce("reach", F.lit(float("inf"))).alias("bound")
     )
-    beyond = materialize(_unpruned_cells(bounded, cells, metric), "knn-beyond")
-    second = _block_join(beyond, placed, k, metric, block_rows)
+    limit = probes if method == "ivf" else None
+    beyond = materialize(_unpruned_cells(bounded, pivots, radius, metric, limit), "knn-beyond")
+    second = _block_join(beyond, placed, k, metric, query_rows, source_rows)
     return _k_best(first.drop("rank").unionByName(second), k)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -12,6 +13,11 @@ _FOLDER = "spark.checkpoint.dir"
 _paths: dict[int, str] = {}
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="corpusmap-")
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """Folder named by the cluster; a temporary one is made only for local masters."""
     folder = spark.conf.get(_FOLDER, None)
@@ -19,9 +25,7 @@ def scratch_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_FOLDER} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="corpusmap-")
-    spark.conf.set(_FOLDER, folder)
-    return folder
+    return _local_folder()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

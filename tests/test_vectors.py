@@ -43,7 +43,7 @@ def test_exact_neighbours_with_many_cells_and_blocks(spark, metric, dims):
     matrix = np.round(np.vstack([matrix, np.tile(matrix[3], (150, 1)), np.zeros((1, dims))]), 3)
     got = by_source(
         neighbours.knn_graph(
-            frame(spark, matrix), 4, metric, "exact", cell_rows=20, block_rows=16
+            frame(spark, matrix), 4, metric, "exact", cell_rows=20, query_rows=64, source_rows=16
         ).collect()
     )
     wanted = brute_knn(matrix, 4, metric)

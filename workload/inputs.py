@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusmap.operators.vectors import mean_pool
 from corpusmap.sources.tables import spread
 
 
@@ -115,10 +116,12 @@ def order_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def codebook(spark: SparkSession, sf: str) -> DataFrame:
-    """A 5×4 codebook made of the vectors with the lowest numbers."""
-    rows = table(spark, sf, "embeddings").where("vec_id < 20")
-    return rows.select(
-        F.expr("cast(vec_id div 4 as int)").alias("som_x"),
-        (F.col("vec_id") % 4).cast("int").alias("som_y"),
-        F.col("embedding").cast("array<double>").alias("weights"),
+    """A 10×4 codebook: mean vector of each label and each of four classes of id."""
+    rows = table(spark, sf, "embeddings").select(
+        F.struct(F.col("label").alias("som_x"), (F.col("vec_id") % 4).cast("int").alias("som_y")).alias("cell"),
+        "embedding",
+        F.lit(1).alias("mask"),
+    )
+    return mean_pool(rows, "cell", "embedding", "mask").select(
+        "cell.som_x", "cell.som_y", F.col("embedding").alias("weights")
     )

@@ -342,8 +342,11 @@ SELECT cluster, sub, round(x, 6) AS x, round(y, 6) AS y FROM moved"""
 # Self-organizing map
 
 _SOM = """book AS (
-  SELECT vec_id // 4 AS som_x, vec_id % 4 AS som_y, embedding::DOUBLE[] AS w
-  FROM embeddings WHERE vec_id < 20),
+  SELECT som_x, som_y, list(v ORDER BY pos) AS w FROM (
+    SELECT label AS som_x, vec_id % 4 AS som_y, pos, avg(v) AS v FROM (
+      SELECT label, vec_id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)
+    GROUP BY ALL)
+  GROUP BY som_x, som_y),
 assigned AS (
   SELECT id, som_x, som_y, error FROM (
     SELECT vec_id AS id, som_x, som_y, list_distance(embedding::DOUBLE[], w) AS error,
@@ -493,8 +496,8 @@ WITH {_DOCS}, {_POINTS}
 SELECT d.id, title, round(p.x, 6) AS x, round(p.y, 6) AS y, p.cluster
 FROM docs d JOIN points p ON d.id = p.id"""
 _NAMED = """topics AS (
-  SELECT DISTINCT cluster, 'Topic ' || cluster AS label FROM points
-  WHERE cluster <> -1 AND cluster % 2 = 1)"""
+  SELECT cluster, 'Topic ' || cluster AS label FROM points
+  WHERE cluster <> -1 GROUP BY cluster HAVING avg(x) > 0)"""
 ORACLE_SQL["attach_topic"] = f"""
 WITH {_POINTS}, {_NAMED}
 SELECT id, p.cluster, coalesce(label, 'Cluster ' || p.cluster) AS topic
@@ -517,10 +520,10 @@ SELECT id,
 FROM shown s LEFT JOIN topics t ON s.cluster = t.cluster"""
 ORACLE_SQL["available_datasets"] = """
 WITH sets AS (
-  SELECT o_custkey % 200 AS inst_id, o_orderkey, o_orderpriority,
+  SELECT o_custkey AS inst_id, o_orderpriority, o_totalprice,
          CASE o_orderstatus WHEN 'F' THEN 'full' ELSE 'limited' END AS mode FROM orders),
 ready AS (
-  SELECT DISTINCT inst_id, mode FROM sets s WHERE o_orderkey % 40 = 0 AND EXISTS (
-    SELECT 1 FROM sets t WHERE t.o_orderpriority = '1-URGENT'
+  SELECT DISTINCT inst_id, mode FROM sets s WHERE o_orderpriority = '1-URGENT' AND EXISTS (
+    SELECT 1 FROM sets t WHERE t.o_totalprice > 400000
       AND t.inst_id = s.inst_id AND t.mode = s.mode))
 SELECT inst_id, array_to_string(list(mode ORDER BY mode), ' ') AS modes FROM ready GROUP BY inst_id"""

@@ -42,7 +42,7 @@ QUERIES: dict[str, Query] = {}
 
 TILE_CAPACITY = 50
 TILE_DEPTH = 8
-SOM_X, SOM_Y = 5, 4
+SOM_X, SOM_Y = 10, 4
 DBSCAN_EPS = 0.02
 VIEW_BOX = (-0.1, -0.1, 0.15, 0.15)
 PIXELS = 2000.0
@@ -590,9 +590,9 @@ def attach_layout(spark, sf):
 
 
 def _topics_of_vectors(spark, sf) -> DataFrame:
-    """Labels for some clusters only."""
+    """Labels for the clusters in the right half only."""
     summary = topics.cluster_summary(views.drop_noise(vector_points(spark, sf)))
-    return summary.where("cluster % 2 = 1").select(
+    return summary.where("x > 0").select(
         "cluster", F.concat(F.lit("Topic "), F.col("cluster").cast("string")).alias("label")
     )
 
@@ -620,16 +620,18 @@ def point_details(spark, sf):
 @register
 def available_datasets(spark, sf):
     orders = table(spark, sf, "orders")
-    inst = (F.col("o_custkey") % 200).alias("inst_id")
+    inst = F.col("o_custkey").alias("inst_id")
     mode = F.when(F.col("o_orderstatus") == "F", F.lit("full")).otherwise(F.lit("limited"))
+    # The digit of the priority is the depth, counted from 1.
     built = orders.select(
         inst,
         mode.alias("mode"),
-        (F.col("o_orderkey") % 40).alias("z"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("depth"),
         F.lit(0).alias("tile_x"),
         F.lit(0).alias("tile_y"),
     )
-    labelled = orders.where("o_orderpriority = '1-URGENT'").select(inst, mode.alias("mode"))
+    built = built.withColumn("z", F.col("depth") - 1)
+    labelled = orders.where("o_totalprice > 400000").select(inst, mode.alias("mode"))
     found = views.available_datasets(built, labelled)
     return found.select("inst_id", F.array_join("modes", " ").alias("modes"))
 
