@@ -20,9 +20,9 @@ def start_centres(points: DataFrame, group: str, k: int = 3, seed: int = 42) ->
     points has fewer centres.
     """
     here = F.struct("x", "y")
-    chosen = points.groupBy(group).agg(
-        F.array(F.min_by(here, F.struct(hash_key(F.col("id"), seed), "id"))).alias("centres")
-    )
+    first = F.min_by(here, F.struct(hash_key(F.col("id"), seed), "id"))
+    # Written, the few centres have a known size, so the points need not be shuffled to meet them.
+    chosen = materialize(points.groupBy(group).agg(F.array(first).alias("centres")), "centres")
     for _ in range(k - 1):
         spread = points.join(chosen, group).withColumn(
             "gap", F.array_min(F.transform("centres", _squared))

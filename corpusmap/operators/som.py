@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusmap.functions.ordering import hash_key
 from corpusmap.functions.text import truncate
@@ -170,7 +170,7 @@ def som_umatrix(codebook: DataFrame) -> DataFrame:
     )
 
 
-def round4(column) -> "F.Column":
+def round4(column: Column) -> Column:
     """Four decimals, for display."""
     return F.round(column, 4)
 

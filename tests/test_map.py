@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmap.operators import components, density, indexing, kmeans, layout, neighbours, tiles, topics, views
-from corpusmap.plans import atlas
+from corpusmap.plans import steps
 
 
 def points(spark, xy, extra=None):
@@ -269,6 +269,16 @@ def test_tiles_are_complete_and_within_capacity(spark, parts):
     tiled.unpersist()
 
 
+@pytest.mark.parametrize("room", [1, 19, 20, 21, 60, 500])
+def test_view_takes_coarse_tiles_first(spark, room):
+    rng = np.random.default_rng(5)
+    tiled = tiles.quadtree_tiles(points(spark, rng.uniform(0, 1, size=(300, 2))), 20, 5).cache()
+    rows = sorted((r["z"], r["priority"], r["id"]) for r in tiled.collect() if r["x"] <= 0.6)
+    got = {r["id"] for r in tiles.points_in_view(tiled, (0.0, 0.0, 0.6, 1.0), 5, room).collect()}
+    assert got == {i for _, _, i in rows[:room]}
+    tiled.unpersist()
+
+
 def test_tiles_of_nothing(spark):
     assert tiles.quadtree_tiles(points(spark, [])).count() == 0
 
@@ -295,7 +305,7 @@ def test_topics_of_edge_clusters(spark):
     ]
     df = spark.createDataFrame(docs, "id int, cluster int, title string, abstract string")
     df = df.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
-    clusters, labels = atlas.build_labels(df)
+    clusters, labels = steps.build_labels(df)
     got = {r["cluster"]: (r["label"], r["keywords"]) for r in clusters.collect()}
     assert got[0] == ("Unknown", ["Unknown"]) and got[1] == ("Unknown", ["Unknown"])
     # Equal scores fall back to the alphabet.
@@ -318,7 +328,7 @@ def test_subtopics_need_more_than_fifty_rows(spark, n, levels):
         for i in range(n)
     ]
     df = spark.createDataFrame(docs, "id int, cluster int, title string, abstract string, x double, y double")
-    _, labels = atlas.build_labels(df, kmeans_iters=2)
+    _, labels = steps.build_labels(df, kmeans_iters=2)
     assert {r["level"] for r in labels.collect()} == levels
 
 
@@ -365,9 +375,9 @@ def test_whole_map_on_documents(spark, tmp_path):
         rows, "id string, title string, year bigint, faculty string, abstract string, source string, url string"
     )
     path = str(tmp_path / "embeddings")
-    tables.write_embeddings(atlas.build_embeddings(records), path)
+    tables.write_embeddings(steps.build_embeddings(records), path)
     embeddings = tables.read_embeddings(spark, path)
-    mapped = atlas.build_map(embeddings, records, 15, 0.05, 20, epochs=6, levels=16)
+    mapped = steps.build_map(embeddings, records, 15, 0.05, 20, epochs=6, levels=16)
     tables.write_map_points(
         mapped.withColumns({"inst_id": F.lit("R1"), "mode": F.lit("full")}), str(tmp_path / "map")
     )
@@ -377,18 +387,18 @@ def test_whole_map_on_documents(spark, tmp_path):
     assert len(found) == 240 and len(kept) > 120
     assert adjusted_rand([i % 3 for i in kept], [found[f"W{i}"] for i in kept]) > 0.5
 
-    clusters, labels = atlas.build_labels(points, kmeans_iters=2)
+    clusters, labels = steps.build_labels(points, kmeans_iters=2)
     tables.write_labels(clusters, labels, str(tmp_path / "labels"))
     vocabulary = {w.capitalize() for group in words for w in group}
     assert {r["label"] for r in spark.read.json(str(tmp_path / "labels/clusters")).collect()} <= vocabulary
 
-    tiled, manifest = atlas.build_tiles(points, capacity=40, max_depth=6)
+    tiled, manifest = steps.build_tiles(points, capacity=40, max_depth=6)
     tables.write_tiles(tiled, manifest, str(tmp_path / "tiles"))
     stored = spark.read.parquet(str(tmp_path / "tiles/tiles"))
     assert stored.count() == 240
     assert tiles.points_in_view(stored, (-1e9, -1e9, 1e9, 1e9), 0).count() == 40
 
-    made = atlas.build_som(embeddings, points, 4, 3, epochs=3)
+    made = steps.build_som(embeddings, points, 4, 3, epochs=3)
     tables.write_som(
         made.assignment, made.umatrix, made.density, made.points, str(tmp_path / "som")
     )

@@ -22,7 +22,7 @@ from corpusmap.operators import (
     vectors as vector_ops,
     views,
 )
-from corpusmap.plans import atlas
+from corpusmap.plans import steps
 from corpusmap.sources.scratch import materialize, scratch_folder
 from corpusmap.sources.tables import row_count as count_rows, spread
 from corpusmap.streaming.records import read_latest, start_upsert
@@ -282,7 +282,7 @@ def stream_records(spark, sf):
 @register
 def build_records(spark, sf):
     raw = works(spark, sf)
-    return atlas.build_records(raw.unionByName(raw), "ror", "R3", 100)
+    return steps.build_records(raw.unionByName(raw), "ror", "R3", 100)
 
 
 # Topics
@@ -342,13 +342,13 @@ def order_clusters(spark, sf):
 
 @register
 def build_labels(spark, sf):
-    _, labels = atlas.build_labels(documents(spark, sf), kmeans_iters=1)
+    _, labels = steps.build_labels(documents(spark, sf), kmeans_iters=1)
     return labels.select("cluster", "text", r6("x").alias("x"), r6("y").alias("y"), "level")
 
 
 @register
 def build_topics(spark, sf):
-    clusters, _ = atlas.build_labels(documents(spark, sf), kmeans_iters=1)
+    clusters, _ = steps.build_labels(documents(spark, sf), kmeans_iters=1)
     return clusters.select(
         "cluster", "label", F.array_join("keywords", " ").alias("keywords"), "count"
     )
@@ -499,7 +499,7 @@ def som_train(spark, sf):
 @register
 def build_som(spark, sf):
     points = documents(spark, sf).join(vectors(spark, sf).select("id"), "id", "left_semi")
-    return atlas.build_som(vectors(spark, sf), points, 6, 5, epochs=5).points
+    return steps.build_som(vectors(spark, sf), points, 6, 5, epochs=5).points
 
 
 # Tiles and views
@@ -537,7 +537,7 @@ def points_in_view(spark, sf):
 @register
 def build_tiles(spark, sf):
     points = vector_points(spark, sf)
-    tiled, _ = atlas.build_tiles(points, TILE_CAPACITY, TILE_DEPTH)
+    tiled, _ = steps.build_tiles(points, TILE_CAPACITY, TILE_DEPTH)
     return tiled.select("id", "cluster", "key", F.size("children").alias("n_children"))
 
 
@@ -641,7 +641,7 @@ def available_datasets(spark, sf):
 
 @register
 def build_embeddings(spark, sf):
-    return rounded_rows(atlas.build_embeddings(documents(spark, sf)))
+    return rounded_rows(steps.build_embeddings(documents(spark, sf)))
 
 
 @register
@@ -649,7 +649,7 @@ def build_map(spark, sf):
     rows = vectors(spark, sf)
     docs = documents(spark, sf).join(rows.select("id"), "id", "left_semi")
     shared = rows.join(docs.select("id"), "id", "left_semi")
-    mapped = atlas.build_map(
+    mapped = steps.build_map(
         shared, docs.select("id", "title", "year"), 15, 0.05, 10, epochs=5, levels=12
     )
     return mapped.select("id", "title", "year", "x", "y", "cluster")
