@@ -7,7 +7,7 @@ import uuid
 import weakref
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _FOLDER = "spark.checkpoint.dir"
 _paths: dict[int, str] = {}
@@ -43,10 +43,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def materialize_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
-    """:func:`materialize`, with aggregates of the rows gathered while they are written."""
-    seen = Observation()
-    table = materialize(df.observe(seen, *[m.alias(n) for n, m in metrics.items()]), name)
-    return table, seen.get
+    """:func:`materialize`, with aggregates of the written rows for loop conditions.
+
+    They are read back from the table: only the columns they need are scanned, and unlike
+    metrics gathered through listeners they cannot get lost on a busy cluster.
+    """
+    table = materialize(df, name)
+    row = table.agg(*[m.alias(n) for n, m in metrics.items()]).first()
+    return table, row.asDict()
 
 
 def discard(table: DataFrame) -> None:
