@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import weakref
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -13,19 +11,10 @@ _FOLDER = "spark.checkpoint.dir"
 _paths: dict[int, str] = {}
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="corpusmap-")
-
-
 def scratch_folder(spark: SparkSession) -> str:
-    """Folder named by the cluster; a temporary one is made only for local masters."""
+    """Folder named by the cluster, else one under the warehouse, which executors share too."""
     folder = spark.conf.get(_FOLDER, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_FOLDER} to a folder shared by all executors")
-    return _local_folder()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
