@@ -5,7 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusmap.functions.ordering import hash_key, hash_unit
+from corpusmap.sources.scratch import materialize
+
 BINS = 400
+#: Models are fitted on about so many labelled rows, chosen by a hash of the id; all of them if fewer.
+SAMPLE_ROWS = 40_000
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -24,6 +29,19 @@ def row_labels(labels: DataFrame, name: str) -> DataFrame:
     )
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, text, label) of about ``rows`` labelled documents, as a written table.
+
+    Only the chosen ids travel, so the texts are read once and never shuffled.
+    """
+    total = labels.count()
+    if total > rows:
+        labels = labels.where(hash_unit(hash_key(F.col("doc_id"), 11)) < rows / total)
+    chosen = F.broadcast(labels)  # about ``rows`` narrow rows, by the line above
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return materialize(texts.join(chosen, "doc_id"), "labelled")
+
+
 def fit_logistic(rows: DataFrame, low: float, high: float) -> tuple[float, float]:
     """(intercept, slope) of label ~ x. Rows are counted in ``BINS`` bins first, so the driver
     gets a table of fixed size. Without rows, or with one class only, the curve is flat."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmap.llm import calibrate, quality, toxicity
+from corpusmap.llm import calibrate, decontaminate, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,11 +28,9 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """(doc_id, text, label) of the rows that may be learned from: crc32(doc_id) mod 5 is not 0."""
-    rows = docs.where(~calibrate.held_out(F.col("doc_id"), 5, 0)).select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text")
-    )
-    return rows.join(calibrate.row_labels(labels, name), "doc_id")
+    """Sample of the rows that may be learned from, those with crc32(doc_id) mod 5 not 0."""
+    train = labels.where(~calibrate.held_out(F.col("doc_id"), 5, 0))
+    return calibrate.labelled_sample(docs, calibrate.row_labels(train, name))
 
 
 def _scored(scored: DataFrame, threshold: float, *more: str) -> DataFrame:
@@ -57,3 +55,33 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     model = quality.fit(labelled(docs, table(spark, sf, "labels"), "quality"))
     return _scored(quality.score(docs, model), 0.3)
+
+
+@register
+def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document and benchmark item that overlap, with the overlap."""
+    found = decontaminate.overlaps(documents(spark, sf), table(spark, sf, "benchmark"))
+    return found.withColumn("equal_share", F.col("n_equal") / F.col("n_words"))
+
+
+@register
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    warc.write_archives(table(spark, sf, "pages"), folder)
+    return warc.read_archives(spark, folder, payload=False).drop("url")
+
+
+ORACLE_SQL["op5_warc"] = """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+    h AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM p),
+    d AS (
+        SELECT *, list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            ((('0x' || substr(hex, 1 + 5 * (k // 4)::INT, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1, 1)),
+            'string_agg', '') AS digest, min(page_id) OVER (PARTITION BY hex) AS lowest
+        FROM h
+    )
+    SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+        CASE WHEN page_id = lowest THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> lowest THEN lowest END AS refers_to
+    FROM d
+"""

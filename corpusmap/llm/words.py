@@ -136,3 +136,14 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
         np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     )
     return mix(out[begin]), doc
+
+
+def row_slices(offsets: np.ndarray, limit: int = 2 << 20) -> list[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes each; a longer row is a range of its own."""
+    out, begin, n = [], 0, len(offsets) - 1
+    while begin < n:
+        end = int(np.searchsorted(offsets, offsets[begin] + limit, side="right")) - 1
+        end = min(max(end, begin + 1), n)
+        out.append((begin, end))
+        begin = end
+    return out
