@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmap.llm import calibrate, decontaminate, quality, toxicity, warc
+from corpusmap.llm import calibrate, decontaminate, licenses, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +85,11 @@ ORACLE_SQL["op5_warc"] = """
         CASE WHEN page_id <> lowest THEN lowest END AS refers_to
     FROM d
 """
+
+
+@register
+def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf)).drop("blocks")
+
+
+ORACLE_SQL["op3_licenses"] = licenses.duckdb_sql()
