@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmap.llm import calibrate, decontaminate, licenses, minhash, quality, toxicity, warc
+from corpusmap.llm import calibrate, decontaminate, licenses, minhash, quality, suffix_index, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,3 +100,8 @@ def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
     """The class of near duplicates of each document; kept: the first of its class."""
     found = minhash.near_duplicates(documents(spark, sf))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+@register
+def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_index.remove_repeats(documents(spark, sf)).drop("spans")
