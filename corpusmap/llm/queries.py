@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmap.llm import calibrate, decontaminate, licenses, minhash, quality, suffix_index, toxicity, warc
+from corpusmap.llm import calibrate, decontaminate, licenses, minhash, packing, quality, suffix_index, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +43,13 @@ def _scored(scored: DataFrame, threshold: float, *more: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """Vocabulary file of the public tokenizer that packing counts with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @register
 def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
@@ -105,3 +112,8 @@ def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_index.remove_repeats(documents(spark, sf)).drop("spans")
+
+
+@register
+def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(documents(spark, sf), tokenizer_path())
