@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmap.llm import calibrate, decontaminate, licenses, minhash, packing, quality, suffix_index, toxicity, warc
+from corpusmap.llm import calibrate, decontaminate, embeddings, licenses, minhash, packing, quality, suffix_index, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,3 +117,8 @@ def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), tokenizer_path())
+
+
+@register
+def op6_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
