@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmap.llm.words import U64
@@ -78,11 +79,18 @@ def in_blocks(texts: DataFrame, key: str, plan: Layout) -> DataFrame:
 Arrays = list[np.ndarray]
 
 
-def questions(texts: DataFrame, plan: Layout, ask: Callable[[pa.Table], tuple[np.ndarray, Arrays]]) -> DataFrame:
-    """(part, block, keys, extra): each block's keys and the arrays that go with them, by part."""
+def questions(
+    texts: DataFrame, plan: Layout, ask: Callable[..., tuple[np.ndarray, Arrays]], known: DataFrame | None = None
+) -> DataFrame:
+    """(part, block, keys, extra): each block's keys and the arrays that go with them, by part.
+
+    With ``known``, earlier replies to the blocks (:func:`tagged`), ``ask`` gets their table as well.
+    """
 
-    def send(table: pa.Table) -> pa.Table:
-        keys, extra = ask(table)
+    def send(table: pa.Table, got: pa.Table | None = None) -> pa.Table:
+        if not len(table):
+            return pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "extra": pa.array([], pa.list_(pa.binary()))})
+        keys, extra = ask(table) if got is None else ask(table, got)
         bounds = plan.slices(keys)
         rows = [(p, a, b) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
         block = table.column("block")[0].as_py()
@@ -97,7 +105,24 @@ def questions(texts: DataFrame, plan: Layout, ask: Callable[[pa.Table], tuple[np
             }
         )
 
-    return texts.groupBy("block").applyInArrow(send, "part int, block int, keys binary, extra array<binary>")
+    schema = "part int, block int, keys binary, extra array<binary>"
+    if known is None:
+        return texts.groupBy("block").applyInArrow(lambda table: send(table), schema)
+    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: send(a, b), schema)
+
+
+def tagged(**tables: DataFrame) -> DataFrame:
+    """Replies of several rounds in one table, with their names."""
+    out = None
+    for name, df in tables.items():
+        df = df.select("block", "part", "reply", F.lit(name).alias("tag"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def reply_of(got: pa.Table, tag: str, kinds: list) -> Arrays:
+    """The replies of one round among tagged ones."""
+    return joined_reply(got.filter(pa.compute.equal(got.column("tag"), tag)), kinds)
 
 
 def replies(

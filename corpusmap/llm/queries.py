@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmap.llm import calibrate, decontaminate, embeddings, licenses, minhash, packing, quality, suffix_index, toxicity, warc
+from corpusmap.llm import calibrate, decontaminate, embeddings, licenses, lm, minhash, packing, quality, suffix_index, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,3 +122,17 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def op6_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@register
+def op2_lm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).withColumn("train", ~calibrate.held_out(F.col("doc_id"), 7, 2))
+    return lm.score(docs).select(
+        "doc_id",
+        calibrate.held_out(F.col("doc_id"), 7, 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
