@@ -236,17 +236,18 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
     )
     tokens, followers, _, known = _owned_sums(words, _WORD, 3)
     totals = Totals(tokens, known, followers)
-    state = None
+    tables = {"pairs": pairs, "words": words}
     for sweep in range(SWEEPS):
-        tables = {"pairs": pairs, "words": words} | ({f"sweep{sweep - 1}": state} if sweep else {})
+        before = totals
         asked = questions(dealt, plan, _ask_tables(plan, totals, sweep), tagged(**tables))
         state = materialize(replies(asked, plan, _seat_parent(totals, sweep), [np.int64] * (2 * SAMPLES)), "sweep")
+        last, tables = tables, {"pairs": pairs, "words": words, f"sweep{sweep}": state}
         sums = _owned_sums(state, _STATE, 3 * SAMPLES)
         totals = Totals(tokens, known, followers, tuple(sums[SAMPLES : 2 * SAMPLES]), tuple(sums[2 * SAMPLES : 3 * SAMPLES]))
-    everything = tagged(**{"pairs": pairs, "words": words, f"sweep{SWEEPS - 1}": state})
+    everything = tagged(**(last | tables))
     kind = dict(docs.dtypes)["doc_id"]
     return dealt.groupBy("block").cogroup(everything.groupBy("block")).applyInArrow(
-        _finish(plan, totals),
+        _finish(plan, before, totals),
         f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
 
@@ -277,7 +278,7 @@ def _seat_parent(totals: Totals, sweep: int):
     return answer
 
 
-def _finish(plan: Layout, totals: Totals):
+def _finish(plan: Layout, before: Totals, totals: Totals):
     def finish(table: pa.Table, got: pa.Table) -> pa.Table:
         t = Tokens(table, plan)
         n = len(table)
@@ -289,25 +290,13 @@ def _finish(plan: Layout, totals: Totals):
         end = t.word[np.cumsum(t.per_row) - 1][0]
         after = customers.copy()
         after[begin] = customers[end]
-        # The last seating belongs to the state of the last sweep.
         state = reply_of(got, f"sweep{SWEEPS - 1}", _STATE)
-        count, _ = reply_of(got, "pairs", _PAIR)
+        count, _, chains = _tables(t, got, before, SWEEPS - 1)  # the seating that the sums are of
         mean = np.zeros(len(t.pairs))
-        many = np.flatnonzero(count > 1)
-        for s in range(SAMPLES):
+        for s, seated in enumerate(chains):
             parent = totals.parent(s, state[SAMPLES + s], state[2 * SAMPLES + s])
-            new = STRENGTH + DISCOUNT * state[s]
-            seated = np.minimum(count, 1)
-            seated[many] = seats(
-                t.pairs[many],
-                count[many],
-                (new[t.pair_context] * parent[t.pair_word])[many],
-                DISCOUNT,
-                7 + 10_000_019 * (SWEEPS * SAMPLES + s),
-            )
-            mean += (count - DISCOUNT * seated + new[t.pair_context] * parent[t.pair_word]) / (
-                STRENGTH + after[t.pair_context]
-            )
+            new = (STRENGTH + DISCOUNT * state[s])[t.pair_context] * parent[t.pair_word]
+            mean += (count - DISCOUNT * seated + new) / (STRENGTH + after[t.pair_context])
         score = np.log10(mean / SAMPLES) if totals.tokens else np.zeros(len(mean))
         return pa.table(
             {
