@@ -42,6 +42,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return materialize(texts.join(chosen, "doc_id"), "labelled")
 
 
+def labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """Sample of the rows that may be learned from, those with crc32(doc_id) mod 5 not 0."""
+    train = labels.where(~held_out(F.col("doc_id"), 5, 0))
+    return labelled_sample(docs, row_labels(train, name))
+
+
 def fit_logistic(rows: DataFrame, low: float, high: float) -> tuple[float, float]:
     """(intercept, slope) of label ~ x. Rows are counted in ``BINS`` bins first, so the driver
     gets a table of fixed size. Without rows, or with one class only, the curve is flat."""

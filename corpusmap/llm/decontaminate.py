@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmap.llm.words import U64, Words, alnum_mask, buffer_of, mix, row_slices
 
@@ -131,43 +131,62 @@ def _parts(benchmark: DataFrame) -> list[DataFrame]:
     return [benchmark.where(part == i) for i in range(parts)]
 
 
+def _shared_tables(spark: SparkSession, benchmark: DataFrame) -> list:
+    """Seed tables of the benchmark, each of bounded size, for the tasks."""
+    out = []
+    for part in _parts(benchmark.select("item_id", "text")):
+        items = part.collect()
+        out.append(
+            spark.sparkContext.broadcast(seed_table([r["item_id"] for r in items], [r["text"] for r in items]))
+        )
+    return out
+
+
+def _found(texts: pa.Array, table: SeedTable) -> Iterator[tuple]:
+    """Overlaps of a batch of texts, by row."""
+    data, offsets = buffer_of(texts)
+    for a, b in row_slices(offsets):
+        part = offsets[a : b + 1]
+        words = Words(data[part[0] : part[-1]], part - part[0], alnum_mask())
+        for row, *rest in _overlaps(words, table):
+            yield row + a, *rest
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Best overlap of each (doc_id, item_id) that has one: doc_start, item_start, n_words, n_equal."""
     docs = docs.select("doc_id", "text")
-    benchmark = benchmark.select("item_id", "text")
-    kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
+    names = ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"]
     schema = (
-        f"doc_id {kinds[0]}, item_id {kinds[1]}, doc_start long, item_start long, n_words long, n_equal long"
+        f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, "
+        "doc_start long, item_start long, n_words long, n_equal long"
     )
     out = None
-    for part in _parts(benchmark):
-        items = part.collect()
-        shared = docs.sparkSession.sparkContext.broadcast(
-            seed_table([r["item_id"] for r in items], [r["text"] for r in items])
-        )
+    for shared in _shared_tables(docs.sparkSession, benchmark):
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table = shared.value
-            item_ids = pa.array(table.ids)
             for batch in batches:
-                data, offsets = buffer_of(batch.column("text"))
-                for a, b in row_slices(offsets):
-                    part_offsets = offsets[a : b + 1]
-                    found = Words(
-                        data[part_offsets[0] : part_offsets[-1]], part_offsets - part_offsets[0], alnum_mask()
-                    )
-                    rows = list(_overlaps(found, table))
-                    if rows:
-                        cols = list(zip(*rows, strict=True))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                batch.column("doc_id").take(pa.array([r + a for r in cols[0]], pa.int64())),
-                                item_ids.take(pa.array(cols[1], pa.int64())),
-                                *(pa.array(c, pa.int64()) for c in cols[2:]),
-                            ],
-                            ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"],
-                        )
+                rows = list(_found(batch.column("text"), table))
+                if rows:
+                    row, item, *rest = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+                    ids = batch.column("doc_id").take(row), pa.array(table.ids).take(item)
+                    yield pa.RecordBatch.from_arrays([*ids, *rest], names)
 
         found = docs.mapInArrow(scan, schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text overlaps no item; all columns stay, nothing is shuffled."""
+    at = docs.columns.index("text")
+    for shared in _shared_tables(docs.sparkSession, benchmark):
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[row for row, *_ in _found(batch.column(at), shared.value)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

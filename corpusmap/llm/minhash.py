@@ -274,3 +274,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     lowest = materialize(named.groupBy("component").agg(F.min("lowest").alias("class_id")), "lowest")
     members = materialize(named.join(lowest.hint("merge"), "component").select("key", "class_id"), "members")
     return ids.select("doc_id", "key").join(members.hint("merge"), "key").select("doc_id", "key", "class_id")
+
+
+def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class one row of the smallest doc_id stays."""
+    found = near_duplicates(docs, similarity)
+    chosen = (
+        found.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+        .groupBy("class_id")
+        .agg(F.min("key").alias("_key"))  # rows that repeat an id may differ in text
+        .select(F.col("class_id").alias("_id"), "_key")
+    )
+    rows = docs.select(
+        F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_key")
+    )
+    same = rows["_id"].eqNullSafe(chosen["_id"]) & (rows["_key"] == chosen["_key"])
+    kept = rows.join(chosen, same, "left_semi")
+    # Rows that repeat both id and text: one of them, without moving them again.
+    return kept.dropDuplicates(["_id", "_key"]).select("_row.*")

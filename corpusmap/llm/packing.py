@@ -76,6 +76,13 @@ class Tokens:
         return out
 
 
+def tokenizer_path() -> str:
+    """Vocabulary file of the public tokenizer that the queries count with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def tokens(path: str) -> Tokens:
     if path not in _tokenizers:
         _tokenizers[path] = Tokens(path)

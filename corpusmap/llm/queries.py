@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmap.llm import calibrate, decontaminate, embeddings, licenses, lm, minhash, packing, quality, suffix_index, toxicity, warc
@@ -27,12 +28,6 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """Sample of the rows that may be learned from, those with crc32(doc_id) mod 5 not 0."""
-    train = labels.where(~calibrate.held_out(F.col("doc_id"), 5, 0))
-    return calibrate.labelled_sample(docs, calibrate.row_labels(train, name))
-
-
 def _scored(scored: DataFrame, threshold: float, *more: str) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -43,24 +38,17 @@ def _scored(scored: DataFrame, threshold: float, *more: str) -> DataFrame:
     )
 
 
-def tokenizer_path() -> str:
-    """Vocabulary file of the public tokenizer that packing counts with."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @register
 def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
-    model = toxicity.fit(labelled(docs, table(spark, sf, "labels"), "toxic"))
+    model = toxicity.fit(calibrate.labelled(docs, table(spark, sf, "labels"), "toxic"))
     return _scored(toxicity.score(docs, model), 0.5, "n_words")
 
 
 @register
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
-    model = quality.fit(labelled(docs, table(spark, sf, "labels"), "quality"))
+    model = quality.fit(calibrate.labelled(docs, table(spark, sf, "labels"), "quality"))
     return _scored(quality.score(docs, model), 0.3)
 
 
@@ -116,7 +104,7 @@ def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(documents(spark, sf), tokenizer_path())
+    return packing.pack(documents(spark, sf), packing.tokenizer_path())
 
 
 @register
@@ -136,3 +124,8 @@ def op2_lm(spark: SparkSession, sf: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@register
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)

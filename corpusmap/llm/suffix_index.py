@@ -327,16 +327,23 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeats(docs: DataFrame, kept_text: bool = False) -> DataFrame:
     """Per row of (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end) and,
-    if asked for, ``kept``: the bytes that stay."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    if asked for, ``kept``, the bytes that stay, and ``rest``, a struct of the other columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest")] if kept_text and others else []
+    texts = docs.select(
+        F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *rest
+    )
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = layout(total, 0.04)
     dealt, ranges = removed_ranges(texts, plan)
     schema = (
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<struct<begin:int,end:int>>" + (", kept binary" if kept_text else "")
+        + (f", rest {texts.schema['rest'].dataType.simpleString()}" if rest else "")
     )
 
+    carried = bool(rest)
+
     def finish(table: pa.Table, got: pa.Table) -> pa.Table:
         table = _ordered(table)
         pieces = [
@@ -369,6 +376,7 @@ def remove_repeats(docs: DataFrame, kept_text: bool = False) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
         n = 7 if kept_text else 6
-        return pa.table([pa.array(c, k) for c, k in zip(out[:n], kinds[:n], strict=True)], names=names[:n])
+        made = pa.table([pa.array(c, k) for c, k in zip(out[:n], kinds[:n], strict=True)], names=names[:n])
+        return made.append_column("rest", table.column("rest")) if carried else made
 
     return dealt.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(finish, schema)
