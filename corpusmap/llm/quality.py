@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusmap.llm.calibrate import fit_logistic, logistic
 
@@ -85,8 +85,8 @@ def difference(rows: DataFrame, model: QualityModel) -> DataFrame:
                 [batch.column(c) for c in kept] + [pa.array(x, pa.float64())], [*kept, "x"]
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(measure, f"{fields}, x double")
+    fields = T.StructType([f for f in rows.schema if f.name != "text"])
+    return rows.mapInArrow(measure, fields.add("x", "double"))
 
 
 def fit(labelled: DataFrame) -> QualityModel:

@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusmap.llm.blocks import Layout, expand, in_blocks, joined_reply, layout, questions, replies, squeeze
 from corpusmap.llm.words import U64, buffer_of, byte_table, mix, row_slices
@@ -336,11 +336,12 @@ def remove_repeats(docs: DataFrame, kept_text: bool = False) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = layout(total, 0.04)
     dealt, ranges = removed_ranges(texts, plan)
-    schema = (
+    schema = T.StructType.fromDDL(
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<struct<begin:int,end:int>>" + (", kept binary" if kept_text else "")
-        + (f", rest {texts.schema['rest'].dataType.simpleString()}" if rest else "")
     )
+    if rest:
+        schema = schema.add("rest", texts.schema["rest"].dataType)
 
     carried = bool(rest)
 

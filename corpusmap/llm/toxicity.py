@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusmap.llm.calibrate import fit_logistic, logistic
 
@@ -202,8 +202,10 @@ def figures(rows: DataFrame, model: ToxicityModel) -> DataFrame:
                 [*kept, "x", "n_words", "terms"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    got = rows.mapInArrow(measure, f"{fields}, x double, n_words long, terms array<string>")
+    fields = T.StructType([f for f in rows.schema if f.name != "text"])
+    got = rows.mapInArrow(
+        measure, fields.add("x", "double").add("n_words", "long").add("terms", T.ArrayType(T.StringType()))
+    )
     return got.withColumn("x", F.log1p(F.col("x") * 100))
 
 
