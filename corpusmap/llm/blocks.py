@@ -22,6 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmap.llm.words import U64
+from corpusmap.sources.scratch import materialize
 
 BLOCK_BYTES = 3 << 20
 #: Key bytes that travel; the part's number holds further leading bits, so that the chance of two
@@ -181,3 +182,26 @@ def first_in_task(rows: DataFrame, key: str) -> DataFrame:
             yield batch if all(keep) else batch.filter(pa.array(keep))
 
     return rows.mapInArrow(pick, rows.schema)
+
+
+def bucket_units(rows: DataFrame, bucket: list[str], member: str, block: int) -> DataFrame:
+    """Rows dealt so that every two members of a bucket meet in a unit of at most about two blocks.
+
+    Adds low, high and second: a bucket of more than ``block`` rows is cut by a hash of the member, and a unit
+    (bucket, low, high) holds two of its cuts, ``second`` marking the rows of the higher one. Smaller buckets are one
+    unit with low = high = 0. Members of one cut meet where low = high.
+    """
+    sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_size"))
+    large = materialize(sizes.where(F.col("_size") > block), "large")
+    cut = F.coalesce(F.ceil(F.col("_size") / block), F.lit(1)).cast("int")
+    mine = F.pmod(F.xxhash64(member), F.col("_cut")).cast("int")
+    return (
+        rows.join(large, bucket, "left")
+        .withColumn("_cut", cut)
+        .withColumn("_mine", mine)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cut") - 1)))
+        .withColumn("low", F.least("_mine", "_other"))
+        .withColumn("high", F.greatest("_mine", "_other"))
+        .withColumn("second", F.col("_mine") > F.col("_other"))
+        .drop("_size", "_cut", "_mine", "_other")
+    )

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusmap.llm.blocks import bucket_units
 from corpusmap.llm.words import U64, mix
 from corpusmap.operators.components import connected_components
 from corpusmap.sources.scratch import materialize
@@ -138,26 +139,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _compare(spread: DataFrame, kind, similarity: float, bits: int, count: int) -> DataFrame:
     """(key, links, root): sums and spanning edges of the links of every bucket."""
-    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    large = materialize(sizes.where(F.col("size") > BLOCK), "large")
-    cut = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
-    mine = F.pmod(F.xxhash64("key"), F.col("cut")).cast("int")
-    units = (
-        spread.join(large, "bucket", "left")
-        .withColumn("cut", cut)
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-        .select(
-            "bucket",
-            F.least("mine", "other").alias("low"),
-            F.greatest("mine", "other").alias("high"),
-            (F.col("mine") > F.col("other")).alias("second"),
-            "tab",
-            "key",
-            "n",
-            "vector",
-        )
-    )
+    units = bucket_units(spread, ["bucket"], "key", BLOCK)
 
     def compare(table: pa.Table) -> pa.Table:
         out = {"key": [], "links": [], "root": []}

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusmap.llm.blocks import (
     Layout,
+    bucket_units,
     first_in_task,
     in_blocks,
     joined_reply,
@@ -46,6 +47,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 _SLICE = 4096
+#: Members of a bucket that one task compares with as many others.
+_BLOCK = 256
 _VECTOR = "key string, total double, shingles binary, weights binary, bands array<long>"
 
 
@@ -210,51 +213,100 @@ def components(vector: DataFrame, similarity: float) -> DataFrame:
         "buckets",
     )
     edges = spark.createDataFrame([], "src string, dst string")
-    parts = spark.createDataFrame([], "key string, component string")
+    parts = None
     open_rows = buckets.withColumn("component", F.col("key"))
     before, turn = None, 0
     while True:
-        # Buckets whose members are in more than one component.
+        # Buckets whose members are in more than one component, with a leader drawn by a hash.
         split = materialize(
             open_rows.groupBy("band", "value")
             .agg(
                 F.min("component").alias("low"),
                 F.max("component").alias("high"),
-                F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("leader"),
-                F.min_by("component", F.xxhash64("key", F.lit(turn))).alias("leader_component"),
+                F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "component")).alias("leader"),
             )
             .where("low != high")
-            .select("band", "value", "leader", "leader_component"),
+            .select(
+                "band",
+                "value",
+                F.col("leader.key").alias("leader"),
+                F.col("leader.component").alias("leader_component"),
+            ),
             "split",
         )
         rows = materialize(open_rows.join(split.hint("merge"), ["band", "value"]), "open")
         left = rows.count()
-        if not left:
+        settled = before is not None and left > 0.5 * before
+        if not left or settled:
             break
-        last = before is not None and left > 0.5 * before
         before = left
-        if last:  # leaders join little more: settle every pair across components
-            other = rows.select("band", "value", F.col("key").alias("dst"), F.col("component").alias("other"))
-            pairs = (
-                rows.join(other, ["band", "value"])
-                .where("component < other")
-                .select(F.col("key").alias("src"), "dst")
-            )
-        else:
-            pairs = rows.where("component != leader_component").select(F.col("leader").alias("src"), F.col("key").alias("dst"))
-        edges = materialize(edges.unionByName(_verified(pairs.distinct(), vector, similarity)), "edges")
-        parts = connected_components(edges).withColumnRenamed("node", "key")
-        if last:
-            break
-        parts = materialize(parts, "parts")
+        pairs = (
+            rows.where("component != leader_component")
+            .select(F.least("leader", "key").alias("src"), F.greatest("leader", "key").alias("dst"))
+            .distinct()
+        )
+        edges = materialize(edges.unionByName(_verified(pairs, vector, similarity)), "edges")
+        parts = materialize(connected_components(edges).withColumnRenamed("node", "key"), "parts")
         open_rows = (
             rows.select("band", "value", "key")
             .join(parts.hint("merge"), "key", "left")
             .withColumn("component", F.coalesce("component", "key"))
         )
         turn += 1
+    if left:  # leaders join little more: the pairs still in different components are compared in their buckets
+        wide = rows.select("band", "value", "key", "component").join(vector, "key")
+        edges = materialize(edges.unionByName(_settled(wide, similarity)), "edges")
+        parts = materialize(connected_components(edges).withColumnRenamed("node", "key"), "parts")
     discard(buckets)
-    return parts
+    return spark.createDataFrame([], "key string, component string") if parts is None else parts
+
+
+def _settled(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst) that join different components of a bucket; a pair of several buckets is looked at in
+    the first. Per member of a unit one pass over the unit's shingles compares it with all others."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_pylist()
+        component = table.column("component").to_pylist()
+        names = {c: i for i, c in enumerate(dict.fromkeys(component))}
+        group = np.array([names[c] for c in component])
+        src, dst = [], []
+        if len(names) > 1:
+            band = table.column("band")[0].as_py()
+            bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(keys), -1)
+            second = np.array(table.column("second").to_pylist(), bool)
+            cross = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+            total = table.column("total").to_numpy()
+            own = [np.frombuffer(x.as_py(), U64) for x in table.column("shingles")]
+            weight = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in table.column("weights")])
+            known, place = np.unique(np.concatenate(own), return_inverse=True)
+            first = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            dense = np.zeros(len(known), np.float32)
+            filled = np.flatnonzero(np.diff(first))
+            for i in range(len(keys)):
+                rest = (group != group[i]) & (np.arange(len(keys)) > i)
+                if cross:
+                    rest = (group != group[i]) & second & ~second[i]
+                rest &= (bands[:, :band] != bands[i, :band]).all(axis=1)
+                rest &= np.minimum(total, total[i]) >= (similarity - 1e-9) * np.maximum(total, total[i])
+                if not rest.any():
+                    continue
+                mine = slice(first[i], first[i + 1])
+                dense[place[mine]] = weight[mine]
+                common = np.zeros(len(keys))
+                common[filled] = np.add.reduceat(
+                    np.minimum(weight, dense[place]), first[filled], dtype=np.float64
+                )
+                dense[place[mine]] = 0
+                for j in np.flatnonzero(rest & (common >= (similarity - 1e-9) * (total + total[i] - common))):
+                    if group[j] != group[i]:
+                        src.append(keys[i])
+                        dst.append(keys[j])
+                        group[group == group[j]] = group[i]
+        return pa.table({"src": pa.array(src, pa.string()), "dst": pa.array(dst, pa.string())})
+
+    units = bucket_units(rows, ["band", "value"], "key", _BLOCK)
+    return units.groupBy("band", "value", "low", "high").applyInArrow(compare, "src string, dst string")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
