@@ -20,9 +20,6 @@ _JATS_TAGS = [
     r"(?i)</?jats:[a-z]+>",
 ]
 
-# Latin letters, combining accents, typographic ligatures and full-width forms.
-_FOLDED_BLOCKS = [(0x00AA, 0x0250), (0x0300, 0x0370), (0x1E00, 0x1F00), (0xFB00, 0xFB07), (0xFF21, 0xFF5B)]
-
 # A label word is four or more ASCII letters with Unicode word boundaries.
 _LABEL_WORD = r"(?<![\p{L}\p{N}_])[a-zA-Z]{4,}+(?![\p{L}\p{N}_])"
 
@@ -68,9 +65,12 @@ def _fold(ch: str) -> str:
 
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """Characters that fold to one character, that vanish, and ligatures, by Unicode rule."""
+    """Characters that fold to one character, that vanish, and that fold to several, by Unicode
+    rule over all code points. Hangul syllables keep their form: no other text can equal their parts."""
     singles, dropped, ligatures = [], [], []
-    for code in (c for block in _FOLDED_BLOCKS for c in range(*block)):
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
+            continue
         ch = chr(code)
         folded = _fold(ch)
         if folded == ch:
@@ -79,23 +79,26 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
             singles.append((ch, folded))
         elif not folded:
             dropped.append(ch)
-        elif folded.isascii() and folded.isalpha():
+        else:
             ligatures.append((ch, folded))
     source = "".join(a for a, _ in singles) + "".join(dropped)
     return source, "".join(b for _, b in singles), ligatures
 
 
 def normalize_text(text: Column) -> Column:
-    """Lower-case text without accents, inside the JVM, for the Latin script.
+    """Lower-case text without accents and compatibility forms, inside the JVM.
 
-    Other scripts stay as they are; :func:`normalize_any_text` folds those too.
+    Characters that fold to several are looked up one by one, in texts that have any.
     """
     source, target, ligatures = _fold_tables()
+    spelling = F.create_map(*[F.lit(s) for pair in ligatures for s in pair])
+    several = "[" + "".join(a for a, _ in ligatures) + "]"
 
     def fold(low: Column) -> Column:
+        letters = F.regexp_extract_all(low, F.lit(r"(?s)."), F.lit(0))
         spelled = F.when(
-            low.rlike("[" + "".join(a for a, _ in ligatures) + "]"),
-            reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), ligatures, low),
+            low.rlike(several),
+            F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(spelling, c), c)), ""),
         ).otherwise(low)
         return F.when(
             low.rlike(r"[^\x00-\x7f]"), F.translate(spelled, source, target)

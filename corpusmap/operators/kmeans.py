@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmap.functions.ordering import hash_key
@@ -68,16 +70,16 @@ def grouped_kmeans(
     points: DataFrame,
     group: str = "cluster",
     k: int = 3,
-    iters: int = 10,
+    iters: int | None = None,
     seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
-    """Lloyd's algorithm in every group at once.
+    """Lloyd's algorithm in every group at once, until no centre moves or for ``iters`` rounds.
 
     Returns the points (id, group, x, y) with ``sub``, and the centres, one row per group.
     """
     narrow = points.select("id", group, "x", "y")
     centres = start_centres(narrow, group, k, seed)
-    for _ in range(iters):
+    for _ in range(iters) if iters is not None else count():
         found = update_centres(assign_centres(narrow, centres, group), group)
         before = centres.select(group, F.col("centres").alias("before"))
         moved, seen = materialize_observed(

@@ -23,6 +23,8 @@ DISTANCE_DECIMALS = 12
 MAX_PIVOTS = 16_384
 # Sources compared in one matrix product.
 CHUNK_ROWS = 2048
+# Rows compared with all pivots at once; bounds a task's matrices.
+SLICE_ROWS = 256
 
 
 def _space(vectors: pd.Series, metric: str) -> np.ndarray:
@@ -63,9 +65,11 @@ def _to_cells(df: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
         for frame in frames:
             if frame.empty:
                 continue
-            d = _euclid(_space(frame["vec"], metric), pivots)
-            cell = d.argmin(axis=1)
-            yield frame.assign(cell=cell, to_pivot=d[np.arange(len(d)), cell])
+            for at in range(0, len(frame), SLICE_ROWS):
+                part = frame.iloc[at : at + SLICE_ROWS]
+                d = _euclid(_space(part["vec"], metric), pivots)
+                cell = d.argmin(axis=1)
+                yield part.assign(cell=cell, to_pivot=d[np.arange(len(d)), cell])
 
     return df.mapInPandas(run, f"id {id_type}, vec {vec_type}, cell int, to_pivot double")
 
@@ -81,9 +85,8 @@ def _unpruned_cells(
     vec_type = df.schema["vec"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if frame.empty:
-                continue
+        slices = (f.iloc[a : a + SLICE_ROWS] for f in frames for a in range(0, len(f), SLICE_ROWS))
+        for frame in slices:
             d = _euclid(_space(frame["vec"], metric), pivots)
             own = frame["cell"].to_numpy()
             reach = frame["bound"].to_numpy()
@@ -195,10 +198,9 @@ def knn_graph(
     df: DataFrame,
     k: int = 30,
     metric: str = "cosine",
-    method: str = "auto",
+    method: str = "ivf",
     vec: str = "embedding",
     probes: int = 8,
-    exact_rows: int = 50_000,
     cell_rows: int = 1024,
     query_rows: int = 2048,
     source_rows: int = 32_768,
@@ -208,8 +210,8 @@ def knn_graph(
 
     A query meets its own cell first; the k-th distance found there bounds what later cells may
     send. ``exact`` then visits every cell within that bound and gives the true neighbours.
-    ``ivf`` visits only those among the ``probes`` nearest: a few neighbours are missed. ``auto`` takes ``exact`` up to
-    ``exact_rows`` rows. Of equal vectors only the k+1 lowest ids can be anyone's neighbour, so
+    ``ivf``, the default at every size, visits only those among the ``probes`` nearest: a few neighbours
+    are missed. Of equal vectors only the k+1 lowest ids can be anyone's neighbour, so
     a large group of copies costs each of its members no more than k+1 candidates.
     """
     rows = df.select("id", F.col(vec).alias("vec"))
@@ -219,8 +221,6 @@ def knn_graph(
         "knn-sources",
     )
     n_sources, n_rows = sources.count(), rows.count()
-    if method == "auto":
-        method = "exact" if n_rows <= exact_rows else "ivf"
     n_pivots = int(min(MAX_PIVOTS, max(1, -(-n_sources // cell_rows))))
     sampled = sources.orderBy(hash_key(F.col("id"), seed), "id").limit(n_pivots).select("vec")
     pivots = _space(sampled.toPandas()["vec"], metric) if n_sources else np.zeros((1, 1))

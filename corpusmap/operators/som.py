@@ -16,17 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusmap.functions.ordering import hash_key
 from corpusmap.functions.text import truncate
-from corpusmap.operators.sampling import sample_points
 from corpusmap.sources.scratch import materialize
 
 CODEBOOK = "som_x int, som_y int, weights array<double>"
-MAX_NEURONS = 100_000
 
 
 def _codebook_rows(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = codebook.orderBy("som_x", "som_y").limit(MAX_NEURONS + 1).collect()
-    if len(rows) > MAX_NEURONS:
-        raise ValueError(f"a codebook has at most {MAX_NEURONS} neurons")
+    rows = codebook.orderBy("som_x", "som_y").collect()  # the grid's size is the caller's choice
     places = np.array([(r["som_x"], r["som_y"]) for r in rows], dtype=np.int32)
     return places, np.array([r["weights"] for r in rows], dtype=np.float64)
 
@@ -94,18 +90,14 @@ def som_train(
     sigma: float = 1.5,
     epochs: int = 10,
     seed: int = 42,
-    sample_size: int = 50_000,
     vec: str = "embedding",
 ) -> DataFrame:
-    """Codebook of a batch self-organizing map, trained on up to ``sample_size`` rows (0 = all).
+    """Codebook of a batch self-organizing map, trained on all rows.
 
     Start weights are the first rows in seeded order. Each epoch assigns all training rows and
     moves each neuron to the mean of its Gaussian neighbourhood, whose width ends at ``sigma``.
     """
-    rows = df.select("id", F.col(vec).alias("vec"))
-    if sample_size:
-        rows = sample_points(rows, sample_size, seed)
-    rows = materialize(rows, "som-rows")
+    rows = materialize(df.select("id", F.col(vec).alias("vec")), "som-rows")
     n = gx * gy
     first = [
         np.asarray(r["vec"], dtype=np.float64)
@@ -114,19 +106,20 @@ def som_train(
     if not first:
         raise ValueError("no vectors to train on")
     weights = np.array([first[i % len(first)] for i in range(n)])
-    places = np.array([(i // gy, i % gy) for i in range(n)], dtype=np.float64)
-    apart = ((places[:, None, :] - places[None, :, :]) ** 2).sum(-1)
+    # The Gaussian of a grid distance is the product of one along x and one along y.
+    along = [np.subtract.outer(np.arange(g), np.arange(g)).astype(np.float64) ** 2 for g in (gx, gy)]
     wide = max(gx, gy) / 4.0
     for epoch in range(epochs):
         share = epoch / max(epochs - 1, 1)
         width = max(sigma, wide * (sigma / wide) ** share)
-        kernel = np.exp(-apart / (2.0 * width * width))
+        kx, ky = (np.exp(-squares / (2.0 * width * width)) for squares in along)
         sums, counts = np.zeros_like(weights), np.zeros(n)
         for r in _neuron_sums(rows, weights):
             sums[r["neuron"]], counts[r["neuron"]] = r["total"], r["n"]
-        mass = kernel @ counts
+        mass = (kx @ counts.reshape(gx, gy) @ ky.T).reshape(n)
+        pulled = np.einsum("ab,bcd,ec->aed", kx, sums.reshape(gx, gy, -1), ky, optimize=True)
         moved = mass > 1e-12
-        weights[moved] = (kernel @ sums)[moved] / mass[moved, None]
+        weights[moved] = pulled.reshape(n, -1)[moved] / mass[moved, None]
     data = [(int(i // gy), int(i % gy), [float(w) for w in weights[i]]) for i in range(n)]
     return df.sparkSession.createDataFrame(data, CODEBOOK)
 

@@ -30,7 +30,7 @@ def quadtree_tiles(
     A tile keeps its ``capacity`` first points in seeded order, the rest descends one depth; at
     ``max_depth`` everything stays. Priorities are uniform, so the first points of a full tile
     lie below a known share: only those are ranked, and a tile that holds a third of all rows is
-    never gathered. Should a tile have too few points below the share, all points are ranked.
+    never gathered.
     """
     x0, x1, y0, y1 = extent(points)
     rest = points.select("id", "x", "y", hash_key(F.col("id"), seed).alias("priority"))
@@ -60,21 +60,33 @@ def quadtree_tiles(
         over = F.col("n") > capacity
         window = W.partitionBy(*key).orderBy("priority", "id")
 
-        def rank_first(candidate: Column) -> tuple[DataFrame, bool]:
-            ranked, hit = materialize_observed(
-                sized.where(over & candidate)
-                .withColumn("rank", F.row_number().over(window))
-                .select(*placed.columns, "rank"),
-                "tile-ranks",
-                reached=F.count_if(F.col("rank") == capacity),
+        # Should the share hold too few points of a tile, it doubles, for such tiles only.
+        share = candidate_share(capacity, F.col("n"))
+        place = hash_unit(F.col("priority"))
+        grow = F.lit(1.0)
+        while True:
+            held, short = materialize_observed(
+                sized.where(over)
+                .groupBy(*key)
+                .agg(F.max(grow).alias("grow"), F.count_if(place < share * grow).alias("held")),
+                "tile-shares",
+                short=F.count_if(F.col("held") < capacity),
             )
-            return ranked, hit["reached"] == seen["full"]
-
-        candidate = hash_unit(F.col("priority")) < candidate_share(capacity, F.col("n"))
-        ranked, enough = rank_first(candidate)
-        if not enough:
-            candidate = F.lit(True)
-            ranked, _ = rank_first(candidate)
+            sized = placed.join(sizes, key).join(
+                held.select(*key, F.when(F.col("held") < capacity, F.col("grow") * 2).otherwise(F.col("grow")).alias("grow")),
+                key,
+                "left",
+            )
+            grow = F.col("grow")
+            if not short["short"]:
+                break
+        candidate = place < share * grow
+        ranked = materialize(
+            sized.where(over & candidate)
+            .withColumn("rank", F.row_number().over(window))
+            .select(*placed.columns, "rank"),
+            "tile-ranks",
+        )
         columns = placed.columns
         done.append(sized.where(~over).select(*columns))
         done.append(ranked.where(F.col("rank") <= capacity).select(*columns))

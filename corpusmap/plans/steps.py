@@ -51,10 +51,13 @@ TOPIC_WORDS = 5
 SUBTOPIC_WORDS = 3
 
 
-def build_records(works: DataFrame, key: str, value: str, n: int = 0) -> DataFrame:
-    """Records of one institution: filtered, flattened, latest per id, capped to the ``n`` newest."""
-    records, _ = split_rejects(flatten_works(filter_institution(works, key, value)))
-    return cap_records(dedupe_latest(records), n)
+def build_records(
+    works: DataFrame, key: str, value: str, n: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """Records of one institution: filtered, flattened, latest per id, capped to the ``n`` newest;
+    and its records without an id, which cannot be told apart, as they are."""
+    records, rejects = split_rejects(flatten_works(filter_institution(works, key, value)))
+    return cap_records(dedupe_latest(records), n), rejects
 
 
 def build_embeddings(
@@ -102,12 +105,11 @@ def build_som(
     gy: int = 20,
     sigma: float = 1.5,
     epochs: int = 10,
-    sample_size: int = 50_000,
     shown: int = 5000,
     seed: int = 42,
 ) -> SomTables:
     """Self-organizing map of the vectors, with the map point of each shown record."""
-    codebook = som_train(embeddings, gx, gy, sigma, epochs, seed, sample_size)
+    codebook = som_train(embeddings, gx, gy, sigma, epochs, seed)
     assignment = materialize(som_assign(embeddings, codebook), "som")
     sample = attach_som(sample_points(points.select("id", "title", "year"), shown, seed), assignment)
     return SomTables(
@@ -136,7 +138,7 @@ def build_tiles(
 
 
 def build_labels(
-    points: DataFrame, kmeans_iters: int = 10, seed: int = 42
+    points: DataFrame, kmeans_iters: int | None = None, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """Topic of each cluster, largest first, and the topic and sub-topic labels of the map."""
     clustered = drop_noise(points)

@@ -5,25 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpusmap.operators.records import dedupe_latest, union_batches
-from corpusmap.schemas import EMBEDDING, RECORD, WORK_RAW
+from corpusmap.schemas import EMBEDDING, MAP_POINT, RECORD, WORK_RAW
 
 CORRUPT = "_corrupt_record"
+_DATA_SET = T.StructType(
+    [T.StructField("inst_id", T.StringType()), T.StructField("mode", T.StringType())]
+)
 
 
-def read_works(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Works of a JSON-lines snapshot, and the lines that are not works.
+def parse_works(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Works in the JSON lines ``value``, and the lines that are not works.
 
-    Lines are parsed as a column, so that either part may be read for any of its columns.
+    Lines are parsed as a column, so that either part may be read for any of its columns, of a
+    table or of a stream.
     """
     schema = T.StructType(WORK_RAW.fields + [T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    work = lines.select(F.from_json("value", schema, options).alias("work"))
+    work = lines.where(F.trim("value") != "").select(F.from_json("value", schema, options).alias("work"))
     good = work.where(F.col(f"work.{CORRUPT}").isNull()).select("work.*").drop(CORRUPT)
     bad = work.where(F.col(f"work.{CORRUPT}").isNotNull()).select(f"work.{CORRUPT}")
     return good, bad
 
 
+def read_works(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Works of a JSON-lines snapshot, and the lines that are not works."""
+    return parse_works(spark.read.text(path))
+
+
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     paths = [path] if isinstance(path, str) else path
     return spark.read.schema(RECORD).parquet(*paths)
@@ -54,13 +62,17 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_map_points(df: DataFrame, path: str) -> None:
-    """Partitioned by data set; ``df`` carries ``inst_id`` and ``mode``."""
-    df.write.mode("overwrite").partitionBy("inst_id", "mode").parquet(path)
+    """Partitioned by data set; ``df`` carries ``inst_id`` and ``mode``. Other data sets stay."""
+    rows = df.select(*_typed(MAP_POINT), *_typed(_DATA_SET))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("inst_id", "mode").parquet(path)
 
 
 def read_map_points(spark: SparkSession, path: str, inst_id: str, mode: str) -> DataFrame:
-    """One data set; the filter prunes partitions."""
-    return spark.read.parquet(path).where((F.col("inst_id") == inst_id) & (F.col("mode") == mode))
+    """One data set; the filter prunes partitions. Ids are text, whatever numbers they look like."""
+    schema = T.StructType(MAP_POINT.fields + _DATA_SET.fields)
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.where((F.col("inst_id") == inst_id) & (F.col("mode") == mode))
 
 
 def write_som(
@@ -95,8 +107,3 @@ def has_rows(df: DataFrame) -> bool:
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Share out rows for heavy per-row work when a scan has fewer splits than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df

@@ -124,10 +124,13 @@ TEXTS = [
     "école coöperate ﬁnally ﬂower straße ǆabcd ｆｕｌｌ Ｗidth",
     "Привет words слово 你好abcd wörld² naïve",
     "ábcd éclair plain ascii text only",
+    "𝐀𝐁𝐂𝐃 carbon™ ℡line ㎏ abcd⅓ x²abcd",
+    "Ελληνικά γράμματα Ά ΐ words ｶﾞabcd ﷺ and",
 ]
 
 
 def python_tokens(raw):
+    # Fixed value: the pattern of a label word.
     low = unicodedata.normalize("NFKD", raw.lower())
     folded = "".join(c for c in low if not unicodedata.combining(c))
     return folded, re.findall(r"(?u)\b[a-zA-Z]{4,}\b", folded)

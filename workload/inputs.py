@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmap.operators.vectors import mean_pool
-from corpusmap.sources.tables import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The small test files shared out to all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as map points: first line as title, language as cluster, made-up coordinates."""
     title = F.substring_index("text", "\n", 1)

@@ -479,7 +479,7 @@ summary AS (
 ORACLE_SQL["cluster_summary"] = f"""
 WITH {_SUMMARY} SELECT cluster, round(x, 6) AS x, round(y, 6) AS y, count FROM summary"""
 ORACLE_SQL["order_clusters"] = f"""
-WITH {_SUMMARY} SELECT cluster, count FROM summary ORDER BY count DESC, cluster LIMIT 5"""
+WITH {_SUMMARY} SELECT cluster, count FROM summary"""
 ORACLE_SQL["filter_cluster"] = f"""
 WITH {_POINTS} SELECT id, cluster FROM points WHERE cluster = 3"""
 ORACLE_SQL["dataset_stats"] = f"""
@@ -527,3 +527,31 @@ ready AS (
     SELECT 1 FROM sets t WHERE t.o_totalprice > 400000
       AND t.inst_id = s.inst_id AND t.mode = s.mode))
 SELECT inst_id, array_to_string(list(mode ORDER BY mode), ' ') AS modes FROM ready GROUP BY inst_id"""
+
+# Stored tables
+
+ORACLE_SQL["read_works"] = f"""
+WITH {_WORKS} SELECT id, title AS text FROM records
+UNION ALL SELECT NULL, '{{"id": ' || r_regionkey FROM region"""
+ORACLE_SQL["write_records"] = ORACLE_SQL["flatten_works"]
+ORACLE_SQL["merge_batches"] = ORACLE_SQL["flatten_works"]
+ORACLE_SQL["embeddings_store"] = """
+SELECT vec_id::VARCHAR AS id, len(embedding) AS n,
+       round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings"""
+ORACLE_SQL["map_points_roundtrip"] = f"""
+WITH {_DOCS}
+SELECT CASE id % 3 WHEN 0 THEN '02e463172' WHEN 1 THEN '04e456789' ELSE '0123' END AS inst_id,
+       id::VARCHAR AS id, title, cluster, round(x, 6) AS x, round(y, 6) AS y FROM docs"""
+ORACLE_SQL["som_store"] = f"""
+WITH {_SOM}
+SELECT u.som_x, u.som_y, distance, density
+FROM umatrix u JOIN density d ON u.som_x = d.som_x AND u.som_y = d.som_y"""
+ORACLE_SQL["tiles_store"] = ORACLE_SQL["quadtree_tiles"]
+ORACLE_SQL["labels_store"] = f"""
+WITH {_POINTS}
+SELECT CASE label WHEN 0 THEN -1 ELSE label END AS cluster, 'L' || vec_id AS text,
+       round(embedding[1]::DOUBLE, 6) AS x, round(embedding[2]::DOUBLE, 6) AS y,
+       (vec_id % 2 + 1)::INTEGER AS level FROM embeddings"""
+ORACLE_SQL["has_rows"] = """
+SELECT s AS status, EXISTS (FROM orders WHERE o_orderstatus = s AND o_totalprice > 0) AS some
+FROM (VALUES ('F'), ('O'), ('?')) v(s)"""

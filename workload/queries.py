@@ -24,12 +24,13 @@ from corpusmap.operators import (
 )
 from corpusmap.plans import steps
 from corpusmap.sources.scratch import materialize, scratch_folder
-from corpusmap.sources.tables import row_count as count_rows, spread
+from corpusmap.sources.tables import row_count as count_rows
 from corpusmap.streaming.records import read_latest, start_upsert
 from workload.inputs import (
     codebook,
     documents,
     order_records,
+    spread,
     table,
     vector_labels,
     vector_points,
@@ -282,7 +283,8 @@ def stream_records(spark, sf):
 @register
 def build_records(spark, sf):
     raw = works(spark, sf)
-    return steps.build_records(raw.unionByName(raw), "ror", "R3", 100)
+    records, _ = steps.build_records(raw.unionByName(raw), "ror", "R3", 100)
+    return records
 
 
 # Topics
@@ -336,7 +338,7 @@ def sublabels(spark, sf):
 def order_clusters(spark, sf):
     points = vector_points(spark, sf)
     summary = topics.cluster_summary(views.drop_noise(points))
-    ranked = topics.order_clusters(summary).limit(5)
+    ranked = topics.order_clusters(summary)
     return ranked.select("cluster", "count")
 
 
