@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpusmap.llm.words import U64
 from corpusmap.sources.scratch import materialize
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 #: Key bytes that travel; the part's number holds further leading bits, so that the chance of two
 #: keys of a part being taken for one does not grow with the input.
 KEY_BYTES = 5
@@ -66,11 +66,16 @@ def layout(total_bytes: int, keys_per_byte: float = 0.16) -> Layout:
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """Integers in the narrowest type that holds them, compressed."""
+    kind = "<i8"
+    if not len(values) or values.min() >= 0:
+        top = int(values.max()) if len(values) else 0
+        kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(k).max)
+    return kind[1:].encode() + zlib.compress(values.astype(kind).tobytes(), 1)
 
 
 def expand(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), kind)
+    return np.frombuffer(zlib.decompress(raw[2:]), "<" + raw[:2].decode()).astype(kind, copy=False)
 
 
 def in_blocks(texts: DataFrame, key: str, plan: Layout) -> DataFrame:

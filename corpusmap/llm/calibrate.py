@@ -48,34 +48,44 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     return labelled_sample(docs, row_labels(train, name))
 
 
-def fit_logistic(rows: DataFrame, low: float, high: float) -> tuple[float, float]:
-    """(intercept, slope) of label ~ x. Rows are counted in ``BINS`` bins first, so the driver
-    gets a table of fixed size. Without rows, or with one class only, the curve is flat."""
-    width = (high - low) / BINS
-    bin_ = F.floor((F.least(F.greatest("x", F.lit(low)), F.lit(high)) - low) / width)
-    counts = rows.groupBy(bin_.alias("bin"), "label").agg(F.count(F.lit(1)).alias("n")).collect()
-    x = np.array([low + (r["bin"] + 0.5) * width for r in counts])
+def fit_logistic(rows: DataFrame, ranges: dict[str, tuple[float, float]], bins: int = BINS) -> list[float]:
+    """[intercept, slope of each figure] of label ~ figures. Rows are counted in bins of every figure's
+    range first, so the driver gets a table of bounded size. With one class only, or none, the curve is flat.
+    """
+    places = []
+    for name, (low, high) in ranges.items():
+        inside = F.least(F.greatest(F.col(name), F.lit(low)), F.lit(high))
+        places.append(F.floor((inside - low) / ((high - low) / bins)).alias(name))
+    counts = rows.groupBy(*places, "label").agg(F.count(F.lit(1)).alias("n")).collect()
+    flat = [0.0] * len(ranges)
+    if not counts:
+        return [0.0, *flat]
+    x = np.array(
+        [[low + (r[c] + 0.5) * (high - low) / bins for r in counts] for c, (low, high) in ranges.items()]
+    )
     y = np.array([float(r["label"]) for r in counts])
     n = np.array([float(r["n"]) for r in counts])
-    if not len(n):
-        return 0.0, 0.0
     share = (n @ y + 0.5) / (n.sum() + 1.0)
-    b = np.array([np.log(share / (1 - share)), 0.0])
+    b = np.array([np.log(share / (1 - share)), *flat])
     if len(set(y)) < 2:
-        return float(b[0]), 0.0
-    centre, spread = (n @ x) / n.sum(), max(np.sqrt((n @ (x - (n @ x) / n.sum()) ** 2) / n.sum()), 1e-9)
-    z = np.stack([np.ones_like(x), (x - centre) / spread])
-    ridge = np.diag([1e-6, 1e-2])
+        return [float(b[0]), *flat]
+    centre = x @ n / n.sum()
+    spread = np.maximum(np.sqrt((x - centre[:, None]) ** 2 @ n / n.sum()), 1e-9)
+    z = np.vstack([np.ones_like(y), (x - centre[:, None]) / spread[:, None]])
+    ridge = np.diag([1e-6, *[1e-2] * len(ranges)])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(b @ z, -35, 35)))
         step = np.linalg.solve((z * (n * p * (1 - p))) @ z.T + ridge, z @ (n * (y - p)) - ridge @ b)
         b = b + np.clip(step, -4, 4)
         if abs(step).max() < 1e-9:
             break
-    slope = b[1] / spread
-    return float(b[0] - slope * centre), float(slope)
+    slopes = b[1:] / spread
+    return [float(b[0] - slopes @ centre), *map(float, slopes)]
 
 
-def logistic(x: Column, intercept: float, slope: float) -> Column:
+def logistic(figures: list[Column], curve: list[float]) -> Column:
     """The fitted curve as a column; never null."""
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), x * slope + intercept))))
+    total = F.lit(curve[0])
+    for x, slope in zip(figures, curve[1:], strict=True):
+        total = total + x * slope
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), total))))

@@ -85,29 +85,39 @@ class Tokens:
         return np.bincount(places, weights, len(self.words)).astype(np.int64)
 
 
-def _chance(keys: np.ndarray, salt: int) -> np.ndarray:
+def seats(keys: np.ndarray, customers: np.ndarray, new: np.ndarray, discount: float, salt: int) -> np.ndarray:
+    """Tables after the customers of each dish sat down one by one; ``new`` is the weight of a new table.
+
+    Each dish draws from a sequence of its own, begun at its key, so the result is the same in any company.
+    """
+    order = np.argsort(-customers, kind="stable")
+    c, a = customers[order], new[order]
+    tables = np.minimum(c, 1).astype(np.float64)
     with np.errstate(over="ignore"):
-        return (mix(keys + U64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> U64(11)) * 2.0**-53
+        state = mix(keys[order] + U64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1)))
 
+    def chance(n: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            state[:n] *= U64(6364136223846793005)
+            state[:n] += U64(1442695040888963407)
+        return (state[:n] >> U64(11)) * 2.0**-53
 
-def seats(keys: np.ndarray, customers: np.ndarray, new: np.ndarray, discount: float, salt: int) -> np.ndarray:
-    """Tables after the customers of each dish sat down one by one; ``new`` is the weight of a new table."""
-    tables = np.minimum(customers, 1).astype(np.float64)
-    live = np.flatnonzero(customers > 1)
     j = 1
-    while len(live):
-        left = customers[live] - j
-        group = np.minimum(left, 1 if j < SOLO else j)
-        old = j + group // 2 - discount * tables[live]
-        odds = new[live] / (np.maximum(old, 1 - discount) + new[live])
-        u = _chance(keys[live], salt + j)
+    while n := int(np.searchsorted(-c, -j)):  # dishes with a customer left
+        if j < SOLO:
+            odds = a[:n] / (np.maximum(j - discount * tables[:n], 1 - discount) + a[:n])
+            tables[:n] += chance(n) < odds
+            j += 1
+            continue
+        group = np.minimum(c[:n] - j, j)
+        odds = a[:n] / (np.maximum(j + group // 2 - discount * tables[:n], 1 - discount) + a[:n])
         mean = group * odds
-        swing = np.sqrt(mean * (1 - odds)) * 3.46 * (_chance(keys[live], salt + j + 1_000_003) - 0.5)
-        drawn = np.floor(np.where(mean > 10, mean + swing, mean) + u)
-        tables[live] += np.clip(drawn, 0, group)
-        live = live[customers[live] > j + group.max()] if j < SOLO else live[left > group]
-        j += 1 if j < SOLO else j
-    return tables.astype(np.int64)
+        swing = np.sqrt(mean * (1 - odds)) * 3.46 * (chance(n) - 0.5)
+        tables[:n] += np.clip(np.floor(np.where(mean > 10, mean + swing, mean) + chance(n)), 0, group)
+        j *= 2
+    out = np.empty(len(c), np.int64)
+    out[order] = tables
+    return out
 
 
 def _sums(keys: np.ndarray, extra: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -187,9 +197,15 @@ def _count_words(keys: np.ndarray, extra: list[np.ndarray]) -> list[np.ndarray]:
     return [*(_back(order, at, t) for t in totals), _owner(order, at)]
 
 
-def _tables(t: Tokens, got: pa.Table, totals: Totals, sweep: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(customers of each pair, owner mark, tables of each pair per chain) in a sweep."""
+def _tables(
+    t: Tokens, got: pa.Table, totals: Totals, sweep: int, owned: bool = False
+) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(customers of each pair, tables of each pair per chain) in a sweep.
+
+    With ``owned`` pairs that another block sums up are left out, as if they had no customers.
+    """
     count, own = reply_of(got, "pairs", _PAIR)
+    count = count * own if owned else count
     _, followers, contexts, _ = reply_of(got, "words", _WORD)
     state = reply_of(got, f"sweep{sweep - 1}", _STATE) if sweep else None
     many = np.flatnonzero(count > 1)
@@ -205,7 +221,7 @@ def _tables(t: Tokens, got: pa.Table, totals: Totals, sweep: int) -> tuple[np.nd
         found = np.minimum(count, 1)
         found[many] = seats(t.pairs[many], count[many], new, DISCOUNT, 7 + 10_000_019 * (sweep * SAMPLES + s))
         out.append(found)
-    return count, own, out
+    return count, out
 
 
 def score(docs: DataFrame, train: str = "train") -> DataFrame:
@@ -255,10 +271,10 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
 def _ask_tables(plan: Layout, totals: Totals, sweep: int):
     def ask(table: pa.Table, got: pa.Table):
         t = Tokens(table, plan)
-        _, own, chains = _tables(t, got, totals, sweep)
+        _, chains = _tables(t, got, totals, sweep, owned=True)
         return t.words, [
-            *(t.per_word(t.pair_context, c * own) for c in chains),
-            *(t.per_word(t.pair_word, c * own) for c in chains),
+            *(t.per_word(t.pair_context, c) for c in chains),
+            *(t.per_word(t.pair_word, c) for c in chains),
         ]
 
     return ask
@@ -291,7 +307,7 @@ def _finish(plan: Layout, before: Totals, totals: Totals):
         after = customers.copy()
         after[begin] = customers[end]
         state = reply_of(got, f"sweep{SWEEPS - 1}", _STATE)
-        count, _, chains = _tables(t, got, before, SWEEPS - 1)  # the seating that the sums are of
+        count, chains = _tables(t, got, before, SWEEPS - 1)  # the seating that the sums are of
         mean = np.zeros(len(t.pairs))
         for s, seated in enumerate(chains):
             parent = totals.parent(s, state[SAMPLES + s], state[2 * SAMPLES + s])

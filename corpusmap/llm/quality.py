@@ -2,11 +2,11 @@
 
 Two zstandard dictionaries are trained on good and on bad labelled texts. Every whole text is
 cut into pieces of ``PIECE`` bytes, so that the dictionary counts as much at a text's end as at its
-start, and each piece is compressed with both. (bytes with the bad dictionary - bytes with the good
-one) / bytes is the raw figure; a logistic curve through all labelled rows turns it into a score.
+start, and each piece is compressed with both. With b and g bytes after the bad and the good one
+and n before, the normalised differences (b - g) / (b + g) and (n - g) / (n + g) are the raw figures: which class the text is
+nearer to, and how much of it is news at all. A logistic curve through the labelled rows makes them a score.
 
-Defined cases: null text is the empty text, whose figure is 0, as is every text no dictionary
-shortens; repeated rows score alike; without labelled rows of both classes the score is the same
+Defined cases: null is the empty text, whose figures are 0; repeated rows score alike; without labelled rows of both classes the score is the same
 for every row; an empty table gives an empty result. Extra columns are neither read nor needed.
 """
 
@@ -28,18 +28,18 @@ SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 8 << 20
 DICTIONARY_BYTES = 65536
 LEVEL = 3
+_RANGES = {"_apart": (-0.6, 0.6), "_saved": (-0.6, 1.0)}
 
 
 @dataclass
 class QualityModel:
     good: bytes = b""
     bad: bytes = b""
-    intercept: float = 0.0
-    slope: float = 0.0
+    curve: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0])
     _coders: list = field(default_factory=list, repr=False)
 
     def __reduce__(self):
-        return QualityModel, (self.good, self.bad, self.intercept, self.slope)
+        return QualityModel, (self.good, self.bad, self.curve)
 
     def coders(self) -> list:
         if not self._coders:
@@ -68,25 +68,30 @@ def _train(texts: list[str]) -> bytes:
         return b"".join(pieces)[-DICTIONARY_BYTES:]
 
 
-def difference(rows: DataFrame, model: QualityModel) -> DataFrame:
-    """``rows`` with the raw figure ``x`` of their column ``text`` instead of it."""
+def differences(rows: DataFrame, model: QualityModel) -> DataFrame:
+    """``rows`` with the raw figures of their column ``text`` instead of it."""
     kept = [c for c in rows.columns if c != "text"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = model.coders()
         for batch in batches:
-            x = []
+            apart, saved = [], []
             for text in batch.column("text"):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 pieces = _pieces(raw)
-                d = sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces)
-                x.append(d / len(raw) if raw else 0.0)
+                b = sum(len(bad.compress(p)) for p in pieces)
+                g = sum(len(good.compress(p)) for p in pieces)
+                apart.append((b - g) / (b + g) if raw else 0.0)
+                saved.append((len(raw) - g) / (len(raw) + g) if raw else 0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + [pa.array(x, pa.float64())], [*kept, "x"]
+                [*(batch.column(c) for c in kept), pa.array(apart, pa.float64()), pa.array(saved, pa.float64())],
+                [*kept, *_RANGES],
             )
 
     fields = T.StructType([f for f in rows.schema if f.name != "text"])
-    return rows.mapInArrow(measure, fields.add("x", "double"))
+    for name in _RANGES:
+        fields = fields.add(name, "double")
+    return rows.mapInArrow(measure, fields)
 
 
 def fit(labelled: DataFrame) -> QualityModel:
@@ -111,15 +116,16 @@ def fit(labelled: DataFrame) -> QualityModel:
         texts[label] = got
     if texts[0] and texts[1]:
         model.good, model.bad = _train(texts[1]), _train(texts[0])
-        x = difference(labelled.select("label", "text"), model)
-        model.intercept, model.slope = fit_logistic(x, -0.5, 0.5)
+        model.curve = fit_logistic(differences(labelled.select("label", "text"), model), _RANGES, 80)
     else:
-        model.intercept, _ = fit_logistic(labelled.select("label", F.lit(0.0).alias("x")), -0.5, 0.5)
+        flat = labelled.select("label", *(F.lit(0.0).alias(name) for name in _RANGES))
+        model.curve = fit_logistic(flat, _RANGES)
     return model
 
 
 def score(rows: DataFrame, model: QualityModel) -> DataFrame:
     """``rows`` with ``score`` (higher: good is likelier) instead of their column ``text``."""
     if not model.good:
-        return rows.withColumn("score", logistic(F.lit(0.0), model.intercept, 0.0)).drop("text")
-    return difference(rows, model).withColumn("score", logistic(F.col("x"), model.intercept, model.slope)).drop("x")
+        return rows.withColumn("score", logistic([], model.curve[:1])).drop("text")
+    figures = [F.col(name) for name in _RANGES]
+    return differences(rows, model).withColumn("score", logistic(figures, model.curve)).drop(*_RANGES)

@@ -35,6 +35,8 @@ LENGTH = 100
 HEAD = 40
 #: Batches in which a key range takes up its documents.
 BATCHES = 8
+#: Bytes fingerprinted at once.
+_SLICE = 1 << 19
 _STEP = 0xD6E8FEB86659FD93
 _BACK = pow(_STEP, -1, 1 << 64)
 _NULL = -(1 << 63)
@@ -101,7 +103,7 @@ class Suffixes:
         self.data, self.offsets = data, offsets
         ids = table.column("doc_id").fill_null(_NULL).to_numpy()
         parts = []
-        for a, b in row_slices(offsets):
+        for a, b in row_slices(offsets, _SLICE):
             o = offsets[a : b + 1]
             base = o[0]
             prints = Prints(data[o[0] : o[-1]])
@@ -237,11 +239,16 @@ def removed_ranges(texts: DataFrame, plan: Layout) -> tuple[DataFrame, DataFrame
         some = np.flatnonzero(code == 2)
         count = high[some] - low[some] - LENGTH + 1
         start = np.repeat(low[some], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        # Strings around a repeated context repeat an earlier one that is compared in their place.
+        known = np.zeros(len(s.data) + 1, np.int32)
+        np.add.at(known, low[once], 1)
+        np.add.at(known, high[once] - LENGTH + 1, -1)
         start = np.unique(start)
+        start = start[np.cumsum(known)[start] == 0]
         if len(start):
             row = np.searchsorted(s.offsets, start, "right") - 1
             key = np.zeros(len(start), U64)
-            for a, b in row_slices(s.offsets):
+            for a, b in row_slices(s.offsets, _SLICE):
                 lo, hi = np.searchsorted(start, [s.offsets[a], s.offsets[b]])
                 if hi > lo:
                     base_at = s.offsets[a]
@@ -334,7 +341,7 @@ def remove_repeats(docs: DataFrame, kept_text: bool = False) -> DataFrame:
         F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *rest
     )
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    plan = layout(total, 0.04)
+    plan = layout(total, 0.08)
     dealt, ranges = removed_ranges(texts, plan)
     schema = T.StructType.fromDDL(
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "

@@ -39,6 +39,7 @@ MIN_WEIGHT = 2.0
 MAX_WORDS = 20_000
 SMOOTH = 20
 _FLUSH = 200_000
+_RANGE = {"x": (0.0, 6.0)}
 
 # Look-alikes of Latin letters and signs that stand for letters.
 _LOOKALIKES = {
@@ -74,12 +75,11 @@ _EDGES = re.compile(r"(?<!\w)[!|$@€]+(?!\w)|(?<=\w)[!|]+(?!\w)|(?<!\w)[!|]+(?=
 class ToxicityModel:
     #: Folded word or phrase -> weight; exceptions have negative ones.
     lexicon: dict[str, float] = field(default_factory=dict)
-    intercept: float = 0.0
-    slope: float = 0.0
+    curve: list[float] = field(default_factory=lambda: [0.0, 0.0])
     _automaton: object = field(default=None, repr=False)
 
     def __reduce__(self):
-        return ToxicityModel, (self.lexicon, self.intercept, self.slope)
+        return ToxicityModel, (self.lexicon, self.curve)
 
     def automaton(self):
         if self._automaton is None:
@@ -154,8 +154,7 @@ def fit(labelled: DataFrame) -> ToxicityModel:
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
-        intercept, _ = fit_logistic(labelled.select("label", F.lit(0.0).alias("x")), 0.0, 1.0)
-        return ToxicityModel(intercept=intercept)
+        return ToxicityModel(curve=fit_logistic(labelled.select("label", F.lit(0.0).alias("x")), _RANGE))
     least = max(MIN_ROWS, MIN_SHARE * bad)
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good + 1))
     expected = F.col("n") * (bad / (bad + good))
@@ -181,7 +180,7 @@ def fit(labelled: DataFrame) -> ToxicityModel:
         for r in kind:
             lexicon[r["term"]] = -sum(lexicon.get(w, 0.0) for w in r["term"].split())
     model = ToxicityModel(lexicon)
-    model.intercept, model.slope = fit_logistic(figures(labelled.select("label", "text"), model), 0.0, 6.0)
+    model.curve = fit_logistic(figures(labelled.select("label", "text"), model), _RANGE)
     return model
 
 
@@ -211,4 +210,4 @@ def figures(rows: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def score(rows: DataFrame, model: ToxicityModel) -> DataFrame:
     """``rows`` with score (higher: toxic is likelier), n_words and the matched terms."""
-    return figures(rows, model).withColumn("score", logistic(F.col("x"), model.intercept, model.slope)).drop("x")
+    return figures(rows, model).withColumn("score", logistic([F.col("x")], model.curve)).drop("x")
