@@ -182,7 +182,7 @@ def first_in_task(rows: DataFrame, key: str) -> DataFrame:
             for k in batch.column(at).to_pylist():
                 keep.append(k not in seen)
                 seen.add(k)
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             yield batch if all(keep) else batch.filter(pa.array(keep))
 
