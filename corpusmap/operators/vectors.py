@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusmap.functions.text import term_counts
 from corpusmap.functions.works import let
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -75,31 +75,31 @@ def _encode_with(df: DataFrame, make_encoder: Callable[[], Encoder], batch: int)
     return df.select("id", "text").mapInPandas(run, f"id {id_type}, embedding array<float>")
 
 
-def _encode_by_hashing(df: DataFrame, dims: int, features: int, seed: int) -> DataFrame:
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    counted = HashingTF(numFeatures=features, inputCol="words", outputCol="tf").transform(
-        df.select("id", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
-    )
-    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
+def _sign(word: Column, dim: int, seed: int) -> Column:
+    """1 or -1, a bit of a digest of the word: 128 dimensions per digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|{dim // 128}|"), word))
+    bits = F.conv(F.substring(digest, 1 + dim % 128 // 32 * 8, 8), 16, 10).cast("long")
+    return F.shiftright(bits, dim % 32).bitwiseAND(F.lit(1)) * 2 - 1
 
-    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signs = np.random.default_rng(seed).choice(
-            np.array([-1.0, 1.0], dtype=np.float32), size=(features, dims)
-        )
-        for frame in frames:
-            # Sparse vectors arrive as the fields of their SQL form.
-            sums = [
-                np.asarray(v["values"]) @ signs[np.asarray(v["indices"], dtype=np.int64)]
-                for v in frame["tfidf"]
-            ]
-            unit = _unit_rows(np.vstack(sums)) if sums else np.zeros((0, dims))
-            yield pd.DataFrame(
-                {"id": frame["id"], "embedding": list(unit.astype(np.float32))}
-            )
 
-    id_type = df.schema["id"].dataType.simpleString()
-    return weighted.select("id", "tfidf").mapInPandas(
-        project, f"id {id_type}, embedding array<float>"
+def _encode_by_signs(df: DataFrame, dims: int, seed: int) -> DataFrame:
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    counted = df.select("id", F.explode(term_counts(words)).alias("t")).select("id", "t.term", "t.tf")
+    rows = df.count()
+    signs = F.array(*[_sign(F.col("term"), d, seed).cast("double") for d in range(dims)])
+    known = counted.groupBy("term").agg(
+        F.log((rows + 1) / (F.count(F.lit(1)) + 1)).alias("idf")
+    )
+    weighted = counted.join(known.where("idf > 0").withColumn("signs", signs), "term").select(
+        "id",
+        array_to_vector(
+            F.transform("signs", lambda s: s * F.col("tf") * F.col("idf"))
+        ).alias("part"),
+    )
+    sums = weighted.groupBy("id").agg(vector_to_array(Summarizer.sum(F.col("part"))).alias("total"))
+    zero = F.array_repeat(F.lit(0.0), dims)
+    return df.select("id").join(sums, "id", "left").select(
+        "id", l2_normalized(F.coalesce("total", zero)).cast("array<float>").alias("embedding")
     )
 
 
@@ -108,15 +108,15 @@ def embed_text(
     make_encoder: Callable[[], Encoder] | None = None,
     batch: int = 64,
     dims: int = 64,
-    features: int = 1 << 15,
     seed: int = 42,
 ) -> DataFrame:
     """Unit vectors (id, embedding) of the texts (id, text).
 
     ``make_encoder`` is called once per task and returns a function from a list of texts to a
     matrix, so a model is loaded where it runs; a limit on text length is the encoder's own.
-    Without one, TF-IDF weights of hashed words are projected on ``dims`` seeded sign vectors.
+    Without one, TF-IDF weights of words are projected on ``dims`` signs, bits of a digest of
+    the word, in built-ins only.
     """
     if make_encoder is not None:
         return _encode_with(df, make_encoder, batch)
-    return _encode_by_hashing(df, dims, features, seed)
+    return _encode_by_signs(df, dims, seed)

@@ -555,3 +555,82 @@ SELECT CASE label WHEN 0 THEN -1 ELSE label END AS cluster, 'L' || vec_id AS tex
 ORACLE_SQL["has_rows"] = """
 SELECT s AS status, EXISTS (FROM orders WHERE o_orderstatus = s AND o_totalprice > 0) AS some
 FROM (VALUES ('F'), ('O'), ('?')) v(s)"""
+
+# Embedding, neighbours and graph weights
+
+
+def _embedded(rows: str) -> str:
+    """Signed projection of the TF-IDF weights of ``rows`` (id, text) on 64 dimensions."""
+    return f"""
+WITH {rows},
+words AS (
+  SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
+                                lambda w: w <> '')) AS term FROM texts),
+tf AS (SELECT id, term, count(*) AS tf FROM words GROUP BY ALL),
+idf AS (
+  SELECT term, ln(((SELECT count(*) FROM texts) + 1) / (count(*) + 1)) AS idf FROM tf GROUP BY term),
+signs AS (
+  SELECT term, idf, d, 2 * ((('0x' || substr(md5('42|0|' || term), 1 + 8 * (d // 32)::INT, 8))::BIGINT
+         >> (d % 32)::INT) & 1) - 1 AS sign
+  FROM idf, range(64) r(d) WHERE idf > 0),
+sums AS (
+  SELECT id, d, sum(tf * idf * sign) AS total FROM tf JOIN signs USING (term) GROUP BY id, d),
+lengths AS (SELECT id, sqrt(sum(total * total)) AS norm FROM sums GROUP BY id)
+SELECT t.id, r.d::INT AS pos, round(coalesce(total / greatest(norm, 1e-12), 0)::FLOAT::DOUBLE, 6) AS value
+FROM texts t CROSS JOIN range(64) r(d) LEFT JOIN sums s ON s.id = t.id AND s.d = r.d
+LEFT JOIN lengths l ON l.id = t.id"""
+
+
+ORACLE_SQL["embed_text"] = _embedded("texts AS (SELECT doc_id AS id, text FROM documents)")
+ORACLE_SQL["build_embeddings"] = _embedded(
+    f"{_DOCS}, texts AS (SELECT id, coalesce(title, '') || '. ' || coalesce(abstract, '') AS text FROM docs)"
+)
+ORACLE_SQL["fuzzy_graph"] = f"""
+WITH RECURSIVE {_UNIT},
+pairs AS (
+  SELECT a.id AS src, b.id AS dst,
+         round(greatest(1 - list_dot_product(a.e, b.e), 0), 12) AS distance
+  FROM unit a JOIN unit b ON a.id <> b.id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM pairs),
+near AS (
+  SELECT src, list(distance) AS ds, list(dst) AS ids,
+         coalesce(min(distance) FILTER (distance > 0), 0) AS rho, avg(distance) AS mean
+  FROM ranked WHERE rank <= 14 GROUP BY src),
+halved AS (
+  SELECT src, list_transform(ds, lambda d: greatest(d - rho, 0)) AS beyond, 0 AS turn,
+         0.0::DOUBLE AS low, 'inf'::DOUBLE AS high, 1.0::DOUBLE AS sigma FROM near
+  UNION ALL
+  SELECT src, beyond, turn + 1, low_, high_,
+         CASE WHEN isinf(high_) THEN sigma * 2 ELSE (low_ + high_) / 2 END
+  FROM (
+    SELECT *, CASE WHEN above THEN low ELSE sigma END AS low_,
+           CASE WHEN above THEN sigma ELSE high END AS high_
+    FROM (SELECT *, list_sum(list_transform(beyond, lambda o: exp(-o / sigma))) > log2(15) AS above
+          FROM halved WHERE turn < 64))),
+weights AS (
+  SELECT n.src, unnest(n.ids) AS dst,
+         unnest(list_transform(h.beyond,
+                lambda o: exp(-o / greatest(h.sigma, 1e-3 * greatest(n.mean, 1e-12))))) AS w
+  FROM near n JOIN halved h ON h.src = n.src AND h.turn = 64),
+both_ways AS (SELECT src, dst, w FROM weights UNION ALL SELECT dst, src, w FROM weights)
+SELECT src, dst,
+       round(sum(w) - CASE WHEN count(*) = 2 THEN min(w) * max(w) ELSE 0 END, 6) AS weight
+FROM both_ways GROUP BY src, dst"""
+ORACLE_SQL["knn_ivf"] = f"""
+WITH {_UNIT},
+pivots AS (
+  SELECT e, row_number() OVER (ORDER BY md5('42|' || id), id) AS cell FROM unit
+  QUALIFY cell <= (SELECT ceil(count(*) / 64) FROM unit)),
+reach AS (
+  SELECT u.id, cell, row_number() OVER (
+    PARTITION BY u.id ORDER BY list_distance(u.e, p.e), cell) AS near
+  FROM unit u, pivots p),
+pairs AS (
+  SELECT a.id AS src, b.id AS dst,
+         round(greatest(1 - list_dot_product(a.e, b.e), 0), 12) AS distance
+  FROM reach q JOIN reach o ON q.cell = o.cell AND q.near <= 4 AND o.near = 1 AND q.id <> o.id
+  JOIN unit a ON a.id = q.id JOIN unit b ON b.id = o.id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM pairs)
+SELECT src, dst, rank, round(distance, 6) AS distance FROM ranked WHERE rank <= 5"""

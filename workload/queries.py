@@ -66,7 +66,7 @@ def digest(c: Column) -> list[Column]:
 def rounded_rows(df: DataFrame) -> DataFrame:
     """Vectors as rows."""
     return df.select("id", F.posexplode("embedding").alias("pos", "value")).select(
-        "id", "pos", r6("value").alias("value")
+        "id", "pos", r6(F.col("value").cast("double")).alias("value")
     )
 
 
@@ -397,7 +397,7 @@ def knn_ivf(spark, sf):
 
 @register
 def fuzzy_graph(spark, sf):
-    knn = materialize(neighbours.knn_graph(vectors(spark, sf), 14), "knn")
+    knn = materialize(neighbours.knn_graph(vectors(spark, sf), 14, method="exact"), "knn")
     edges = neighbours.fuzzy_graph(knn, 15)
     return edges.select("src", "dst", r6("weight").alias("weight"))
 
