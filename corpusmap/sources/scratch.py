@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 import weakref
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 _FOLDER = "spark.checkpoint.dir"
-_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _paths: dict[int, str] = {}
 
 
@@ -20,19 +18,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside drop their shuffle files when they end: the table they wrote takes
-    their place, and long chains of tables do not pile up shuffles on the executors' disks."""
-    before = spark.conf.get(_FREE_SHUFFLES, None)
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_FREE_SHUFFLES)
-        else:
-            spark.conf.set(_FREE_SHUFFLES, before)
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished queries deleted now, not at the driver's next collection.
+
+    For long chains of scratch tables over much data, whose shuffles would pile up on the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -42,8 +34,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with shuffles_freed(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[id(table)] = path
     weakref.finalize(table, _paths.pop, id(table), None)

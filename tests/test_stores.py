@@ -2,7 +2,6 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from corpusmap.operators.kmeans import grouped_kmeans
@@ -62,8 +61,3 @@ def test_kmeans_runs_until_the_centres_rest(spark):
 
 def test_scratch_needs_no_local_folder(spark):
     assert scratch.scratch_folder(spark) == spark.conf.get("spark.checkpoint.dir")
-    before = spark.conf.get(scratch._FREE_SHUFFLES, None)
-    with pytest.raises(ZeroDivisionError), scratch.shuffles_freed(spark):
-        assert spark.conf.get(scratch._FREE_SHUFFLES) == "true"
-        raise ZeroDivisionError
-    assert spark.conf.get(scratch._FREE_SHUFFLES, None) == before
