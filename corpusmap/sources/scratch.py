@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 import weakref
 
@@ -23,8 +24,10 @@ def free_shuffles(spark: SparkSession) -> None:
 
     For long chains of scratch tables over much data, whose shuffles would pile up on the disks.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first pass frees what holds on to the last query's plan
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
