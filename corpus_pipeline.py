@@ -19,8 +19,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Without documents that the quality classifier rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(calibrate.labelled(docs, labels, "quality"))
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return quality.score(rows, model).where(F.col("score") >= QUALITY_THRESHOLD).select("row.*")
+    return quality.keep(docs, model, QUALITY_THRESHOLD)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ Blocks and parts hold the same amount at any input size; their number grows.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -30,6 +31,11 @@ BLOCK_BYTES = 2 << 20
 KEY_BYTES = 5
 
 
+Arrays = list[np.ndarray]
+#: Keys that a part takes from all blocks together, about.
+PART_KEYS = 1 << 20
+
+
 @dataclass(frozen=True)
 class Layout:
     blocks: int
@@ -60,31 +66,58 @@ class Layout:
 
 
 def layout(total_bytes: int, keys_per_byte: float = 0.16) -> Layout:
-    """Blocks of ``BLOCK_BYTES`` of text, parts of about as many keys as a block has."""
+    """Blocks of ``BLOCK_BYTES`` of text, parts of at most ``PART_KEYS`` keys."""
     blocks = max(1, -(-int(total_bytes) // BLOCK_BYTES))
-    return Layout(blocks, min(20, max(1, int(blocks * keys_per_byte / 0.16)).bit_length()))
+    return Layout(blocks, min(20, int(total_bytes * keys_per_byte / PART_KEYS).bit_length()))
+
+
+def _narrow(values: np.ndarray) -> str:
+    """The narrowest type that holds the integers."""
+    if len(values) and values.min() < 0:
+        return "<i8"
+    top = int(values.max()) if len(values) else 0
+    return next(k for k in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(k).max)
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Integer arrays of one length, each in its narrowest type, compressed together."""
+    kinds = [_narrow(a) for a in arrays]
+    body = b"".join(a.astype(k).tobytes() for a, k in zip(arrays, kinds, strict=True))
+    return "".join(k[1:] for k in kinds).encode() + b";" + zlib.compress(body, 1)
+
+
+def expand_all(raw: bytes, kinds: list) -> Arrays:
+    """The arrays that :func:`squeeze` was given, in the given types."""
+    head, _, body = raw.partition(b";")
+    stored = [np.dtype("<" + head[i : i + 2].decode()) for i in range(0, len(head), 2)]
+    body = zlib.decompress(body)
+    n = len(body) // sum(k.itemsize for k in stored)
+    out, at = [], 0
+    for have, want in zip(stored, kinds, strict=True):
+        out.append(np.frombuffer(body, have, n, at).astype(want, copy=False))
+        at += n * have.itemsize
+    return out
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Integers in the narrowest type that holds them, compressed."""
-    kind = "<i8"
-    if not len(values) or values.min() >= 0:
-        top = int(values.max()) if len(values) else 0
-        kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(k).max)
-    return kind[1:].encode() + zlib.compress(values.astype(kind).tobytes(), 1)
+def expand(raw: bytes, kind) -> np.ndarray:
+    return expand_all(raw, [kind])[0]
 
 
-def expand(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw[2:]), "<" + raw[:2].decode()).astype(kind, copy=False)
+def tidily(function: Callable, *tables: pa.Table) -> pa.Table:
+    """``function(*tables)``; afterwards the worker hands its free memory back, since idle workers of
+    other stages share the executor with the next ones."""
+    out = function(*tables)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    return out
 
 
 def in_blocks(texts: DataFrame, key: str, plan: Layout) -> DataFrame:
     return texts.withColumn("block", F.pmod(F.xxhash64(key), F.lit(plan.blocks)).cast("int"))
 
 
-Arrays = list[np.ndarray]
-
-
 def questions(
     texts: DataFrame, plan: Layout, ask: Callable[..., tuple[np.ndarray, Arrays]], known: DataFrame | None = None
 ) -> DataFrame:
@@ -95,7 +128,7 @@ def questions(
 
     def send(table: pa.Table, got: pa.Table | None = None) -> pa.Table:
         if not len(table):
-            return pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "extra": pa.array([], pa.list_(pa.binary()))})
+            return pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "extra": pa.array([], pa.binary())})
         keys, extra = ask(table) if got is None else ask(table, got)
         bounds = plan.slices(keys)
         rows = [(p, a, b) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
@@ -105,16 +138,14 @@ def questions(
                 "part": pa.array([p for p, _, _ in rows], pa.int32()),
                 "block": pa.array([block] * len(rows), pa.int32()),
                 "keys": pa.array([plan.pack(keys[a:b]) for _, a, b in rows], pa.binary()),
-                "extra": pa.array(
-                    [[squeeze(e[a:b]) for e in extra] for _, a, b in rows], pa.list_(pa.binary())
-                ),
+                "extra": pa.array([squeeze(*(e[a:b] for e in extra)) for _, a, b in rows], pa.binary()),
             }
         )
 
-    schema = "part int, block int, keys binary, extra array<binary>"
+    schema = "part int, block int, keys binary, extra binary"
     if known is None:
-        return texts.groupBy("block").applyInArrow(lambda table: send(table), schema)
-    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: send(a, b), schema)
+        return texts.groupBy("block").applyInArrow(lambda table: tidily(send, table), schema)
+    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: tidily(send, a, b), schema)
 
 
 def tagged(**tables: DataFrame) -> DataFrame:
@@ -140,8 +171,8 @@ def replies(
     def work(table: pa.Table) -> pa.Table:
         part = [plan.unpack(k.as_py()) for k in table.column("keys")]
         extra = [
-            np.concatenate([expand(e[i].as_py(), kind) for e in table.column("extra")])
-            for i, kind in enumerate(kinds)
+            np.concatenate(arrays)
+            for arrays in zip(*(expand_all(e.as_py(), kinds) for e in table.column("extra")), strict=True)
         ]
         found = answer(np.concatenate(part), extra)
         cuts = np.cumsum([len(k) for k in part])[:-1]
@@ -150,22 +181,21 @@ def replies(
             {
                 "block": table.column("block"),
                 "part": table.column("part"),
-                "reply": pa.array(
-                    [[squeeze(p[i]) for p in pieces] for i in range(len(part))], pa.list_(pa.binary())
-                ),
+                "reply": pa.array([squeeze(*(p[i] for p in pieces)) for i in range(len(part))], pa.binary()),
             }
         )
 
-    return asked.groupBy("part").applyInArrow(work, "block int, part int, reply array<binary>")
+    return asked.groupBy("part").applyInArrow(
+        lambda table: tidily(work, table), "block int, part int, reply binary"
+    )
 
 
 def joined_reply(table: pa.Table, kinds: list) -> Arrays:
     """Arrays of all replies to a block, in the order of its keys."""
     rows = sorted(zip(table.column("part").to_pylist(), table.column("reply").to_pylist(), strict=True))
-    return [
-        np.concatenate([expand(r[i], kind) for _, r in rows]) if rows else np.zeros(0, kind)
-        for i, kind in enumerate(kinds)
-    ]
+    if not rows:
+        return [np.zeros(0, kind) for kind in kinds]
+    return [np.concatenate(a) for a in zip(*(expand_all(raw, kinds) for _, raw in rows), strict=True)]
 
 
 def first_in_task(rows: DataFrame, key: str) -> DataFrame:

@@ -35,16 +35,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusmap.llm.blocks import (
     Layout,
-    expand,
+    expand_all,
     in_blocks,
     layout,
     questions,
     replies,
     reply_of,
     tagged,
+    tidily,
 )
-from corpusmap.llm.words import U64, Words, buffer_of, mix, nonspace_mask
-from corpusmap.sources.scratch import materialize
+from corpusmap.llm.words import U64, Words, buffer_of, distinct, mix, nonspace_mask
+from corpusmap.sources.scratch import free_shuffles, materialize
 
 SAMPLES = 3
 SWEEPS = 2
@@ -70,14 +71,14 @@ class Tokens:
         self.begin = found.first[:-1] + np.arange(n)
         before[self.begin] = _BEGIN
         self.row = np.repeat(np.arange(n), self.per_row)
-        self.words, where = np.unique(plan.trim(np.append(hashes, _BEGIN)), return_inverse=True)
+        self.words, _, where = distinct(plan.trim(np.append(hashes, _BEGIN)))
         self.word = where[:-1]
         self.context = np.empty_like(self.word)
         self.context[1:] = self.word[:-1]
         self.context[self.begin] = where[-1]
         with np.errstate(over="ignore"):
             joint = plan.trim(mix(before * U64(0x9E3779B97F4A7C15) + hashes))
-        self.pairs, first, self.pair = np.unique(joint, return_index=True, return_inverse=True)
+        self.pairs, first, self.pair = distinct(joint)
         self.pair_word, self.pair_context = self.word[first], self.context[first]
         self.train = table.column("train").to_numpy()[self.row]
 
@@ -169,7 +170,7 @@ def _owned_sums(table: DataFrame, kinds: list, own: int) -> list[int]:
         total = np.zeros(len(kinds), np.int64)
         for batch in batches:
             for reply in batch.column(0).to_pylist():
-                arrays = [expand(raw, kind) for raw, kind in zip(reply, kinds, strict=True)]
+                arrays = expand_all(reply, kinds)
                 mark = arrays[own].astype(bool)
                 total += [int(a[mark].sum(dtype=np.int64)) for a in arrays]
                 total[own] += int((arrays[0][mark] > 0).sum()) - int(mark.sum())
@@ -236,6 +237,7 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
         return t.pairs, [np.bincount(t.pair, t.train, len(t.pairs)).astype(np.uint32)]
 
     pairs = materialize(replies(questions(dealt, plan, ask_pairs), plan, _count_pairs, [np.uint32]), "pairs")
+    free_shuffles(docs.sparkSession)
 
     def ask_words(table: pa.Table, got: pa.Table):
         t = Tokens(table, plan)
@@ -250,6 +252,7 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
     words = materialize(
         replies(questions(dealt, plan, ask_words, tagged(pairs=pairs)), plan, _count_words, [np.int64] * 3), "words"
     )
+    free_shuffles(docs.sparkSession)
     tokens, followers, _, known = _owned_sums(words, _WORD, 3)
     totals = Totals(tokens, known, followers)
     tables = {"pairs": pairs, "words": words}
@@ -257,13 +260,15 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
         before = totals
         asked = questions(dealt, plan, _ask_tables(plan, totals, sweep), tagged(**tables))
         state = materialize(replies(asked, plan, _seat_parent(totals, sweep), [np.int64] * (2 * SAMPLES)), "sweep")
+        free_shuffles(docs.sparkSession)
         last, tables = tables, {"pairs": pairs, "words": words, f"sweep{sweep}": state}
         sums = _owned_sums(state, _STATE, 3 * SAMPLES)
         totals = Totals(tokens, known, followers, tuple(sums[SAMPLES : 2 * SAMPLES]), tuple(sums[2 * SAMPLES : 3 * SAMPLES]))
     everything = tagged(**(last | tables))
     kind = dict(docs.dtypes)["doc_id"]
+    finish = _finish(plan, before, totals)
     return dealt.groupBy("block").cogroup(everything.groupBy("block")).applyInArrow(
-        _finish(plan, before, totals),
+        lambda a, b: tidily(finish, a, b),
         f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
 

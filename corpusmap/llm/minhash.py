@@ -38,6 +38,7 @@ from corpusmap.llm.blocks import (
     layout,
     questions,
     replies,
+    tidily,
 )
 from corpusmap.llm.words import U64, Words, alnum_mask, buffer_of, mix, windows
 from corpusmap.operators.components import connected_components
@@ -168,7 +169,9 @@ def vectors(texts: DataFrame, n_texts: int, total_bytes: int, similarity: float)
         )
 
     answers = replies(questions(dealt, plan, ask), plan, answer, [np.uint32])
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, _VECTOR)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        lambda a, b: tidily(finish, a, b), _VECTOR
+    )
 
 
 def jaccard(a: tuple, b: tuple) -> float:
@@ -306,7 +309,9 @@ def _settled(rows: DataFrame, similarity: float) -> DataFrame:
         return pa.table({"src": pa.array(src, pa.string()), "dst": pa.array(dst, pa.string())})
 
     units = bucket_units(rows, ["band", "value"], "key", _BLOCK)
-    return units.groupBy("band", "value", "low", "high").applyInArrow(compare, "src string, dst string")
+    return units.groupBy("band", "value", "low", "high").applyInArrow(
+        lambda table: tidily(compare, table), "src string, dst string"
+    )
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -68,25 +69,28 @@ def _train(texts: list[str]) -> bytes:
         return b"".join(pieces)[-DICTIONARY_BYTES:]
 
 
+def _figures(texts: pa.Array, model: QualityModel) -> tuple[list[float], list[float]]:
+    """Both figures of every text of a batch."""
+    good, bad = model.coders()
+    apart, saved = [], []
+    for text in texts:
+        raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+        pieces = _pieces(raw)
+        b = sum(len(bad.compress(p)) for p in pieces)
+        g = sum(len(good.compress(p)) for p in pieces)
+        apart.append((b - g) / (b + g) if raw else 0.0)
+        saved.append((len(raw) - g) / (len(raw) + g) if raw else 0.0)
+    return apart, saved
+
+
 def differences(rows: DataFrame, model: QualityModel) -> DataFrame:
     """``rows`` with the raw figures of their column ``text`` instead of it."""
     kept = [c for c in rows.columns if c != "text"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = model.coders()
         for batch in batches:
-            apart, saved = [], []
-            for text in batch.column("text"):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                pieces = _pieces(raw)
-                b = sum(len(bad.compress(p)) for p in pieces)
-                g = sum(len(good.compress(p)) for p in pieces)
-                apart.append((b - g) / (b + g) if raw else 0.0)
-                saved.append((len(raw) - g) / (len(raw) + g) if raw else 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(apart, pa.float64()), pa.array(saved, pa.float64())],
-                [*kept, *_RANGES],
-            )
+            found = [pa.array(f, pa.float64()) for f in _figures(batch.column("text"), model)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *found], [*kept, *_RANGES])
 
     fields = T.StructType([f for f in rows.schema if f.name != "text"])
     for name in _RANGES:
@@ -129,3 +133,18 @@ def score(rows: DataFrame, model: QualityModel) -> DataFrame:
         return rows.withColumn("score", logistic([], model.curve[:1])).drop("text")
     figures = [F.col(name) for name in _RANGES]
     return differences(rows, model).withColumn("score", logistic(figures, model.curve)).drop(*_RANGES)
+
+
+def keep(docs: DataFrame, model: QualityModel, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``; all columns stay, nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.full(batch.num_rows, model.curve[0])
+            if model.good:
+                for slope, figure in zip(model.curve[1:], _figures(batch.column(at), model), strict=True):
+                    total += slope * np.array(figure)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))) >= threshold))
+
+    return docs.mapInArrow(pick, docs.schema)

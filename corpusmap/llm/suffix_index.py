@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from corpusmap.llm.blocks import Layout, expand, in_blocks, joined_reply, layout, questions, replies, squeeze
+from corpusmap.llm.blocks import Layout, expand, in_blocks, joined_reply, layout, questions, replies, squeeze, tidily
 from corpusmap.llm.words import U64, buffer_of, byte_table, mix, row_slices
 
 LENGTH = 100
@@ -262,14 +262,16 @@ def removed_ranges(texts: DataFrame, plan: Layout) -> tuple[DataFrame, DataFrame
             for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if b > a:
                     rows.append(
-                        (p, block, plan.pack(key[a:b]), squeeze(more[a:b]) + b"", squeeze(ids[row[a:b]]), squeeze(row[a:b].astype(np.int32)), squeeze((start[a:b] - s.offsets[row[a:b]]).astype(np.int32)))
+                        (p, block, plan.pack(key[a:b]), squeeze(more[a:b]), squeeze(ids[row[a:b]]), squeeze(row[a:b].astype(np.int32)), squeeze((start[a:b] - s.offsets[row[a:b]]).astype(np.int32)))
                     )
         return pa.Table.from_arrays(
             [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _schema(_WINDOWS), strict=True)],
             schema=_schema(_WINDOWS),
         )
 
-    asked = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(windows, _WINDOWS)
+    asked = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        lambda a, b: tidily(windows, a, b), _WINDOWS
+    )
 
     def settle(table: pa.Table) -> pa.Table:
         """Ranges per block of the strings that start earlier elsewhere; other ranges pass."""
@@ -300,7 +302,9 @@ def removed_ranges(texts: DataFrame, plan: Layout) -> tuple[DataFrame, DataFrame
                     col.append(v)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    ranges = asked.groupBy("part").applyInArrow(settle, "block int, row binary, begin binary, end binary")
+    ranges = asked.groupBy("part").applyInArrow(
+        lambda table: tidily(settle, table), "block int, row binary, begin binary, end binary"
+    )
     return dealt, ranges
 
 
@@ -387,4 +391,6 @@ def remove_repeats(docs: DataFrame, kept_text: bool = False) -> DataFrame:
         made = pa.table([pa.array(c, k) for c, k in zip(out[:n], kinds[:n], strict=True)], names=names[:n])
         return made.append_column("rest", table.column("rest")) if carried else made
 
-    return dealt.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(finish, schema)
+    return dealt.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(
+        lambda a, b: tidily(finish, a, b), schema
+    )

@@ -4,8 +4,8 @@ Folding maps look-alike letters of other scripts, digits and signs used as lette
 width variants to plain lower-case letters; letters that one sign can stand for (i, l, 1, !) fold to
 one. Text and lexicon are folded alike, so any spelling of a word finds it.
 
-The lexicon is learned from labelled rows: every folded word that toxic rows hold far oftener than
-others. A weight is a log ratio of document shares. A phrase of a lexicon word and its neighbour
+The lexicon is learned from labelled rows: every folded word, or beginning of words, that toxic rows hold far
+oftener than others. A weight is a log ratio of document shares. A phrase of a lexicon word and its neighbour
 that mostly occurs in rows that are not toxic becomes an exception and takes the weight back. Counts
 run over all labelled rows; only words over the support threshold, whose number is bounded by
 total words / threshold and by ``MAX_WORDS``, reach the driver.
@@ -38,6 +38,8 @@ MIN_WEIGHT = 2.0
 #: Bound of the lexicon, by weight x rows; a parameter of the model.
 MAX_WORDS = 20_000
 SMOOTH = 20
+#: Lengths of the word beginnings that the lexicon may hold.
+STEMS = (5, 6, 7, 8)
 _FLUSH = 200_000
 _RANGE = {"x": (0.0, 6.0)}
 
@@ -85,7 +87,7 @@ class ToxicityModel:
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
             for term, weight in self.lexicon.items():
-                self._automaton.add_word(f" {term} ", (weight, term))
+                self._automaton.add_word(_pattern(term), (weight, term))
             if self.lexicon:
                 self._automaton.make_automaton()
         return self._automaton
@@ -101,6 +103,20 @@ class ToxicityModel:
         return total / (words + SMOOTH), words, [t for _, t in found]
 
 
+def _pattern(term: str) -> str:
+    """What the automaton looks for: a whole word or phrase, or with a final * the beginning of a word."""
+    return f" {term[:-1]}" if term.endswith("*") else f" {term} "
+
+
+def _forms(word: str) -> list[str]:
+    """A word and its beginnings, as terms: inflected forms share those."""
+    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
+
+
+def _terms(folded: str) -> set[str]:
+    return {t for w in set(folded.split()) for t in _forms(w)}
+
+
 def _counts(labelled: DataFrame, features) -> DataFrame:
     """(term, bad, all): rows with each term that ``features(folded)`` gives, counted per task first."""
 
@@ -141,7 +157,7 @@ def _phrases(lexicon: set[str]):
         return {
             f"{words[j]} {words[j + 1]}"
             for i, w in enumerate(words)
-            if w in lexicon
+            if not lexicon.isdisjoint(_forms(w))
             for j in (i - 1, i)
             if 0 <= j < len(words) - 1
         }
@@ -159,7 +175,7 @@ def fit(labelled: DataFrame) -> ToxicityModel:
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good + 1))
     expected = F.col("n") * (bad / (bad + good))
     chosen = (
-        _counts(labelled, lambda folded: set(folded.split()))
+        _counts(labelled, _terms)
         .where(F.col("bad") >= least)
         .where((F.col("bad") - expected) / F.sqrt(expected) >= MIN_EXCESS)
         .withColumn("weight", weight)
@@ -178,7 +194,7 @@ def fit(labelled: DataFrame) -> ToxicityModel:
             .collect()
         )
         for r in kind:
-            lexicon[r["term"]] = -sum(lexicon.get(w, 0.0) for w in r["term"].split())
+            lexicon[r["term"]] = -sum(lexicon.get(t, 0.0) for w in r["term"].split() for t in _forms(w))
     model = ToxicityModel(lexicon)
     model.curve = fit_logistic(figures(labelled.select("label", "text"), model), _RANGE)
     return model

@@ -138,6 +138,18 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     return mix(out[begin]), doc
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, the number of each value among them)."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    at = np.flatnonzero(new)
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[at], order[at], number
+
+
 def row_slices(offsets: np.ndarray, limit: int = 2 << 20) -> list[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes each; a longer row is a range of its own."""
     out, begin, n = [], 0, len(offsets) - 1
