@@ -33,7 +33,7 @@ KEY_BYTES = 5
 
 Arrays = list[np.ndarray]
 #: Keys that a part takes from all blocks together, about.
-PART_KEYS = 1 << 20
+PART_KEYS = 1 << 18
 
 
 @dataclass(frozen=True)
