@@ -634,3 +634,50 @@ pairs AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM pairs)
 SELECT src, dst, rank, round(distance, 6) AS distance FROM ranked WHERE rank <= 5"""
+
+
+def _trained(gx: int, gy: int, epochs: int, sigma: float = 1.5) -> str:
+    """Batch self-organizing map of the embeddings, an epoch per step: ``trained`` (n, e)."""
+    wide = max(gx, gy) / 4
+    steps = [
+        f"""vecs AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+book0 AS (
+  SELECT row_number() OVER (ORDER BY md5('42|' || id), id) - 1 AS n, e FROM vecs QUALIFY n < {gx * gy})"""
+    ]
+    for i in range(epochs):
+        width = max(sigma, wide * (sigma / wide) ** (i / max(epochs - 1, 1)))
+        apart = f"((a.n // {gy} - s.n // {gy}) ** 2 + (a.n % {gy} - s.n % {gy}) ** 2)"
+        steps.append(
+            f"""hit{i} AS MATERIALIZED (
+  SELECT id, n FROM (
+    SELECT v.id, b.n, row_number() OVER (PARTITION BY v.id ORDER BY list_distance(v.e, b.e), b.n) AS rn
+    FROM vecs v, book{i} b) WHERE rn = 1),
+sums{i} AS MATERIALIZED (
+  SELECT h.n, d, sum(v.e[d]) AS total, count(*) AS mass
+  FROM hit{i} h JOIN vecs v ON v.id = h.id, range(1, 65) r(d) GROUP BY h.n, d),
+book{i + 1} AS MATERIALIZED (
+  SELECT n, list(x ORDER BY d) AS e FROM (
+    SELECT a.n, s.d, sum(exp(-{apart} / {2 * width * width}) * s.total)
+           / sum(exp(-{apart} / {2 * width * width}) * s.mass) AS x
+    FROM book{i} a, sums{i} s GROUP BY a.n, s.d) GROUP BY n)"""
+        )
+    steps.append(f"trained AS (SELECT n // {gy} AS som_x, n % {gy} AS som_y, n, e FROM book{epochs})")
+    return ",\n".join(steps)
+
+
+ORACLE_SQL["som_train"] = f"""
+WITH {_trained(6, 5, 5)}
+SELECT som_x::INT AS som_x, som_y::INT AS som_y, d::INT - 1 AS pos, round(e[d], 6) AS weight
+FROM trained, range(1, 65) r(d)"""
+ORACLE_SQL["build_som"] = f"""
+WITH {_DOCS}, {_trained(6, 5, 5)},
+nearest AS (
+  SELECT id, som_x, som_y FROM (
+    SELECT v.id, som_x, som_y,
+           row_number() OVER (PARTITION BY v.id ORDER BY list_distance(v.e, t.e), t.n) AS rn
+    FROM vecs v, trained t) WHERE rn = 1),
+shown AS (
+  SELECT * FROM docs WHERE id IN (SELECT id FROM vecs) ORDER BY md5('42|' || id), id LIMIT 5000)
+SELECT d.id, som_x::INT AS som_x, som_y::INT AS som_y, cluster::INT AS cluster,
+       left(title, 120) AS title, year::INT AS year
+FROM shown d JOIN nearest n ON n.id = d.id"""

@@ -495,7 +495,9 @@ def som_cell_details(spark, sf):
 @register
 def som_train(spark, sf):
     book = som.som_train(vectors(spark, sf), 6, 5, epochs=5)
-    return book.select("som_x", "som_y", F.posexplode("weights").alias("pos", "weight"))
+    return book.select("som_x", "som_y", F.posexplode("weights").alias("pos", "weight")).withColumn(
+        "weight", r6("weight")
+    )
 
 
 @register
