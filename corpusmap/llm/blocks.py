@@ -26,8 +26,8 @@ from corpusmap.llm.words import U64
 from corpusmap.sources.scratch import materialize
 
 BLOCK_BYTES = 2 << 20
-#: Key bytes that travel; the part's number holds further leading bits, so that the chance of two
-#: keys of a part being taken for one does not grow with the input.
+#: Key bytes that travel unless a layout says otherwise; the part's number holds further leading bits, so
+#: that the chance of two keys of a part being taken for one does not grow with the input.
 KEY_BYTES = 5
 
 
@@ -40,10 +40,11 @@ PART_KEYS = 1 << 18
 class Layout:
     blocks: int
     part_bits: int
+    key_bytes: int = KEY_BYTES
 
     def trim(self, keys: np.ndarray) -> np.ndarray:
         """Keys cut to the bits that travel."""
-        return keys & ~U64((1 << (64 - self.part_bits - 8 * KEY_BYTES)) - 1)
+        return keys & ~U64((1 << max(0, 64 - self.part_bits - 8 * self.key_bytes)) - 1)
 
     def slices(self, keys: np.ndarray) -> np.ndarray:
         """Bounds of each part's slice of sorted keys: parts + 1 entries."""
@@ -56,19 +57,19 @@ class Layout:
     def pack(self, keys: np.ndarray) -> bytes:
         with np.errstate(over="ignore"):
             rest = (keys << U64(self.part_bits)) if self.part_bits else keys
-        return np.ascontiguousarray(rest.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+        return np.ascontiguousarray(rest.astype(">u8").view(np.uint8).reshape(-1, 8)[:, : self.key_bytes]).tobytes()
 
     def unpack(self, raw: bytes) -> np.ndarray:
         """Keys of a part without the part's bits, left-aligned: equal keys are equal, order is kept."""
-        full = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
-        full[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+        full = np.zeros((len(raw) // self.key_bytes, 8), np.uint8)
+        full[:, : self.key_bytes] = np.frombuffer(raw, np.uint8).reshape(-1, self.key_bytes)
         return full.view(">u8").reshape(-1).astype(U64)
 
 
-def layout(total_bytes: int, keys_per_byte: float = 0.16) -> Layout:
+def layout(total_bytes: int, keys_per_byte: float = 0.16, key_bytes: int = KEY_BYTES) -> Layout:
     """Blocks of ``BLOCK_BYTES`` of text, parts of at most ``PART_KEYS`` keys."""
     blocks = max(1, -(-int(total_bytes) // BLOCK_BYTES))
-    return Layout(blocks, min(20, int(total_bytes * keys_per_byte / PART_KEYS).bit_length()))
+    return Layout(blocks, min(20, int(total_bytes * keys_per_byte / PART_KEYS).bit_length()), key_bytes)
 
 
 def _narrow(values: np.ndarray) -> str:

@@ -55,10 +55,18 @@ SOLO = 32
 _END, _BEGIN = U64(0xE17D0C0DE1234567), U64(0xBE61A0C0DE765432)
 
 
+@dataclass(frozen=True)
+class Plans:
+    """Key ranges of word pairs and of words. Distinct words are few, and take whole keys."""
+
+    pairs: Layout
+    words: Layout
+
+
 class Tokens:
     """Tokens of a block: ``word``, ``context`` and ``pair`` are places in the sorted distinct ``words``, ``pairs``."""
 
-    def __init__(self, table: pa.Table, plan: Layout):
+    def __init__(self, table: pa.Table, plans: Plans):
         data, offsets = buffer_of(table.column("text"))
         found = Words(data, offsets, nonspace_mask())
         n = len(offsets) - 1
@@ -71,13 +79,13 @@ class Tokens:
         self.begin = found.first[:-1] + np.arange(n)
         before[self.begin] = _BEGIN
         self.row = np.repeat(np.arange(n), self.per_row)
-        self.words, _, where = distinct(plan.trim(np.append(hashes, _BEGIN)))
+        self.words, _, where = distinct(plans.words.trim(np.append(hashes, _BEGIN)))
         self.word = where[:-1]
         self.context = np.empty_like(self.word)
         self.context[1:] = self.word[:-1]
         self.context[self.begin] = where[-1]
         with np.errstate(over="ignore"):
-            joint = plan.trim(mix(before * U64(0x9E3779B97F4A7C15) + hashes))
+            joint = plans.pairs.trim(mix(before * U64(0x9E3779B97F4A7C15) + hashes))
         self.pairs, first, self.pair = distinct(joint)
         self.pair_word, self.pair_context = self.word[first], self.context[first]
         self.train = table.column("train").to_numpy()[self.row]
@@ -229,18 +237,19 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
     """Per row of (doc_id, text, train): n_tokens, n_known, train_tokens, base_score, score."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(train).alias("train"))
     size = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    plan = layout((size[0] or 0) + 2 * size[1])
-    dealt = in_blocks(texts, "doc_id", plan)
+    total = (size[0] or 0) + 2 * size[1]
+    plans = Plans(layout(total, 0.04), layout(total, 0.005, 8))
+    dealt = in_blocks(texts, "doc_id", plans.pairs)
 
     def ask_pairs(table: pa.Table):
-        t = Tokens(table, plan)
+        t = Tokens(table, plans)
         return t.pairs, [np.bincount(t.pair, t.train, len(t.pairs)).astype(np.uint32)]
 
-    pairs = materialize(replies(questions(dealt, plan, ask_pairs), plan, _count_pairs, [np.uint32]), "pairs")
+    pairs = materialize(replies(questions(dealt, plans.pairs, ask_pairs), plans.pairs, _count_pairs, [np.uint32]), "pairs")
     free_shuffles(docs.sparkSession)
 
     def ask_words(table: pa.Table, got: pa.Table):
-        t = Tokens(table, plan)
+        t = Tokens(table, plans)
         count, own = reply_of(got, "pairs", _PAIR)
         mine = (count > 0) & (own > 0)
         return t.words, [
@@ -250,32 +259,35 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
         ]
 
     words = materialize(
-        replies(questions(dealt, plan, ask_words, tagged(pairs=pairs)), plan, _count_words, [np.int64] * 3), "words"
+        replies(
+            questions(dealt, plans.words, ask_words, tagged(pairs=pairs)), plans.words, _count_words, [np.int64] * 3
+        ),
+        "words",
     )
-    free_shuffles(docs.sparkSession)
     tokens, followers, _, known = _owned_sums(words, _WORD, 3)
+    free_shuffles(docs.sparkSession)
     totals = Totals(tokens, known, followers)
     tables = {"pairs": pairs, "words": words}
     for sweep in range(SWEEPS):
         before = totals
-        asked = questions(dealt, plan, _ask_tables(plan, totals, sweep), tagged(**tables))
-        state = materialize(replies(asked, plan, _seat_parent(totals, sweep), [np.int64] * (2 * SAMPLES)), "sweep")
-        free_shuffles(docs.sparkSession)
+        asked = questions(dealt, plans.words, _ask_tables(plans, totals, sweep), tagged(**tables))
+        state = materialize(replies(asked, plans.words, _seat_parent(totals, sweep), [np.int64] * (2 * SAMPLES)), "sweep")
         last, tables = tables, {"pairs": pairs, "words": words, f"sweep{sweep}": state}
         sums = _owned_sums(state, _STATE, 3 * SAMPLES)
+        free_shuffles(docs.sparkSession)
         totals = Totals(tokens, known, followers, tuple(sums[SAMPLES : 2 * SAMPLES]), tuple(sums[2 * SAMPLES : 3 * SAMPLES]))
     everything = tagged(**(last | tables))
     kind = dict(docs.dtypes)["doc_id"]
-    finish = _finish(plan, before, totals)
+    finish = _finish(plans, before, totals)
     return dealt.groupBy("block").cogroup(everything.groupBy("block")).applyInArrow(
         lambda a, b: tidily(finish, a, b),
         f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
 
 
-def _ask_tables(plan: Layout, totals: Totals, sweep: int):
+def _ask_tables(plans: Plans, totals: Totals, sweep: int):
     def ask(table: pa.Table, got: pa.Table):
-        t = Tokens(table, plan)
+        t = Tokens(table, plans)
         _, chains = _tables(t, got, totals, sweep, owned=True)
         return t.words, [
             *(t.per_word(t.pair_context, c) for c in chains),
@@ -299,9 +311,9 @@ def _seat_parent(totals: Totals, sweep: int):
     return answer
 
 
-def _finish(plan: Layout, before: Totals, totals: Totals):
+def _finish(plans: Plans, before: Totals, totals: Totals):
     def finish(table: pa.Table, got: pa.Table) -> pa.Table:
-        t = Tokens(table, plan)
+        t = Tokens(table, plans)
         n = len(table)
         per = lambda v: np.bincount(t.row, v, n)
         customers, *_ = reply_of(got, "words", _WORD)
