@@ -80,6 +80,8 @@ class Tokens:
         before[self.begin] = _BEGIN
         self.row = np.repeat(np.arange(n), self.per_row)
         self.words, _, where = distinct(plans.words.trim(np.append(hashes, _BEGIN)))
+        #: The words as the key ranges see them.
+        self.word_keys = self.words << U64(plans.words.part_bits)
         self.word = where[:-1]
         self.context = np.empty_like(self.word)
         self.context[1:] = self.word[:-1]
@@ -165,7 +167,13 @@ class Totals:
     def base(self) -> float:
         return 1.0 / (self.words + 1)
 
-    def parent(self, chain: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    def parent_tables(self, keys: np.ndarray, customers: np.ndarray, sweep: int, chain: int) -> np.ndarray:
+        """The parent's seating of the customers that contexts sent it in a sweep."""
+        new = np.full(len(keys), (PARENT_STRENGTH + PARENT_DISCOUNT * self.words) * self.base)
+        return seats(keys, customers, new, PARENT_DISCOUNT, 31 + 10_000_019 * (sweep * SAMPLES + chain))
+
+    def parent(self, keys: np.ndarray, customers: np.ndarray, sweep: int, chain: int) -> np.ndarray:
+        tables = self.parent_tables(keys, customers, sweep, chain)
         spare = PARENT_STRENGTH + PARENT_DISCOUNT * self.tables[chain]
         known = np.maximum(customers - PARENT_DISCOUNT * tables, 0)
         return (known + spare * self.base) / (PARENT_STRENGTH + self.customers[chain])
@@ -192,7 +200,7 @@ def _owned_sums(table: DataFrame, kinds: list, own: int) -> list[int]:
 _PAIR = [np.int64, np.uint8]
 #: Customers, followers, contexts, owner.
 _WORD = [np.int64, np.int64, np.int64, np.uint8]
-#: Tables as a context and customers and tables in the parent, per chain; owner.
+#: Tables as a context and customers in the parent, per chain; its tables, for one entry of each word; owner.
 _STATE = [np.int64] * (3 * SAMPLES) + [np.uint8]
 
 
@@ -225,7 +233,7 @@ def _tables(
             share = (contexts - PARENT_DISCOUNT * (contexts > 0) + PARENT_DISCOUNT) / max(totals.followers, 1)
         else:
             tables = state[s]
-            share = totals.parent(s, state[SAMPLES + s], state[2 * SAMPLES + s])
+            share = totals.parent(t.word_keys, state[SAMPLES + s], sweep - 1, s)
         new = (STRENGTH + DISCOUNT * tables[t.pair_context[many]]) * share[t.pair_word[many]]
         found = np.minimum(count, 1)
         found[many] = seats(t.pairs[many], count[many], new, DISCOUNT, 7 + 10_000_019 * (sweep * SAMPLES + s))
@@ -302,11 +310,13 @@ def _seat_parent(totals: Totals, sweep: int):
 
     def answer(keys: np.ndarray, extra: list[np.ndarray]) -> list[np.ndarray]:
         order, at, sums = _sums(keys, extra)
-        key = keys[order][at]
-        new = np.full(len(key), (PARENT_STRENGTH + PARENT_DISCOUNT * totals.words) * totals.base)
-        parents = sums[SAMPLES:]
-        seated = [seats(key, c, new, PARENT_DISCOUNT, 31 + 10_000_019 * (sweep * SAMPLES + s)) for s, c in enumerate(parents)]
-        return [*(_back(order, at, v) for v in [*sums, *seated]), _owner(order, at)]
+        key, own = keys[order][at], _owner(order, at)
+        seated = [totals.parent_tables(key, c, sweep, s) for s, c in enumerate(sums[SAMPLES:])]
+        return [
+            *(_back(order, at, v) for v in sums),
+            *(_back(order, at, v) * own for v in seated),  # for the totals; blocks seat their words again
+            own,
+        ]
 
     return answer
 
@@ -327,7 +337,7 @@ def _finish(plans: Plans, before: Totals, totals: Totals):
         count, chains = _tables(t, got, before, SWEEPS - 1)  # the seating that the sums are of
         mean = np.zeros(len(t.pairs))
         for s, seated in enumerate(chains):
-            parent = totals.parent(s, state[SAMPLES + s], state[2 * SAMPLES + s])
+            parent = totals.parent(t.word_keys, state[SAMPLES + s], SWEEPS - 1, s)
             new = (STRENGTH + DISCOUNT * state[s])[t.pair_context] * parent[t.pair_word]
             mean += (count - DISCOUNT * seated + new) / (STRENGTH + after[t.pair_context])
         score = np.log10(mean / SAMPLES) if totals.tokens else np.zeros(len(mean))
