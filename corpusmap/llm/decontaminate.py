@@ -3,8 +3,8 @@
 A mask names the word positions of a window that count; the others may differ. The hashes of all
 windows of the benchmark under all masks are the test side of a hash join, those of every window
 of every document the other; it runs as a lookup in a table that each task holds. Each hit fixes an
-alignment of a document with an item, and the best ungapped overlap on it is kept if it is long and
-equal enough.
+alignment of a document with an item; it counts if any range of it, however it is surrounded, is long and
+equal enough, and the best such range is kept.
 
 The table holds at most ``MAX_WORDS`` benchmark words: a larger benchmark is split by item into parts of
 that size, each a pass over the documents, so its size bounds time, never memory.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ MIN_EQUAL = 0.8
 #: Benchmark words looked for in one pass.
 MAX_WORDS = 1_000_000
 MISMATCH = -2
+_SHARE = Fraction(str(MIN_EQUAL))
 _BITS = 22
 
 
@@ -82,13 +84,29 @@ def seed_table(ids: list, texts: list[str | None]) -> SeedTable:
     return SeedTable(ids, found.hash, found.first, seed, at, known)
 
 
-def best_overlap(equal: np.ndarray) -> tuple[int, int]:
-    """[begin, end) of the range with the largest sum of 1 per equal and ``MISMATCH`` per other word."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, MISMATCH))])
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    begin = int(np.flatnonzero(total[: end + 1] == lowest[end])[-1])
-    return begin, end
+def _largest(step: np.ndarray, least: int) -> tuple[int, int, int]:
+    """(sum, begin, end) of the range of at least ``least`` words with the largest sum."""
+    total = np.concatenate([[0], np.cumsum(step)])
+    lowest = np.minimum.accumulate(total[: len(total) - least])
+    gain = total[least:] - lowest
+    at = int(np.argmax(gain))
+    return int(gain[at]), int(np.flatnonzero(total[: at + 1] == lowest[at])[-1]), at + least
+
+
+def best_overlap(equal: np.ndarray, least: int) -> tuple[int, int] | None:
+    """[begin, end) of a range of at least ``least`` words of which the share ``MIN_EQUAL`` is equal, None if there is none.
+
+    That is the range with the largest sum of 1 per equal and ``MISMATCH`` per other word if it will do, else
+    the one whose equal words exceed the share by most, in whole numbers, so that a range right at it counts.
+    """
+    if len(equal) < least:
+        return None
+    over = np.where(equal, _SHARE.denominator, 0) - _SHARE.numerator
+    _, begin, end = _largest(np.where(equal, 1, MISMATCH), 0)
+    if end - begin >= least and over[begin:end].sum() >= 0:
+        return begin, end
+    gain, begin, end = _largest(over, least)
+    return (begin, end) if gain >= 0 else None
 
 
 def _overlaps(found: Words, table: SeedTable) -> Iterator[tuple]:
@@ -113,10 +131,11 @@ def _overlaps(found: Words, table: SeedTable) -> Iterator[tuple]:
         lo = max(found.first[row], table.first[item] + shift)
         hi = min(found.first[row + 1], table.first[item + 1] + shift)
         equal = found.hash[lo:hi] == table.words[lo - shift : hi - shift]
-        begin, end = best_overlap(equal)
-        size, same = end - begin, int(equal[begin:end].sum())
-        if size < min(MIN_SPAN, table.first[item + 1] - table.first[item]) or same < MIN_EQUAL * size:
+        span = best_overlap(equal, min(MIN_SPAN, int(table.first[item + 1] - table.first[item])))
+        if span is None:
             continue
+        begin, end = span
+        size, same = end - begin, int(equal[begin:end].sum())
         new = (same, size, -int(lo + begin - found.first[row]), -int(lo + begin - shift - table.first[item]))
         if new > best.get((row, item), ()):
             best[row, item] = new

@@ -186,6 +186,36 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.drop_contaminated(texts, bench.where("false")).count() == 4
 
 
+def test_decontamination_tests_every_range(spark):
+    """A span of enough words counts whatever surrounds it, and with changed words at its ends."""
+    item = prose(510, 120).split()
+    mixed = item.copy()
+    for run in range(20, 120, 10):
+        mixed[run : run + 3] = ["changed"] * 3
+    short = prose(511, 13).split()
+    ends = ["changed", *short[1:12], "changed"]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    texts = spark.createDataFrame(
+        [(1, " ".join(mixed)), (2, f"{prose(9, 30)} {' '.join(ends)} {prose(8, 30)}"), (3, prose(7, 200))], COLUMNS
+    )
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.overlaps(texts, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2)}
+    assert (got[1, 1]["doc_start"], got[1, 1]["n_words"], got[1, 1]["n_equal"]) == (0, 20, 20)
+    assert (got[2, 2]["doc_start"], got[2, 2]["n_words"], got[2, 2]["n_equal"]) == (30, 13, 11)
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(texts, bench).collect()] == [3]
+
+
+@pytest.mark.parametrize("least", [6, 13])
+def test_best_overlap_against_all_ranges(least):
+    rng = np.random.default_rng(5)
+    for n, share in [(5, 1), (13, 0.8), (40, 0.7), (60, 0.8), (60, 0.6)] * 20:
+        equal = rng.random(n) < share
+        spans = [(a, b) for a in range(n) for b in range(a + least, n + 1)]
+        gain = {(a, b): 5 * int(equal[a:b].sum()) - 4 * (b - a) for a, b in spans}
+        got = decontaminate.best_overlap(equal, least)
+        assert got is None if max(gain.values(), default=-1) < 0 else gain[got] >= 0
+
+
 def test_decontamination_in_parts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_WORDS", 50)
     bench = spark.createDataFrame([(i, prose(600 + i, 30)) for i in range(8)], "item_id long, text string")
