@@ -18,7 +18,7 @@ Result: every row gets class_id, the smallest doc_id of its class: equal texts a
 others.
 
 Defined cases: null is the empty text; texts without words are alone in their class but for equal texts; repeated rows share
-a class; a class of null ids only has a null class_id; an empty table gives no rows; extra columns are not read.
+a class; a class of null ids only has a null class_id, and repeated ids with other texts may give two classes one class_id; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -314,8 +314,8 @@ def _settled(rows: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """class_id of every row of (doc_id, text): (doc_id, key, class_id); key is the md5 of the text."""
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key of every row), (key, component) and (component, first), the lowest (no_id, doc_id, key) of it."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = texts.select("doc_id", F.md5("text").alias("key"), F.octet_length("text").alias("size"))
     classes = materialize(
@@ -328,20 +328,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     )
     parts = components(vector, similarity)
     named = classes.select("key", "lowest").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    lowest = materialize(named.groupBy("component").agg(F.min("lowest").alias("class_id")), "lowest")
-    members = materialize(named.join(lowest.hint("merge"), "component").select("key", "class_id"), "members")
-    return ids.select("doc_id", "key").join(members.hint("merge"), "key").select("doc_id", "key", "class_id")
+    order = F.struct(F.col("lowest").isNull().alias("no_id"), F.col("lowest").alias("doc_id"), "key")
+    lowest = materialize(named.groupBy("component").agg(F.min(order).alias("first")), "lowest")
+    return ids.select("doc_id", "key"), named.select("key", "component"), lowest
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """class_id of every row of (doc_id, text): (doc_id, key, class_id); key is the md5 of the text."""
+    ids, named, lowest = _classes(docs, similarity)
+    class_id = F.col("first.doc_id").alias("class_id")
+    members = materialize(named.join(lowest.hint("merge"), "component").select("key", class_id), "members")
+    return ids.join(members.hint("merge"), "key").select("doc_id", "key", "class_id")
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class one row of the smallest doc_id stays."""
-    found = near_duplicates(docs, similarity)
-    chosen = (
-        found.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .groupBy("class_id")
-        .agg(F.min("key").alias("_key"))  # rows that repeat an id may differ in text
-        .select(F.col("class_id").alias("_id"), "_key")
-    )
+    """The rows of ``docs`` without near duplicates: of each class one row of the smallest doc_id stays.
+
+    Classes are told apart by their texts: null and repeated ids belong to several.
+    """
+    _, _, lowest = _classes(docs, similarity)
+    chosen = lowest.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
     rows = docs.select(
         F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_key")
     )

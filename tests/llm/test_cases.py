@@ -316,6 +316,14 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    """Unrelated texts without an id, or with one id, are classes of their own."""
+    near = prose(604, 60)
+    rows = [(None, prose(601, 40)), (None, prose(602, 40)), (None, prose(602, 40)), (5, prose(603, 40)), (5, near), (6, near + " tail"), (None, near)]
+    kept = minhash.representatives(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, rows[0][1]), (0, rows[1][1]), (5, rows[3][1]), (5, near)])
+
+
 def test_near_duplicates_chain(spark):
     """Texts that are alike only through others are one class, whatever the leaders."""
     words = prose(77, 400).split()
