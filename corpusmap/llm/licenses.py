@@ -10,8 +10,10 @@ the share ``CONTAINMENT`` of the template's distinct words. The join is exact an
 * position: from the first shared word on, both sides still have ``need`` words.
 
 The template table is fixed and small, so it is a literal in the plan: documents are never shuffled.
-Each document first meets the union of all prefixes, which few pass. Of the templates that match a
-block, the one with the largest share names it (equal shares: all of them).
+Each document first meets the union of all prefixes, which few pass. Every template that matches a block names it,
+except one whose shared words are words of a template of larger share, too: near-identical templates, of which
+one notice has most words. If those words stand in the block once more than that notice takes, and still make
+the threshold, they are a notice of their own and name it as well.
 
 Base labels come from phrases whose words stand consecutively; they are kept whatever the method finds.
 
@@ -118,6 +120,19 @@ def _passes(template: Column, block: Column) -> Column:
     )
 
 
+def _displaced(match: Column, other: Column, text: Column) -> Column:
+    """Whether ``match`` only has words of the text that ``other``, of larger share, has too."""
+    times = lambda word: F.size(F.filter(text, lambda w: w == word))
+    # So often the notice of ``other`` stands here, told by the words that only it has.
+    copies = F.array_max(F.transform(F.array_except(other["shared"], match["shared"]), times))
+    left = F.filter(match["shared"], lambda w: times(w) > copies)
+    return (
+        (other["share"] > match["share"])
+        & (F.size(F.array_except(match["shared"], other["shared"])) == 0)
+        & (F.coalesce(F.size(left), F.lit(0)) < match["need"])
+    )
+
+
 def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """Per (doc_id, text) row: n_words, n_base, first_word, last_word, base_labels, labels, score and
     ``blocks``, every matching block as (first word, label, share)."""
@@ -129,16 +144,22 @@ def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     templates, prefixes = _templates(order, containment)
 
     def matches(begin: Column) -> Column:
-        block = F.array_intersect(_strings(order), F.slice("words", begin + 1, 2 * BLOCK))
+        text = F.slice("words", begin + 1, 2 * BLOCK)
+        block = F.array_intersect(_strings(order), text)
         found = F.transform(
             F.filter(templates, lambda t: _passes(t, block)),
             lambda t: F.struct(
                 begin.cast("long").alias("first_word"),
                 t["label"].alias("label"),
                 (F.size(F.array_intersect(t["words"], block)) / F.size(t["words"])).alias("share"),
+                F.array_intersect(t["words"], block).alias("shared"),
+                t["need"].alias("need"),
             ),
         )
-        return F.filter(found, lambda m: m["share"] == F.array_max(F.transform(found, lambda o: o["share"])))
+        return F.transform(
+            F.filter(found, lambda m: ~F.exists(found, lambda o: _displaced(m, o, text))),
+            lambda m: F.struct(*(m[c].alias(c) for c in ("first_word", "label", "share"))),
+        )
 
     none = F.array().cast("array<struct<first_word:bigint,label:string,share:double>>")
     begins = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(BLOCK))

@@ -164,6 +164,24 @@ def test_licenses_place_every_phrase(spark):
     assert row["base_labels"] == "apache-2,cc-by-nc,mit"
 
 
+def test_licenses_of_two_notices_in_a_block(spark):
+    """A notice with a changed word keeps its label beside a verbatim one; near-identical templates exclude each other."""
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation papers"
+    cc = "this work is licensed under a creative commons attribution {} 4 0 international license"
+    nc = cc.format("noncommercial")
+    texts = [
+        f"{mit} licensed under the apache license version 2 0",
+        nc,
+        f"{nc} {nc}",
+        f"{nc} {cc.format('sharealike')}",
+        f"{nc} {cc.format('share alike')}",
+    ]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), COLUMNS)).collect()
+    labels = {r["doc_id"]: r["labels"] for r in got}
+    assert labels == {0: "apache-2,mit", 1: "cc-by-nc", 2: "cc-by-nc", 3: "cc-by-nc,cc-by-sa", 4: "cc-by-nc,cc-by-sa"}
+    assert {b["label"] for r in got if r["doc_id"] == 0 for b in r["blocks"]} == {"apache-2", "mit"}
+
+
 def test_decontamination(spark, docs, none):
     passage = prose(500, 40).split()
     changed = passage.copy()
