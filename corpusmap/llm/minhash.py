@@ -2,7 +2,8 @@
 
 1. Texts that are equal byte for byte form one row; idf counts such distinct texts.
 2. Shingles are runs of five words (letters and digits, A-Z lower-cased); a text of fewer words is one
-   shingle. Their document frequencies come from all texts through :mod:`corpusmap.llm.blocks`.
+   shingle. Their document frequencies come from all texts through :mod:`corpusmap.llm.blocks`;
+   idf runs from 1 to 1.25, so that a link depends little on how many copies a group has.
 3. A shingle of one text only has the largest idf of all, so a text of which such shingles hold more
    than 1 - ``SIMILARITY`` of the weight cannot reach the threshold with any other: an exact filter. The other texts
    keep the shingles of two or more texts, and the total weight of all.
@@ -47,12 +48,22 @@ from corpusmap.sources.scratch import discard, materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
+IDF_RANGE = 0.25
 _SLICE = 4096
 #: Members of a bucket that one task compares with as many others.
 _BLOCK = 256
 _VECTOR = "key string, total double, shingles binary, weights binary, bands array<long>"
 
 
+def idf(df: np.ndarray, n_texts: int) -> np.ndarray:
+    """1 for a shingle of all texts, rising with the logarithm to 1 + ``IDF_RANGE`` for a shingle of one text only.
+
+    The range is small since the frequencies hold the near copies themselves: with a wide one, the words that
+    copies share would count the less, the more copies there are, and large groups would fall apart.
+    """
+    return 1.0 + IDF_RANGE * np.log((1.0 + n_texts) / (1.0 + df)) / np.log(max((1.0 + n_texts) / 2.0, 2.0))
+
+
 def _distinct(table: pa.Table) -> pa.Table:
     """Rows of a block, one per key, ordered by it."""
     keys = table.column("key").to_pylist()
@@ -147,7 +158,8 @@ def vectors(texts: DataFrame, n_texts: int, total_bytes: int, similarity: float)
         df = np.repeat(df, np.diff(_runs(found)))
         order = np.argsort(row, kind="stable")
         found, row, df = found[order], row[order], df[order]
-        weight = times[order] * (1.0 + np.log((1.0 + n_texts) / (1.0 + df)))
+        # Rounded as they are kept, so that totals and sums of kept weights agree.
+        weight = (times[order] * idf(df, n_texts)).astype(np.float32).astype(np.float64)
         n = len(table)
         total = np.bincount(row, weight, n)
         shared = np.bincount(row, weight * (df > 1), n)

@@ -342,6 +342,27 @@ def test_representatives_of_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, rows[0][1]), (0, rows[1][1]), (5, rows[3][1]), (5, near)])
 
 
+def test_near_copies_in_a_large_group(spark):
+    """Texts with one or two words of their own are linked, however many copies share the others."""
+    words = prose(78, 130).split()
+    rows = []
+    for i in range(3000):
+        own = words.copy()
+        own[40] = f"own{i}"
+        if i % 2:
+            own[90] = f"more{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(3000 + i, prose(5000 + i, 20)) for i in range(300)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, COLUMNS)).where("doc_id < 3000")
+    assert [r["class_id"] for r in got.select("class_id").distinct().collect()] == [0]
+
+
+def test_idf_is_bounded():
+    for n in (1, 2, 1000, 10**9):
+        got = minhash.idf(np.array([1, max(n // 3, 1), n]), n)
+        assert (np.diff(got) <= 0).all() and got[0] <= 1 + minhash.IDF_RANGE and got[-1] >= 1
+
+
 def test_near_duplicates_chain(spark):
     """Texts that are alike only through others are one class, whatever the leaders."""
     words = prose(77, 400).split()
