@@ -7,7 +7,22 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmap.llm import calibrate, decontaminate, embeddings, licenses, lm, minhash, packing, quality, suffix_index, toxicity, warc
+from corpusmap.llm import (
+    calibrate,
+    conversations,
+    decontaminate,
+    embeddings,
+    licenses,
+    lm,
+    minhash,
+    packing,
+    quality,
+    spelling,
+    suffix_index,
+    token_files,
+    toxicity,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -126,6 +141,22 @@ def op2_lm(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register
+def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = token_files.write_sequences(documents(spark, sf), token_files.tokenizer_path())
+    return token_files.read_documents(manifest)
+
+
+@register
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf))
+
+
+@register
+def op13_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(spark, sf, "conversations")))
+
+
 @register
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
