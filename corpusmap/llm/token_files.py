@@ -44,8 +44,9 @@ from corpusmap.sources.scratch import materialize, scratch_folder
 LENGTH = 1024
 BATCH_ROWS = 256
 END_ID = 2
-#: Words kept at hand by a task.
-KNOWN_WORDS = 200_000
+#: Words kept at hand by a worker, and those encoded as one text.
+KNOWN_WORDS = 600_000
+_JOINED = 500
 #: Parts that are summed together.
 _GROUP = 4096
 
@@ -98,16 +99,26 @@ class WordIds:
             np.array(e.ids, self.kind).tobytes() for e in self.coder.encode_batch(texts, add_special_tokens=False)
         ]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode words, which the tokenizer does not cut further, side by side."""
+        found = self.coder.encode(" ".join(words), add_special_tokens=False)
+        size = self.kind.itemsize
+        raw, at = np.array(found.ids, self.kind).tobytes(), 0
+        for word, end in zip(words, np.cumsum(np.bincount(found.word_ids, minlength=len(words))).tolist(), strict=True):
+            self.known[word] = raw[at * size : end * size]
+            at = end
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text without an end id."""
         if not self.by_words:
             return self._encode(texts)
         split = [None if self.other.search(t) else self.words.findall(t.lower()) for t in texts]
-        new = list({w for ws in split if ws for w in ws} - self.known.keys())
+        now = set().union(*(ws for ws in split if ws))
+        new = list(now.difference(self.known))
         if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = list({w for ws in split if ws for w in ws})
-        self.known.update(zip(new, self._encode(new), strict=True))
+            self.known = {w: self.known[w] for w in now if w in self.known}
+        for i in range(0, len(new), _JOINED):
+            self._learn(new[i : i + _JOINED])
         whole = iter(self._encode([t for t, ws in zip(texts, split, strict=True) if ws is None]))
         return [next(whole) if ws is None else b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
