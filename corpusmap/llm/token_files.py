@@ -45,7 +45,7 @@ LENGTH = 1024
 BATCH_ROWS = 256
 END_ID = 2
 #: Words kept at hand by a worker, and those encoded as one text.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 1_000_000
 _JOINED = 500
 #: Parts that are summed together.
 _GROUP = 4096
@@ -85,13 +85,12 @@ class WordIds:
             and steps[0]["pattern"] == {"Regex": _SPLIT}
             and not told.get("post_processor")
         )
-        special = "|".join(re.escape(t.content) for t in self.coder.get_added_tokens_decoder().values())
+        self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         simple = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _SIMPLE)
-        self.other = re.compile(f"[^{simple}]" + (f"|{special}" if special else ""))
+        self.other = re.compile(f"[^{simple}]")
         letters, numbers = _class("L"), _class("N")
-        self.words = re.compile(
-            rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \xa0{letters}{numbers}]+"
-        )
+        # The same choices as in the pattern: only an apostrophe can begin two of them.
+        self.words = re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \xa0{letters}{numbers}]+|[{numbers}]")
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -112,15 +111,28 @@ class WordIds:
         """Ids of each text without an end id."""
         if not self.by_words:
             return self._encode(texts)
-        split = [None if self.other.search(t) else self.words.findall(t.lower()) for t in texts]
-        now = set().union(*(ws for ws in split if ws))
-        new = list(now.difference(self.known))
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {w: self.known[w] for w in now if w in self.known}
-        for i in range(0, len(new), _JOINED):
-            self._learn(new[i : i + _JOINED])
-        whole = iter(self._encode([t for t, ws in zip(texts, split, strict=True) if ws is None]))
-        return [next(whole) if ws is None else b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        out: list = [None if self._is_other(t) else self.words.findall(t.lower()) for t in texts]
+        if len(self.known) > KNOWN_WORDS:
+            now = set().union(*(words for words in out if words))
+            self.known = {w: self.known[w] for w in now.intersection(self.known)}
+        get, gaps, new = self.known.get, {}, set()
+        for i, words in enumerate(out):
+            if words:
+                out[i] = found = [*map(get, words)]
+                if None in found:
+                    gaps[i] = [(at, words[at]) for at, f in enumerate(found) if f is None]
+                    new.update(w for _, w in gaps[i])
+        words = list(new)
+        for i in range(0, len(words), _JOINED):
+            self._learn(words[i : i + _JOINED])
+        for i, missing in gaps.items():
+            for at, w in missing:
+                out[i][at] = self.known[w]
+        whole = iter(self._encode([t for t, found in zip(texts, out, strict=True) if found is None]))
+        return [next(whole) if found is None else b"".join(found) for found in out]
+
+    def _is_other(self, text: str) -> bool:
+        return bool(self.other.search(text)) or any(s in text for s in self.special)
 
 
 def coder(path: str) -> WordIds:
