@@ -1,9 +1,8 @@
-"""Density clusters of 2-D points: core distances, DBSCAN* levels, excess-of-mass selection.
+"""Density clusters of 2-D points: core distances, DBSCAN* levels, clusters of the exact hierarchy.
 
 The levels follow Campello et al., "Density-based clustering based on hierarchical density
 estimates", PAKDD 2013: at level eps, core points (core distance <= eps) within eps of each
-other are connected. The clusters equal HDBSCAN* when the levels hold every merge distance, and
-approach it otherwise.
+other are connected. The hierarchy itself needs no levels.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmap.operators.components import connected_components
+from corpusmap.operators.hierarchy import hierarchy_clusters
 from corpusmap.operators.indexing import dense_index
 from corpusmap.operators.neighbours import knn_graph
 from corpusmap.sources.scratch import materialize, materialize_observed
@@ -226,168 +226,23 @@ def dbscan_levels(points: DataFrame, eps: list[float], min_size: int = 1) -> Dat
     return members.join(names, "component").select("level", "id", F.col("name").alias("component"))
 
 
-def level_distances(points: DataFrame, levels: int = 48) -> list[float]:
-    """Falling level distances: quantiles of the core distances, then doublings up to the extent."""
-    shares = [i / (levels - 1) for i in range(levels)] if levels > 1 else [1.0]
-    row = points.where("core > 0 and core < double('infinity')").agg(
-        F.percentile_approx("core", shares, 100_000).alias("q"),
-        F.min("x").alias("x0"),
-        F.max("x").alias("x1"),
-        F.min("y").alias("y0"),
-        F.max("y").alias("y1"),
-    ).first()
-    if row["q"] is None:
-        return []
-    found = set(row["q"])
-    span = math.hypot(row["x1"] - row["x0"], row["y1"] - row["y0"])
-    step = max(found)
-    while step < span:
-        step *= 2.0
-        found.add(step)
-    return sorted(found, reverse=True)
-
-
-def _follow(pointers: DataFrame) -> DataFrame:
-    """Replace each node's pointer ``up`` by the end of its chain; ends point to themselves."""
-    while True:
-        ends = pointers.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        step = pointers.join(ends, "up").select(
-            "node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")
-        )
-        table, seen = materialize_observed(step, "pointers", moved=F.count_if("moved"))
-        pointers = table.select("node", "up")
-        if not seen["moved"]:
-            return pointers
+def density_clusters(points: DataFrame, min_cluster_size: int = 30) -> DataFrame:
+    """Density cluster of each point (id, x, y): id, cluster; -1 is noise.
 
-
-_ROOT = -1
-
-
-def _select_clusters(nodes: DataFrame, eps: list[float]) -> DataFrame:
-    """Nodes (node, level, size, parent) of the chosen clusters, by excess of mass.
-
-    A node is a component of at least the minimum size at one level. A node goes on as its
-    parent's cluster unless the parent has two or more such children. A cluster gains, per level,
-    its size times the step in 1/eps. The root is never chosen.
+    Clusters are those of the exact hierarchy, numbered in a seeded hash order of their lowest ids. Points without
+    coordinates are noise, and so is everything if no point has ``min_cluster_size`` others.
     """
-    spark = nodes.sparkSession
-    gains = [1.0 / e for e in eps]
-    steps = [g - p for g, p in zip(gains, [0.0] + gains[:-1])]
-    step_of = F.element_at(F.array(*[F.lit(s) for s in steps]), F.col("level"))
-    siblings = nodes.groupBy("parent").agg(F.count(F.lit(1)).alias("siblings"))
-    headed = materialize(
-        nodes.join(siblings, "parent").select("node", "parent", "size", "level", (F.col("siblings") >= 2).alias("head")),
-        "tree",
-    )
-    root = spark.createDataFrame([(_ROOT, _ROOT)], "node bigint, up bigint")
-    cluster_of = _follow(
-        headed.select("node", F.when(F.col("head"), F.col("node")).otherwise(F.col("parent")).alias("up")).unionByName(root)
-    ).withColumnRenamed("up", "cluster")
-    masses = (
-        headed.withColumn("gain", F.col("size") * step_of)
-        .join(cluster_of, "node")
-        .groupBy("cluster")
-        .agg(F.sum("gain").alias("mass"))
-    )
-    above = headed.where("head").select(F.col("node").alias("cluster"), F.col("parent").alias("node"))
-    tree = materialize(
-        above.join(cluster_of.withColumnRenamed("cluster", "owner"), "node")
-        .select("cluster", "owner")
-        .join(masses, "cluster"),
-        "condensed",
-    )
-    # Values rise from the leaves; each round settles one more generation.
-    value = tree.select("cluster", "owner", "mass", F.col("mass").alias("value"), F.lit(0.0).alias("below"))
-    while True:
-        sums = value.groupBy(F.col("owner").alias("cluster")).agg(F.sum("value").alias("new"))
-        updated, seen = materialize_observed(
-            value.join(sums, "cluster", "left").select(
-                "cluster",
-                "owner",
-                "mass",
-                F.greatest("mass", F.coalesce("new", F.lit(0.0))).alias("value"),
-                F.coalesce("new", F.lit(0.0)).alias("below"),
-                (F.greatest("mass", F.coalesce("new", F.lit(0.0))) != F.col("value")).alias("moved"),
-            ),
-            "values",
-            moved=F.count_if("moved"),
-        )
-        value = updated.drop("moved")
-        if not seen["moved"]:
-            break
-    wanted = value.select("cluster", "owner", (F.col("mass") >= F.col("below")).alias("wanted"))
-    # The highest wanted cluster of each branch is chosen: blocked passes down.
-    state = wanted.withColumn("blocked", F.lit(False))
-    while True:
-        over = state.select(F.col("cluster").alias("owner"), (F.col("wanted") | F.col("blocked")).alias("stop"))
-        updated, seen = materialize_observed(
-            state.join(over, "owner", "left").select(
-                "cluster",
-                "owner",
-                "wanted",
-                F.coalesce("stop", F.lit(False)).alias("blocked"),
-                (F.coalesce("stop", F.lit(False)) != F.col("blocked")).alias("moved"),
-            ),
-            "chosen",
-            moved=F.count_if("moved"),
-        )
-        state = updated.drop("moved")
-        if not seen["moved"]:
-            return state.where("wanted and not blocked").select(F.col("cluster").alias("node"))
-
-
-def density_clusters(
-    points: DataFrame, min_cluster_size: int = 30, levels: int = 48, eps: list[float] | None = None
-) -> DataFrame:
-    """Density cluster of each point (id, x, y): id, cluster; -1 is noise."""
     rows = points.select("id", "x", "y")
-    cores = core_distance(rows, min_cluster_size)
-    cored = materialize(
-        rows.join(cores, "id", "left").withColumn("core", F.coalesce("core", F.lit(float("inf")))),
-        "cored",
-    )
-    eps = eps or level_distances(cored, levels)
-    noise = F.lit(-1)
-    if not eps:
-        return rows.select("id", noise.alias("cluster"))
-    cells = _level_cells(cored, eps)
-    sized = cells.groupBy("component", "level").agg(F.sum("n").alias("size"), F.min("at").alias("at"))
-    nodes = materialize(sized.where(F.col("size") >= min_cluster_size), "nodes")
-    if nodes.isEmpty():
-        return rows.select("id", noise.alias("cluster"))
-    # The parent holds the same point one level up.
-    side = F.element_at(F.array(*[F.lit(e) for e in eps]), F.greatest(F.col("level") - 1, F.lit(1))) / math.sqrt(2.0)
-    upward = nodes.select(
-        F.col("component").alias("node"),
-        "level",
-        "size",
-        F.floor(F.col("at.x") / side).cast("bigint").alias("cx"),
-        F.floor(F.col("at.y") / side).cast("bigint").alias("cy"),
-    )
-    over = cells.select(
-        (F.col("level") + 1).alias("level"), "cx", "cy", F.col("component").alias("parent")
-    )
-    tree = upward.join(over, ["level", "cx", "cy"], "left").select(
-        "node", "level", "size", F.coalesce("parent", F.lit(_ROOT)).alias("parent")
-    )
-    chosen = materialize(_select_clusters(materialize(tree, "tree"), eps), "chosen")
-    named = nodes.withColumnRenamed("component", "node").join(chosen, "node")
-    key = F.concat_ws("|", "level", "at.x", "at.y")
-    numbers = dense_index(named.select(key.alias("id")), "cluster")
-    labelled = (
-        named.select("node", key.alias("id"))
-        .join(numbers, "id")
-        .select(F.col("node").alias("component"), F.col("cluster").cast("int").alias("cluster"))
-    )
-    places = materialize(
-        cells.join(labelled, "component").select("level", "cx", "cy", "cluster"), "places"
-    )
-    # At most one level per chosen cluster; levels are few.
-    used = {r["level"] for r in places.select("level").distinct().collect()}
-    members = (
-        _at_levels(cored, eps)
-        .where(F.col("level").isin(sorted(used)))
-        .join(places, ["level", "cx", "cy"])
-        .select("id", "cluster")
+    cored = materialize(rows.join(core_distance(rows, min_cluster_size), "id"), "cored")
+    noise = rows.select("id", F.lit(-1).alias("cluster"))
+    if cored.isEmpty():
+        return noise
+    found = hierarchy_clusters(cored, min_cluster_size)
+    members = materialize(cored.select("id", "x", "y").join(found, ["x", "y"]).select("id", "chosen"), "members")
+    names = materialize(members.groupBy("chosen").agg(F.min("id").alias("id")), "names")
+    numbers = names.join(dense_index(names.select("id"), "number"), "id").select("chosen", F.col("number").cast("int").alias("number"))
+    return (
+        noise.join(members, "id", "left")
+        .join(numbers, "chosen", "left")
+        .select("id", F.coalesce("number", "cluster").alias("cluster"))
     )
-    return rows.select("id").join(members, "id", "left").select("id", F.coalesce("cluster", noise).alias("cluster"))

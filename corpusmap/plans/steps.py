@@ -75,7 +75,6 @@ def build_map(
     min_dist: float = 0.05,
     min_cluster_size: int = 30,
     epochs: int = 50,
-    levels: int = 48,
     seed: int = 42,
 ) -> DataFrame:
     """Records with map coordinates and density cluster."""
@@ -86,7 +85,7 @@ def build_map(
     places = materialize(
         layout_2d(graph, pca_start(embeddings), epochs, min_dist, seed=seed), "places"
     )
-    return attach_layout(records, places, density_clusters(places, min_cluster_size, levels))
+    return attach_layout(records, places, density_clusters(places, min_cluster_size))
 
 
 @dataclass(frozen=True)

@@ -122,7 +122,7 @@ def exact_hdbscan(xy, k, min_size):
 
 
 def test_density_clusters_with_every_merge_distance(spark):
-    """With all merge distances as levels the selection is that of the exact hierarchy."""
+    """The selection is that of levels at all merge distances."""
     rng = np.random.default_rng(8)
     xy = np.vstack([rng.normal(size=(14, 2)) * 0.3 + c for c in ([0, 0], [3, 0], [1.5, 2.5])])
     xy = np.vstack([xy, [[1.5, 0.0], [8.0, 8.0]]])
@@ -171,7 +171,7 @@ def test_density_clusters_with_every_merge_distance(spark):
     chosen = best("root")[1]
     wanted = {frozenset(members[c]) for c in chosen}
     got = {}
-    for r in density.density_clusters(points(spark, xy), k, eps=[float(e) for e in eps]).collect():
+    for r in density.density_clusters(points(spark, xy), k).collect():
         if r["cluster"] >= 0:
             got.setdefault(r["cluster"], set()).add(r["id"])
     assert {frozenset(g) for g in got.values()} == wanted
@@ -180,7 +180,7 @@ def test_density_clusters_with_every_merge_distance(spark):
 
 def test_density_clusters_find_blobs(spark):
     xy = blobs()
-    got = {r["id"]: r["cluster"] for r in density.density_clusters(points(spark, xy), 30, 24).collect()}
+    got = {r["id"]: r["cluster"] for r in density.density_clusters(points(spark, xy), 30).collect()}
     labels = [got[i] for i in range(600)]
     assert len(set(labels) - {-1}) == 3
     kept = [i for i in range(600) if labels[i] >= 0]
@@ -377,7 +377,7 @@ def test_whole_map_on_documents(spark, tmp_path):
     path = str(tmp_path / "embeddings")
     tables.write_embeddings(steps.build_embeddings(records), path)
     embeddings = tables.read_embeddings(spark, path)
-    mapped = steps.build_map(embeddings, records, 15, 0.05, 20, epochs=6, levels=16)
+    mapped = steps.build_map(embeddings, records, 15, 0.05, 20, epochs=6)
     tables.write_map_points(
         mapped.withColumns({"inst_id": F.lit("R1"), "mode": F.lit("full")}), str(tmp_path / "map")
     )

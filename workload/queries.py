@@ -436,7 +436,7 @@ def dbscan_level(spark, sf):
 
 @register
 def density_clusters(spark, sf):
-    return density.density_clusters(vector_points(spark, sf), 10, 16)
+    return density.density_clusters(vector_points(spark, sf), 10)
 
 
 @register
@@ -654,6 +654,6 @@ def build_map(spark, sf):
     docs = documents(spark, sf).join(rows.select("id"), "id", "left_semi")
     shared = rows.join(docs.select("id"), "id", "left_semi")
     mapped = steps.build_map(
-        shared, docs.select("id", "title", "year"), 15, 0.05, 10, epochs=5, levels=12
+        shared, docs.select("id", "title", "year"), 15, 0.05, 10, epochs=5
     )
     return mapped.select("id", "title", "year", "x", "y", "cluster")
