@@ -118,3 +118,49 @@ def box_reach(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
     """Largest distance of each point to a box."""
     far = np.maximum(np.abs(points - low), np.abs(points - high))
     return np.sqrt((far * far).sum(axis=-1))
+
+
+class Surroundings:
+    """Cells around points, by their boxes (cell, x0, x1, y0, y1) and how many points they hold (n)."""
+
+    def __init__(self, tree: CellTree, cells: pa.Table, k: int):
+        self.tree, self.k = tree, k
+        low, high = np.full((tree.cells, 2), np.inf), np.full((tree.cells, 2), -np.inf)
+        at = cells.column("cell").to_numpy()
+        for box, names in ((low, ("x0", "y0")), (high, ("x1", "y1"))):
+            for axis, name in enumerate(names):
+                box[at, axis] = cells.column(name).to_numpy()
+        self.low, self.high = low, high
+        self.lows, self.highs = tree.boxed(low, high)
+        self.n = np.zeros(tree.cells, np.int64)
+        self.n[at] = cells.column("n").to_numpy()
+
+    def reached(self, xy: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, cell) of every cell that may hold one of the k nearest others of a point, none of them farther than ``bound``."""
+        found: list[tuple[np.ndarray, int]] = []
+        stack = [(0, np.arange(len(xy)))]
+        while stack:
+            node, alive = stack.pop()
+            alive = alive[box_gap(xy[alive], xy[alive], self.lows[node], self.highs[node]) <= bound[alive]]
+            if not len(alive) or not np.isfinite(self.lows[node]).all():
+                continue
+            if self.tree.axis[node] < 0:
+                found.append((alive, self.tree.cell[node]))
+            else:
+                stack += [(self.tree.left[node], alive), (self.tree.right[node], alive)]
+        if not found:
+            return np.zeros(0, int), np.zeros(0, int)
+        point = np.concatenate([p for p, _ in found])
+        cell = np.repeat([c for _, c in found], [len(p) for p, _ in found])
+        # Whole cells that together hold enough points bound the distance as well.
+        far = box_reach(xy[point], self.low[cell], self.high[cell])
+        order = np.lexsort((far, point))
+        point, cell, far = point[order], cell[order], far[order]
+        first = np.searchsorted(point, point)
+        held = np.cumsum(self.n[cell])
+        held -= np.where(first > 0, held[first - 1], 0)
+        limit = np.array(bound)
+        enough = held > self.k
+        np.minimum.at(limit, point[enough], far[enough])
+        keep = box_gap(xy[point], xy[point], self.low[cell], self.high[cell]) <= limit[point]
+        return point[keep], cell[keep]

@@ -8,27 +8,99 @@ other are connected. The hierarchy itself needs no levels.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusmap.operators.cells import CELL_ROWS, Surroundings, fit_cells, with_cells
 from corpusmap.operators.components import connected_components
 from corpusmap.operators.hierarchy import hierarchy_clusters
 from corpusmap.operators.indexing import dense_index
-from corpusmap.operators.neighbours import knn_graph
 from corpusmap.sources.scratch import materialize, materialize_observed
 
 # Half of the 5×5 neighbourhood of a cell: two cells further apart are over eps apart.
 _HALF = [(0, 1), (0, 2)] + [(dx, dy) for dx in (1, 2) for dy in (-2, -1, 0, 1, 2)]
 
 
-def core_distance(points: DataFrame, k: int = 30) -> DataFrame:
+def core_distance(points: DataFrame, k: int = 30, cell_rows: int | None = None) -> DataFrame:
     """Distance of each point (id, x, y) to its k-th nearest other point: id, core.
 
-    A point with fewer than k others has no row.
+    Copies of a point are one place with a weight. A place meets its own cell first; cells that its k-th distance there, or
+    the counts of whole cells, cannot rule out are asked next, each for its k nearest. A point with fewer than k
+    others has no row, nor has one without coordinates.
     """
-    vectors = points.select("id", F.array("x", "y").alias("vec"))
-    near = knn_graph(vectors, k, metric="euclidean", method="exact", vec="vec")
-    return near.where(F.col("rank") == k).select(F.col("src").alias("id"), F.col("distance").alias("core"))
+    places = materialize(points.dropna(subset=["x", "y"]).groupBy("x", "y").agg(F.count(F.lit(1)).alias("size")), "sites")
+    tree = fit_cells(places, cell_rows or max(CELL_ROWS, 4 * k))
+    placed = materialize(with_cells(places, tree), "placed")
+    # A row per cell.
+    boxes = placed.groupBy("cell").agg(*_box(), F.sum("size").alias("n")).toArrow()
+    around = Surroundings(tree, boxes, k)
+
+    def at_home(table: pa.Table) -> pa.Table:
+        xy, size = _sites(table)
+        return table.append_column("bound", pa.array(np.concatenate([b for *_, b in _kth(xy, xy, size, k)])))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                xy = np.stack([batch.column(c).to_numpy() for c in ("x", "y")], axis=1)
+                rows, cells = around.reached(xy, batch.column("bound").to_numpy())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells, pa.int32()), pa.array(xy[rows, 0]), pa.array(xy[rows, 1])], ["cell", "x", "y"]
+                )
+
+    def nearest(asked: pa.Table, own: pa.Table) -> pa.Table:
+        xy, size = _sites(own)
+        theirs = np.stack([asked.column(c).to_numpy() for c in ("x", "y")], axis=1)
+        out = {c: [] for c in ("x", "y", "distance", "weight")}
+        for rows, gaps, weights, _ in _kth(theirs, xy, size, k):
+            used = np.cumsum(weights, axis=1) - weights <= k  # up to the place that holds the k-th other
+            at, column = np.nonzero(used)
+            for name, values in (("x", theirs[rows[at], 0]), ("y", theirs[rows[at], 1]), ("distance", gaps[at, column]), ("weight", weights[at, column])):
+                out[name].append(values)
+        return pa.table({c: np.concatenate(v) if v else np.zeros(0, np.int64 if c == "weight" else float) for c, v in out.items()})
+
+    bounded = placed.groupBy("cell").applyInArrow(at_home, "x double, y double, size long, cell int, bound double")
+    asked = bounded.mapInArrow(ask, "cell int, x double, y double")
+    found = asked.groupBy("cell").cogroup(placed.groupBy("cell")).applyInArrow(
+        nearest, "x double, y double, distance double, weight long"
+    )
+    # At most k + 1 places of each cell that was asked.
+    listed = found.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("distance", "weight"))).alias("near"))
+    last = F.aggregate(
+        "near",
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("core")),
+        lambda a, e: F.struct(
+            (a["n"] + e["weight"]).alias("n"),
+            F.when((a["n"] <= k) & (a["n"] + e["weight"] > k), e["distance"]).otherwise(a["core"]).alias("core"),
+        ),
+    )
+    cores = listed.select("x", "y", last["core"].alias("core")).where("core is not null")
+    return points.select("id", "x", "y").join(cores, ["x", "y"]).select("id", "core")
+
+
+def _sites(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack([table.column(c).to_numpy() for c in ("x", "y")], axis=1), table.column("size").to_numpy()
+
+
+def _kth(asked: np.ndarray, xy: np.ndarray, size: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For slices of the asked points: their rows, and the distances and weights of the k + 1 nearest places (the own one
+    may be among them) in order, and the distance of the k-th other point, infinite if there are fewer."""
+    for rows in np.array_split(np.arange(len(asked)), -(-len(asked) * len(xy) // (1 << 19)) or 1):
+        gaps = np.hypot(asked[rows, None, 0] - xy[None, :, 0], asked[rows, None, 1] - xy[None, :, 1])
+        if gaps.shape[1] > k + 1:
+            near = np.argpartition(gaps, k, axis=1)[:, : k + 1]
+            gaps, weights = np.take_along_axis(gaps, near, 1), size[near]
+        else:
+            weights = np.broadcast_to(size, gaps.shape)
+        order = np.argsort(gaps, axis=1, kind="stable")
+        gaps, weights = np.take_along_axis(gaps, order, 1), np.take_along_axis(weights, order, 1)
+        enough = np.cumsum(weights, axis=1) > k
+        bound = np.where(enough[:, -1], gaps[np.arange(len(rows)), np.argmax(enough, axis=1)], np.inf)
+        yield rows, gaps, weights, bound
 
 
 def _at_levels(points: DataFrame, eps: list[float]) -> DataFrame:

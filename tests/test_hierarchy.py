@@ -170,3 +170,12 @@ def test_hierarchy_of_hard_rows(spark):
     two = rows[:40] + [(f"q{i}", 9.0, 9.0) for i in range(30)]
     got = density.density_clusters(spark.createDataFrame(two, "id string, x double, y double"), 5).collect()
     assert len({r["cluster"] for r in got if r["id"][0] == "p"}) == 1 and len({r["cluster"] for r in got}) == 2
+
+
+@pytest.mark.parametrize(("k", "cell_rows"), [(1, 20), (6, 30), (11, 64), (30, None), (499, 40), (500, 40)])
+def test_core_distances_against_all_pairs(spark, k, cell_rows):
+    xy = scattered(9)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(-1, None, 3.0)], "id long, x double, y double")
+    got = {r["id"]: r["core"] for r in density.core_distance(df, k, cell_rows).collect()}
+    gaps = np.sort(np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1]), axis=1)
+    assert got == ({i: gaps[i, k] for i in range(len(xy))} if k < len(xy) else {})
