@@ -85,23 +85,34 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
     return source, "".join(b for _, b in singles), ligatures
 
 
+def _ranges(chars: list[str]) -> str:
+    """A character class with neighbouring characters as ranges: long lists are walked for every character."""
+    codes = sorted(map(ord, chars))
+    bounds = [i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1]
+    parts = zip([0, *bounds], [*bounds, len(codes)], strict=True)
+    return "[" + "".join(f"\\x{{{codes[i]:x}}}-\\x{{{codes[j - 1]:x}}}" for i, j in parts) + "]"
+
+
 def normalize_text(text: Column) -> Column:
     """Lower-case text without accents and compatibility forms, inside the JVM.
 
-    Characters that fold to several are looked up one by one, in texts that have any.
+    Characters that fold to one are translated. Texts with characters that fold to several are first cut before and after
+    those, and only such pieces are looked up. ASCII texts, and ASCII characters, are passed by.
     """
     source, target, ligatures = _fold_tables()
     spelling = F.create_map(*[F.lit(s) for pair in ligatures for s in pair])
-    several = "[" + "".join(a for a, _ in ligatures) + "]"
+    several = rf"(?![\x00-\x7f]){_ranges([a for a, _ in ligatures])}"
+
+    def spelled(low: Column) -> Column:
+        pieces = F.split(low, f"(?={several})|(?<={_ranges([a for a, _ in ligatures])})")
+        return F.array_join(
+            F.transform(pieces, lambda c: F.when(F.length(c) == 1, F.coalesce(F.try_element_at(spelling, c), c)).otherwise(c)), ""
+        )
 
     def fold(low: Column) -> Column:
-        letters = F.regexp_extract_all(low, F.lit(r"(?s)."), F.lit(0))
-        spelled = F.when(
-            low.rlike(several),
-            F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(spelling, c), c)), ""),
-        ).otherwise(low)
         return F.when(
-            low.rlike(r"[^\x00-\x7f]"), F.translate(spelled, source, target)
+            low.rlike(r"[^\x00-\x7f]"),
+            F.translate(F.when(low.rlike(several), spelled(low)).otherwise(low), source, target),
         ).otherwise(low)
 
     return let(F.lower(text), fold)

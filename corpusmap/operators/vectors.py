@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmap.functions.text import term_counts
 from corpusmap.functions.works import let
+from corpusmap.sources.scratch import materialize
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -75,28 +76,30 @@ def _encode_with(df: DataFrame, make_encoder: Callable[[], Encoder], batch: int)
     return df.select("id", "text").mapInPandas(run, f"id {id_type}, embedding array<float>")
 
 
-def _sign(word: Column, dim: int, seed: int) -> Column:
-    """1 or -1, a bit of a digest of the word: 128 dimensions per digest."""
-    digest = F.md5(F.concat(F.lit(f"{seed}|{dim // 128}|"), word))
-    bits = F.conv(F.substring(digest, 1 + dim % 128 // 32 * 8, 8), 16, 10).cast("long")
-    return F.shiftright(bits, dim % 32).bitwiseAND(F.lit(1)) * 2 - 1
+def _sign_bits(word: Column, part: int, seed: int) -> Column:
+    """32 bits of a digest of the word, one for each of the dimensions from 32 * ``part`` on."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|{part // 4}|"), word))
+    return F.conv(F.substring(digest, 1 + part % 4 * 8, 8), 16, 10).cast("long")
 
 
 def _encode_by_signs(df: DataFrame, dims: int, seed: int) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    counted = df.select("id", F.explode(term_counts(words)).alias("t")).select("id", "t.term", "t.tf")
-    rows = df.count()
-    signs = F.array(*[_sign(F.col("term"), d, seed).cast("double") for d in range(dims)])
-    known = counted.groupBy("term").agg(
-        F.log((rows + 1) / (F.count(F.lit(1)) + 1)).alias("idf")
-    )
-    weighted = counted.join(known.where("idf > 0").withColumn("signs", signs), "term").select(
-        "id",
-        array_to_vector(
-            F.transform("signs", lambda s: s * F.col("tf") * F.col("idf"))
-        ).alias("part"),
+    counted = materialize(
+        df.select("id", F.explode(term_counts(words)).alias("t")).select("id", "t.term", "t.tf"), "counted"
     )
-    sums = weighted.groupBy("id").agg(vector_to_array(Summarizer.sum(F.col("part"))).alias("total"))
+    rows = df.count()
+    known = counted.groupBy("term").agg(F.log((rows + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
+    parts = [f"bits{p}" for p in range(-(-dims // 32))]
+    signed = known.where("idf > 0").withColumns({name: _sign_bits(F.col("term"), p, seed) for p, name in enumerate(parts)})
+    # A row of the regrouping holds a weight and sign bits; vectors come to be where their document is.
+    weights = counted.join(signed, "term").select("id", (F.col("tf") * F.col("idf")).alias("weight"), *parts).repartition("id")
+
+    def total(d: int) -> Column:
+        up = F.shiftright(parts[d // 32], d % 32).bitwiseAND(F.lit(1)) == 1
+        return F.sum(F.when(up, F.col("weight")).otherwise(-F.col("weight"))).alias(f"d{d}")
+
+    sums = weights.groupBy("id").agg(*[total(d) for d in range(dims)])
+    sums = sums.select("id", F.array(*[f"d{d}" for d in range(dims)]).alias("total"))
     zero = F.array_repeat(F.lit(0.0), dims)
     return df.select("id").join(sums, "id", "left").select(
         "id", l2_normalized(F.coalesce("total", zero)).cast("array<float>").alias("embedding")
