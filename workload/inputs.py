@@ -52,6 +52,15 @@ def vector_points(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def vector_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A record for every vector."""
+    number = F.col("vec_id").cast("string")
+    year = (F.lit(2000) + F.col("vec_id") % 25).cast("int")
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.concat(F.lit("Vector "), number).alias("title"), year.alias("year")
+    )
+
+
 def vector_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Map labels on two levels placed at the vectors."""
     points = vector_points(spark, sf)

@@ -259,22 +259,40 @@ def _nearest(centres: str) -> str:
     FROM points p JOIN {centres} c ON p.cluster = c.cluster) WHERE rn = 1"""
 
 
-_KMEANS_STEP = f"""c1 AS (
+_KMEANS_START = f"""c1 AS (
   SELECT cluster, arg_min(x, ({_KEY}, id)) AS x, arg_min(y, ({_KEY}, id)) AS y
   FROM points p GROUP BY cluster),
 {_farthest('c2', 'SELECT * FROM c1')},
 {_farthest('c3', _C12)},
-centres AS ({_C12} UNION ALL SELECT cluster, 2, x, y FROM c3),
+centres AS ({_C12} UNION ALL SELECT cluster, 2, x, y FROM c3)"""
+_KMEANS_STEP = f"""{_KMEANS_START},
 moved AS (
   SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY x, y) - 1 AS sub, x, y FROM (
     SELECT cluster, sub, avg(x) AS x, avg(y) AS y FROM ({_nearest('centres')})
     GROUP BY cluster, sub))"""
+_TO_EACH = "list_transform(l.spots, lambda c: (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y))"
+# Rounds until the centres of a group rest.
+_KMEANS = f"""{_KMEANS_START},
+rounds AS (
+  SELECT 0 AS turn, cluster, list({{'x': x, 'y': y}} ORDER BY sub) AS spots,
+         NULL::STRUCT(x DOUBLE, y DOUBLE)[] AS before FROM centres GROUP BY cluster
+  UNION ALL
+  SELECT turn + 1, cluster, list({{'x': x, 'y': y}} ORDER BY x, y), any_value(spots) FROM (
+    SELECT turn, cluster, sub, any_value(spots) AS spots, avg(x) AS x, avg(y) AS y FROM (
+      SELECT l.turn, l.cluster, l.spots, p.x, p.y, list_position({_TO_EACH}, list_min({_TO_EACH})) AS sub
+      FROM rounds l JOIN points p ON p.cluster = l.cluster WHERE l.before IS NULL OR l.spots <> l.before)
+    GROUP BY turn, cluster, sub)
+  GROUP BY turn, cluster),
+moved AS (
+  SELECT cluster, sub, spots[sub + 1].x AS x, spots[sub + 1].y AS y FROM (
+    SELECT cluster, spots, unnest(range(len(spots))) AS sub FROM (
+      SELECT cluster, arg_max(spots, turn) AS spots FROM rounds GROUP BY cluster)))"""
 _LARGE = """points AS (
   SELECT id, cluster, x, y FROM docs WHERE cluster IN (
     SELECT cluster FROM topics WHERE count > 50 AND len(keywords) > 1))"""
 _MOVED = "middles AS (SELECT * FROM moved)"
 ORACLE_SQL["build_labels"] = f"""
-WITH RECURSIVE {_TOPICS}, {_LARGE}, {_KMEANS_STEP},
+WITH RECURSIVE {_TOPICS}, {_LARGE}, {_KMEANS},
 {_sub_labels(_nearest('moved'), _MOVED)}"""
 
 # Vectors
@@ -339,6 +357,9 @@ ORACLE_SQL["grouped_kmeans_step"] = f"""
 WITH {_POINTS}, {_KMEANS_STEP}
 SELECT cluster, sub, round(x, 6) AS x, round(y, 6) AS y FROM moved"""
 
+ORACLE_SQL["grouped_kmeans"] = f"""
+WITH RECURSIVE {_POINTS}, {_KMEANS} SELECT id, cluster, sub FROM ({_nearest('moved')})"""
+
 # Self-organizing map
 
 _SOM = """book AS (
@@ -366,13 +387,14 @@ density AS (
   SELECT b.som_x, b.som_y, count(a.id) AS density
   FROM book b LEFT JOIN assigned a ON a.som_x = b.som_x AND a.som_y = b.som_y
   GROUP BY b.som_x, b.som_y)"""
-_SHOWN = f"""{_DOCS}, {_SOM},
+_RECORDS = """records AS (
+  SELECT vec_id AS id, 'Vector ' || vec_id AS title, (2000 + vec_id % 25)::INTEGER AS year
+  FROM embeddings)"""
+_SHOWN = f"""{_RECORDS}, {_SOM},
 shown AS (
-  SELECT s.id, som_x, som_y,
-         CASE WHEN label IS NULL OR label = 0 THEN -1 ELSE label END AS cluster,
-         left(title, 120) AS title, year::INTEGER AS year
-  FROM (SELECT * FROM docs ORDER BY md5('42|' || id), id LIMIT 200) s
-  JOIN assigned a ON s.id = a.id LEFT JOIN embeddings e ON e.vec_id = s.id)"""
+  SELECT s.id, som_x, som_y, CASE WHEN label = 0 THEN -1 ELSE label END AS cluster, title, year
+  FROM (SELECT * FROM records ORDER BY md5('42|' || id), id LIMIT 5000) s
+  JOIN assigned a ON s.id = a.id JOIN embeddings e ON e.vec_id = s.id)"""
 ORACLE_SQL["som_assign"] = f"""
 WITH {_SOM} SELECT id, som_x, som_y, round(error, 6) AS error FROM assigned"""
 ORACLE_SQL["som_umatrix"] = f"WITH {_SOM} SELECT * FROM umatrix"
@@ -492,9 +514,7 @@ WHERE doc_id NOT IN (SELECT doc_id * 2 FROM labels)
 UNION ALL
 SELECT doc_id * 2, 'right' FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)"""
 ORACLE_SQL["attach_layout"] = f"""
-WITH {_DOCS}, {_POINTS}
-SELECT d.id, title, round(p.x, 6) AS x, round(p.y, 6) AS y, p.cluster
-FROM docs d JOIN points p ON d.id = p.id"""
+WITH {_DOCS} SELECT id, title, round(x, 6) AS x, round(y, 6) AS y, cluster FROM docs"""
 _NAMED = """topics AS (
   SELECT cluster, 'Topic ' || cluster AS label FROM points
   WHERE cluster <> -1 GROUP BY cluster HAVING avg(x) > 0)"""
@@ -670,14 +690,12 @@ WITH {_trained(6, 5, 5)}
 SELECT som_x::INT AS som_x, som_y::INT AS som_y, d::INT - 1 AS pos, round(e[d], 6) AS weight
 FROM trained, range(1, 65) r(d)"""
 ORACLE_SQL["build_som"] = f"""
-WITH {_DOCS}, {_trained(6, 5, 5)},
+WITH {_RECORDS}, {_POINTS}, {_trained(6, 5, 5)},
 nearest AS (
   SELECT id, som_x, som_y FROM (
     SELECT v.id, som_x, som_y,
            row_number() OVER (PARTITION BY v.id ORDER BY list_distance(v.e, t.e), t.n) AS rn
     FROM vecs v, trained t) WHERE rn = 1),
-shown AS (
-  SELECT * FROM docs WHERE id IN (SELECT id FROM vecs) ORDER BY md5('42|' || id), id LIMIT 5000)
-SELECT d.id, som_x::INT AS som_x, som_y::INT AS som_y, cluster::INT AS cluster,
-       left(title, 120) AS title, year::INT AS year
-FROM shown d JOIN nearest n ON n.id = d.id"""
+shown AS (SELECT * FROM records ORDER BY md5('42|' || id), id LIMIT 5000)
+SELECT d.id, som_x::INT AS som_x, som_y::INT AS som_y, cluster::INT AS cluster, title, year
+FROM shown d JOIN nearest n ON n.id = d.id JOIN points p ON p.id = d.id"""

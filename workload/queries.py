@@ -34,6 +34,7 @@ from workload.inputs import (
     table,
     vector_labels,
     vector_points,
+    vector_records,
     vectors,
     works,
 )
@@ -344,13 +345,13 @@ def order_clusters(spark, sf):
 
 @register
 def build_labels(spark, sf):
-    _, labels = steps.build_labels(documents(spark, sf), kmeans_iters=1)
+    _, labels = steps.build_labels(documents(spark, sf))
     return labels.select("cluster", "text", r6("x").alias("x"), r6("y").alias("y"), "level")
 
 
 @register
 def build_topics(spark, sf):
-    clusters, _ = steps.build_labels(documents(spark, sf), kmeans_iters=1)
+    clusters, _ = steps.build_labels(documents(spark, sf))
     return clusters.select(
         "cluster", "label", F.array_join("keywords", " ").alias("keywords"), "count"
     )
@@ -406,9 +407,7 @@ def fuzzy_graph(spark, sf):
 def layout_2d(spark, sf):
     rows = vectors(spark, sf)
     knn = materialize(neighbours.knn_graph(rows, 14), "knn")
-    return layout.layout_2d(
-        neighbours.fuzzy_graph(knn, 15), layout.pca_start(rows), epochs=5
-    )
+    return layout.layout_2d(neighbours.fuzzy_graph(knn, 15), layout.pca_start(rows))
 
 
 @register
@@ -450,6 +449,12 @@ def grouped_kmeans_step(spark, sf):
     )
 
 
+@register
+def grouped_kmeans(spark, sf):
+    assigned, _ = kmeans.grouped_kmeans(vector_points(spark, sf))
+    return assigned.select("id", "cluster", "sub")
+
+
 # Self-organizing map
 
 
@@ -471,8 +476,7 @@ def som_density(spark, sf):
 
 
 def _som_points(spark, sf, assigned: DataFrame) -> DataFrame:
-    points = documents(spark, sf).select("id", "title", "year")
-    sample = som.attach_som(sampling.sample_points(points, 200), assigned)
+    sample = som.attach_som(sampling.sample_points(vector_records(spark, sf), 5000), assigned)
     return som.som_points_with_cluster(sample, views.drop_noise(vector_points(spark, sf)))
 
 
@@ -502,7 +506,7 @@ def som_train(spark, sf):
 
 @register
 def build_som(spark, sf):
-    points = documents(spark, sf).join(vectors(spark, sf).select("id"), "id", "left_semi")
+    points = vector_records(spark, sf).join(vector_points(spark, sf), "id")
     return steps.build_som(vectors(spark, sf), points, 6, 5, epochs=5).points
 
 
@@ -587,9 +591,8 @@ def check_aligned(spark, sf):
 
 @register
 def attach_layout(spark, sf):
-    docs = documents(spark, sf).select("id", "title")
-    points = vector_points(spark, sf)
-    joined = views.attach_layout(docs, points, points)
+    docs = documents(spark, sf)
+    joined = views.attach_layout(docs.select("id", "title"), docs, docs)
     return joined.select("id", "title", r6("x").alias("x"), r6("y").alias("y"), "cluster")
 
 
@@ -650,10 +653,7 @@ def build_embeddings(spark, sf):
 
 @register
 def build_map(spark, sf):
-    rows = vectors(spark, sf)
-    docs = documents(spark, sf).join(rows.select("id"), "id", "left_semi")
-    shared = rows.join(docs.select("id"), "id", "left_semi")
-    mapped = steps.build_map(
-        shared, docs.select("id", "title", "year"), 15, 0.05, 10, epochs=5
-    )
-    return mapped.select("id", "title", "year", "x", "y", "cluster")
+    """All documents from text to map, with the library's defaults."""
+    docs = documents(spark, sf)
+    embedded = materialize(steps.build_embeddings(docs), "embedded")
+    return steps.build_map(embedded, docs.select("id", "title", "year"))
