@@ -13,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from corpusmap.functions.ordering import hash_key
+from corpusmap.functions.ordering import hash_key, hash_unit
 from corpusmap.sources.scratch import materialize
 
 # Distances are compared at this many decimals, so copies tie and the id decides.
 DISTANCE_DECIMALS = 12
+# Of the methods whose pivots the driver holds.
 MAX_PIVOTS = 16_384
 # Sources compared in one matrix product.
 CHUNK_ROWS = 2048
@@ -133,24 +135,24 @@ def _block_join(
     id_type = queries.schema["id"].dataType.simpleString()
 
     def sized(df: DataFrame, rows: int, name: str) -> DataFrame:
-        # At most one row per pivot, hence the broadcasts below are bounded.
+        # A row per pivot: the planner broadcasts it where that is cheap.
         return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
     asked = queries.select("id", "vec", "bound", F.explode("targets").alias("cell"))
     asked_cells = queries.select(F.explode("targets").alias("cell"))
     blocks = sized(sources, source_rows, "s_blocks").join(
-        F.broadcast(sized(asked_cells, query_rows, "q_blocks")), "cell"
+        sized(asked_cells, query_rows, "q_blocks"), "cell"
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     left = (
-        asked.join(F.broadcast(blocks), "cell")
+        asked.join(blocks, "cell")
         .withColumn("q", mine("q_blocks"))
         .withColumn("s", every("s_blocks"))
         .select("cell", "q", "s", "id", "vec", "bound")
     )
     right = (
-        sources.join(F.broadcast(blocks), "cell")
+        sources.join(blocks, "cell")
         .withColumn("s", mine("s_blocks"))
         .withColumn("q", every("q_blocks"))
         .select(*[F.col(c).alias(c) for c in ("cell", "q", "s", "id", "vec")])
@@ -194,11 +196,161 @@ def _k_best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+# Groups of pivots that a query visits after its own, and the cells it visits in each.
+NEXT_GROUPS, NEXT_PROBES = 3, 4
+# Rounds in which rows meet the neighbours of their neighbours, neighbours that take part, and rows that meet at one.
+ROUNDS = 2
+LISTED, ASKERS = 32, 512
+
+
+def _drawn(sources: DataFrame, wanted: int, n: int, seed: int) -> Column:
+    """Whether a row is among about ``wanted`` of ``n`` by its hash; a smaller draw is part of a larger one."""
+    first = sources.select(F.min(hash_key(F.col("id"), seed)).alias("first")).first()["first"]
+    key = hash_key(F.col("id"), seed)
+    return (hash_unit(key) < wanted / max(n, 1)) | (key == F.lit(first))
+
+
+def _nearest_tops(df: DataFrame, tops: np.ndarray, metric: str, count: int) -> DataFrame:
+    """Add ``tops``: numbers of the nearest pivots of pivots, nearest first."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slices = (f.iloc[a : a + SLICE_ROWS] for f in frames for a in range(0, len(f), SLICE_ROWS))
+        for frame in slices:
+            d = _euclid(_space(frame["vec"], metric), tops)
+            yield frame.assign(tops=list(np.argsort(d, axis=1, kind="stable")[:, :count].astype(np.int32)))
+
+    return df.mapInPandas(run, StructType([*df.schema, StructField("tops", ArrayType(IntegerType()))]))
+
+
+def _pivot_cells(routed: DataFrame, pivots: DataFrame, metric: str, probes: int, rows_at_once: int) -> DataFrame:
+    """(id, vec, source, step, cells): for every visited group the nearest of its pivots, nearest first.
+
+    A group's rows are cut into blocks by a hash of the id, and its pivots sent to each block.
+    """
+    id_type = routed.schema["id"].dataType.simpleString()
+    vec_type = routed.schema["vec"].dataType.simpleString()
+    asked = routed.select("id", "vec", "source", F.posexplode("tops").alias("step", "top"))
+    # A row per group of pivots.
+    sizes = materialize(asked.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / rows_at_once).cast("int").alias("blocks")), "blocks")
+    left = asked.join(sizes, "top").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    right = pivots.join(sizes, "top").select("top", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cell", F.col("vec").alias("at"))
+    right = right.select(*[F.col(c).alias(c) for c in ("top", "block", "cell", "at")])
+
+    kept, nothing = ["id", "vec", "source", "step"], pd.Series([], dtype=object)
+
+    def choose(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return a[kept].iloc[:0].assign(vec=nothing, cells=nothing)
+        b = b.sort_values("cell", ignore_index=True)
+        cell, places = b["cell"].to_numpy(), _space(b["at"], metric)
+        out = []
+        for at in range(0, len(a), SLICE_ROWS):
+            part = a.iloc[at : at + SLICE_ROWS]
+            d = _euclid(_space(part["vec"], metric), places)
+            order = np.argsort(d, axis=1, kind="stable")
+            home = part["step"].to_numpy() == 0
+            cells = [cell[o[: probes if h else NEXT_PROBES]] for o, h in zip(order, home)]
+            out.append(part[kept].assign(cells=cells))
+        return pd.concat(out)
+
+    keys = ["top", "block"]
+    return (
+        left.groupBy(*keys)
+        .cogroup(right.groupBy(*keys))
+        .applyInPandas(choose, f"id {id_type}, vec {vec_type}, source boolean, step int, cells array<long>")
+    )
+
+
+def _reach(found: DataFrame, k: int) -> DataFrame:
+    """(id, reach): the k-th distance of a row, null if it has fewer neighbours."""
+    return found.groupBy(F.col("src").alias("id")).agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("reach"))
+
+
+def _tree_graph(
+    rows: DataFrame, k: int, metric: str, probes: int, cell_rows: int, query_rows: int, source_rows: int, seed: int
+) -> DataFrame:
+    sources = rows.where("source").select("id", "vec")
+    n = sources.count()
+    if not n:
+        return sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+    wanted = max(1, -(-n // cell_rows))
+    pivots = materialize(
+        sources.where(_drawn(sources, wanted, n, seed)).withColumn("cell", F.monotonically_increasing_id()), "pivots"
+    )
+    tops = pivots.where(_drawn(sources, int(np.ceil(np.sqrt(wanted))), n, seed)).orderBy("id")
+    matrix = _space(tops.select("vec").toPandas()["vec"], metric)  # about the root of the number of pivots
+    grouped = _nearest_tops(pivots, matrix, metric, 1).select("cell", "vec", F.get("tops", F.lit(0)).alias("top"))
+    visits = materialize(
+        _pivot_cells(_nearest_tops(rows, matrix, metric, 1 + NEXT_GROUPS), grouped, metric, probes, 4 * query_rows), "visits"
+    )
+    home = visits.where("step = 0")
+    placed = home.where("source").select("id", "vec", F.get("cells", F.lit(0)).alias("cell"))
+    at_home = home.select("id", "vec", F.lit(float("inf")).alias("bound"), F.slice("cells", 1, 1).alias("targets"))
+    first = materialize(_k_best(_block_join(at_home, placed, k, metric, query_rows, source_rows), k), "knn-first")
+    others = F.when(F.col("step") == 0, F.slice("cells", 2, probes)).otherwise(F.col("cells"))
+    beyond = (
+        visits.join(_reach(first, k), "id", "left")
+        .select("id", "vec", F.coalesce("reach", F.lit(float("inf"))).alias("bound"), others.alias("targets"))
+        .where(F.size("targets") > 0)
+    )
+    second = _block_join(materialize(beyond, "beyond"), placed, k, metric, query_rows, source_rows)
+    found = materialize(_k_best(first.drop("rank").unionByName(second), k), "knn-second")
+    for _ in range(ROUNDS if wanted > 1 else 0):
+        met = _neighbours_of_neighbours(found, rows, k, metric)
+        best = found.drop("rank").unionByName(met).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+        found = materialize(_k_best(best, k), "knn-met")
+    return found
+
+
+def _neighbours_of_neighbours(found: DataFrame, rows: DataFrame, k: int, metric: str) -> DataFrame:
+    """(src, dst, distance) of rows that list a common row, or that one row lists, within the k-th distance of ``src``.
+
+    Lists hold the ``LISTED`` nearest. The row between is the key; keys are dealt into buckets. Those that list a row are cut by a hash
+    into parts of about ``ASKERS``, and what the row itself lists is sent to every part, so a hub makes no large group.
+    """
+    id_type = rows.schema["id"].dataType.simpleString()
+    lists = materialize(found.where(F.col("rank") <= LISTED).select("src", "dst"), "lists")
+    counted = lists.groupBy(F.col("dst").alias("mid")).agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("cuts"))
+    backward = lists.select(F.col("dst").alias("mid"), F.col("src").alias("id")).join(counted, "mid")
+    forward = lists.select(F.col("src").alias("mid"), F.col("dst").alias("id")).join(counted, "mid", "left")
+    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1))
+    members = backward.select("mid", own.alias("cut"), "id").unionByName(forward.select("mid", every.alias("cut"), "id")).distinct()
+    buckets = max(1, lists.count() // (1 << 15))
+    met = (
+        members.join(rows.select("id", "vec", "source"), "id")
+        .join(_reach(found, k), "id", "left")
+        .select(
+            F.pmod(F.xxhash64("mid"), F.lit(buckets)).cast("int").alias("bucket"),
+            "cut",
+            "mid",
+            "id",
+            "vec",
+            F.coalesce("reach", F.lit(float("inf"))).alias("bound"),
+            "source",
+        )
+    )
+
+    def meet(own: pd.DataFrame) -> pd.DataFrame:
+        ids, bound, source = own["id"].to_numpy(), own["bound"].to_numpy(), own["source"].to_numpy()
+        places = _space(own["vec"], metric)
+        parts = [pd.DataFrame({"src": ids[:0], "dst": ids[:0], "distance": bound[:0]})]
+        for i in own.groupby("mid").indices.values():
+            d = np.round(_pairwise(places[i], places[i], metric), DISTANCE_DECIMALS)
+            near = (d <= bound[i][:, None]) & source[i][None, :]
+            np.fill_diagonal(near, False)
+            r, c = np.nonzero(near)
+            parts.append(pd.DataFrame({"src": ids[i[r]], "dst": ids[i[c]], "distance": d[r, c]}))
+        return pd.concat(parts).drop_duplicates(["src", "dst"])
+
+    return met.groupBy("bucket", "cut").applyInPandas(meet, f"src {id_type}, dst {id_type}, distance double")
+
+
 def knn_graph(
     df: DataFrame,
     k: int = 30,
     metric: str = "cosine",
-    method: str = "ivf",
+    method: str = "tree",
     vec: str = "embedding",
     probes: int = 8,
     cell_rows: int = 1024,
@@ -208,20 +360,32 @@ def knn_graph(
 ) -> DataFrame:
     """The k nearest other rows of each row: src, dst, rank, distance; ties go to the lower id.
 
-    A query meets its own cell first; the k-th distance found there bounds what later cells may
-    send. ``exact`` then visits every cell within that bound and gives the true neighbours.
-    ``ivf``, the default at every size, visits only those among the ``probes`` nearest: a few neighbours
-    are missed. Of equal vectors only the k+1 lowest ids can be anyone's neighbour, so
-    a large group of copies costs each of its members no more than k+1 candidates.
+    A query meets its own cell first; the k-th distance found there bounds what later cells may send.
+
+    * ``tree``, the default: pivots are found through pivots of their own, so the driver holds about the square root of their
+      number; a query visits ``probes`` cells of its nearest group and some of the next groups, and then meets the neighbours of its
+      neighbours. A few neighbours are missed; README states the recall. There is no limit to the number of rows.
+    * ``exact`` visits every cell within that bound and gives the true neighbours; ``ivf`` visits only those among the
+      ``probes`` nearest. Both hold one pivot for every ``cell_rows`` rows on the driver and refuse more than ``MAX_PIVOTS``.
+
+    Of equal vectors only the k+1 lowest ids can be anyone's neighbour, so a large group of copies costs each of its
+    members no more than k+1 candidates.
     """
     rows = df.select("id", F.col(vec).alias("vec"))
     copies = W.partitionBy("vec").orderBy("id")
+    if method == "tree":
+        wide = max(k, LISTED)
+        marked = materialize(rows.withColumn("source", F.row_number().over(copies) <= wide + 1), "knn-rows")
+        found = _tree_graph(marked, wide, metric, probes, cell_rows, query_rows, source_rows, seed)
+        return found.where(F.col("rank") <= k)
     sources = materialize(
         rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy"),
         "knn-sources",
     )
     n_sources, n_rows = sources.count(), rows.count()
-    n_pivots = int(min(MAX_PIVOTS, max(1, -(-n_sources // cell_rows))))
+    n_pivots = max(1, -(-n_sources // cell_rows))
+    if n_pivots > MAX_PIVOTS:
+        raise ValueError(f"{n_pivots} pivots: take method 'tree', or cells of more than {cell_rows} rows")
     sampled = sources.orderBy(hash_key(F.col("id"), seed), "id").limit(n_pivots).select("vec")
     pivots = _space(sampled.toPandas()["vec"], metric) if n_sources else np.zeros((1, 1))
 

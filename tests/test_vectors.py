@@ -74,6 +74,54 @@ def test_ivf_recall_on_blobs(spark):
     assert hits / (5 * len(wanted)) > 0.9
 
 
+def recall_of(found, matrix, k, metric, queries):
+    """Share of the k nearest distances that were found, by brute force over all rows."""
+    hits = 0
+    for i in queries:
+        if metric == "cosine":
+            length = np.maximum(np.linalg.norm(matrix, axis=1), 1e-12)
+            d = 1.0 - (matrix @ matrix[i]) / (length * length[i])
+        else:
+            d = np.linalg.norm(matrix - matrix[i], axis=1)
+        d[i] = np.inf
+        kth = np.partition(d, k - 1)[k - 1]
+        near = found.get(i, [])
+        assert len(near) == k and len({j for _, j in near}) == k and i not in {j for _, j in near}
+        assert all(abs(gap - d[j]) < 1e-6 for gap, j in near)
+        hits += sum(gap <= kth + 1e-9 for gap, _ in near)
+    return hits / (k * len(queries))
+
+
+@pytest.mark.parametrize(("metric", "dims", "k"), [("cosine", 24, 5), ("euclidean", 3, 30)])
+def test_tree_recall_with_many_cells(spark, metric, dims, k):
+    """Uniform rows, the hardest kind, and a third of all rows copies of one row."""
+    rng = np.random.default_rng(4)
+    matrix = np.vstack([rng.normal(size=(1600, dims)), np.tile(rng.normal(size=dims), (800, 1))])
+    found = by_source(neighbours.knn_graph(frame(spark, matrix), k, metric, cell_rows=32, query_rows=256).collect())
+    assert set(found) == set(range(len(matrix)))
+    assert recall_of(found, matrix, k, metric, range(0, 2400, 20)) >= 0.95
+
+
+def test_tree_of_the_table_finds_its_neighbours(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    table = rows.toPandas().sort_values("id")
+    assert list(table["id"]) == list(range(len(table)))
+    matrix = np.vstack(table["embedding"]).astype(float)
+    found = by_source(neighbours.knn_graph(rows, 5, cell_rows=16).collect())
+    assert recall_of(found, matrix, 5, "cosine", range(0, len(matrix), 20)) >= 0.95
+
+
+def test_tree_of_hard_rows(spark):
+    few = np.array([[0.0, 1.0], [1.0, 0.0], [1.0, 1.0]])
+    got = by_source(neighbours.knn_graph(frame(spark, few), 5, "euclidean").collect())
+    assert {src: len(n) for src, n in got.items()} == {0: 2, 1: 2, 2: 2}
+    assert neighbours.knn_graph(frame(spark, few).where("false"), 5).count() == 0
+    copies = by_source(neighbours.knn_graph(frame(spark, np.ones((90, 2))), 3, "euclidean", cell_rows=8).collect())
+    assert all([j for _, j in near] == [j for j in range(4) if j != i][:3] for i, near in copies.items()) and len(copies) == 90
+    with pytest.raises(ValueError, match="pivots"):
+        neighbours.knn_graph(frame(spark, np.ones((17_000, 1)) * np.arange(17_000)[:, None]), 1, "euclidean", "exact", cell_rows=1)
+
+
 def test_fuzzy_graph_is_symmetric_and_calibrated(spark):
     rng = np.random.default_rng(5)
     matrix = rng.normal(size=(80, 3))

@@ -396,6 +396,12 @@ def knn_ivf(spark, sf):
     )
 
 
+@register
+def knn_tree(spark, sf):
+    """The default method over many cells; recall is tested against brute force."""
+    return _knn(neighbours.knn_graph(vectors(spark, sf), 5, cell_rows=64))
+
+
 @register
 def fuzzy_graph(spark, sf):
     knn = materialize(neighbours.knn_graph(vectors(spark, sf), 14, method="exact"), "knn")
