@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmap.operators.indexing import dense_index
-from corpusmap.sources.scratch import discard, materialize
+from corpusmap.sources.scratch import bucketed, discard, materialize
 
 # Largest step of one force along one axis.
 MAX_FORCE = 4.0
@@ -70,59 +70,74 @@ def layout_2d(
     nodes = materialize(dense_index(start.select("id"), "node", seed), "nodes")
     n = nodes.count()
     ends = nodes.select(F.col("id").alias("dst"), F.col("node").alias("other"))
-    edges = materialize(
+    edges = (
         graph.join(nodes.withColumnRenamed("id", "src"), "src")
         .join(ends, "dst")
-        .select("node", "other", "weight"),
-        "layout-edges",
+        .select("node", "other", "weight")
     )
     places = materialize(start.join(nodes, "id").select("node", "x", "y"), "layout")
-    for epoch in range(epochs):
-        alpha = 1.0 - epoch / epochs
-        here = places.select("node", "x", "y")
-        there = places.select(
-            F.col("node").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")
-        )
-        dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-        d2 = dx * dx + dy * dy
-        pull = F.when(
-            d2 > 0, -2.0 * a * b * F.pow(d2, F.lit(b - 1.0)) / (1.0 + a * F.pow(d2, F.lit(b)))
-        ).otherwise(0.0)
-        push = F.when(
-            d2 > 0, 2.0 * b / ((0.001 + d2) * (1.0 + a * F.pow(d2, F.lit(b))))
-        ).otherwise(0.0)
-        w = F.col("weight")
-        pulled = (
-            edges.join(here, "node")
-            .join(there, "other")
-            .select("node", (w * _clip(pull * dx)).alias("fx"), (w * _clip(pull * dy)).alias("fy"), w.alias("mass"))
-        )
-        drawn = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(epoch), "draw"), F.lit(n))
-        pushed = (
-            here.select("*", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("draw"))
-            .withColumn("other", drawn)
-            .join(there, "other")
-            .select("node", _clip(push * dx).alias("gx"), _clip(push * dy).alias("gy"))
-        )
-        force = pulled.select(
-            "node", "fx", "fy", "mass", F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy")
-        ).unionByName(
-            pushed.select(
-                "node", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"), F.lit(0.0).alias("mass"), "gx", "gy"
+    with bucketed(edges, "layout_edges", "other") as held:
+        for epoch in range(epochs):
+            replaced = places
+            places = materialize(
+                epoch_moved(held, places, n, (a, b), 1.0 - epoch / epochs, epoch, negatives, seed), "layout"
             )
-        )
-        total = force.groupBy("node").agg(
-            *[F.sum(c).alias(c) for c in ("fx", "fy", "mass", "gx", "gy")]
-        )
+            discard(replaced)
+    return places.join(nodes, "node").select("id", "x", "y")
+
 
-        def moved(axis: str) -> Column:
-            mass = F.greatest(F.coalesce("mass", F.lit(0.0)), F.lit(1e-9))
-            step = F.coalesce(f"f{axis}", F.lit(0.0)) / mass + F.coalesce(f"g{axis}", F.lit(0.0))
-            return (F.col(axis) + F.lit(alpha) * step).alias(axis)
+def drawn_nodes(places: DataFrame, n: int, epoch: int, negatives: int, seed: int) -> DataFrame:
+    """(node, other): the nodes that push each node in an epoch."""
+    drawn = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(epoch), "draw"), F.lit(n))
+    draws = places.select("node", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("draw"))
+    return draws.select("node", drawn.alias("other"))
 
-        replaced = places
-        places = materialize(
-            replaced.join(total, "node", "left").select("node", moved("x"), moved("y")), "layout"
+
+def epoch_moved(
+    edges: DataFrame,
+    places: DataFrame,
+    n: int,
+    curve: tuple[float, float],
+    alpha: float,
+    epoch: int,
+    negatives: int,
+    seed: int,
+) -> DataFrame:
+    """Places (node, x, y) after one epoch.
+
+    Every edge, and every draw, sends the place of ``other`` to ``node``. Edges lie where the places of ``other`` are sent, so they stay; what
+    moves is one message for each, and forces are summed where the messages arrive.
+    """
+    a, b = curve
+    there = places.select(F.col("node").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    pulls = edges.join(there, "other").select("node", "ox", "oy", "weight")
+    pushes = drawn_nodes(places, n, epoch, negatives, seed).join(there, "other")
+    sent = pulls.unionByName(pushes.select("node", "ox", "oy", F.lit(None).cast("double").alias("weight")))
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    d2 = dx * dx + dy * dy
+    pull = F.when(
+        d2 > 0, -2.0 * a * b * F.pow(d2, F.lit(b - 1.0)) / (1.0 + a * F.pow(d2, F.lit(b)))
+    ).otherwise(0.0)
+    push = F.when(d2 > 0, 2.0 * b / ((0.001 + d2) * (1.0 + a * F.pow(d2, F.lit(b))))).otherwise(0.0)
+    is_pull = F.col("weight").isNotNull()
+    forces = {}
+    for axis, gap in (("x", dx), ("y", dy)):
+        forces[f"f{axis}"] = F.when(is_pull, F.col("weight") * _clip(pull * gap))
+        forces[f"g{axis}"] = F.when(~is_pull, _clip(push * gap))
+    total = (
+        sent.join(places, "node")
+        .groupBy("node")
+        .agg(
+            F.min("x").alias("x"),
+            F.min("y").alias("y"),
+            F.sum("weight").alias("mass"),
+            *[F.sum(force).alias(name) for name, force in forces.items()],
         )
-        discard(replaced)
-    return places.join(nodes, "node").select("id", "x", "y")
+    )
+
+    def moved(axis: str) -> Column:
+        mass = F.greatest(F.coalesce("mass", F.lit(0.0)), F.lit(1e-9))
+        step = F.coalesce(f"f{axis}", F.lit(0.0)) / mass + F.coalesce(f"g{axis}", F.lit(0.0))
+        return (F.col(axis) + F.lit(alpha) * step).alias(axis)
+
+    return total.select("node", moved("x"), moved("y"))

@@ -6,6 +6,8 @@ import gc
 import time
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -55,10 +57,31 @@ def materialize_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[D
     return table, row.asDict()
 
 
+@contextmanager
+def bucketed(df: DataFrame, name: str, key: str) -> Iterator[DataFrame]:
+    """``df`` as a scratch table bucketed and sorted by ``key``: joins and groups on the key do not move its rows.
+
+    There are as many buckets as shuffle partitions. The table is dropped at the end.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    label = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{scratch_folder(spark)}/{label}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(label)
+    try:
+        yield spark.table(label)
+    finally:
+        spark.sql(f"DROP TABLE {label}")
+        _delete(spark, path)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a scratch table that a loop has replaced; later plans must not read it."""
     path = _paths.pop(id(table), None)
     if path:
-        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

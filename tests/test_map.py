@@ -226,6 +226,66 @@ def test_curve_parameters():
     assert a == pytest.approx(1.577, abs=0.02) and b == pytest.approx(0.895, abs=0.01)
 
 
+def layout_graph(spark):
+    rng = np.random.default_rng(6)
+    pairs = {tuple(sorted(rng.choice(40, 2, replace=False).tolist())) for _ in range(120)}
+    edges = [(u, v, float(w)) for (a, b), w in zip(sorted(pairs), rng.uniform(0.1, 1, len(pairs))) for u, v in ((a, b), (b, a))]
+    start = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(42, 2)) * 4)]  # two nodes without edges
+    return (
+        spark.createDataFrame(edges, "src long, dst long, weight double"),
+        spark.createDataFrame(start, "id long, x double, y double"),
+        edges,
+        np.array([r[1:] for r in start]),
+    )
+
+
+def test_layout_follows_the_rule(spark):
+    """Against a plain loop over edges and draws."""
+    graph, start, edges, xy = layout_graph(spark)
+    epochs = 12
+    placed = layout.layout_2d(graph, start, epochs, 0.1, negatives=3, seed=9)
+    got = {r["id"]: (r["x"], r["y"]) for r in placed.collect()}
+    a, b = layout.curve_parameters(0.1)
+    number = {r["id"]: r["node"] for r in indexing.dense_index(start.select("id"), "node", 9).collect()}
+    place = {n: i for i, n in number.items()}
+    nodes = spark.createDataFrame([(n,) for n in place], "node long")
+    clip = lambda v: np.clip(v, -layout.MAX_FORCE, layout.MAX_FORCE)
+    for epoch in range(epochs):
+        pulled, mass, pushed = np.zeros_like(xy), np.zeros(len(xy)), np.zeros_like(xy)
+        for u, v, w in edges:
+            gap = xy[u] - xy[v]
+            d2 = gap @ gap
+            pulled[u] += w * clip(-2 * a * b * d2 ** (b - 1) / (1 + a * d2**b) * gap)
+            mass[u] += w
+        for r in layout.drawn_nodes(nodes, len(xy), epoch, 3, 9).collect():
+            gap = xy[place[r["node"]]] - xy[place[r["other"]]]
+            d2 = gap @ gap
+            pushed[place[r["node"]]] += clip(2 * b / ((0.001 + d2) * (1 + a * d2**b)) * gap)
+        xy = xy + (1 - epoch / epochs) * (pulled / np.maximum(mass, 1e-9)[:, None] + pushed)
+    assert np.allclose([got[i] for i in range(len(xy))], xy, atol=1e-6)
+
+
+def test_an_epoch_leaves_the_edges_where_they_are(spark):
+    from corpusmap.sources.scratch import bucketed, materialize
+
+    graph, start, _, _ = layout_graph(spark)
+    edges = graph.select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight")
+    places = materialize(start.select(F.col("id").alias("node"), "x", "y"), "layout")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with bucketed(edges, "plan_edges", "other") as held:
+            moved = layout.epoch_moved(held, places, 42, (1.5, 0.9), 1.0, 0, 5, 42)
+            plan = moved._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    at = next(i for i, line in enumerate(plan) if "plan_edges" in line)
+    over = [line for line in plan[:at] if "Join" in line or "Exchange" in line]
+    # Upwards from the scan of the edges: their join comes first, then the one exchange of messages.
+    assert "Join" in over[-1] and "[other" in over[-1]
+    assert sum("Exchange" in line for line in over) == 1
+
+
 def test_layout_keeps_blobs_apart(spark):
     rng = np.random.default_rng(6)
     # Centres far apart in five dimensions.
