@@ -136,6 +136,10 @@ def institution_directory(works: DataFrame) -> DataFrame:
     )
 
 
+#: Letters of a word start that the search index keeps.
+INDEX_LETTERS = 32
+
+
 def _starts_a_word(name: Column, q: str) -> Column:
     low = F.lower(name)
     return low.startswith(q.lower()) | low.contains(" " + q.lower())
@@ -149,16 +153,46 @@ def search_institutions(directory: DataFrame, q: str, n: int = 10, min_len: int
     return hits.orderBy(F.desc("works_count"), "id").limit(n)
 
 
-def search_entities(
-    entities: dict[str, DataFrame], q: str, n: int = 10, min_len: int = 2
-) -> DataFrame:
-    """:func:`search_institutions` over several kinds of entity (id, display_name, works_count)."""
+def _tagged(entities: dict[str, DataFrame]) -> DataFrame:
     tagged = [
         df.select(F.lit(kind).alias("kind"), "id", "display_name", "works_count")
         for kind, df in entities.items()
     ]
-    everything = reduce(DataFrame.unionByName, tagged)
+    return reduce(DataFrame.unionByName, tagged)
+
+
+def search_entities(
+    entities: dict[str, DataFrame], q: str, n: int = 10, min_len: int = 2
+) -> DataFrame:
+    """:func:`search_institutions` over several kinds of entity (id, display_name, works_count)."""
+    everything = _tagged(entities)
     if len(q) < min_len:
         return everything.limit(0)
     hits = everything.where(_starts_a_word(F.col("display_name"), q))
     return hits.orderBy(F.desc("works_count"), "kind", "id").limit(n)
+
+
+def write_search_index(entities: dict[str, DataFrame], path: str) -> None:
+    """Entities by the starts of their words, for :func:`search_index`.
+
+    A row per word: the lower-cased rest of the name from it on, at most ``INDEX_LETTERS`` letters. Rows are
+    sorted over all files, so the statistics of a file or row group tell whether it can hold a start.
+    """
+    low = F.lower("display_name")
+    rests = F.transform(
+        F.filter(F.sequence(F.lit(1), F.length(low)), lambda i: (i == 1) | (F.substring(low, i - 1, F.lit(1)) == " ")),
+        lambda i: F.substring(low, i, F.lit(INDEX_LETTERS)),
+    )
+    # A name of no letters starts with the empty text only.
+    starts = F.when(F.length(low) > 0, F.array_distinct(rests)).otherwise(F.array(F.lit("")))
+    rows = _tagged(entities).where("display_name is not null").select(F.explode(starts).alias("start"), "*")
+    rows.repartitionByRange("start", "kind", "id").sortWithinPartitions("start", "kind", "id").write.mode("overwrite").parquet(path)
+
+
+def search_index(index: DataFrame, q: str, n: int = 10, min_len: int = 2) -> DataFrame:
+    """:func:`search_entities` over a written index: only files and row groups that can hold the start of ``q`` are read."""
+    found = index.where(F.col("start").startswith(q.lower()[:INDEX_LETTERS]) & _starts_a_word(F.col("display_name"), q))
+    hits = found.drop("start").dropDuplicates(["kind", "id", "display_name"])
+    if len(q) < min_len:
+        return hits.limit(0)
+    return hits.orderBy(F.desc("works_count"), "kind", "id").limit(n)

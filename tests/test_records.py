@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +122,35 @@ def test_stream_keeps_the_latest_record(spark, tmp_path):
     stream_records(spark, source, log, state).awaitTermination()
     got = {(r["id"], r["year"]) for r in read_latest(spark, log).collect()}
     assert got == {("https://w/W1", 2003), ("https://w/W2", 2000)}
+
+
+def test_search_index_finds_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["river", "rivers", "ri", "oak ridge", "Ríos", "delta", "x", "", "a" * 40, "a" * 35 + "b"]
+    rows = [(f"i{i}", " ".join(rng.choices(words, k=rng.randint(1, 4))), rng.randint(0, 9)) for i in range(400)]
+    rows += [("none", None, 5), ("empty", "", 3)]
+    df = spark.createDataFrame(rows, "id string, display_name string, works_count long")
+    entities = {"a": df, "b": df.where("works_count > 4")}
+    path = str(tmp_path / "index")
+    records.write_search_index(entities, path)
+    index = spark.read.parquet(path)
+    for q in ("ri", "RI", "rid", "oak r", "x x", "a" * 36, "a" * 35 + "b", "zz", "r", "delta ri", "rí"):
+        scan = records.search_entities(entities, q, 50)
+        assert [tuple(r) for r in records.search_index(index, q, 50).collect()] == [tuple(r) for r in scan.collect()], q
+    assert records.search_index(index.where("false"), "ri").count() == 0
+
+
+def test_search_index_reads_few_rows(spark, tmp_path):
+    df = spark.range(60_000).select(
+        F.col("id"), F.concat(F.md5(F.col("id").cast("string")), F.lit(" inst")).alias("display_name"), F.col("id").alias("works_count")
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    records.write_search_index({"a": df}, str(tmp_path / "index"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    index = spark.read.parquet(str(tmp_path / "index"))
+    hits = records.search_index(index, "abc", 5)
+    assert "StringStartsWith(start,abc)" in hits._jdf.queryExecution().executedPlan().toString()
+    # The two ends of the sorted index lie in files of their own.
+    kept = index.where(F.col("start").startswith("abc")).select(F.input_file_name()).distinct().count()
+    assert kept < index.select(F.input_file_name()).distinct().count()

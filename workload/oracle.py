@@ -184,6 +184,7 @@ SELECT * FROM (
   FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL)
 WHERE lower(display_name) LIKE 'ri%' OR lower(display_name) LIKE '% ri%'
 ORDER BY works_count DESC, kind, id LIMIT 20"""
+ORACLE_SQL["search_index"] = ORACLE_SQL["search_entities"]
 ORACLE_SQL["sample_points"] = """
 SELECT o_orderkey AS id, o_orderstatus FROM orders
 ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 1000"""

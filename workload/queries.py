@@ -233,8 +233,7 @@ def search_institutions(spark, sf):
     )
 
 
-@register
-def search_entities(spark, sf):
+def _entities(spark, sf) -> dict[str, DataFrame]:
     lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     supplier, part = table(spark, sf, "supplier"), table(spark, sf, "part")
     customer = table(spark, sf, "customer")
@@ -245,15 +244,23 @@ def search_entities(spark, sf):
             F.col(key).alias("id"), F.col(name).alias("display_name"), "works_count"
         )
 
-    return records.search_entities(
-        {
-            "institution": entity(supplier, "s_suppkey", "s_name", lines, "l_suppkey"),
-            "source": entity(customer, "c_custkey", "c_name", orders, "o_custkey"),
-            "work": entity(part, "p_partkey", "p_name", lines, "l_partkey"),
-        },
-        "ri",
-        20,
-    )
+    return {
+        "institution": entity(supplier, "s_suppkey", "s_name", lines, "l_suppkey"),
+        "source": entity(customer, "c_custkey", "c_name", orders, "o_custkey"),
+        "work": entity(part, "p_partkey", "p_name", lines, "l_partkey"),
+    }
+
+
+@register
+def search_entities(spark, sf):
+    return records.search_entities(_entities(spark, sf), "ri", 20)
+
+
+@register
+def search_index(spark, sf):
+    path = f"{scratch_folder(spark)}/search-{uuid.uuid4().hex}"
+    records.write_search_index(_entities(spark, sf), path)
+    return records.search_index(spark.read.parquet(path), "ri", 20)
 
 
 @register
