@@ -156,30 +156,48 @@ def _base32(hex_digest):
     )
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by their names in lower case."""
+    return {n.strip().lower(): v.strip() for n, found, v in (line.partition(":") for line in lines) if found}
+
+
+def _page(name: str | None) -> int | None:
+    """The page of a record id written here; none for ids of other writers."""
+    text = (name or "").strip("<>")
+    number = text.removeprefix(_NAME)
+    return int(number) if text.startswith(_NAME) and number.lstrip("-").isdigit() else None
+
+
 def _parse(block: bytes) -> dict | None:
+    """A record. A payload that a given SHA-1 belies is no record; without one it is taken as it is. Other kinds than response
+    and revisit have the size of their block and no payload."""
     head, found, rest = block.partition(b"\r\n\r\n")
     if not found:
         return None
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    http = rest[: int(fields.get("Content-Length", 0))]
-    status, _, payload = http.partition(b"\r\n\r\n")
-    http_fields = dict(
-        line.split(": ", 1) for line in status.decode("latin-1").split("\r\n")[1:] if ": " in line
-    )
-    number = lambda s: int(s) if s else None
-    kind = fields.get("WARC-Type")
-    digest = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-    if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-        return None
-    return {
-        "page_id": number(fields["WARC-Record-ID"].strip("<>").removeprefix(_NAME)),
-        "url": fields.get("WARC-Target-URI"),
-        "payload_bytes": int(http_fields.get("Content-Length", len(payload))),
-        "payload_digest": digest,
+    fields = _fields(head.decode("utf-8", "replace").split("\r\n")[1:])
+    size = fields.get("content-length", "0")
+    body = rest[: int(size) if size.isdigit() else 0]
+    kind = fields.get("warc-type", "").lower()
+    given = fields.get("warc-payload-digest", "")
+    row = {
+        "page_id": _page(fields.get("warc-record-id")),
+        "url": fields.get("warc-target-uri"),
+        "payload_bytes": len(body),
+        "payload_digest": given.removeprefix("sha1:") or None,
         "record_type": kind,
-        "refers_to": number(fields.get("WARC-Refers-To", "").strip("<>").removeprefix(_NAME)),
-        "payload": payload if kind == "response" else None,
+        "refers_to": _page(fields.get("warc-refers-to")),
+        "payload": None,
     }
+    if kind not in ("response", "revisit"):
+        return row
+    status, _, payload = body.partition(b"\r\n\r\n")
+    if kind == "response":
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if given.startswith("sha1:") and row["payload_digest"].upper() != digest:
+            return None
+        return row | {"payload": payload, "payload_bytes": len(payload), "payload_digest": row["payload_digest"] or digest}
+    told = _fields(status.decode("latin-1").split("\r\n")[1:]).get("content-length", "")
+    return row | {"payload_bytes": int(told) if told.isdigit() else len(payload)}
 
 
 def owned_records(source, size: int, start: int, end: int) -> Iterator[dict]:

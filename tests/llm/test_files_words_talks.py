@@ -296,3 +296,41 @@ def test_conversations_on_hard_rows(spark):
     assert got == brute_all(rows)
     assert (dropped, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()) in got
     assert conversations.repaired(conversations.damaged(df.where("false"))).count() == 0
+
+
+# Archives of other writers
+
+
+def test_foreign_archives_are_read(spark, tmp_path):
+    import base64
+    import gzip
+
+    from corpusmap.llm import warc
+
+    html = b"<p>payload</p>"
+    http = b"HTTP/1.1 200 OK\r\ncontent-length: 99\r\n\r\n" + html
+    digest = base64.b32encode(hashlib.sha1(html).digest()).decode()
+
+    def record(kind, body, *more):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0a-1>", *more, f"content-length:{len(body)}", "", ""]
+        return gzip.compress("\r\n".join(lines).encode() + body + b"\r\n\r\n")
+
+    members = [
+        record("warcinfo", b"software: other\r\n"),
+        record("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Target-URI: http://a/"),
+        record("response", http, "WARC-Target-URI: http://a/"),
+        record("response", http, "warc-target-uri: http://b/", f"warc-payload-digest: sha1:{digest}"),
+        record("response", http, "WARC-Payload-Digest: sha1:AAAA"),
+        record("metadata", b""),
+        record("revisit", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Refers-To: <urn:uuid:0a-2>"),
+    ]
+    (tmp_path / "part-0.warc.gz").write_bytes(b"".join(members))
+    for size in (1 << 20, 50):
+        rows = warc.read_archives(spark, str(tmp_path), size).collect()
+        kinds = collections.Counter(r["record_type"] for r in rows)
+        assert kinds == {"warcinfo": 1, "request": 1, "response": 2, "metadata": 1, "revisit": 1}
+        assert all(r["page_id"] is None and r["refers_to"] is None for r in rows)
+        for r in rows:
+            if r["record_type"] == "response":
+                assert (bytes(r["payload"]), r["payload_bytes"], r["payload_digest"]) == (html, len(html), digest)
+                assert r["url"] in ("http://a/", "http://b/")
