@@ -46,13 +46,13 @@ class Layout:
         """Keys cut to the bits that travel."""
         return keys & ~U64((1 << max(0, 64 - self.part_bits - 8 * self.key_bytes)) - 1)
 
-    def slices(self, keys: np.ndarray) -> np.ndarray:
-        """Bounds of each part's slice of sorted keys: parts + 1 entries."""
-        parts = 1 << self.part_bits
-        if not self.part_bits:
-            return np.array([0, len(keys)])
-        edges = np.arange(1, parts, dtype=U64) << U64(64 - self.part_bits)
-        return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    def runs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(part, begin, end) of the slices of sorted keys, of the parts that have any."""
+        if not len(keys):
+            return (np.zeros(0, np.int64),) * 3
+        part = (keys >> U64(64 - self.part_bits)).astype(np.int64) if self.part_bits else np.zeros(len(keys), np.int64)
+        begin = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+        return part[begin], begin, np.append(begin[1:], len(keys))
 
     def pack(self, keys: np.ndarray) -> bytes:
         with np.errstate(over="ignore"):
@@ -69,7 +69,7 @@ class Layout:
 def layout(total_bytes: int, keys_per_byte: float = 0.16, key_bytes: int = KEY_BYTES) -> Layout:
     """Blocks of ``BLOCK_BYTES`` of text, parts of at most ``PART_KEYS`` keys."""
     blocks = max(1, -(-int(total_bytes) // BLOCK_BYTES))
-    return Layout(blocks, min(20, int(total_bytes * keys_per_byte / PART_KEYS).bit_length()), key_bytes)
+    return Layout(blocks, int(total_bytes * keys_per_byte / PART_KEYS).bit_length(), key_bytes)
 
 
 def _narrow(values: np.ndarray) -> str:
@@ -115,8 +115,9 @@ def tidily(function: Callable, *tables: pa.Table) -> pa.Table:
     return out
 
 
-def in_blocks(texts: DataFrame, key: str, plan: Layout) -> DataFrame:
-    return texts.withColumn("block", F.pmod(F.xxhash64(key), F.lit(plan.blocks)).cast("int"))
+def in_blocks(texts: DataFrame, key: list[str], plan: Layout) -> DataFrame:
+    """Texts dealt by a hash of the columns ``key``."""
+    return texts.withColumn("block", F.pmod(F.xxhash64(*key), F.lit(plan.blocks)).cast("int"))
 
 
 def questions(
@@ -131,8 +132,7 @@ def questions(
         if not len(table):
             return pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "extra": pa.array([], pa.binary())})
         keys, extra = ask(table) if got is None else ask(table, got)
-        bounds = plan.slices(keys)
-        rows = [(p, a, b) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+        rows = list(zip(*plan.runs(keys), strict=True))
         block = table.column("block")[0].as_py()
         return pa.table(
             {

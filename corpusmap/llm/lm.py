@@ -5,29 +5,31 @@ parent, the unigram restaurant over a uniform base. A table of a context sends o
 predictive probability of w after u is (c_uw - d t_uw + (b + d t_u) P(w)) / (b + c_u), P(w) being the parent's, c
 customers and t tables.
 
-Counts c are exact, over all training texts. Seatings are sampled by Gibbs sweeps in which all customers of
-a dish leave and are seated again one by one, given the tables of their restaurant and the parent's customers
-of the sweep before; restaurants are sampled side by side, as in distributed Gibbs samplers for topic
-models. From the ``SOLO``-th customer of a dish on, groups that double in size take their seats with the odds of the group's
-middle. ``SAMPLES`` chains give that many seatings, and a text's score is the log10 of the mean of their
-predictive probabilities, summed over its tokens.
-
-All rounds go through :mod:`corpusmap.llm.blocks`: first the word pairs of every block are counted, dealt evenly by the pair,
-so frequent words make no hot spot; then sums per word, of customers, followers and tables, are exchanged
-once a sweep. A dish's seating depends only on totals and on a hash of the pair, so every block that
-holds the pair draws the same one.
+Counts c are exact, over all training texts. A Gibbs sweep draws the tables of each dish anew given all other dishes: the
+seatings of c customers at t tables weigh S(c, t) times the chances of t new tables in the restaurant that the others left
+behind, with S the generalised Stirling numbers, so the draw is from the exact conditional (:func:`resample`).
+Restaurants are sampled side by side, as in distributed Gibbs samplers for topic models, and the tables of every dish are kept
+for the next sweep. Customers of a dish beyond the ``SOLO``-th sit down one after another in groups that double in size, with
+the odds of the group's middle. ``SAMPLES`` chains give that many seatings, and a text's score is the log10 of the mean of
+their predictive probabilities, summed over its tokens; the perplexity is 10 to the score a token, inverted.
+
+The texts are read twice. First each task counts its word pairs, and the counts meet by ranges of the pair's
+hash, so frequent words make no hot spot: a range is one row of distinct pairs. Sweeps move those rows and sums per
+word only. At the end blocks of texts (:mod:`corpusmap.llm.blocks`) ask for their pairs and words.
 
 Tokens: A-Z lower-cased, runs of bytes other than blank and the control characters from tab to carriage return, then
 one end token per text.
 
-Defined cases: null is the empty text, an end token alone; repeated rows count and score each; unknown words have
-the parent's share of new dishes; without training texts every token has probability 1; an empty table gives no
-rows; extra columns are not read.
+Defined cases: null is the empty text, an end token alone; repeated rows count and score each; rows whose ``train`` is null
+are not learnt from; unknown words have the parent's share of new dishes; without training texts every token has
+probability 1; a very long text is a block of its own; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +43,22 @@ from corpusmap.llm.blocks import (
     questions,
     replies,
     reply_of,
+    squeeze,
     tagged,
     tidily,
 )
-from corpusmap.llm.words import U64, Words, buffer_of, distinct, mix, nonspace_mask
-from corpusmap.sources.scratch import free_shuffles, materialize
+from corpusmap.llm.words import U64, Words, buffer_of, distinct, mix, nonspace_mask, row_slices
+from corpusmap.sources.scratch import discard, free_shuffles, materialize
 
 SAMPLES = 3
 SWEEPS = 2
 DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 1.0
 SOLO = 32
+#: Distinct pairs that a task holds before it sends them.
+HELD_PAIRS = 1 << 20
 _END, _BEGIN = U64(0xE17D0C0DE1234567), U64(0xBE61A0C0DE765432)
+_QUESTION = "part int, block int, keys binary, extra binary"
 
 
 @dataclass(frozen=True)
@@ -62,48 +68,183 @@ class Plans:
     pairs: Layout
     words: Layout
 
+    def pair_keys(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return self.pairs.trim(mix(context * U64(0x9E3779B97F4A7C15) + word))
+
 
 class Tokens:
-    """Tokens of a block: ``word``, ``context`` and ``pair`` are places in the sorted distinct ``words``, ``pairs``."""
+    """Tokens of texts: ``hash`` of each and of the one ``before``, ``begin`` (first token of each row), ``per_row``."""
 
-    def __init__(self, table: pa.Table, plans: Plans):
-        data, offsets = buffer_of(table.column("text"))
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         found = Words(data, offsets, nonspace_mask())
         n = len(offsets) - 1
         self.per_row = np.diff(found.first) + 1
-        hashes = np.empty(len(found) + n, U64)
-        hashes[np.arange(len(found)) + found.doc] = found.hash
-        hashes[found.first[1:] + np.arange(n)] = _END
-        before = np.empty_like(hashes)
-        before[1:] = hashes[:-1]
+        self.hash = np.empty(len(found) + n, U64)
+        self.hash[np.arange(len(found)) + found.doc] = found.hash
+        self.hash[found.first[1:] + np.arange(n)] = _END
         self.begin = found.first[:-1] + np.arange(n)
-        before[self.begin] = _BEGIN
-        self.row = np.repeat(np.arange(n), self.per_row)
-        self.words, _, where = distinct(plans.words.trim(np.append(hashes, _BEGIN)))
-        #: The words as the key ranges see them.
-        self.word_keys = self.words << U64(plans.words.part_bits)
-        self.word = where[:-1]
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
-        self.context[self.begin] = where[-1]
-        with np.errstate(over="ignore"):
-            joint = plans.pairs.trim(mix(before * U64(0x9E3779B97F4A7C15) + hashes))
-        self.pairs, first, self.pair = distinct(joint)
-        self.pair_word, self.pair_context = self.word[first], self.context[first]
-        self.train = table.column("train").to_numpy()[self.row]
+        self.before = np.empty_like(self.hash)
+        self.before[1:] = self.hash[:-1]
+        self.before[self.begin] = _BEGIN
+
+
+class Block:
+    """A block's tokens: ``word``, ``context`` and ``pair`` are places in the sorted distinct ``words``, ``pairs``."""
+
+    def __init__(self, table: pa.Table, plans: Plans):
+        t = Tokens(*buffer_of(table.column("text")))
+        self.per_row = t.per_row
+        self.row = np.repeat(np.arange(len(t.per_row)), t.per_row)
+        # The end stands behind the tokens, for blocks' totals of texts.
+        self.words, _, where = distinct(np.concatenate([t.hash, [_BEGIN, _END]]))
+        self.word, self.begin, self.end = where[:-2], where[-2], where[-1]
+        context = np.empty_like(self.word)
+        context[1:] = self.word[:-1]
+        context[t.begin] = self.begin
+        self.pairs, first, self.pair = distinct(plans.pair_keys(t.before, t.hash))
+        self.pair_word, self.pair_context = self.word[first], context[first]
+
+
+class Pairs:
+    """A range of distinct training pairs in order of their keys; ``word`` and ``context`` are places in ``words``."""
+
+    def __init__(self, row: dict, plans: Plans):
+        self.block = row["block"]
+        self.words = np.frombuffer(row["words"], U64)
+        self.word, self.context, self.count = expand_all(row["body"], [np.int64] * 3)
+        self.keys = plans.pair_keys(self.words[self.context], self.words[self.word])
 
     def per_word(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
         return np.bincount(places, weights, len(self.words)).astype(np.int64)
 
 
-def seats(keys: np.ndarray, customers: np.ndarray, new: np.ndarray, discount: float, salt: int) -> np.ndarray:
-    """Tables after the customers of each dish sat down one by one; ``new`` is the weight of a new table.
+def _merged(keys: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> tuple:
+    """The same with each key once, in order, and the sums of its counts."""
+    order = np.argsort(keys)
+    k = keys[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    total = np.add.reduceat(count[order], at) if len(at) else count
+    return k[at], context[order[at]], word[order[at]], total
+
+
+def _pair_counts(plans: Plans):
+    """Distinct pairs of a task's texts and their counts, by key range."""
+
+    def send(keys, context, word, count) -> pa.RecordBatch:
+        parts, begin, end = plans.pairs.runs(keys)
+        rows = list(zip(begin, end, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(parts, pa.int32()),
+                pa.array([np.concatenate([context[a:b], word[a:b]]).tobytes() for a, b in rows], pa.binary()),
+                pa.array([squeeze(count[a:b]) for a, b in rows], pa.binary()),
+            ],
+            ["part", "pairs", "counts"],
+        )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64))
+        for batch in batches:
+            data, offsets = buffer_of(batch.column("text"))
+            for a, b in row_slices(offsets):
+                part = offsets[a : b + 1]
+                t = Tokens(data[part[0] : part[-1]], part - part[0])
+                new = _merged(plans.pair_keys(t.before, t.hash), t.before, t.hash, np.ones(len(t.hash), np.int64))
+                held = _merged(*(np.concatenate(c) for c in zip(held, new, strict=True)))
+                if len(held[0]) > HELD_PAIRS:
+                    yield send(*held)
+                    held = tuple(c[:0] for c in held)
+        if len(held[0]):
+            yield send(*held)
+
+    return count
+
+
+def _gather(plans: Plans):
+    """One row for a range of pairs."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        both = [np.frombuffer(raw.as_py(), U64).reshape(2, -1) for raw in table.column("pairs")]
+        context, word = (np.concatenate([b[i] for b in both]) for i in (0, 1))
+        count = np.concatenate([expand_all(raw.as_py(), [np.int64])[0] for raw in table.column("counts")])
+        _, context, word, count = _merged(plans.pair_keys(context, word), context, word, count)
+        words, _, where = distinct(np.concatenate([word, context]))
+        return pa.table(
+            {
+                "block": table.column("part")[:1],
+                "words": pa.array([words.tobytes()], pa.binary()),
+                "body": pa.array([squeeze(where[: len(word)], where[len(word) :], count)], pa.binary()),
+            }
+        )
+
+    return gather
+
+
+@lru_cache(maxsize=4)
+def _log_stirling(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers up to ``SOLO``: [customers, tables]."""
+    out = np.full((SOLO + 1, SOLO + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, SOLO + 1)
+    for n in range(1, SOLO):
+        with np.errstate(divide="ignore"):
+            stay = out[n, 1:] + np.log(np.maximum(n - t * discount, 0))
+        out[n + 1, 1:] = np.logaddexp(out[n, :-1], stay)
+    return out
+
+
+def resample(
+    keys: np.ndarray, customers: np.ndarray, spare: np.ndarray, prob: np.ndarray, discount: float, salt: int
+) -> np.ndarray:
+    """Tables of each dish, drawn given all others.
+
+    ``spare`` is the weight of a new table before the dish has any (strength plus discount times the tables of the
+    others), ``prob`` the parent's probability of the dish. Up to ``SOLO`` customers t tables have the weight
+    S(c, t) spare (spare + d) ... (spare + (t - 1) d) prob^t; further customers follow as in :func:`seats`.
+    """
+    out = np.minimum(customers, 1).astype(np.int64)
+    few = np.minimum(customers, SOLO)
+    with np.errstate(over="ignore"):
+        draw = (mix(keys ^ U64(salt * 0xD1B54A32D192ED03 & (2**64 - 1))) >> U64(11)) * 2.0**-53
+    order = np.argsort(few, kind="stable")
+    bounds = np.searchsorted(few[order], np.arange(2, SOLO + 2))
+    for c in range(2, SOLO + 1):
+        mine = order[bounds[c - 2] : bounds[c - 1]]
+        stirling = _log_stirling(discount)[c, 1 : c + 1]
+        for at in np.split(mine, range(1 << 15, len(mine), 1 << 15)):
+            step = np.log(spare[at, None] + discount * np.arange(c)) + np.log(prob[at, None])
+            weight = stirling + np.cumsum(step, axis=1)
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            out[at] = 1 + (weight[:, :-1] <= draw[at, None] * weight[:, -1:]).sum(axis=1)
+    many = np.flatnonzero(customers > SOLO)
+    if len(many):
+        out[many] = seats(
+            keys[many], customers[many], (spare * prob)[many], discount, salt, discount * prob[many], out[many]
+        )
+    return out
+
+
+def seats(
+    keys: np.ndarray,
+    customers: np.ndarray,
+    new: np.ndarray,
+    discount: float,
+    salt: int,
+    growth: np.ndarray | None = None,
+    begun: np.ndarray | None = None,
+) -> np.ndarray:
+    """Tables after the customers of each dish sat down one by one; ``new`` is the weight of a new table, which
+    grows by ``growth`` with each. With ``begun`` the first ``SOLO`` sit already, at that many tables.
 
     Each dish draws from a sequence of its own, begun at its key, so the result is the same in any company.
     """
     order = np.argsort(-customers, kind="stable")
     c, a = customers[order], new[order]
-    tables = np.minimum(c, 1).astype(np.float64)
+    more = np.zeros(len(c)) if growth is None else growth[order]
+    tables = (np.minimum(c, 1) if begun is None else begun[order]).astype(np.float64)
     with np.errstate(over="ignore"):
         state = mix(keys[order] + U64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1)))
 
@@ -113,15 +254,16 @@ def seats(keys: np.ndarray, customers: np.ndarray, new: np.ndarray, discount: fl
             state[:n] += U64(1442695040888963407)
         return (state[:n] >> U64(11)) * 2.0**-53
 
-    j = 1
+    j = 1 if begun is None else SOLO
     while n := int(np.searchsorted(-c, -j)):  # dishes with a customer left
+        weight = a[:n] + more[:n] * tables[:n]
         if j < SOLO:
-            odds = a[:n] / (np.maximum(j - discount * tables[:n], 1 - discount) + a[:n])
+            odds = weight / (np.maximum(j - discount * tables[:n], 1 - discount) + weight)
             tables[:n] += chance(n) < odds
             j += 1
             continue
         group = np.minimum(c[:n] - j, j)
-        odds = a[:n] / (np.maximum(j + group // 2 - discount * tables[:n], 1 - discount) + a[:n])
+        odds = weight / (np.maximum(j + group // 2 - discount * tables[:n], 1 - discount) + weight)
         mean = group * odds
         swing = np.sqrt(mean * (1 - odds)) * 3.46 * (chance(n) - 0.5)
         tables[:n] += np.clip(np.floor(np.where(mean > 10, mean + swing, mean) + chance(n)), 0, group)
@@ -158,38 +300,45 @@ def _owner(order: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Totals:
     tokens: int
     words: int
-    followers: int
     #: Customers and tables of the parent, per chain.
-    customers: tuple[int, ...] = ()
-    tables: tuple[int, ...] = ()
+    customers: tuple[int, ...] = (0,) * SAMPLES
+    tables: tuple[int, ...] = (0,) * SAMPLES
+    #: Tables of the parent that its last seating was given.
+    given: tuple[int, ...] = (0,) * SAMPLES
 
     @property
     def base(self) -> float:
         return 1.0 / (self.words + 1)
 
-    def parent_tables(self, keys: np.ndarray, customers: np.ndarray, sweep: int, chain: int) -> np.ndarray:
-        """The parent's seating of the customers that contexts sent it in a sweep."""
-        new = np.full(len(keys), (PARENT_STRENGTH + PARENT_DISCOUNT * self.words) * self.base)
-        return seats(keys, customers, new, PARENT_DISCOUNT, 31 + 10_000_019 * (sweep * SAMPLES + chain))
 
-    def parent(self, keys: np.ndarray, customers: np.ndarray, sweep: int, chain: int) -> np.ndarray:
-        tables = self.parent_tables(keys, customers, sweep, chain)
-        spare = PARENT_STRENGTH + PARENT_DISCOUNT * self.tables[chain]
-        known = np.maximum(customers - PARENT_DISCOUNT * tables, 0)
-        return (known + spare * self.base) / (PARENT_STRENGTH + self.customers[chain])
+def parent_tables(keys: np.ndarray, customers: np.ndarray, given: int, base: float, salt: int) -> np.ndarray:
+    """The parent's seating of the customers that contexts sent it, given its tables of the sweep before."""
+    spare = np.full(len(keys), PARENT_STRENGTH + PARENT_DISCOUNT * max(given - 1, 0))
+    return resample(keys, customers, spare, np.full(len(keys), base), PARENT_DISCOUNT, salt)
+
 
+def parent(totals: Totals, keys: np.ndarray, customers: np.ndarray, sweep: int, chain: int) -> np.ndarray:
+    """The parent's probability of words."""
+    tables = parent_tables(keys, customers, totals.given[chain], totals.base, _salt(31, sweep, chain))
+    spare = PARENT_STRENGTH + PARENT_DISCOUNT * totals.tables[chain]
+    known = np.maximum(customers - PARENT_DISCOUNT * tables, 0)
+    return (known + spare * totals.base) / (PARENT_STRENGTH + totals.customers[chain])
 
-def _owned_sums(table: DataFrame, kinds: list, own: int) -> list[int]:
-    """Sums of the arrays of replies over the entries marked as owned, one per key."""
+
+def _salt(kind: int, sweep: int, chain: int) -> int:
+    return kind + 10_000_019 * (sweep * SAMPLES + chain)
+
+
+def _owned_sums(table: DataFrame, kinds: list) -> list[int]:
+    """Sums of the arrays of replies over the entries marked as owned, one per key; the mark is the last array."""
 
     def add(batches):
         total = np.zeros(len(kinds), np.int64)
         for batch in batches:
             for reply in batch.column(0).to_pylist():
-                arrays = expand_all(reply, kinds)
-                mark = arrays[own].astype(bool)
-                total += [int(a[mark].sum(dtype=np.int64)) for a in arrays]
-                total[own] += int((arrays[0][mark] > 0).sum()) - int(mark.sum())
+                *arrays, own = expand_all(reply, kinds)
+                mark = own.astype(bool)
+                total += [*(int(a[mark].sum(dtype=np.int64)) for a in arrays), int((arrays[0][mark] > 0).sum())]
         yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in total], [f"s{i}" for i in range(len(kinds))])
 
     names = [f"s{i}" for i in range(len(kinds))]
@@ -197,158 +346,190 @@ def _owned_sums(table: DataFrame, kinds: list, own: int) -> list[int]:
     return [row[n] or 0 for n in names]
 
 
-_PAIR = [np.int64, np.uint8]
-#: Customers, followers, contexts, owner.
-_WORD = [np.int64, np.int64, np.int64, np.uint8]
-#: Tables as a context and customers in the parent, per chain; its tables, for one entry of each word; owner.
-_STATE = [np.int64] * (3 * SAMPLES) + [np.uint8]
-
-
-def _count_pairs(keys: np.ndarray, extra: list[np.ndarray]) -> list[np.ndarray]:
-    order, at, (total,) = _sums(keys, extra)
-    return [_back(order, at, total), _owner(order, at)]
+#: Training tokens of a word, then per chain its tables as a context and its customers in the parent.
+_SUMS = [np.int64] * (1 + 2 * SAMPLES)
+#: The same; per chain the parent's tables, for one entry of each word; owner.
+_STATE = [*_SUMS, *[np.int64] * SAMPLES, np.uint8]
+#: Customers of a pair, and its tables in all chains together.
+_PAIR = [np.int64, np.int64]
 
 
-def _count_words(keys: np.ndarray, extra: list[np.ndarray]) -> list[np.ndarray]:
+def _totalled(keys: np.ndarray, extra: list[np.ndarray]) -> list[np.ndarray]:
     order, at, totals = _sums(keys, extra)
-    return [*(_back(order, at, t) for t in totals), _owner(order, at)]
+    return [_back(order, at, t) for t in totals]
 
 
-def _tables(
-    t: Tokens, got: pa.Table, totals: Totals, sweep: int, owned: bool = False
-) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(customers of each pair, tables of each pair per chain) in a sweep.
+def _seat_parent(given: tuple[int, ...] | None, base: float, sweep: int):
+    """Sums per word, and the parent's seating of the customers that its contexts send."""
 
-    With ``owned`` pairs that another block sums up are left out, as if they had no customers.
-    """
-    count, own = reply_of(got, "pairs", _PAIR)
-    count = count * own if owned else count
-    _, followers, contexts, _ = reply_of(got, "words", _WORD)
-    state = reply_of(got, f"sweep{sweep - 1}", _STATE) if sweep else None
-    many = np.flatnonzero(count > 1)
-    out = []
-    for s in range(SAMPLES):
-        if state is None:
-            tables = followers
-            share = (contexts - PARENT_DISCOUNT * (contexts > 0) + PARENT_DISCOUNT) / max(totals.followers, 1)
+    def answer(keys: np.ndarray, extra: list[np.ndarray]) -> list[np.ndarray]:
+        order, at, sums = _sums(keys, extra)
+        key, own = keys[order][at], _owner(order, at)
+        customers = sums[1 + SAMPLES :]
+        if given is None:  # the start: a table for each word
+            seated = [np.minimum(c, 1) for c in customers]
         else:
-            tables = state[s]
-            share = totals.parent(t.word_keys, state[SAMPLES + s], sweep - 1, s)
-        new = (STRENGTH + DISCOUNT * tables[t.pair_context[many]]) * share[t.pair_word[many]]
-        found = np.minimum(count, 1)
-        found[many] = seats(t.pairs[many], count[many], new, DISCOUNT, 7 + 10_000_019 * (sweep * SAMPLES + s))
-        out.append(found)
-    return count, out
+            seated = [parent_tables(key, c, given[s], base, _salt(31, sweep, s)) for s, c in enumerate(customers)]
+        return [
+            *(_back(order, at, v) for v in sums),
+            *(_back(order, at, v) * own for v in seated),  # for the totals; others seat their words again
+            own,
+        ]
+
+    return answer
+
+
+def _questions_of(p: Pairs, chains: list[np.ndarray], plans: Plans) -> list[tuple]:
+    """Rows of sums per word for the word ranges."""
+    extra = [p.per_word(p.word, p.count), *(p.per_word(p.context, c) for c in chains), *(p.per_word(p.word, c) for c in chains)]
+    parts, begin, end = plans.words.runs(p.words)
+    return [
+        (int(part), p.block, plans.words.pack(p.words[a:b]), squeeze(*(e[a:b] for e in extra)))
+        for part, a, b in zip(parts, begin, end, strict=True)
+    ]
+
+
+def _as_table(rows: list[tuple]) -> pa.Table:
+    kinds = {"part": pa.int32(), "block": pa.int32(), "keys": pa.binary(), "extra": pa.binary()}
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds.items())})
+
+
+def _start(plans: Plans):
+    """A table for each pair, in all chains."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                p = Pairs(row, plans)
+                yield from _as_table(_questions_of(p, [np.ones_like(p.count)] * SAMPLES, plans)).to_batches()
+
+    return ask
+
+
+def _sweep(plans: Plans, totals: Totals, sweep: int):
+    """New tables of every pair, as a row of part -1, and the sums that follow from them."""
+
+    def ask(table: pa.Table, got: pa.Table) -> pa.Table:
+        if not len(table):
+            return _as_table([])
+        p = Pairs(table.to_pylist()[0], plans)
+        state = reply_of(got, "state", _STATE)
+        held = got.filter(pa.compute.equal(got.column("tag"), "seats")).column("reply")
+        before = expand_all(held[0].as_py(), [np.int64] * SAMPLES) if len(held) else [np.ones_like(p.count)] * SAMPLES
+        many = np.flatnonzero(p.count > 1)
+        chains = []
+        for s in range(SAMPLES):
+            others = state[1 + s][p.context[many]] - before[s][many]
+            prob = parent(totals, p.words, state[1 + SAMPLES + s], sweep - 1, s)[p.word[many]]
+            tables = np.ones_like(p.count)
+            tables[many] = resample(
+                p.keys[many], p.count[many], STRENGTH + DISCOUNT * others, prob, DISCOUNT, _salt(7, sweep, s)
+            )
+            chains.append(tables)
+        return _as_table([(-1, p.block, b"", squeeze(*chains)), *_questions_of(p, chains, plans)])
+
+    return lambda a, b: tidily(ask, a, b)
+
+
+def _pair_answers(plans: Plans):
+    """Customers and tables of every pair, as entries of the question of a block -1."""
+
+    def tell(table: pa.Table, got: pa.Table) -> pa.Table:
+        if not len(table):
+            return _as_table([])
+        p = Pairs(table.to_pylist()[0], plans)
+        tables = sum(expand_all(got.column("reply")[0].as_py(), [np.int64] * SAMPLES))
+        return _as_table([(p.block, -1, plans.pairs.pack(p.keys), squeeze(p.count, tables))])
+
+    return lambda a, b: tidily(tell, a, b)
 
 
 def score(docs: DataFrame, train: str = "train") -> DataFrame:
-    """Per row of (doc_id, text, train): n_tokens, n_known, train_tokens, base_score, score."""
+    """Per row of (doc_id, text, train): n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+    spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(train).alias("train"))
     size = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     total = (size[0] or 0) + 2 * size[1]
     plans = Plans(layout(total, 0.04), layout(total, 0.005, 8))
-    dealt = in_blocks(texts, "doc_id", plans.pairs)
+    counted = texts.where("train").select("text").mapInArrow(_pair_counts(plans), "part int, pairs binary, counts binary")
+    gather = _gather(plans)
+    pairs = materialize(
+        counted.groupBy("part").applyInArrow(lambda table: tidily(gather, table), "block int, words binary, body binary"),
+        "pairs",
+    )
+    free_shuffles(spark)
+
+    asked = materialize(pairs.mapInArrow(_start(plans), _QUESTION), "asked")
+    state = materialize(replies(asked, plans.words, _seat_parent(None, 1.0, 0), _SUMS), "state")
+    totals = _totals(state, (0,) * SAMPLES)
+    for sweep in range(1, SWEEPS + 1):
+        seated = asked.where("part < 0").select("block", "part", F.col("extra").alias("reply"))
+        known = tagged(state=state, seats=seated)
+        drawn = pairs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_sweep(plans, totals, sweep), _QUESTION)
+        last, asked = (asked, state), materialize(drawn, "asked")
+        sums = replies(asked.where("part >= 0"), plans.words, _seat_parent(totals.tables, totals.base, sweep), _SUMS)
+        state = materialize(sums, "state")
+        totals = _totals(state, totals.tables)
+        for table in last:
+            discard(table)
+        free_shuffles(spark)
+    discard(state)
+
+    dealt = in_blocks(texts.select("doc_id", "text"), ["doc_id", "text"], plans.pairs)
+    seated = asked.where("part < 0").select("block", F.col("extra").alias("reply"))
+    told = pairs.groupBy("block").cogroup(seated.groupBy("block")).applyInArrow(_pair_answers(plans), _QUESTION)
+    summed = asked.where("part >= 0").withColumn("block", F.lit(-1))
 
     def ask_pairs(table: pa.Table):
-        t = Tokens(table, plans)
-        return t.pairs, [np.bincount(t.pair, t.train, len(t.pairs)).astype(np.uint32)]
-
-    pairs = materialize(replies(questions(dealt, plans.pairs, ask_pairs), plans.pairs, _count_pairs, [np.uint32]), "pairs")
-    free_shuffles(docs.sparkSession)
-
-    def ask_words(table: pa.Table, got: pa.Table):
-        t = Tokens(table, plans)
-        count, own = reply_of(got, "pairs", _PAIR)
-        mine = (count > 0) & (own > 0)
-        return t.words, [
-            t.per_word(t.word, t.train),
-            t.per_word(t.pair_context, mine),
-            t.per_word(t.pair_word, mine),
-        ]
-
-    words = materialize(
-        replies(
-            questions(dealt, plans.words, ask_words, tagged(pairs=pairs)), plans.words, _count_words, [np.int64] * 3
-        ),
-        "words",
-    )
-    tokens, followers, _, known = _owned_sums(words, _WORD, 3)
-    free_shuffles(docs.sparkSession)
-    totals = Totals(tokens, known, followers)
-    tables = {"pairs": pairs, "words": words}
-    for sweep in range(SWEEPS):
-        before = totals
-        asked = questions(dealt, plans.words, _ask_tables(plans, totals, sweep), tagged(**tables))
-        state = materialize(replies(asked, plans.words, _seat_parent(totals, sweep), [np.int64] * (2 * SAMPLES)), "sweep")
-        last, tables = tables, {"pairs": pairs, "words": words, f"sweep{sweep}": state}
-        sums = _owned_sums(state, _STATE, 3 * SAMPLES)
-        free_shuffles(docs.sparkSession)
-        totals = Totals(tokens, known, followers, tuple(sums[SAMPLES : 2 * SAMPLES]), tuple(sums[2 * SAMPLES : 3 * SAMPLES]))
-    everything = tagged(**(last | tables))
-    kind = dict(docs.dtypes)["doc_id"]
-    finish = _finish(plans, before, totals)
-    return dealt.groupBy("block").cogroup(everything.groupBy("block")).applyInArrow(
+        b = Block(table, plans)
+        return b.pairs, [np.zeros(len(b.pairs), np.uint8) for _ in _PAIR]
+
+    def ask_words(table: pa.Table):
+        b = Block(table, plans)
+        return b.words, [np.zeros(len(b.words), np.uint8) for _ in _SUMS]
+
+    of_pairs = replies(questions(dealt, plans.pairs, ask_pairs).unionByName(told), plans.pairs, _totalled, _PAIR)
+    of_words = replies(questions(dealt, plans.words, ask_words).unionByName(summed), plans.words, _totalled, _SUMS)
+    answers = tagged(pairs=of_pairs.where("block >= 0"), words=of_words.where("block >= 0"))
+    finish = _finish(plans, totals)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         lambda a, b: tidily(finish, a, b),
-        f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+        f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_known long, train_tokens long, base_score double, "
+        "score double, perplexity double",
     )
 
 
-def _ask_tables(plans: Plans, totals: Totals, sweep: int):
-    def ask(table: pa.Table, got: pa.Table):
-        t = Tokens(table, plans)
-        _, chains = _tables(t, got, totals, sweep, owned=True)
-        return t.words, [
-            *(t.per_word(t.pair_context, c) for c in chains),
-            *(t.per_word(t.pair_word, c) for c in chains),
-        ]
-
-    return ask
-
-
-def _seat_parent(totals: Totals, sweep: int):
-    """Sums of the tables per word, and the parent's seating of the customers they send."""
-
-    def answer(keys: np.ndarray, extra: list[np.ndarray]) -> list[np.ndarray]:
-        order, at, sums = _sums(keys, extra)
-        key, own = keys[order][at], _owner(order, at)
-        seated = [totals.parent_tables(key, c, sweep, s) for s, c in enumerate(sums[SAMPLES:])]
-        return [
-            *(_back(order, at, v) for v in sums),
-            *(_back(order, at, v) * own for v in seated),  # for the totals; blocks seat their words again
-            own,
-        ]
-
-    return answer
+def _totals(state: DataFrame, given: tuple[int, ...]) -> Totals:
+    tokens, *rest = _owned_sums(state, _STATE)
+    return Totals(tokens, rest[-1], tuple(rest[SAMPLES : 2 * SAMPLES]), tuple(rest[2 * SAMPLES : 3 * SAMPLES]), given)
 
 
-def _finish(plans: Plans, before: Totals, totals: Totals):
+def _finish(plans: Plans, totals: Totals):
     def finish(table: pa.Table, got: pa.Table) -> pa.Table:
-        t = Tokens(table, plans)
+        b = Block(table, plans)
         n = len(table)
-        per = lambda v: np.bincount(t.row, v, n)
-        customers, *_ = reply_of(got, "words", _WORD)
-        base = np.log10((customers + 1.0) / (totals.tokens + 1.0 * (totals.words + 1)))
+        per = lambda v: np.bincount(b.row, v, n)
+        tokens, *state = reply_of(got, "words", _SUMS)
+        base = np.log10((tokens + 1.0) / (totals.tokens + 1.0 * (totals.words + 1)))
         # Followers of a context: of a word its training tokens, of the beginning the training texts.
-        begin = t.context[t.begin[0]]
-        end = t.word[np.cumsum(t.per_row) - 1][0]
-        after = customers.copy()
-        after[begin] = customers[end]
-        state = reply_of(got, f"sweep{SWEEPS - 1}", _STATE)
-        count, chains = _tables(t, got, before, SWEEPS - 1)  # the seating that the sums are of
-        mean = np.zeros(len(t.pairs))
-        for s, seated in enumerate(chains):
-            parent = totals.parent(t.word_keys, state[SAMPLES + s], SWEEPS - 1, s)
-            new = (STRENGTH + DISCOUNT * state[s])[t.pair_context] * parent[t.pair_word]
-            mean += (count - DISCOUNT * seated + new) / (STRENGTH + after[t.pair_context])
-        score = np.log10(mean / SAMPLES) if totals.tokens else np.zeros(len(mean))
+        after = tokens.copy()
+        after[b.begin] = tokens[b.end]
+        count, tables = reply_of(got, "pairs", _PAIR)
+        mean = count - DISCOUNT * tables / SAMPLES
+        for s in range(SAMPLES):
+            prob = parent(totals, b.words, state[SAMPLES + s], SWEEPS, s)
+            mean += (STRENGTH + DISCOUNT * state[s])[b.pair_context] * prob[b.pair_word] / SAMPLES
+        mean /= STRENGTH + after[b.pair_context]
+        score = per((np.log10(mean) if totals.tokens else np.zeros(len(mean)))[b.pair])
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
-                "n_tokens": pa.array(t.per_row.astype(np.int64)),
-                "n_known": pa.array(per(customers[t.word] > 0).astype(np.int64)),
+                "n_tokens": pa.array(b.per_row.astype(np.int64)),
+                "n_known": pa.array(per(tokens[b.word] > 0).astype(np.int64)),
                 "train_tokens": pa.array(np.full(n, totals.tokens, np.int64)),
-                "base_score": pa.array(per(base[t.word])),
-                "score": pa.array(per(score[t.pair])),
+                "base_score": pa.array(per(base[b.word])),
+                "score": pa.array(score),
+                "perplexity": pa.array(10 ** (-score / b.per_row)),
             }
         )
 

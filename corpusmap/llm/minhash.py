@@ -136,7 +136,7 @@ def _band_keys(drawn: np.ndarray) -> np.ndarray:
 def vectors(texts: DataFrame, n_texts: int, total_bytes: int, similarity: float) -> DataFrame:
     """Weighted shingles, total weight and bands of the distinct (key, text) that can have a near copy."""
     plan = layout(total_bytes)
-    dealt = in_blocks(first_in_task(texts, "key"), "key", plan)
+    dealt = in_blocks(first_in_task(texts, "key"), ["key"], plan)
 
     def ask(table: pa.Table):
         found, _, _ = _shingles(_distinct(table), plan)

@@ -203,7 +203,7 @@ _WINDOWS = "part int, block int, keys binary, more binary, doc binary, row binar
 
 def removed_ranges(texts: DataFrame, plan: Layout) -> tuple[DataFrame, DataFrame]:
     """(texts in blocks, ranges to remove by block: row, begin, end as packed arrays)."""
-    dealt = in_blocks(texts, "doc_id", plan)
+    dealt = in_blocks(texts, ["doc_id", "text"], plan)
 
     def ask(table: pa.Table):
         s = Suffixes(_ordered(table), plan)
@@ -258,12 +258,10 @@ def removed_ranges(texts: DataFrame, plan: Layout) -> tuple[DataFrame, DataFrame
             order = np.argsort(key, kind="stable")
             key, more, row, start = key[order], more[order], row[order], start[order]
             ids = table.column("doc_id").fill_null(_NULL).to_numpy()
-            bounds = plan.slices(key)
-            for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                if b > a:
-                    rows.append(
-                        (p, block, plan.pack(key[a:b]), squeeze(more[a:b]), squeeze(ids[row[a:b]]), squeeze(row[a:b].astype(np.int32)), squeeze((start[a:b] - s.offsets[row[a:b]]).astype(np.int32)))
-                    )
+            for p, a, b in zip(*plan.runs(key), strict=True):
+                rows.append(
+                    (p, block, plan.pack(key[a:b]), squeeze(more[a:b]), squeeze(ids[row[a:b]]), squeeze(row[a:b].astype(np.int32)), squeeze((start[a:b] - s.offsets[row[a:b]]).astype(np.int32)))
+                )
         return pa.Table.from_arrays(
             [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _schema(_WINDOWS), strict=True)],
             schema=_schema(_WINDOWS),
