@@ -56,7 +56,7 @@ DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 1.0
 SOLO = 32
 #: Distinct pairs that a task holds before it sends them.
-HELD_PAIRS = 1 << 20
+HELD_PAIRS = 1 << 21
 _END, _BEGIN = U64(0xE17D0C0DE1234567), U64(0xBE61A0C0DE765432)
 _QUESTION = "part int, block int, keys binary, extra binary"
 
@@ -106,13 +106,35 @@ class Block:
         self.pair_word, self.pair_context = self.word[first], context[first]
 
 
+def _packed(context: np.ndarray, word: np.ndarray, *numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """Pairs as a list of words and steps in it, by context and word; a pair takes two or three bytes."""
+    words, _, where = distinct(np.concatenate([context, word]))
+    c, w = where[: len(context)], where[len(context) :]
+    order = np.lexsort((w, c))
+    c, w = c[order], w[order]
+    step = np.diff(c, prepend=0)
+    ahead = np.where(step == 0, np.diff(w, prepend=0), w)
+    ahead[:1] = w[:1]
+    return words.tobytes(), squeeze(step, ahead & 255, ahead >> 8, *(n[order] for n in numbers))
+
+
+def _unpacked(words: bytes, body: bytes, numbers: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(words, [context, word, numbers]) with contexts and words as places."""
+    step, low, high, *rest = expand_all(body, [np.int64] * (3 + numbers))
+    context, ahead = np.cumsum(step), low + 256 * high
+    # Sums of the steps since the first word of each context.
+    heads = np.flatnonzero(np.concatenate([[True], step[1:] != 0])) if len(step) else step
+    total = np.cumsum(ahead)
+    word = total - np.repeat(total[heads] - ahead[heads], np.diff(np.append(heads, len(step))))
+    return np.frombuffer(words, U64), [context, word, *rest]
+
+
 class Pairs:
-    """A range of distinct training pairs in order of their keys; ``word`` and ``context`` are places in ``words``."""
+    """A range of distinct training pairs by context and word, both places in the sorted ``words``."""
 
     def __init__(self, row: dict, plans: Plans):
         self.block = row["block"]
-        self.words = np.frombuffer(row["words"], U64)
-        self.word, self.context, self.count = expand_all(row["body"], [np.int64] * 3)
+        self.words, (self.context, self.word, self.count) = _unpacked(row["words"], row["body"])
         self.keys = plans.pair_keys(self.words[self.context], self.words[self.word])
 
     def per_word(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -135,15 +157,9 @@ def _pair_counts(plans: Plans):
 
     def send(keys, context, word, count) -> pa.RecordBatch:
         parts, begin, end = plans.pairs.runs(keys)
-        rows = list(zip(begin, end, strict=True))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(parts, pa.int32()),
-                pa.array([np.concatenate([context[a:b], word[a:b]]).tobytes() for a, b in rows], pa.binary()),
-                pa.array([squeeze(count[a:b]) for a, b in rows], pa.binary()),
-            ],
-            ["part", "pairs", "counts"],
-        )
+        rows = [_packed(context[a:b], word[a:b], count[a:b]) for a, b in zip(begin, end, strict=True)]
+        columns = [pa.array(parts, pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, ["part", "words", "body"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64))
@@ -167,17 +183,14 @@ def _gather(plans: Plans):
     """One row for a range of pairs."""
 
     def gather(table: pa.Table) -> pa.Table:
-        both = [np.frombuffer(raw.as_py(), U64).reshape(2, -1) for raw in table.column("pairs")]
-        context, word = (np.concatenate([b[i] for b in both]) for i in (0, 1))
-        count = np.concatenate([expand_all(raw.as_py(), [np.int64])[0] for raw in table.column("counts")])
+        found = [_unpacked(r["words"], r["body"]) for r in table.to_pylist()]
+        context, word, count = (
+            np.concatenate(c) for c in zip(*((w[c], w[x], n) for w, (c, x, n) in found), strict=True)
+        )
         _, context, word, count = _merged(plans.pair_keys(context, word), context, word, count)
-        words, _, where = distinct(np.concatenate([word, context]))
+        words, body = _packed(context, word, count)
         return pa.table(
-            {
-                "block": table.column("part")[:1],
-                "words": pa.array([words.tobytes()], pa.binary()),
-                "body": pa.array([squeeze(where[: len(word)], where[len(word) :], count)], pa.binary()),
-            }
+            {"block": table.column("part")[:1], "words": pa.array([words], pa.binary()), "body": pa.array([body], pa.binary())}
         )
 
     return gather
@@ -431,19 +444,50 @@ def _sweep(plans: Plans, totals: Totals, sweep: int):
     return lambda a, b: tidily(ask, a, b)
 
 
-def _pair_answers(plans: Plans):
-    """Customers and tables of every pair, as entries of the question of a block -1."""
+def _tell_pairs(plans: Plans):
+    """Customers and tables of every pair of a range, as a row of block -1 among the questions."""
 
     def tell(table: pa.Table, got: pa.Table) -> pa.Table:
         if not len(table):
             return _as_table([])
         p = Pairs(table.to_pylist()[0], plans)
         tables = sum(expand_all(got.column("reply")[0].as_py(), [np.int64] * SAMPLES))
-        return _as_table([(p.block, -1, plans.pairs.pack(p.keys), squeeze(p.count, tables))])
+        words, body = _packed(p.words[p.context], p.words[p.word], p.count, tables)
+        return _as_table([(p.block, -1, words, body)])
 
     return lambda a, b: tidily(tell, a, b)
 
 
+def _answer_pairs(plans: Plans):
+    """Replies to the questions of a range from its row of block -1; pairs that it lacks have zeros."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys, numbers = np.zeros(0, U64), np.zeros((2, 1), np.int64)
+        for row in rows:
+            if row["block"] < 0:
+                words, (context, word, *found) = _unpacked(row["keys"], row["extra"], 2)
+                keys = plans.pair_keys(words[context], words[word]) << U64(plans.pairs.part_bits)
+                order = np.argsort(keys)
+                keys, numbers = keys[order], np.stack([np.append(f[order], 0) for f in found])
+        rows = [r for r in rows if r["block"] >= 0]
+        replied = []
+        for row in rows:
+            asked = plans.pairs.unpack(row["keys"])
+            at = np.searchsorted(keys, asked)
+            at[np.append(keys, ~U64(0))[at] != asked] = len(keys)
+            replied.append(squeeze(*numbers[:, at]))
+        return pa.table(
+            {
+                "block": pa.array([r["block"] for r in rows], pa.int32()),
+                "part": pa.array([r["part"] for r in rows], pa.int32()),
+                "reply": pa.array(replied, pa.binary()),
+            }
+        )
+
+    return lambda table: tidily(answer, table)
+
+
 def score(docs: DataFrame, train: str = "train") -> DataFrame:
     """Per row of (doc_id, text, train): n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
@@ -451,7 +495,7 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     total = (size[0] or 0) + 2 * size[1]
     plans = Plans(layout(total, 0.04), layout(total, 0.005, 8))
-    counted = texts.where("train").select("text").mapInArrow(_pair_counts(plans), "part int, pairs binary, counts binary")
+    counted = texts.where("train").select("text").mapInArrow(_pair_counts(plans), "part int, words binary, body binary")
     gather = _gather(plans)
     pairs = materialize(
         counted.groupBy("part").applyInArrow(lambda table: tidily(gather, table), "block int, words binary, body binary"),
@@ -477,20 +521,22 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
 
     dealt = in_blocks(texts.select("doc_id", "text"), ["doc_id", "text"], plans.pairs)
     seated = asked.where("part < 0").select("block", F.col("extra").alias("reply"))
-    told = pairs.groupBy("block").cogroup(seated.groupBy("block")).applyInArrow(_pair_answers(plans), _QUESTION)
+    told = pairs.groupBy("block").cogroup(seated.groupBy("block")).applyInArrow(_tell_pairs(plans), _QUESTION)
     summed = asked.where("part >= 0").withColumn("block", F.lit(-1))
 
     def ask_pairs(table: pa.Table):
         b = Block(table, plans)
-        return b.pairs, [np.zeros(len(b.pairs), np.uint8) for _ in _PAIR]
+        return b.pairs, []
 
     def ask_words(table: pa.Table):
         b = Block(table, plans)
         return b.words, [np.zeros(len(b.words), np.uint8) for _ in _SUMS]
 
-    of_pairs = replies(questions(dealt, plans.pairs, ask_pairs).unionByName(told), plans.pairs, _totalled, _PAIR)
+    of_pairs = questions(dealt, plans.pairs, ask_pairs).unionByName(told).groupBy("part").applyInArrow(
+        _answer_pairs(plans), "block int, part int, reply binary"
+    )
     of_words = replies(questions(dealt, plans.words, ask_words).unionByName(summed), plans.words, _totalled, _SUMS)
-    answers = tagged(pairs=of_pairs.where("block >= 0"), words=of_words.where("block >= 0"))
+    answers = tagged(pairs=of_pairs, words=of_words.where("block >= 0"))
     finish = _finish(plans, totals)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         lambda a, b: tidily(finish, a, b),
