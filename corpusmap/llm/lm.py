@@ -40,7 +40,6 @@ from corpusmap.llm.blocks import (
     expand_all,
     in_blocks,
     layout,
-    questions,
     replies,
     reply_of,
     squeeze,
@@ -367,11 +366,6 @@ _STATE = [*_SUMS, *[np.int64] * SAMPLES, np.uint8]
 _PAIR = [np.int64, np.int64]
 
 
-def _totalled(keys: np.ndarray, extra: list[np.ndarray]) -> list[np.ndarray]:
-    order, at, totals = _sums(keys, extra)
-    return [_back(order, at, t) for t in totals]
-
-
 def _seat_parent(given: tuple[int, ...] | None, base: float, sweep: int):
     """Sums per word, and the parent's seating of the customers that its contexts send."""
 
@@ -392,7 +386,7 @@ def _seat_parent(given: tuple[int, ...] | None, base: float, sweep: int):
     return answer
 
 
-def _questions_of(p: Pairs, chains: list[np.ndarray], plans: Plans) -> list[tuple]:
+def _askingof(p: Pairs, chains: list[np.ndarray], plans: Plans) -> list[tuple]:
     """Rows of sums per word for the word ranges."""
     extra = [p.per_word(p.word, p.count), *(p.per_word(p.context, c) for c in chains), *(p.per_word(p.word, c) for c in chains)]
     parts, begin, end = plans.words.runs(p.words)
@@ -414,7 +408,7 @@ def _start(plans: Plans):
         for batch in batches:
             for row in batch.to_pylist():
                 p = Pairs(row, plans)
-                yield from _as_table(_questions_of(p, [np.ones_like(p.count)] * SAMPLES, plans)).to_batches()
+                yield from _as_table(_askingof(p, [np.ones_like(p.count)] * SAMPLES, plans)).to_batches()
 
     return ask
 
@@ -439,7 +433,7 @@ def _sweep(plans: Plans, totals: Totals, sweep: int):
                 p.keys[many], p.count[many], STRENGTH + DISCOUNT * others, prob, DISCOUNT, _salt(7, sweep, s)
             )
             chains.append(tables)
-        return _as_table([(-1, p.block, b"", squeeze(*chains)), *_questions_of(p, chains, plans)])
+        return _as_table([(-1, p.block, b"", squeeze(*chains)), *_askingof(p, chains, plans)])
 
     return lambda a, b: tidily(ask, a, b)
 
@@ -458,30 +452,56 @@ def _tell_pairs(plans: Plans):
     return lambda a, b: tidily(tell, a, b)
 
 
-def _answer_pairs(plans: Plans):
-    """Replies to the questions of a range from its row of block -1; pairs that it lacks have zeros."""
+def _ask(plans: Plans):
+    """Pairs and words of a block of texts by range; those of words have parts below 0."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        b, block = Block(table, plans), table.column("block")[0].as_py()
+        pairs = [(int(p), block, plans.pairs.pack(b.pairs[i:j]), b"") for p, i, j in zip(*plans.pairs.runs(b.pairs), strict=True)]
+        words = [(-1 - int(p), block, plans.words.pack(b.words[i:j]), b"") for p, i, j in zip(*plans.words.runs(b.words), strict=True)]
+        return _as_table(pairs + words)
+
+    return lambda table: tidily(ask, table)
+
+
+def _answer(plans: Plans):
+    """Replies to the questions of a range from its rows of block -1; keys that these lack have zeros."""
+
+    def known_pairs(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+        if not rows:
+            return np.zeros(0, U64), [np.zeros(0, np.int64) for _ in _PAIR]
+        words, (context, word, *numbers) = _unpacked(rows[0]["keys"], rows[0]["extra"], len(_PAIR))
+        keys = plans.pair_keys(words[context], words[word]) << U64(plans.pairs.part_bits)
+        order = np.argsort(keys)
+        return keys[order], [n[order] for n in numbers]
+
+    def known_words(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+        if not rows:
+            return np.zeros(0, U64), [np.zeros(0, np.int64) for _ in _SUMS]
+        keys = np.concatenate([plans.words.unpack(r["keys"]) for r in rows])
+        parts = zip(*(expand_all(r["extra"], _SUMS) for r in rows), strict=True)
+        order, at, sums = _sums(keys, [np.concatenate(p) for p in parts])
+        return keys[order[at]], sums
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys, numbers = np.zeros(0, U64), np.zeros((2, 1), np.int64)
-        for row in rows:
-            if row["block"] < 0:
-                words, (context, word, *found) = _unpacked(row["keys"], row["extra"], 2)
-                keys = plans.pair_keys(words[context], words[word]) << U64(plans.pairs.part_bits)
-                order = np.argsort(keys)
-                keys, numbers = keys[order], np.stack([np.append(f[order], 0) for f in found])
+        part = rows[0]["part"]
+        plan, known, tag = (plans.pairs, known_pairs, "pairs") if part >= 0 else (plans.words, known_words, "words")
+        keys, numbers = known([r for r in rows if r["block"] < 0])
+        numbers = [np.append(n, 0) for n in numbers]
         rows = [r for r in rows if r["block"] >= 0]
         replied = []
         for row in rows:
-            asked = plans.pairs.unpack(row["keys"])
+            asked = plan.unpack(row["keys"])
             at = np.searchsorted(keys, asked)
             at[np.append(keys, ~U64(0))[at] != asked] = len(keys)
-            replied.append(squeeze(*numbers[:, at]))
+            replied.append(squeeze(*(n[at] for n in numbers)))
         return pa.table(
             {
                 "block": pa.array([r["block"] for r in rows], pa.int32()),
-                "part": pa.array([r["part"] for r in rows], pa.int32()),
+                "part": pa.array([part if part >= 0 else -1 - part] * len(rows), pa.int32()),
                 "reply": pa.array(replied, pa.binary()),
+                "tag": pa.array([tag] * len(rows), pa.string()),
             }
         )
 
@@ -494,7 +514,7 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(train).alias("train"))
     size = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     total = (size[0] or 0) + 2 * size[1]
-    plans = Plans(layout(total, 0.04), layout(total, 0.005, 8))
+    plans = Plans(layout(total, 0.01), layout(total, 0.005, 8))
     counted = texts.where("train").select("text").mapInArrow(_pair_counts(plans), "part int, words binary, body binary")
     gather = _gather(plans)
     pairs = materialize(
@@ -522,21 +542,9 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
     dealt = in_blocks(texts.select("doc_id", "text"), ["doc_id", "text"], plans.pairs)
     seated = asked.where("part < 0").select("block", F.col("extra").alias("reply"))
     told = pairs.groupBy("block").cogroup(seated.groupBy("block")).applyInArrow(_tell_pairs(plans), _QUESTION)
-    summed = asked.where("part >= 0").withColumn("block", F.lit(-1))
-
-    def ask_pairs(table: pa.Table):
-        b = Block(table, plans)
-        return b.pairs, []
-
-    def ask_words(table: pa.Table):
-        b = Block(table, plans)
-        return b.words, [np.zeros(len(b.words), np.uint8) for _ in _SUMS]
-
-    of_pairs = questions(dealt, plans.pairs, ask_pairs).unionByName(told).groupBy("part").applyInArrow(
-        _answer_pairs(plans), "block int, part int, reply binary"
-    )
-    of_words = replies(questions(dealt, plans.words, ask_words).unionByName(summed), plans.words, _totalled, _SUMS)
-    answers = tagged(pairs=of_pairs, words=of_words.where("block >= 0"))
+    summed = asked.where("part >= 0").select((-1 - F.col("part")).alias("part"), F.lit(-1).alias("block"), "keys", "extra")
+    asking = dealt.groupBy("block").applyInArrow(_ask(plans), _QUESTION).unionByName(told).unionByName(summed)
+    answers = asking.groupBy("part").applyInArrow(_answer(plans), "block int, part int, reply binary, tag string")
     finish = _finish(plans, totals)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         lambda a, b: tidily(finish, a, b),
