@@ -386,7 +386,7 @@ def _seat_parent(given: tuple[int, ...] | None, base: float, sweep: int):
     return answer
 
 
-def _askingof(p: Pairs, chains: list[np.ndarray], plans: Plans) -> list[tuple]:
+def _questions_of(p: Pairs, chains: list[np.ndarray], plans: Plans) -> list[tuple]:
     """Rows of sums per word for the word ranges."""
     extra = [p.per_word(p.word, p.count), *(p.per_word(p.context, c) for c in chains), *(p.per_word(p.word, c) for c in chains)]
     parts, begin, end = plans.words.runs(p.words)
@@ -408,13 +408,16 @@ def _start(plans: Plans):
         for batch in batches:
             for row in batch.to_pylist():
                 p = Pairs(row, plans)
-                yield from _as_table(_askingof(p, [np.ones_like(p.count)] * SAMPLES, plans)).to_batches()
+                yield from _as_table(_questions_of(p, [np.ones_like(p.count)] * SAMPLES, plans)).to_batches()
 
     return ask
 
 
 def _sweep(plans: Plans, totals: Totals, sweep: int):
-    """New tables of every pair, as a row of part -1, and the sums that follow from them."""
+    """New tables of every pair, as a row of part -1, and the sums that follow from them.
+
+    In the last sweep that row holds the pairs as well, with their customers and the tables of all chains together.
+    """
 
     def ask(table: pa.Table, got: pa.Table) -> pa.Table:
         if not len(table):
@@ -433,25 +436,14 @@ def _sweep(plans: Plans, totals: Totals, sweep: int):
                 p.keys[many], p.count[many], STRENGTH + DISCOUNT * others, prob, DISCOUNT, _salt(7, sweep, s)
             )
             chains.append(tables)
-        return _as_table([(-1, p.block, b"", squeeze(*chains)), *_askingof(p, chains, plans)])
+        seated = (b"", squeeze(*chains))
+        if sweep == SWEEPS:
+            seated = _packed(p.words[p.context], p.words[p.word], p.count, sum(chains))
+        return _as_table([(-1, p.block, *seated), *_questions_of(p, chains, plans)])
 
     return lambda a, b: tidily(ask, a, b)
 
 
-def _tell_pairs(plans: Plans):
-    """Customers and tables of every pair of a range, as a row of block -1 among the questions."""
-
-    def tell(table: pa.Table, got: pa.Table) -> pa.Table:
-        if not len(table):
-            return _as_table([])
-        p = Pairs(table.to_pylist()[0], plans)
-        tables = sum(expand_all(got.column("reply")[0].as_py(), [np.int64] * SAMPLES))
-        words, body = _packed(p.words[p.context], p.words[p.word], p.count, tables)
-        return _as_table([(p.block, -1, words, body)])
-
-    return lambda a, b: tidily(tell, a, b)
-
-
 def _ask(plans: Plans):
     """Pairs and words of a block of texts by range; those of words have parts below 0."""
 
@@ -538,10 +530,10 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
             discard(table)
         free_shuffles(spark)
     discard(state)
+    discard(pairs)
 
     dealt = in_blocks(texts.select("doc_id", "text"), ["doc_id", "text"], plans.pairs)
-    seated = asked.where("part < 0").select("block", F.col("extra").alias("reply"))
-    told = pairs.groupBy("block").cogroup(seated.groupBy("block")).applyInArrow(_tell_pairs(plans), _QUESTION)
+    told = asked.where("part < 0").select(F.col("block").alias("part"), F.lit(-1).alias("block"), "keys", "extra")
     summed = asked.where("part >= 0").select((-1 - F.col("part")).alias("part"), F.lit(-1).alias("block"), "keys", "extra")
     asking = dealt.groupBy("block").applyInArrow(_ask(plans), _QUESTION).unionByName(told).unionByName(summed)
     answers = asking.groupBy("part").applyInArrow(_answer(plans), "block int, part int, reply binary, tag string")

@@ -1,6 +1,9 @@
 """Every operator on hard rows: nulls, empty and long texts, repeats, empty tables, clashing columns."""
 
 import hashlib
+import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -150,6 +153,45 @@ def test_seats_follow_the_process():
         assert abs(tables.mean() - mean) < 0.15 * mean
 
 
+def test_tables_are_drawn_from_their_exact_conditional():
+    """Against a walk over all seatings, one customer after another: the weights of an arrangement's tables multiply."""
+    discount, spare, prob = 0.8, 2.5, 0.3
+    for customers in (2, 3, 7):
+        weight = {(1,): spare * prob}  # sizes of the tables -> summed weight of the seatings
+        for _ in range(customers - 1):
+            after: dict = {}
+            for sizes, w in weight.items():
+                for i, n in enumerate(sizes):
+                    key = (*sizes[:i], n + 1, *sizes[i + 1 :])
+                    after[key] = after.get(key, 0) + w * (n - discount)
+                key = (*sizes, 1)
+                after[key] = after.get(key, 0) + w * (spare + discount * len(sizes)) * prob
+            weight = after
+        want = np.array([sum(w for sizes, w in weight.items() if len(sizes) == t) for t in range(1, customers + 1)])
+        n = 40_000
+        drawn = lm.resample(
+            np.arange(1, n + 1, dtype=np.uint64), np.full(n, customers), np.full(n, spare), np.full(n, prob), discount, 5
+        )
+        got = np.bincount(drawn, minlength=customers + 1)[1:] / n
+        assert np.abs(got - want / want.sum()).max() < 0.012
+
+
+def test_language_model_counts_like_brute_force(spark):
+    """Tokens, known tokens and base scores of every row against plain counting; perplexity follows from the score."""
+    rows = [(i, t, i % 3 > 0) for i, t in enumerate(["", "A b\tb", "b c c", None, "x b \u00e9", "b b b", "c\r\nA"])]
+    rows += [(50 + i, prose(i, 40), i % 4 > 0) for i in range(30)] + [(None, "b c", True), (None, "b q", None)]
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0d]+", (t or "").lower()) if w] + ["<end>"]
+    counts = Counter(w for _, t, train in rows if train for w in split(t))
+    total = sum(counts.values())
+    want = sorted(
+        (len(w := split(t)), sum(counts[x] > 0 for x in w), total,
+         round(sum(math.log10((counts[x] + 1) / (total + len(counts) + 1)) for x in w), 6)) for _, t, _ in rows
+    )
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).collect()
+    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(abs(r["perplexity"] - 10 ** (-r["score"] / r["n_tokens"])) < 1e-6 * r["perplexity"] for r in got)
+
+
 def test_licenses(docs, none):
     got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
     assert got[0]["n_words"] == 0 and got[0]["first_word"] is None and got[0]["labels"] == "" and got[0]["score"] == 0
