@@ -67,9 +67,14 @@ class Plans:
     pairs: Layout
     words: Layout
 
-    def pair_keys(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def whole_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return self.pairs.trim(mix(context * U64(0x9E3779B97F4A7C15) + word))
+            return mix(context * U64(0x9E3779B97F4A7C15) + word)
+
+    def pair_keys(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Keys of questions. Counts of words hang on those of pairs, so pairs are counted by their whole keys."""
+        return self.pairs.trim(self.whole_keys(context, word))
 
 
 class Tokens:
@@ -167,7 +172,7 @@ def _pair_counts(plans: Plans):
             for a, b in row_slices(offsets):
                 part = offsets[a : b + 1]
                 t = Tokens(data[part[0] : part[-1]], part - part[0])
-                new = _merged(plans.pair_keys(t.before, t.hash), t.before, t.hash, np.ones(len(t.hash), np.int64))
+                new = _merged(plans.whole_keys(t.before, t.hash), t.before, t.hash, np.ones(len(t.hash), np.int64))
                 held = _merged(*(np.concatenate(c) for c in zip(held, new, strict=True)))
                 if len(held[0]) > HELD_PAIRS:
                     yield send(*held)
@@ -186,7 +191,7 @@ def _gather(plans: Plans):
         context, word, count = (
             np.concatenate(c) for c in zip(*((w[c], w[x], n) for w, (c, x, n) in found), strict=True)
         )
-        _, context, word, count = _merged(plans.pair_keys(context, word), context, word, count)
+        _, context, word, count = _merged(plans.whole_keys(context, word), context, word, count)
         words, body = _packed(context, word, count)
         return pa.table(
             {"block": table.column("part")[:1], "words": pa.array([words], pa.binary()), "body": pa.array([body], pa.binary())}
@@ -464,8 +469,9 @@ def _answer(plans: Plans):
             return np.zeros(0, U64), [np.zeros(0, np.int64) for _ in _PAIR]
         words, (context, word, *numbers) = _unpacked(rows[0]["keys"], rows[0]["extra"], len(_PAIR))
         keys = plans.pair_keys(words[context], words[word]) << U64(plans.pairs.part_bits)
-        order = np.argsort(keys)
-        return keys[order], [n[order] for n in numbers]
+        # Pairs that the travelling bits do not tell apart answer with their sums.
+        order, at, sums = _sums(keys, numbers)
+        return keys[order[at]], sums
 
     def known_words(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
         if not rows:

@@ -192,6 +192,22 @@ def test_language_model_counts_like_brute_force(spark):
     assert all(abs(r["perplexity"] - 10 ** (-r["score"] / r["n_tokens"])) < 1e-6 * r["perplexity"] for r in got)
 
 
+def test_words_are_counted_whatever_the_keys_of_pairs(spark, monkeypatch):
+    """Pairs whose travelling key bits are equal keep their own counts, so figures of words are exact."""
+    monkeypatch.setattr(lm, "layout", lambda total, *more: lm.Layout(1, 0, more[1] if len(more) > 1 else 1))
+    rows = [(i, " ".join(f"w{i * 40 + j}" for j in range(40)), i % 5 > 0) for i in range(25)]
+    rows += [(100 + i, f"w{i * 41} w{i} again", False) for i in range(20)]
+    split = lambda t: [*t.split(), "<end>"]
+    counts = Counter(w for _, t, train in rows if train for w in split(t))
+    total = sum(counts.values())
+    want = {
+        i: (sum(counts[x] > 0 for x in split(t)), total,
+            round(sum(math.log10((counts[x] + 1) / (total + len(counts) + 1)) for x in split(t)), 6)) for i, t, _ in rows
+    }
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).collect()
+    assert {r["doc_id"]: (r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got} == want
+
+
 def test_licenses(docs, none):
     got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
     assert got[0]["n_words"] == 0 and got[0]["first_word"] is None and got[0]["labels"] == "" and got[0]["score"] == 0
