@@ -465,3 +465,17 @@ def test_whole_map_on_documents(spark, tmp_path):
     shown = {r["id"]: r["cluster"] for r in made.points.collect()}
     assert shown == found
     assert spark.read.json(str(tmp_path / "som/cells")).count() == 12
+
+
+def test_attach_layout_joins_documents_with_vectors_and_keeps_the_others(spark, tmp_path):
+    from workload.oracle import ORACLE_SQL
+    from workload.queries import QUERIES
+
+    docs = [(i, f"Title {i}\nbody", "en", "s", 100 + i) for i in range(1, 5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(2, [0.25, 0.5], 7), (9, [1.0, 1.0], 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["id"]: (r["title"], r["x"], r["y"], r["cluster"]) for r in QUERIES["attach_layout"](spark, str(tmp_path)).collect()}
+    assert got[2] == ("Title 2", 0.25, 0.5, 7)
+    assert set(got) == {1, 2, 3, 4} and got[1] == ("Title 1", 10.1, 91.9, 1)
+    assert "points" in ORACLE_SQL["attach_layout"] and "JOIN" in ORACLE_SQL["attach_layout"]

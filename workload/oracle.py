@@ -515,7 +515,13 @@ WHERE doc_id NOT IN (SELECT doc_id * 2 FROM labels)
 UNION ALL
 SELECT doc_id * 2, 'right' FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)"""
 ORACLE_SQL["attach_layout"] = f"""
-WITH {_DOCS} SELECT id, title, round(x, 6) AS x, round(y, 6) AS y, cluster FROM docs"""
+WITH {_DOCS}, {_POINTS},
+placed AS (
+  SELECT id, x, y, cluster FROM points
+  UNION ALL
+  SELECT id, x, y, cluster FROM docs d WHERE NOT EXISTS (SELECT 1 FROM points p WHERE p.id = d.id))
+SELECT d.id, title, round(l.x, 6) AS x, round(l.y, 6) AS y, c.cluster
+FROM docs d JOIN placed l ON d.id = l.id JOIN placed c ON d.id = c.id"""
 _NAMED = """topics AS (
   SELECT cluster, 'Topic ' || cluster AS label FROM points
   WHERE cluster <> -1 GROUP BY cluster HAVING avg(x) > 0)"""

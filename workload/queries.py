@@ -604,8 +604,11 @@ def check_aligned(spark, sf):
 
 @register
 def attach_layout(spark, sf):
-    docs = documents(spark, sf)
-    joined = views.attach_layout(docs.select("id", "title"), docs, docs)
+    """Documents lie where their vector lies, those without one at coordinates of their own."""
+    docs, points = documents(spark, sf), vector_points(spark, sf)
+    own = docs.select(*points.columns).join(points, "id", "left_anti")
+    placed = points.unionByName(own)
+    joined = views.attach_layout(docs.select("id", "title"), placed, placed)
     return joined.select("id", "title", r6("x").alias("x"), r6("y").alias("y"), "cluster")
 
 
