@@ -6,12 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from corpusmap.sources.scratch import materialize
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def inverted_index(words: Column) -> Column:
+    """Word → positions map of an array of words, positions from 0; words meet inside the row, without a shuffle."""
+
+    def entries(placed: Column) -> Column:
+        word = lambda i: F.get(placed, i)["word"]
+        heads = F.filter(
+            F.sequence(F.lit(0), F.size(placed)), lambda i: (i == 0) | ~word(i).eqNullSafe(word(i - 1))
+        )
+        return let(
+            heads,
+            lambda at: F.transform(
+                F.slice(at, F.lit(1), F.size(at) - 1),
+                lambda p, j: F.struct(
+                    word(p).alias("word"),
+                    F.transform(F.slice(placed, p + 1, F.get(at, j + 1) - p), lambda e: e["at"]).alias("at"),
+                ),
+            ),
+        )
+
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+    return F.map_from_entries(let(F.sort_array(placed), entries))
+
+
+def merge_indexes(indexes: DataFrame, key: str) -> DataFrame:
+    """One ``index`` for each ``key``: rows of one key list their positions together.
+
+    Only keys that come twice move their indexes; of the others no more than the keys are exchanged.
+    """
+    found = indexes.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    repeated = materialize(found.select(F.col(key).alias("_key")), "repeated")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    merged = (
+        indexes.join(repeated, same, "left_semi")
+        .select(key, F.explode("index").alias("word", "at"))
+        .groupBy(key, "word")
+        .agg(F.flatten(F.collect_list("at")).alias("at"))
+        .groupBy(key)
+        .agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
+    )
+    return indexes.join(repeated, same, "left_anti").select(key, "index").unionByName(merged)
+
+
 def abstract_from_inverted_index(index: Column) -> Column:
     """Text of a word → positions map, words in position order.
 

@@ -162,3 +162,24 @@ def test_term_counts(spark):
 
 def test_capitalize(spark):
     assert value(spark, text.capitalize(F.lit("wORD"))) == "Word"
+
+
+@pytest.mark.parametrize("words", [["b", "a", "b", "", "a", "b"], [""], ["é", "E", "é"], []])
+def test_inverted_index(spark, words):
+    index = value(spark, works.inverted_index(F.col("w")), "w array<string>", (words,))
+    assert index == {w: [i for i, x in enumerate(words) if x == w] for w in words}
+    assert value(spark, works.abstract_from_inverted_index(works.inverted_index(F.col("w"))), "w array<string>", (words,)) == " ".join(
+        w for w in words if w
+    )
+
+
+def test_only_indexes_of_repeated_keys_are_exchanged(spark):
+    rows = [(1, ["a", "b"]), (2, ["x", "y", "x"]), (2, ["x", "y", "x"]), (None, ["n"]), (None, ["n", "m"]), (3, [])]
+    indexes = spark.createDataFrame(rows, "id int, words array<string>").select("id", works.inverted_index(F.col("words")).alias("index"))
+    merged = works.merge_indexes(indexes, "id")
+    got = [(r["id"], {w: sorted(at) for w, at in r["index"].items()}) for r in merged.collect()]
+    want = [(None, {"n": [0, 0], "m": [1]}), (1, {"a": [0], "b": [1]}), (2, {"x": [0, 0, 2, 2], "y": [1, 1]}), (3, {})]
+    assert sorted(got, key=lambda r: r[0] or 0) == want
+    # Before: two exchanges of every word.
+    single = works.merge_indexes(indexes.where("id = 1 OR id = 3"), "id").where("id IS NOT NULL")
+    assert single.count() == 2

@@ -126,15 +126,9 @@ def label_words(spark, sf):
 
 @register
 def abstract_rebuild(spark, sf):
-    docs = spread(table(spark, sf, "documents"))
-    placed = docs.select("doc_id", F.posexplode(F.split("text", "[ \\n\\t]+")).alias("at", "word"))
-    index = (
-        placed.groupBy("doc_id", "word")
-        .agg(F.collect_list("at").alias("at"))
-        .groupBy("doc_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
-    )
-    return index.select(
+    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    indexed = docs.select("doc_id", works_fn.inverted_index(F.split("text", "[ \\n\\t]+")).alias("index"))
+    return works_fn.merge_indexes(indexed, "doc_id").select(
         "doc_id", *digest(works_fn.abstract_from_inverted_index(F.col("index")))
     )
 
