@@ -4,7 +4,8 @@ Every row belongs to the cell of its nearest pivot. A query first meets its own
 bounds its k-th distance; the exact method then visits every cell that the triangle inequality
 and the bisecting plane cannot rule out (Lu et al., "Efficient processing of k nearest neighbor
 joins using MapReduce", VLDB 2012). Cells are cut into blocks of bounded size on both sides, so
-no task ever holds a whole cell.
+no task ever holds a whole cell. The exact method may have to compare all rows with all: blocks of rows meet where they
+are read, so rows are exchanged a fixed number of times, however many cells a query visits.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -27,6 +29,8 @@ MAX_PIVOTS = 16_384
 CHUNK_ROWS = 2048
 # Rows compared with all pivots at once; bounds a task's matrices.
 SLICE_ROWS = 256
+# Rows of a block of the exact method.
+BLOCK_ROWS = 4096
 
 
 def _space(vectors: pd.Series, metric: str) -> np.ndarray:
@@ -76,6 +80,23 @@ def _to_cells(df: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
     return df.mapInPandas(run, f"id {id_type}, vec {vec_type}, cell int, to_pivot double")
 
 
+def _may_hold(
+    d: np.ndarray, home: np.ndarray, own: np.ndarray, cells: np.ndarray, pivots: np.ndarray, radius: np.ndarray, bound: np.ndarray, metric: str
+) -> np.ndarray:
+    """Which of ``cells``, at distances ``d``, may hold a row within ``bound`` of each query; not the ``own`` one, at ``home``."""
+    reach = np.sqrt(2.0 * bound) if metric == "cosine" else bound
+    homes, at = np.unique(own, return_inverse=True)
+    gaps = _euclid(pivots[homes], pivots[cells])
+    ball = d - radius[cells][None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (d**2 - (home**2)[:, None]) / (2.0 * gaps[at])
+    # Coinciding pivots have no bisecting plane.
+    plane[~np.isfinite(plane)] = -np.inf
+    visit = np.maximum(ball, plane) <= (reach * (1 + 1e-9) + 1e-7)[:, None]
+    visit[own[:, None] == cells[None, :]] = False
+    return visit & np.isfinite(radius[cells])[None, :]
+
+
 def _unpruned_cells(
     df: DataFrame, pivots: np.ndarray, radius: np.ndarray, metric: str, probes: int | None
 ) -> DataFrame:
@@ -91,20 +112,8 @@ def _unpruned_cells(
         for frame in slices:
             d = _euclid(_space(frame["vec"], metric), pivots)
             own = frame["cell"].to_numpy()
-            reach = frame["bound"].to_numpy()
-            if metric == "cosine":
-                reach = np.sqrt(2.0 * reach)
-            rows = np.arange(len(d))
-            homes, home = np.unique(own, return_inverse=True)
-            gaps = _euclid(pivots[homes], pivots)
-            ball = d - radius[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d**2 - (d[rows, own] ** 2)[:, None]) / (2.0 * gaps[home])
-            # Coinciding pivots have no bisecting plane.
-            plane[~np.isfinite(plane)] = -np.inf
-            visit = np.maximum(ball, plane) <= (reach * (1 + 1e-9) + 1e-7)[:, None]
-            visit[rows, own] = False
-            visit &= np.isfinite(radius)[None, :]
+            cells = np.arange(len(pivots))
+            visit = _may_hold(d, d[np.arange(len(d)), own], own, cells, pivots, radius, frame["bound"].to_numpy(), metric)
             if probes is not None and probes < len(pivots):
                 last = np.partition(d, probes - 1, axis=1)[:, probes - 1]
                 visit &= d <= last[:, None]
@@ -191,6 +200,128 @@ def _block_join(
     )
 
 
+def _blocks(df: DataFrame, name: str) -> DataFrame:
+    """Rows (id, vec, cell, to_pivot, bound) in blocks of ``BLOCK_ROWS`` of near cells, one row of arrays each."""
+    id_type = df.schema["id"].dataType.simpleString()
+    wide = df.schema["vec"].dataType.simpleString() == "array<double>"
+
+    def one(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        listed = []
+        for column in ("id", "cell", "to_pivot", "bound"):
+            values = pa.concat_arrays(rows.column(column).chunks)
+            listed.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+        flat = np.concatenate([np.asarray(v.as_py()) for v in rows.column("vec")]).astype(np.float64 if wide else np.float32)
+        return pa.RecordBatch.from_arrays([*listed, pa.array([flat.tobytes()], pa.binary())], ["ids", "cells", "gaps", "bounds", "vecs"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            while len(held) >= BLOCK_ROWS:
+                yield one(held.slice(0, BLOCK_ROWS))
+                held = held.slice(BLOCK_ROWS)
+        if held is not None and len(held):
+            yield one(held)
+
+    rows = df.select("id", "vec", "cell", "to_pivot", "bound")
+    dealt = rows.repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell")
+    packed = dealt.mapInArrow(
+        pack, f"ids array<{id_type}>, cells array<int>, gaps array<double>, bounds array<double>, vecs binary"
+    )
+    return materialize(packed.withColumn("block", F.monotonically_increasing_id()), name)
+
+
+def _ranked(ids: np.ndarray) -> np.ndarray:
+    return np.unique(ids, return_inverse=True)[1]
+
+
+class _Query:
+    """A block of queries and the nearest rows of other cells met so far."""
+
+    def __init__(self, ids: np.ndarray, cells, gaps, bounds, vecs, wide: bool, metric: str):
+        self.ids, self.cells, self.gaps = ids, np.array(cells), np.array(gaps)
+        self.limit = np.array(bounds, np.float64)
+        self.places = _unpacked_space(vecs, len(ids), wide, metric)
+        self.rows, self.found, self.distance = np.zeros(0, np.int64), ids[:0], np.zeros(0)
+
+    def meet(self, ids: np.ndarray, cells: np.ndarray, places: np.ndarray, pivots, radius, k: int, metric: str) -> None:
+        near, number = np.unique(cells, return_inverse=True)
+        visit = _may_hold(
+            _euclid(self.places, pivots[near]), self.gaps, self.cells, near, pivots, radius, self.limit, metric
+        )
+        columns = np.flatnonzero(visit.any(axis=0)[number])
+        asking = np.flatnonzero(visit.any(axis=1))
+        for at in range(0, len(asking), CHUNK_ROWS // 2) if len(columns) else ():
+            mine = asking[at : at + CHUNK_ROWS // 2]
+            d = _pairwise(self.places[mine], places[columns], metric)
+            d[self.cells[mine][:, None] == cells[columns][None, :]] = np.inf
+            slack = 10.0**-DISTANCE_DECIMALS
+            many = np.flatnonzero((d <= self.limit[mine][:, None] + slack).sum(axis=1) > k)
+            if len(many):
+                other = np.where(self.ids[mine[many]][:, None] == ids[columns][None, :], np.inf, d[many])
+                kth = np.round(np.partition(other, k - 1, axis=1)[:, k - 1], DISTANCE_DECIMALS)
+                self.limit[mine[many]] = np.minimum(self.limit[mine[many]], kth)
+            r, c = np.nonzero((d <= self.limit[mine][:, None] + slack) & np.isfinite(d))
+            distance, row, found = np.round(d[r, c], DISTANCE_DECIMALS), mine[r], ids[columns[c]]
+            keep = (distance <= self.limit[row]) & (found != self.ids[row])
+            self._add(row[keep], found[keep], distance[keep], k)
+
+    def _add(self, rows: np.ndarray, found: np.ndarray, distance: np.ndarray, k: int) -> None:
+        if not len(rows):
+            return
+        rows = np.concatenate([self.rows, rows])
+        found, distance = np.concatenate([self.found, found]), np.concatenate([self.distance, distance])
+        order = np.lexsort((_ranked(found), distance, rows))
+        rows, found, distance = rows[order], found[order], distance[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        full = place == k - 1
+        self.limit[rows[full]] = np.minimum(self.limit[rows[full]], distance[full])
+        self.rows, self.found, self.distance = (a[place < k] for a in (rows, found, distance))
+
+
+def _unpacked_space(vecs: bytes, n: int, wide: bool, metric: str) -> np.ndarray:
+    rows = np.frombuffer(vecs, np.float64 if wide else np.float32).reshape(n, -1)
+    return _space(rows, metric)
+
+
+def _block_pairs(queries: DataFrame, sources: DataFrame, pivots: np.ndarray, radius: np.ndarray, k: int, metric: str) -> DataFrame:
+    """(src, dst, distance): of each query at least its k nearest rows of other cells, within its bound.
+
+    Every block of queries meets every block of sources: a plain product of two tables, without an exchange. Cells of a block that
+    no query of the other can need are skipped; the nearest rows are merged before they leave a task.
+    """
+    id_type = sources.schema["id"].dataType.simpleString()
+    wide = sources.schema["vec"].dataType.simpleString() == "array<double>"
+    asked = _blocks(queries, "knn-asked").select(*[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "cells", "gaps", "bounds", "vecs")])
+    offered = _blocks(sources.withColumn("bound", F.lit(0.0)), "knn-offered").select("ids", "cells", "vecs")
+
+    def out(query: _Query) -> pa.RecordBatch:
+        columns = [query.ids[query.rows], query.found, query.distance]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["src", "dst", "distance"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, query = None, None
+        for batch in batches:
+            for i in range(len(batch)):
+                get = lambda name: batch.column(name)[i]  # noqa: B023, E731
+                if query is None or get("q_block").as_py() != block:
+                    if query is not None:
+                        yield out(query)
+                    block = get("q_block").as_py()
+                    query = _Query(
+                        np.array(get("q_ids").as_py()), *(get(f"q_{c}").as_py() for c in ("cells", "gaps", "bounds", "vecs")), wide, metric
+                    )
+                ids = np.array(get("ids").as_py())
+                places = _unpacked_space(get("vecs").as_py(), len(ids), wide, metric)
+                query.meet(ids, np.array(get("cells").as_py()), places, pivots, radius, k, metric)
+        if query is not None:
+            yield out(query)
+
+    return asked.crossJoin(offered).mapInArrow(meet, f"src {id_type}, dst {id_type}, distance double")
+
+
 def _k_best(candidates: DataFrame, k: int) -> DataFrame:
     window = W.partitionBy("src").orderBy("distance", "dst")
     return candidates.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
@@ -409,11 +540,13 @@ def knn_graph(
         F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("reach")
     )
     bounded = asking.join(reach, "id", "left").select(
-        "id", "vec", "cell", F.coalesce("reach", F.lit(float("inf"))).alias("bound")
+        "id", "vec", "cell", "to_pivot", F.coalesce("reach", F.lit(float("inf"))).alias("bound")
     )
-    limit = probes if method == "ivf" else None
-    beyond = materialize(_unpruned_cells(bounded, pivots, radius, metric, limit), "knn-beyond")
-    second = _block_join(beyond, placed, k, metric, query_rows, source_rows)
+    if method == "ivf":
+        beyond = materialize(_unpruned_cells(bounded, pivots, radius, metric, probes), "knn-beyond")
+        second = _block_join(beyond, placed, k, metric, query_rows, source_rows)
+    else:
+        second = _block_pairs(bounded, placed, pivots, radius, k, metric)
     return _k_best(first.drop("rank").unionByName(second), k)
 
 

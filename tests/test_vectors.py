@@ -55,6 +55,27 @@ def test_exact_neighbours_with_many_cells_and_blocks(spark, metric, dims):
     assert [j for _, j in got[449]] == [3, 300, 301, 302]
 
 
+def test_exact_neighbours_beyond_the_own_cell_need_no_exchange(spark, monkeypatch):
+    """However many cells a query needs, rows are exchanged to pack them and no more."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    plans, made = [], neighbours._block_pairs
+
+    def block_pairs(*args):
+        found = made(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(neighbours, "_block_pairs", block_pairs)
+    matrix = np.random.default_rng(8).normal(size=(400, 16))
+    matrix[300:] = matrix[:100]  # copies
+    rows = spark.createDataFrame([(f"r{i:03}", [float(x) for x in v]) for i, v in enumerate(matrix)], "id string, embedding array<double>")
+    found = neighbours.knn_graph(rows, 4, "euclidean", "exact", cell_rows=20).collect()
+    assert plans and all("hashpartitioning" not in p and "CoGroup" not in p for p in plans)
+    got = by_source(found)
+    for i, near in brute_knn(matrix, 4, "euclidean").items():
+        assert [d for d, _ in got[f"r{i:03}"]] == pytest.approx([d for d, _ in near], abs=1e-6)
+
+
 def test_fewer_rows_than_neighbours(spark):
     matrix = np.array([[0.0, 1.0], [1.0, 0.0], [1.0, 1.0]])
     got = by_source(neighbours.knn_graph(frame(spark, matrix), 5, "euclidean", "exact").collect())
