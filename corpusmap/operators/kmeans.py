@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmap.functions.ordering import hash_key
@@ -66,6 +64,30 @@ def update_centres(assigned: DataFrame, group: str) -> DataFrame:
     )
 
 
+#: Rounds between two looks at the centres, and the groups up to which their centres are sent to every task.
+ROUNDS_AT_ONCE = 6
+SENT_GROUPS = 50_000
+
+
+def _next_centres(points: DataFrame, centres: DataFrame, group: str, k: int) -> DataFrame:
+    """A round: the centres of :func:`update_centres` after :func:`assign_centres`, and those ``before``.
+
+    One exchange of partial sums by group; a centre that got no point ends.
+    """
+    nearest = F.array_min(
+        F.transform("centres", lambda c, i: F.struct(_squared(c).alias("d"), i.alias("sub")))
+    )["sub"]
+    assigned = points.join(centres, group).select(group, "x", "y", F.col("centres").alias("before"), nearest.alias("sub"))
+    sums = []
+    for sub in range(k):
+        mine = F.col("sub") == sub
+        sums += [F.count_if(mine).alias(f"n{sub}"), *[F.avg(F.when(mine, F.col(c))).alias(f"{c}{sub}") for c in ("x", "y")]]
+    found = assigned.groupBy(group).agg(F.any_value("before").alias("before"), *sums)
+    held = [F.struct(F.col(f"n{i}").alias("n"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in range(k)]
+    means = F.transform(F.filter(F.array(*held), lambda c: c["n"] > 0), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
+    return found.select(group, F.sort_array(means).alias("centres"), "before")
+
+
 def grouped_kmeans(
     points: DataFrame,
     group: str = "cluster",
@@ -77,13 +99,20 @@ def grouped_kmeans(
 
     Returns the points (id, group, x, y) with ``sub``, and the centres, one row per group.
     """
-    narrow = points.select("id", group, "x", "y")
+    # Every round reads the points: as a table of their own they are four columns, whatever they come from.
+    narrow = materialize(points.select("id", group, "x", "y"), "points")
     centres = start_centres(narrow, group, k, seed)
-    for _ in range(iters) if iters is not None else count():
-        found = update_centres(assign_centres(narrow, centres, group), group)
-        before = centres.select(group, F.col("centres").alias("before"))
+    few = centres.count() <= SENT_GROUPS
+    done = 0
+    while iters is None or done < iters:
+        rounds = min(ROUNDS_AT_ONCE if few else 1, ROUNDS_AT_ONCE if iters is None else iters - done)
+        found = centres
+        for _ in range(rounds):  # centres at rest stay through the rounds that follow
+            sent = found.select(group, "centres")
+            found = _next_centres(narrow, F.broadcast(sent) if few else sent, group, k)
+        done += rounds
         moved, seen = materialize_observed(
-            found.join(before, group), "centres", moved=F.count_if(F.col("centres") != F.col("before"))
+            found, "centres", moved=F.count_if(F.col("centres") != F.col("before"))
         )
         centres = moved.select(group, "centres")
         if not seen["moved"]:

@@ -221,6 +221,25 @@ def test_grouped_kmeans_separates_each_group(spark):
 # Layout
 
 
+def test_grouped_kmeans_looks_at_the_centres_once_in_several_rounds(spark, monkeypatch):
+    xy = np.random.default_rng(4).uniform(size=(300, 2))
+    rows = points(spark, xy).withColumn("cluster", (F.col("id") % 2).cast("int"))
+    looks, plain = [], kmeans.materialize_observed
+    monkeypatch.setattr(kmeans, "materialize_observed", lambda *a, **m: looks.append(1) or plain(*a, **m))
+    assigned, centres = kmeans.grouped_kmeans(rows, iters=7)
+    assert len(looks) == 2  # before: one for each round
+    wanted = kmeans.start_centres(rows, "cluster", 3)
+    for _ in range(7):
+        wanted = kmeans.materialize(kmeans.update_centres(kmeans.assign_centres(rows, wanted, "cluster"), "cluster"), "centres")
+    flat = lambda df: [(r["cluster"], [(c["x"], c["y"]) for c in r["centres"]]) for r in df.orderBy("cluster").collect()]
+    for (a, got), (b, want) in zip(flat(centres), flat(wanted), strict=True):
+        assert a == b and np.allclose(got, want)
+    rest, _ = kmeans.grouped_kmeans(rows)
+    again = kmeans.update_centres(rest, "cluster")
+    settled = kmeans.assign_centres(rows, again, "cluster")
+    assert sorted(map(tuple, settled.select("id", "sub").collect())) == sorted(map(tuple, rest.select("id", "sub").collect()))
+
+
 def test_curve_parameters():
     a, b = layout.curve_parameters(0.1)
     assert a == pytest.approx(1.577, abs=0.02) and b == pytest.approx(0.895, abs=0.01)
