@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import count
+
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmap.functions.ordering import hash_key
@@ -64,8 +67,7 @@ def update_centres(assigned: DataFrame, group: str) -> DataFrame:
     )
 
 
-#: Rounds between two looks at the centres, and the groups up to which their centres are sent to every task.
-ROUNDS_AT_ONCE = 6
+#: Groups up to which the centres pass through the driver from round to round; those of more are written.
 SENT_GROUPS = 50_000
 
 
@@ -103,18 +105,15 @@ def grouped_kmeans(
     narrow = materialize(points.select("id", group, "x", "y"), "points")
     centres = start_centres(narrow, group, k, seed)
     few = centres.count() <= SENT_GROUPS
-    done = 0
-    while iters is None or done < iters:
-        rounds = min(ROUNDS_AT_ONCE if few else 1, ROUNDS_AT_ONCE if iters is None else iters - done)
-        found = centres
-        for _ in range(rounds):  # centres at rest stay through the rounds that follow
-            sent = found.select(group, "centres")
-            found = _next_centres(narrow, F.broadcast(sent) if few else sent, group, k)
-        done += rounds
-        moved, seen = materialize_observed(
-            found, "centres", moved=F.count_if(F.col("centres") != F.col("before"))
-        )
-        centres = moved.select(group, "centres")
-        if not seen["moved"]:
+    moved = F.col("centres") != F.col("before")
+    for _ in range(iters) if iters is not None else count():
+        if few:
+            found = _next_centres(narrow, F.broadcast(centres), group, k).withColumn("moved", moved).toArrow()
+            centres = narrow.sparkSession.createDataFrame(found.select([group, "centres"]), centres.schema)
+            some = pc.any(found.column("moved")).as_py()
+        else:
+            found, seen = materialize_observed(_next_centres(narrow, centres, group, k), "centres", moved=F.count_if(moved))
+            centres, some = found.select(group, "centres"), seen["moved"]
+        if not some:
             break
     return assign_centres(narrow, centres, group), centres

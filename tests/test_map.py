@@ -221,13 +221,15 @@ def test_grouped_kmeans_separates_each_group(spark):
 # Layout
 
 
-def test_grouped_kmeans_looks_at_the_centres_once_in_several_rounds(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [0, 50_000])
+def test_grouped_kmeans_writes_the_centres_of_many_groups_only(spark, monkeypatch, sent):
     xy = np.random.default_rng(4).uniform(size=(300, 2))
     rows = points(spark, xy).withColumn("cluster", (F.col("id") % 2).cast("int"))
     looks, plain = [], kmeans.materialize_observed
+    monkeypatch.setattr(kmeans, "SENT_GROUPS", sent)
     monkeypatch.setattr(kmeans, "materialize_observed", lambda *a, **m: looks.append(1) or plain(*a, **m))
     assigned, centres = kmeans.grouped_kmeans(rows, iters=7)
-    assert len(looks) == 2  # before: one for each round
+    assert len(looks) == (0 if sent else 7)  # before: one for each round
     wanted = kmeans.start_centres(rows, "cluster", 3)
     for _ in range(7):
         wanted = kmeans.materialize(kmeans.update_centres(kmeans.assign_centres(rows, wanted, "cluster"), "cluster"), "centres")
