@@ -307,6 +307,47 @@ def test_an_epoch_leaves_the_edges_where_they_are(spark):
     assert sum("Exchange" in line for line in over) == 1
 
 
+def test_draws_of_a_block_are_those_of_the_table(spark):
+    nodes = spark.range(23).select(F.col("id").alias("node"))
+    for epoch, negatives, seed in ((0, 5, 42), (7, 2, 2**40), (3, 0, -1)):
+        draws = layout._Draws(23, 10, 50, negatives, seed)
+        got = [(int(v), int(o)) for b in range(3) for v, o in zip(np.repeat(draws.nodes(b), len(draws.numbers)), draws.drawn(b, epoch))]
+        rows = layout.drawn_nodes(nodes, 23, epoch, negatives, seed).collect()
+        assert sorted(got) == sorted((r["node"], r["other"]) for r in rows)
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_blocks_move_as_epoch_after_epoch_of_the_rule(spark, monkeypatch, blocks):
+    """Among repeated ids, a null id, edges without a weight and nodes without edges; with few tables written."""
+    from corpusmap.sources.scratch import materialize
+
+    graph, start, _, _ = layout_graph(spark)
+    graph = graph.union(spark.createDataFrame([(3, 4, None), (4, 3, float("nan")), (5, 5, 0.5)], graph.schema))
+    start = start.union(spark.createDataFrame([(7, 0.5, -0.5), (None, 1.0, 1.0), (8, float("nan"), 2.0)], start.schema))
+    epochs, curve = 13, layout.curve_parameters(0.05)
+    nodes = materialize(indexing.dense_index(start.select("id"), "node", 5), "nodes")
+    n = nodes.count()
+    edges = materialize(
+        graph.join(nodes.withColumnRenamed("id", "src"), "src")
+        .join(nodes.select(F.col("id").alias("dst"), F.col("node").alias("other")), "dst")
+        .select("node", "other", "weight"),
+        "edges",
+    )
+    places = materialize(start.join(nodes, "id").select("node", "x", "y"), "places")
+    for epoch in range(epochs):
+        places = materialize(layout.epoch_moved(edges, places, n, curve, 1.0 - epoch / epochs, epoch, 5, 5), "places")
+    rows = lambda df: sorted((r["id"], r["x"], r["y"]) for r in df.collect())
+    wanted = rows(places.join(nodes, "node").select("id", "x", "y"))
+
+    written = []
+    monkeypatch.setattr(layout, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    monkeypatch.setattr(layout, "BLOCKS", blocks)
+    got = rows(layout.layout_2d(graph, start, epochs, seed=5))
+    assert [r[0] for r in got] == [r[0] for r in wanted]
+    assert np.allclose(np.array(got), np.array(wanted), atol=1e-6, equal_nan=True)
+    assert len(written) < epochs  # a table for many epochs, not for each
+
+
 def test_layout_keeps_blobs_apart(spark):
     rng = np.random.default_rng(6)
     # Centres far apart in five dimensions.
