@@ -122,15 +122,15 @@ def _packed(context: np.ndarray, word: np.ndarray, *numbers: np.ndarray) -> tupl
     return words.tobytes(), squeeze(step, ahead & 255, ahead >> 8, *(n[order] for n in numbers))
 
 
-def _unpacked(words: bytes, body: bytes, numbers: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(words, [context, word, numbers]) with contexts and words as places."""
-    step, low, high, *rest = expand_all(body, [np.int64] * (3 + numbers))
+def _unpacked(words: bytes, body: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(words, [context, word, count]) with contexts and words as places."""
+    step, low, high, count = expand_all(body, [np.int64] * 4)
     context, ahead = np.cumsum(step), low + 256 * high
     # Sums of the steps since the first word of each context.
     heads = np.flatnonzero(np.concatenate([[True], step[1:] != 0])) if len(step) else step
     total = np.cumsum(ahead)
     word = total - np.repeat(total[heads] - ahead[heads], np.diff(np.append(heads, len(step))))
-    return np.frombuffer(words, U64), [context, word, *rest]
+    return np.frombuffer(words, U64), [context, word, count]
 
 
 class Pairs:
@@ -156,6 +156,23 @@ def _merged(keys: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.n
     return k[at], context[order[at]], word[order[at]], total
 
 
+def _told(plan: Layout, keys: np.ndarray, numbers: list[np.ndarray]) -> bytes:
+    """Numbers by the bits of keys that travel, as steps between these; a key takes about three bytes.
+
+    Pairs that the travelling bits do not tell apart have the sums of their numbers.
+    """
+    order, at, sums = _sums(keys, numbers)
+    bits = (keys[order[at]] << U64(plan.part_bits)) >> U64(64 - 8 * plan.key_bytes)
+    step = np.diff(bits.astype(np.int64), prepend=0)
+    return squeeze(step & 0xFFFF, step >> 16, *sums)
+
+
+def _heard(plan: Layout, raw: bytes, numbers: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(keys as :meth:`Layout.unpack` gives them, numbers) of :func:`_told`."""
+    low, high, *rest = expand_all(raw, [np.int64] * (2 + numbers))
+    return np.cumsum(low + (high << 16)).astype(U64) << U64(64 - 8 * plan.key_bytes), rest
+
+
 def _pair_counts(plans: Plans):
     """Distinct pairs of a task's texts and their counts, by key range."""
 
@@ -421,7 +438,7 @@ def _start(plans: Plans):
 def _sweep(plans: Plans, totals: Totals, sweep: int):
     """New tables of every pair, as a row of part -1, and the sums that follow from them.
 
-    In the last sweep that row holds the pairs as well, with their customers and the tables of all chains together.
+    In the last sweep that row holds what texts ask for: keys, customers and the tables of all chains together.
     """
 
     def ask(table: pa.Table, got: pa.Table) -> pa.Table:
@@ -443,7 +460,7 @@ def _sweep(plans: Plans, totals: Totals, sweep: int):
             chains.append(tables)
         seated = (b"", squeeze(*chains))
         if sweep == SWEEPS:
-            seated = _packed(p.words[p.context], p.words[p.word], p.count, sum(chains))
+            seated = (b"", _told(plans.pairs, p.keys, [p.count, sum(chains)]))
         return _as_table([(-1, p.block, *seated), *_questions_of(p, chains, plans)])
 
     return lambda a, b: tidily(ask, a, b)
@@ -467,11 +484,7 @@ def _answer(plans: Plans):
     def known_pairs(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
         if not rows:
             return np.zeros(0, U64), [np.zeros(0, np.int64) for _ in _PAIR]
-        words, (context, word, *numbers) = _unpacked(rows[0]["keys"], rows[0]["extra"], len(_PAIR))
-        keys = plans.pair_keys(words[context], words[word]) << U64(plans.pairs.part_bits)
-        # Pairs that the travelling bits do not tell apart answer with their sums.
-        order, at, sums = _sums(keys, numbers)
-        return keys[order[at]], sums
+        return _heard(plans.pairs, rows[0]["extra"], len(_PAIR))
 
     def known_words(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
         if not rows:
@@ -529,11 +542,12 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
         known = tagged(state=state, seats=seated)
         drawn = pairs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_sweep(plans, totals, sweep), _QUESTION)
         last, asked = (asked, state), materialize(drawn, "asked")
+        for table in last:
+            discard(table)
+        free_shuffles(spark)
         sums = replies(asked.where("part >= 0"), plans.words, _seat_parent(totals.tables, totals.base, sweep), _SUMS)
         state = materialize(sums, "state")
         totals = _totals(state, totals.tables)
-        for table in last:
-            discard(table)
         free_shuffles(spark)
     discard(state)
     discard(pairs)

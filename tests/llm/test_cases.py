@@ -208,6 +208,24 @@ def test_words_are_counted_whatever_the_keys_of_pairs(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got} == want
 
 
+def test_counts_handed_to_texts_take_few_bytes():
+    """Keys of a part travel as steps; keys that are equal in the bits that travel have their sums."""
+    rng = np.random.default_rng(3)
+    plan = lm.Layout(1, 4)
+    keys = (rng.integers(0, 2**60, 200_000, dtype=np.uint64)) | np.uint64(5 << 60)
+    keys = plan.trim(np.concatenate([keys, keys[:3]]))
+    count = rng.geometric(0.8, len(keys)).astype(np.int64)
+    raw = lm._told(plan, keys, [count, 3 * count])
+    assert len(raw) < 4.5 * len(keys)  # a list of words and pairs of places took over ten
+    wanted = {}
+    for k, c in zip(keys.tolist(), count.tolist()):
+        wanted[k] = wanted.get(k, 0) + c
+    got, (counts, tables) = lm._heard(plan, raw, 2)
+    packed = plan.unpack(plan.pack(np.array(sorted(wanted), np.uint64)))
+    assert got.tolist() == packed.tolist()
+    assert counts.tolist() == [wanted[k] for k in sorted(wanted)] and (tables == 3 * counts).all()
+
+
 def test_licenses(docs, none):
     got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
     assert got[0]["n_words"] == 0 and got[0]["first_word"] is None and got[0]["labels"] == "" and got[0]["score"] == 0
