@@ -172,8 +172,8 @@ def _later_epochs(
 ) -> DataFrame:
     """Places (node, x, y) after the epochs that follow the first, each as in :func:`epoch_moved`.
 
-    Draws depend on node and epoch alone, so a block asks for the places of an epoch's draws while the epoch before
-    the last one's answers travels; every epoch stays one exchange.
+    Draws depend on node and epoch alone, so a block asks for the places of an epoch's draws two epochs ahead, in the
+    rows that carry its answers; every epoch stays one exchange.
     """
     size = max(1, min(BLOCK_NODES, -(-n // BLOCKS)))
     dealt = edges.withColumn("block", F.floor(F.col("node") / F.lit(size)).cast("int"))

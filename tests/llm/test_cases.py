@@ -216,7 +216,7 @@ def test_counts_handed_to_texts_take_few_bytes():
     keys = plan.trim(np.concatenate([keys, keys[:3]]))
     count = rng.geometric(0.8, len(keys)).astype(np.int64)
     raw = lm._told(plan, keys, [count, 3 * count])
-    assert len(raw) < 4.5 * len(keys)  # a list of words and pairs of places took over ten
+    assert len(raw) < 4.5 * len(keys)  # whole keys alone take five
     wanted = {}
     for k, c in zip(keys.tolist(), count.tolist()):
         wanted[k] = wanted.get(k, 0) + c
