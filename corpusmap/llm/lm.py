@@ -13,9 +13,10 @@ for the next sweep. Customers of a dish beyond the ``SOLO``-th sit down one afte
 the odds of the group's middle. ``SAMPLES`` chains give that many seatings, and a text's score is the log10 of the mean of
 their predictive probabilities, summed over its tokens; the perplexity is 10 to the score a token, inverted.
 
-The texts are read twice. First each task counts its word pairs, and the counts meet by ranges of the pair's
+First each task counts its texts' word pairs, and the counts meet by ranges of the pair's
 hash, so frequent words make no hot spot: a range is one row of distinct pairs. Sweeps move those rows and sums per
-word only. At the end blocks of texts (:mod:`corpusmap.llm.blocks`) ask for their pairs and words.
+word only. At the end blocks of texts (:mod:`corpusmap.llm.blocks`) ask for their pairs and words, a share of the blocks
+after the other: ``PASSES`` passes read the texts, and each frees the disk of the one before.
 
 Tokens: A-Z lower-cased, runs of bytes other than blank and the control characters from tab to carriage return, then
 one end token per text.
@@ -56,6 +57,8 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 1.0
 SOLO = 32
 #: Distinct pairs that a task holds before it sends them.
 HELD_PAIRS = 1 << 21
+#: Shares of the blocks that are scored one after the other, since texts, questions and replies take most of the disk.
+PASSES = 3
 _END, _BEGIN = U64(0xE17D0C0DE1234567), U64(0xBE61A0C0DE765432)
 _QUESTION = "part int, block int, keys binary, extra binary"
 
@@ -110,12 +113,19 @@ class Block:
         self.pair_word, self.pair_context = self.word[first], context[first]
 
 
+def _by_two(first: np.ndarray, second: np.ndarray, below: int) -> np.ndarray:
+    """Order by two places below ``below``: both and the row's number are sorted as one number where they fit into it."""
+    bits, last = below.bit_length(), len(first).bit_length()
+    if 2 * bits + last > 63:
+        return np.lexsort((second, first))
+    return np.sort(first << (bits + last) | second << last | np.arange(len(first))) & ((1 << last) - 1)
+
+
 def _packed(context: np.ndarray, word: np.ndarray, *numbers: np.ndarray) -> tuple[bytes, bytes]:
     """Pairs as a list of words and steps in it, by context and word; a pair takes two or three bytes."""
     words, _, where = distinct(np.concatenate([context, word]))
-    c, w = where[: len(context)], where[len(context) :]
-    order = np.lexsort((w, c))
-    c, w = c[order], w[order]
+    order = _by_two(where[: len(context)], where[len(context) :], len(words))
+    c, w = where[order], where[order + len(context)]
     step = np.diff(c, prepend=0)
     ahead = np.where(step == 0, np.diff(w, prepend=0), w)
     ahead[:1] = w[:1]
@@ -145,9 +155,9 @@ class Pairs:
         return np.bincount(places, weights, len(self.words)).astype(np.int64)
 
 
-def _merged(keys: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> tuple:
-    """The same with each key once, in order, and the sums of its counts."""
-    order = np.argsort(keys)
+def _merged(keys: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray, kind: str | None = None) -> tuple:
+    """The same with each key once, in order, and the sums of its counts; the stable ``kind`` is fast on runs in order."""
+    order = np.argsort(keys, kind=kind)
     k = keys[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
@@ -161,7 +171,7 @@ def _told(plan: Layout, keys: np.ndarray, numbers: list[np.ndarray]) -> bytes:
 
     Pairs that the travelling bits do not tell apart have the sums of their numbers.
     """
-    order, at, sums = _sums(keys, numbers)
+    order, at, sums = _sums(keys, numbers, None)
     bits = (keys[order[at]] << U64(plan.part_bits)) >> U64(64 - 8 * plan.key_bytes)
     step = np.diff(bits.astype(np.int64), prepend=0)
     return squeeze(step & 0xFFFF, step >> 16, *sums)
@@ -190,7 +200,7 @@ def _pair_counts(plans: Plans):
                 part = offsets[a : b + 1]
                 t = Tokens(data[part[0] : part[-1]], part - part[0])
                 new = _merged(plans.whole_keys(t.before, t.hash), t.before, t.hash, np.ones(len(t.hash), np.int64))
-                held = _merged(*(np.concatenate(c) for c in zip(held, new, strict=True)))
+                held = _merged(*(np.concatenate(c) for c in zip(held, new, strict=True)), kind="stable")
                 if len(held[0]) > HELD_PAIRS:
                     yield send(*held)
                     held = tuple(c[:0] for c in held)
@@ -243,16 +253,17 @@ def resample(
     few = np.minimum(customers, SOLO)
     with np.errstate(over="ignore"):
         draw = (mix(keys ^ U64(salt * 0xD1B54A32D192ED03 & (2**64 - 1))) >> U64(11)) * 2.0**-53
-    order = np.argsort(few, kind="stable")
+    order = np.argsort(few.astype(np.uint8), kind="stable")
     bounds = np.searchsorted(few[order], np.arange(2, SOLO + 2))
     for c in range(2, SOLO + 1):
         mine = order[bounds[c - 2] : bounds[c - 1]]
-        stirling = _log_stirling(discount)[c, 1 : c + 1]
-        for at in np.split(mine, range(1 << 15, len(mine), 1 << 15)):
-            step = np.log(spare[at, None] + discount * np.arange(c)) + np.log(prob[at, None])
-            weight = stirling + np.cumsum(step, axis=1)
-            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            out[at] = 1 + (weight[:, :-1] <= draw[at, None] * weight[:, -1:]).sum(axis=1)
+        stirling = _log_stirling(discount)[c, 1 : c + 1, None]
+        for at in np.split(mine, range(1 << 13, len(mine), 1 << 13)):
+            # A row for each number of tables, a column for each dish.
+            step = np.log(spare[at] + discount * np.arange(c)[:, None]) + np.log(prob[at])
+            weight = stirling + np.cumsum(step, axis=0)
+            weight = np.cumsum(np.exp(weight - weight.max(axis=0)), axis=0)
+            out[at] = 1 + (weight[:-1] <= draw[at] * weight[-1]).sum(axis=0)
     many = np.flatnonzero(customers > SOLO)
     if len(many):
         out[many] = seats(
@@ -307,9 +318,11 @@ def seats(
     return out
 
 
-def _sums(keys: np.ndarray, extra: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(order, runs, sum of each array per run of equal keys)."""
-    order = np.argsort(keys, kind="stable")
+def _sums(
+    keys: np.ndarray, extra: list[np.ndarray], kind: str | None = "stable"
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(order, runs, sum of each array per run of equal keys); the stable ``kind`` is fast on keys in ordered runs."""
+    order = np.argsort(keys, kind=kind)
     k = keys[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
@@ -408,6 +421,22 @@ def _seat_parent(given: tuple[int, ...] | None, base: float, sweep: int):
     return answer
 
 
+def _word_table(plans: Plans, seat):
+    """A row for a range of words, each word once: its sums, and what ``seat`` adds to them."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys = np.concatenate([plans.words.unpack(r["keys"]) for r in rows])
+        parts = zip(*(expand_all(r["extra"], _SUMS) for r in rows), strict=True)
+        found = seat(keys, [np.concatenate(p) for p in parts])
+        mine = np.flatnonzero(found[-1])
+        mine = mine[np.argsort(keys[mine])]
+        whole = plans.words.pack(keys[mine] >> U64(plans.words.part_bits))
+        return _as_table([(-1 - rows[0]["part"], -1, whole, squeeze(*(f[mine] for f in found)))])
+
+    return lambda table: tidily(gather, table)
+
+
 def _questions_of(p: Pairs, chains: list[np.ndarray], plans: Plans) -> list[tuple]:
     """Rows of sums per word for the word ranges."""
     extra = [p.per_word(p.word, p.count), *(p.per_word(p.context, c) for c in chains), *(p.per_word(p.word, c) for c in chains)]
@@ -489,10 +518,7 @@ def _answer(plans: Plans):
     def known_words(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
         if not rows:
             return np.zeros(0, U64), [np.zeros(0, np.int64) for _ in _SUMS]
-        keys = np.concatenate([plans.words.unpack(r["keys"]) for r in rows])
-        parts = zip(*(expand_all(r["extra"], _SUMS) for r in rows), strict=True)
-        order, at, sums = _sums(keys, [np.concatenate(p) for p in parts])
-        return keys[order[at]], sums
+        return plans.words.unpack(rows[0]["keys"]), expand_all(rows[0]["extra"], _STATE)[: len(_SUMS)]
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -536,31 +562,57 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
 
     asked = materialize(pairs.mapInArrow(_start(plans), _QUESTION), "asked")
     state = materialize(replies(asked, plans.words, _seat_parent(None, 1.0, 0), _SUMS), "state")
-    totals = _totals(state, (0,) * SAMPLES)
+    totals, seats = _totals(state, (0,) * SAMPLES), None
+    discard(asked)
+    free_shuffles(spark)
     for sweep in range(1, SWEEPS + 1):
-        seated = asked.where("part < 0").select("block", "part", F.col("extra").alias("reply"))
-        known = tagged(state=state, seats=seated)
+        known = tagged(state=state)
+        if seats is not None:
+            known = known.unionByName(tagged(seats=seats.withColumnRenamed("extra", "reply")))
         drawn = pairs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_sweep(plans, totals, sweep), _QUESTION)
-        last, asked = (asked, state), materialize(drawn, "asked")
-        for table in last:
-            discard(table)
+        asked = materialize(drawn, "asked")
+        discard(state)
+        if seats is not None:
+            discard(seats)
         free_shuffles(spark)
-        sums = replies(asked.where("part >= 0"), plans.words, _seat_parent(totals.tables, totals.base, sweep), _SUMS)
-        state = materialize(sums, "state")
-        totals = _totals(state, totals.tables)
+        sent, seat = asked.where("part >= 0"), _seat_parent(totals.tables, totals.base, sweep)
+        if sweep < SWEEPS:
+            state = materialize(replies(sent, plans.words, seat, _SUMS), "state")
+            totals = _totals(state, totals.tables)
+        else:
+            words = materialize(sent.groupBy("part").applyInArrow(_word_table(plans, seat), _QUESTION), "words")
+            totals = _totals(words.withColumnRenamed("extra", "reply"), totals.tables)
+        seats = materialize(asked.where("part < 0"), "seats")
+        discard(asked)
         free_shuffles(spark)
-    discard(state)
     discard(pairs)
 
+    known = [seats.select(F.col("block").alias("part"), F.lit(-1).alias("block"), "keys", "extra"), words]
     dealt = in_blocks(texts.select("doc_id", "text"), ["doc_id", "text"], plans.pairs)
-    told = asked.where("part < 0").select(F.col("block").alias("part"), F.lit(-1).alias("block"), "keys", "extra")
-    summed = asked.where("part >= 0").select((-1 - F.col("part")).alias("part"), F.lit(-1).alias("block"), "keys", "extra")
-    asking = dealt.groupBy("block").applyInArrow(_ask(plans), _QUESTION).unionByName(told).unionByName(summed)
+    passes = min(PASSES, plans.pairs.blocks)
+    out = None
+    for share in range(passes):
+        scored = _scored(dealt.where(F.col("block") % passes == share), known, plans, totals)
+        if passes > 1:
+            scored = materialize(scored, "scored")
+            free_shuffles(spark)
+        out = scored if out is None else out.unionByName(scored)
+    if passes > 1:
+        discard(seats)
+        discard(words)
+    return out
+
+
+def _scored(dealt: DataFrame, known: list[DataFrame], plans: Plans, totals: Totals) -> DataFrame:
+    """Figures of the texts of some blocks, whose questions meet the rows ``known`` of pairs and words."""
+    asking = dealt.groupBy("block").applyInArrow(_ask(plans), _QUESTION)
+    for table in known:
+        asking = asking.unionByName(table)
     answers = asking.groupBy("part").applyInArrow(_answer(plans), "block int, part int, reply binary, tag string")
     finish = _finish(plans, totals)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         lambda a, b: tidily(finish, a, b),
-        f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_known long, train_tokens long, base_score double, "
+        f"doc_id {dict(dealt.dtypes)['doc_id']}, n_tokens long, n_known long, train_tokens long, base_score double, "
         "score double, perplexity double",
     )
 

@@ -30,10 +30,19 @@ def byte_table(seed: int = 1) -> np.ndarray:
     return mix(np.arange(256, dtype=U64) + U64(seed * 1000 + 7))
 
 
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes whose powers are held; those of further places are products with a power of this many.
+_STEP = 1 << 16
+
+
 @lru_cache(maxsize=4)
-def _powers(n: int) -> np.ndarray:
+def _powers(n: int, base: int = _BASE) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[U64(1)], np.full(n - 1, 0x9E3779B97F4A7C15, U64)]), dtype=U64)
+        return np.cumprod(np.concatenate([[U64(1)], np.full(n - 1, base, U64)]), dtype=U64)
+
+
+def _inverse_powers() -> np.ndarray:
+    return _powers(_STEP, pow(_BASE, -1, 1 << 64))
 
 
 def powers(n: int) -> np.ndarray:
@@ -84,25 +93,25 @@ class Words:
     ``first`` (its first word; n + 1 entries)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, mask: np.ndarray, seed: int = 1):
-        low = lower_table()[data]
-        keep = mask[low]
+        low = lower_table()
+        keep = np.frombuffer(bytearray(data).translate(mask[low].tobytes()), bool)
         begins = keep.copy()
         begins[1:] &= ~keep[:-1]
-        edges = offsets[:-1][(offsets[:-1] < len(low))]
+        edges = offsets[:-1][(offsets[:-1] < len(data))]
         begins[edges] = keep[edges]  # a document's first byte starts a word of its own
-        at = np.flatnonzero(keep)
-        heads = np.flatnonzero(begins[at])
-        self.start = at[heads]
-        if len(heads):
-            length = np.diff(np.append(heads, len(at)))
-            inner = np.arange(len(at)) - np.repeat(heads, length)
-            with np.errstate(over="ignore"):
-                value = byte_table(seed)[low[at]] * powers(int(length.max()))[inner]
-                self.hash = mix(np.add.reduceat(value, heads) + length.astype(U64))
-            self.end = self.start + length
-        else:
-            self.hash = np.zeros(0, U64)
-            self.end = self.start
+        ends = keep
+        ends[:-1] &= ~keep[1:] | begins[1:]
+        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        with np.errstate(over="ignore"):
+            value, total = byte_table(seed)[low], np.zeros(len(data) + 1, U64)
+            for i, a in enumerate(range(0, len(data), _STEP)):
+                part = value[data[a : a + _STEP]] * (powers(_STEP)[: len(data) - a] * U64(pow(_BASE, _STEP * i, 1 << 64)))
+                np.cumsum(part, out=total[a + 1 : a + 1 + _STEP])
+                total[a + 1 : a + 1 + _STEP] += total[a]
+            # Sums begin at the power of the word's place; its inverse takes them back to the power 0.
+            far = np.array([pow(_BASE, -_STEP * i, 1 << 64) for i in range(len(data) // _STEP + 1)], U64)
+            back = far[self.start // _STEP] * _inverse_powers()[self.start % _STEP]
+            self.hash = mix((total[self.end] - total[self.start]) * back + (self.end - self.start).astype(U64))
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
