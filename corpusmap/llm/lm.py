@@ -364,9 +364,8 @@ def parent_tables(keys: np.ndarray, customers: np.ndarray, given: int, base: flo
     return resample(keys, customers, spare, np.full(len(keys), base), PARENT_DISCOUNT, salt)
 
 
-def parent(totals: Totals, keys: np.ndarray, customers: np.ndarray, sweep: int, chain: int) -> np.ndarray:
+def parent(totals: Totals, customers: np.ndarray, tables: np.ndarray, chain: int) -> np.ndarray:
     """The parent's probability of words."""
-    tables = parent_tables(keys, customers, totals.given[chain], totals.base, _salt(31, sweep, chain))
     spare = PARENT_STRENGTH + PARENT_DISCOUNT * totals.tables[chain]
     known = np.maximum(customers - PARENT_DISCOUNT * tables, 0)
     return (known + spare * totals.base) / (PARENT_STRENGTH + totals.customers[chain])
@@ -397,6 +396,8 @@ def _owned_sums(table: DataFrame, kinds: list) -> list[int]:
 _SUMS = [np.int64] * (1 + 2 * SAMPLES)
 #: The same; per chain the parent's tables, for one entry of each word; owner.
 _STATE = [*_SUMS, *[np.int64] * SAMPLES, np.uint8]
+#: What texts are told of a word: the sums, and per chain the parent's tables.
+_KNOWN = [*_SUMS, *[np.int64] * SAMPLES]
 #: Customers of a pair, and its tables in all chains together.
 _PAIR = [np.int64, np.int64]
 
@@ -421,18 +422,27 @@ def _seat_parent(given: tuple[int, ...] | None, base: float, sweep: int):
     return answer
 
 
-def _word_table(plans: Plans, seat):
-    """A row for a range of words, each word once: its sums, and what ``seat`` adds to them."""
+def _word_table(plans: Plans, totals: Totals, sweep: int):
+    """A row for a range of words, each word once: its state, and as ``reply`` what totals are summed from."""
+    seat = _seat_parent(totals.tables, totals.base, sweep)
 
     def gather(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
+        part, bits = rows[0]["part"], plans.words.part_bits
         keys = np.concatenate([plans.words.unpack(r["keys"]) for r in rows])
         parts = zip(*(expand_all(r["extra"], _SUMS) for r in rows), strict=True)
         found = seat(keys, [np.concatenate(p) for p in parts])
         mine = np.flatnonzero(found[-1])
         mine = mine[np.argsort(keys[mine])]
-        whole = plans.words.pack(keys[mine] >> U64(plans.words.part_bits))
-        return _as_table([(-1 - rows[0]["part"], -1, whole, squeeze(*(f[mine] for f in found)))])
+        found = [f[mine] for f in found]
+        words = keys[mine] >> U64(bits) | U64(part << (64 - bits) if bits else 0)
+        sums = found[: len(_SUMS)]
+        # Seated by whole keys, as sweeps do; once here, not in every block of texts.
+        seated = [
+            parent_tables(words, c, totals.tables[s], totals.base, _salt(31, sweep, s)) for s, c in enumerate(sums[1 + SAMPLES :])
+        ]
+        out = _as_table([(-1 - part, -1, plans.words.pack(words), squeeze(*sums, *seated))])
+        return out.append_column("reply", pa.array([squeeze(*found)], pa.binary()))
 
     return lambda table: tidily(gather, table)
 
@@ -478,10 +488,13 @@ def _sweep(plans: Plans, totals: Totals, sweep: int):
         held = got.filter(pa.compute.equal(got.column("tag"), "seats")).column("reply")
         before = expand_all(held[0].as_py(), [np.int64] * SAMPLES) if len(held) else [np.ones_like(p.count)] * SAMPLES
         many = np.flatnonzero(p.count > 1)
+        needed, place = np.unique(p.word[many], return_inverse=True)
         chains = []
         for s in range(SAMPLES):
             others = state[1 + s][p.context[many]] - before[s][many]
-            prob = parent(totals, p.words, state[1 + SAMPLES + s], sweep - 1, s)[p.word[many]]
+            customers = state[1 + SAMPLES + s][needed]
+            seated = parent_tables(p.words[needed], customers, totals.given[s], totals.base, _salt(31, sweep - 1, s))
+            prob = parent(totals, customers, seated, s)[place]
             tables = np.ones_like(p.count)
             tables[many] = resample(
                 p.keys[many], p.count[many], STRENGTH + DISCOUNT * others, prob, DISCOUNT, _salt(7, sweep, s)
@@ -517,8 +530,8 @@ def _answer(plans: Plans):
 
     def known_words(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
         if not rows:
-            return np.zeros(0, U64), [np.zeros(0, np.int64) for _ in _SUMS]
-        return plans.words.unpack(rows[0]["keys"]), expand_all(rows[0]["extra"], _STATE)[: len(_SUMS)]
+            return np.zeros(0, U64), [np.zeros(0, np.int64) for _ in _KNOWN]
+        return plans.words.unpack(rows[0]["keys"]), expand_all(rows[0]["extra"], _KNOWN)
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -575,19 +588,20 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
         if seats is not None:
             discard(seats)
         free_shuffles(spark)
-        sent, seat = asked.where("part >= 0"), _seat_parent(totals.tables, totals.base, sweep)
+        sent = asked.where("part >= 0")
         if sweep < SWEEPS:
-            state = materialize(replies(sent, plans.words, seat, _SUMS), "state")
-            totals = _totals(state, totals.tables)
+            sums = replies(sent, plans.words, _seat_parent(totals.tables, totals.base, sweep), _SUMS)
         else:
-            words = materialize(sent.groupBy("part").applyInArrow(_word_table(plans, seat), _QUESTION), "words")
-            totals = _totals(words.withColumnRenamed("extra", "reply"), totals.tables)
+            sums = sent.groupBy("part").applyInArrow(_word_table(plans, totals, sweep), f"{_QUESTION}, reply binary")
+        state = materialize(sums, "state")
+        totals = _totals(state, totals.tables)
         seats = materialize(asked.where("part < 0"), "seats")
         discard(asked)
         free_shuffles(spark)
     discard(pairs)
 
-    known = [seats.select(F.col("block").alias("part"), F.lit(-1).alias("block"), "keys", "extra"), words]
+    known = [seats.select(F.col("block").alias("part"), F.lit(-1).alias("block"), "keys", "extra")]
+    known.append(state.select("part", "block", "keys", "extra"))
     dealt = in_blocks(texts.select("doc_id", "text"), ["doc_id", "text"], plans.pairs)
     passes = min(PASSES, plans.pairs.blocks)
     out = None
@@ -599,7 +613,7 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
         out = scored if out is None else out.unionByName(scored)
     if passes > 1:
         discard(seats)
-        discard(words)
+        discard(state)
     return out
 
 
@@ -627,7 +641,7 @@ def _finish(plans: Plans, totals: Totals):
         b = Block(table, plans)
         n = len(table)
         per = lambda v: np.bincount(b.row, v, n)
-        tokens, *state = reply_of(got, "words", _SUMS)
+        tokens, *state = reply_of(got, "words", _KNOWN)
         base = np.log10((tokens + 1.0) / (totals.tokens + 1.0 * (totals.words + 1)))
         # Followers of a context: of a word its training tokens, of the beginning the training texts.
         after = tokens.copy()
@@ -635,7 +649,7 @@ def _finish(plans: Plans, totals: Totals):
         count, tables = reply_of(got, "pairs", _PAIR)
         mean = count - DISCOUNT * tables / SAMPLES
         for s in range(SAMPLES):
-            prob = parent(totals, b.words, state[SAMPLES + s], SWEEPS, s)
+            prob = parent(totals, state[SAMPLES + s], state[2 * SAMPLES + s], s)
             mean += (STRENGTH + DISCOUNT * state[s])[b.pair_context] * prob[b.pair_word] / SAMPLES
         mean /= STRENGTH + after[b.pair_context]
         score = per((np.log10(mean) if totals.tokens else np.zeros(len(mean)))[b.pair])

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -22,7 +23,9 @@ from corpusmap.llm import (
     suffix_index,
     toxicity,
     warc,
+    words,
 )
+from corpusmap.sources.scratch import scratch_folder
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma".split()
 
@@ -226,6 +229,54 @@ def test_counts_handed_to_texts_take_few_bytes():
     assert counts.tolist() == [wanted[k] for k in sorted(wanted)] and (tables == 3 * counts).all()
 
 
+def test_language_model_scores_shares_of_the_blocks(spark, monkeypatch):
+    """No share holds most of the texts, only scores stay on the disk, and one share alone gives the same rows."""
+    from corpusmap.llm import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 3000)
+    rows = [(i, prose(i % 70, 60), i % 3 > 0) for i in range(90)] + [(None, "a b", True), (None, None, None), (3, prose(3, 60), True)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    sizes, write = [], lm.materialize
+
+    def spy(df, name):
+        written = write(df, name)
+        if name == "scored":
+            sizes.append(written.count())
+        return written
+
+    monkeypatch.setattr(lm, "materialize", spy)
+    folder = Path(scratch_folder(spark))
+    before = set(folder.glob("*"))
+    got = sorted(map(str, lm.score(table).collect()))
+    assert sum(sizes) == len(got) == len(rows) and max(sizes) < 0.6 * len(rows)
+    assert {p.name.split("-")[0] for p in set(folder.glob("*")) - before} == {"scored"}
+    monkeypatch.setattr(lm, "PASSES", 1)
+    assert sorted(map(str, lm.score(table).collect())) == got
+
+
+def test_places_are_ordered_by_two():
+    rng = np.random.default_rng(5)
+    first, second = rng.integers(0, 50, (2, 1000))
+    second = np.arange(1000) * 7 % 1000  # pairs differ
+    for below in (1000, 1 << 40):  # the second does not fit into one number
+        assert (lm._by_two(first, second, below) == np.lexsort((second, first))).all()
+
+
+def test_hashes_of_words(monkeypatch):
+    """Sums of the bytes' values times powers from the word's start, also across the steps that powers are held for."""
+    monkeypatch.setattr(words, "_STEP", 64)
+    texts = [b"Abc  def", b"", b"ghi", b"x" * 150 + b" \xc3\xa9 Z", b" end"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = words.Words(np.frombuffer(b"".join(texts), np.uint8), offsets, words.nonspace_mask())
+    value, wanted = words.byte_table(1).tolist(), []
+    for row, text in enumerate(texts):
+        for m in re.finditer(rb"\S+", text):
+            total = sum(value[b] * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(m[0].lower())) + len(m[0])
+            hashed = words.mix(np.array([total % (1 << 64)], np.uint64))[0]
+            wanted.append((row, offsets[row] + m.start(), offsets[row] + m.end(), hashed))
+    assert list(zip(got.doc, got.start, got.end, got.hash, strict=True)) == wanted
+
+
 def test_licenses(docs, none):
     got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
     assert got[0]["n_words"] == 0 and got[0]["first_word"] is None and got[0]["labels"] == "" and got[0]["score"] == 0
