@@ -33,6 +33,10 @@ from corpusmap.sources.scratch import discard, materialize, materialize_observed
 GROUP_EDGES = 1_000_000
 #: Witnesses of a cell, and cells whose witnesses a cell asks.
 WITNESSES, ASKED = 8, 48
+#: Cells that a cell meets in one group.
+PARTNERS = 32
+#: Nodes of the tree whose boxes are compared with all witnesses at once.
+NODES_AT_ONCE = 4096
 _PLACE_BITS, _NODE_BITS = 24, 44
 
 
@@ -69,6 +73,7 @@ class _Neighbourhood:
             kids = [tree.left[node], tree.right[node]]
             cores[node] = self.core[tree.cell[node]] if tree.axis[node] < 0 else cores[kids].min()
         self.cores = cores
+        self.axis, self.left, self.right, self.cell = (np.array(c) for c in (tree.axis, tree.left, tree.right, tree.cell))
         lists = [cells.column(c).combine_chunks() for c in ("wx", "wy", "wcore")]
         self.witness_cell = np.repeat(at, lists[0].value_lengths().to_numpy())
         self.witness = np.stack([w.flatten().to_numpy() for w in lists], axis=1)
@@ -83,25 +88,32 @@ class _Neighbourhood:
         near = np.argpartition(apart, min(ASKED, len(apart) - 1))[:ASKED] if len(apart) > ASKED else np.arange(len(apart))
         asked = self.witness[np.isin(self.witness_cell, near)]
         mine = box_reach(asked[:, :2], low, high)
-        out, stack = [], [0]
-        while stack:
-            node = stack.pop()
-            if not np.isfinite(self.lows[node]).all():
+        out, pending = [], [np.zeros(1, np.int64)]
+        while pending:
+            nodes = pending.pop()
+            if len(nodes) > NODES_AT_ONCE:
+                pending += [nodes[NODES_AT_ONCE:], nodes[:NODES_AT_ONCE]]
                 continue
-            gap = box_gap(low, high, self.lows[node], self.highs[node])
-            bound = max(gap, self.core[cell], self.cores[node])
-            able = (mine < gap) & (asked[:, 2] <= bound)
-            if able.any() and (box_reach(asked[able, :2], self.lows[node], self.highs[node]) < gap).any():
-                continue
-            if self.tree.axis[node] >= 0:
-                stack += [self.tree.left[node], self.tree.right[node]]
-            elif self.tree.cell[node] > cell:
-                out.append(self.tree.cell[node])
-        return out
+            nodes = nodes[np.isfinite(self.lows[nodes]).all(axis=1)]
+            lows, highs = self.lows[nodes], self.highs[nodes]
+            gap = box_gap(low, high, lows, highs)
+            bound = np.maximum(np.maximum(gap, self.core[cell]), self.cores[nodes])
+            far = np.zeros((len(nodes), len(asked)))
+            for axis in (0, 1):
+                place = asked[None, :, axis]
+                far += np.maximum(np.abs(place - lows[:, None, axis]), np.abs(place - highs[:, None, axis])) ** 2
+            able = (mine[None, :] < gap[:, None]) & (asked[None, :, 2] <= bound[:, None])
+            nodes = nodes[~(able & (np.sqrt(far) < gap[:, None])).any(axis=1)]
+            leaf = self.axis[nodes] < 0
+            out.append(self.cell[nodes[leaf]])
+            if not leaf.all():
+                pending.append(np.concatenate([self.left[nodes[~leaf]], self.right[nodes[~leaf]]]))
+        out = np.concatenate(out)
+        return np.sort(out[out > cell]).tolist()
 
 
 def _cell_pairs(nodes: DataFrame, tree: CellTree) -> DataFrame:
-    """(a, b): pairs of cells that may share an edge, a cell with itself included."""
+    """(a, b, slice): pairs of cells that may share an edge, a cell with itself included; at most ``PARTNERS`` in a slice of ``a``."""
 
     def summary(own: pd.DataFrame) -> pd.DataFrame:
         x, y, core = (own[c].to_numpy() for c in ("x", "y", "core"))
@@ -119,10 +131,12 @@ def _cell_pairs(nodes: DataFrame, tree: CellTree) -> DataFrame:
         for batch in batches:
             for cell in batch.column("cell").to_pylist():
                 others = [cell, *around.partners(cell)]
-                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(others), pa.int32()), pa.array(others, pa.int32())], ["a", "b"])
+                columns = [[cell] * len(others), others, [i // PARTNERS for i in range(len(others))]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], ["a", "b", "slice"])
 
-    spread = cells.select("cell").repartition("cell")
-    return spread.mapInArrow(pair, "a int, b int")
+    # A number of its own: rows this narrow would be put together into one task.
+    spread = cells.select("cell").repartition(max(1, min(1024, tree.cells // 16)), "cell")
+    return spread.mapInArrow(pair, "a int, b int, slice int")
 
 
 def spanning_tree(x: np.ndarray, y: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,23 +156,108 @@ def spanning_tree(x: np.ndarray, y: np.ndarray, core: np.ndarray) -> tuple[np.nd
     return source[ends], ends, weights
 
 
+class _Place:
+    """Nodes of a cell with its spanning tree: ``up`` is the place of a node's parent, below 0 at the root."""
+
+    def __init__(self, own: pa.Table):
+        self.node, self.x, self.y, self.core, self.up, self.weight = (
+            own.column(c).to_numpy() for c in ("node", "x", "y", "core", "up", "weight")
+        )
+
+
+def crossing_edges(a: _Place, b: _Place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in a, place in b, weight): crossing edges of a minimum spanning tree of both (Borůvka).
+
+    Edges are those of the two trees and all that cross. Each component takes its lightest edge to another, ties going to
+    the edge of the lowest number, until one component is left.
+    """
+    n, m = len(a.x), len(b.x)
+    cross = np.hypot(a.x[:, None] - b.x[None, :], a.y[:, None] - b.y[None, :])
+    np.maximum(cross, a.core[:, None], out=cross)
+    np.maximum(cross, b.core[None, :], out=cross)
+    nearest = int(cross.argmin())
+    if cross.flat[nearest] >= max(a.weight.max(), b.weight.max()):  # both trees are whole before they meet
+        return np.array([nearest // m]), np.array([nearest % m]), np.array([cross.flat[nearest]])
+    in_a, in_b = np.flatnonzero(a.up >= 0), np.flatnonzero(b.up >= 0)
+    # Both ends, weights and numbers of the edges within a cell.
+    low = np.concatenate([in_a, n + in_b])
+    high = np.concatenate([a.up[in_a], n + b.up[in_b]])
+    weight = np.concatenate([a.weight[in_a], b.weight[in_b]])
+    number = n * m + np.arange(len(low))
+    rows, cols = np.arange(n), np.arange(m)
+    part, parts, taken = np.arange(n + m), n + m, []
+    while parts > 1:
+        if parts < n + m:
+            cross[part[:n, None] == part[None, n:]] = np.inf
+            apart = part[low] != part[high]
+            low, high, weight, number = low[apart], high[apart], weight[apart], number[apart]
+        right, left = cross.argmin(axis=1), cross.argmin(axis=0)
+        begin = np.concatenate([rows, n + cols, low, high])
+        end = np.concatenate([n + right, left, high, low])
+        weights = np.concatenate([cross[rows, right], cross[left, cols], weight, weight])
+        numbers = np.concatenate([rows * m + right, left * m + cols, number, number])
+        owner = part[begin]
+        order = np.lexsort((numbers, weights, owner))
+        best = order[np.diff(owner[order], prepend=-1) > 0]
+        taken.append(np.unique(numbers[best[numbers[best] < n * m]]))
+        to = part[end[best]]
+        # Two components that take each other hang on the lower one; no longer circles arise.
+        mutual = (to[to] == np.arange(parts)) & (np.arange(parts) < to)
+        to[mutual] = np.flatnonzero(mutual)
+        while (further := to[to]).tobytes() != to.tobytes():
+            to = further
+        roots, to = np.unique(to, return_inverse=True)
+        part, parts = to[part], len(roots)
+    taken = np.concatenate(taken)
+    u, v = np.divmod(taken, m)
+    w = np.hypot(a.x[u] - b.x[v], a.y[u] - b.y[v])
+    return u, v, np.maximum(w, np.maximum(a.core[u], b.core[v]))
+
+
 def reachability_edges(nodes: DataFrame, tree: CellTree) -> DataFrame:
     """(u, v, weight): edges between nodes (node, cell, x, y, core) that hold a minimum spanning tree of all of them."""
-    pairs = materialize(_cell_pairs(nodes, tree), "cell-pairs")
     columns = ["node", "cell", "x", "y", "core"]
-    first = nodes.select(*columns).join(pairs.withColumnRenamed("a", "cell"), "cell").withColumn("a", F.col("cell"))
-    second = nodes.select(*columns).join(pairs.where("a != b").withColumnRenamed("b", "cell"), "cell").withColumn("b", F.col("cell"))
 
-    def connect(table: pa.Table) -> pa.Table:
-        node, x, y, core, cell = (table.column(c).to_numpy() for c in ("node", "x", "y", "core", "cell"))
+    def grow(own: pa.Table) -> pa.Table:
+        """The spanning tree of a cell: the place of each node's parent, and how far it is."""
+        x, y, core = (own.column(c).to_numpy() for c in ("x", "y", "core"))
+        up, weight = np.full(len(x), -1), np.zeros(len(x))
         u, v, w = spanning_tree(x, y, core)
-        if table.column("a")[0] != table.column("b")[0]:
-            crossing = cell[u] != cell[v]
-            u, v, w = u[crossing], v[crossing], w[crossing]
-        return pa.table({"u": node[u], "v": node[v], "weight": w})
+        up[v], weight[v] = u, w
+        at = pa.array(np.arange(len(x)))
+        return pa.table([*own.columns, at, pa.array(up), pa.array(weight)], [*columns, "at", "up", "weight"])
+
+    grown = materialize(
+        nodes.select(*columns).groupBy("cell").applyInArrow(
+            grow, "node long, cell int, x double, y double, core double, at long, up long, weight double"
+        ),
+        "grown",
+    )
+    pairs = materialize(_cell_pairs(nodes, tree), "cell-pairs")
+    own = grown.join(pairs.select(F.col("a").alias("cell"), "a", "slice").distinct(), "cell")
+    other = grown.join(pairs.where("a != b").select(F.col("b").alias("cell"), "a", "slice"), "cell")
+    held = [*columns, "at", "up", "weight"]
 
-    both = first.select("a", "b", *columns).unionByName(second.select("a", "b", *columns))
-    return both.groupBy("a", "b").applyInArrow(connect, "u long, v long, weight double")
+    def connect(table: pa.Table) -> pa.Table:
+        """The tree of a cell, and the edges between it and some cells."""
+        first = table.column("a")[0].as_py()
+        table = table.sort_by([("cell", "ascending"), ("at", "ascending")])
+        cell = table.column("cell").to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        places = {int(cell[i]): _Place(table.slice(i, j - i)) for i, j in zip(bounds[:-1], bounds[1:], strict=True)}
+        a = places.pop(first)
+        found = []
+        if table.column("slice")[0].as_py() == 0:
+            below = np.flatnonzero(a.up >= 0)
+            found.append((a.node[a.up[below]], a.node[below], a.weight[below]))
+        for b in places.values():
+            u, v, w = crossing_edges(a, b)
+            found.append((a.node[u], b.node[v], w))
+        u, v, w = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"u": u, "v": v, "weight": w})
+
+    both = own.select("a", "slice", *held).unionByName(other.select("a", "slice", *held))
+    return both.groupBy("a", "slice").applyInArrow(connect, "u long, v long, weight double")
 
 
 _OUT = "kind string, node long, into long, cluster string, parent string, size long, acc double, below double, wanted boolean"

@@ -11,10 +11,12 @@ are read, so rows are exchanged a fixed number of times, however many cells a qu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -33,13 +35,18 @@ SLICE_ROWS = 256
 BLOCK_ROWS = 4096
 
 
-def _space(vectors: pd.Series, metric: str) -> np.ndarray:
+def _space(vectors: pd.Series | np.ndarray | pa.Array | pa.ChunkedArray, metric: str) -> np.ndarray:
     """Rows as points of a Euclidean space whose distances order like the metric.
 
     For cosine these are unit vectors, half their squared distance being the cosine distance.
     A zero vector gets a direction of its own, at distance 1 from all others.
     """
-    m = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+    if isinstance(vectors, pa.Array | pa.ChunkedArray):
+        m = pc.list_flatten(vectors).to_numpy().astype(np.float64).reshape(len(vectors), -1)
+    elif isinstance(vectors, np.ndarray) and vectors.ndim == 2:
+        m = vectors.astype(np.float64)
+    else:
+        m = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
     if metric == "euclidean":
         return m
     norm = np.linalg.norm(m, axis=1, keepdims=True)
@@ -49,7 +56,9 @@ def _space(vectors: pd.Series, metric: str) -> np.ndarray:
 
 def _pairwise(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
-        return np.maximum(1.0 - a @ b.T, 0.0)
+        d = a @ b.T
+        np.subtract(1.0, d, out=d)
+        return np.maximum(d, 0.0, out=d)
     if a.shape[1] <= 4:
         # Few dimensions: differences keep full precision for near points.
         gaps = [(a[:, i, None] - b[None, :, i]) ** 2 for i in range(a.shape[1])]
@@ -167,39 +176,49 @@ def _block_join(
         .select(*[F.col(c).alias(c) for c in ("cell", "q", "s", "id", "vec")])
     )
 
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"src": [], "dst": [], "distance": []})
-        b = b.sort_values("id", ignore_index=True)
-        src, dst = a["id"].to_numpy(), b["id"].to_numpy()
-        asked, offered = _space(a["vec"], metric), _space(b["vec"], metric)
-        limit = a["bound"].to_numpy()
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return _found(a.column("id"), b.column("id"), *(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0))
+        b = b.sort_by("id")
+        src, dst = a.column("id").to_numpy(), b.column("id").to_numpy()
+        asked, offered = _space(a.column("vec"), metric), _space(b.column("vec"), metric)
+        limit, slack = np.array(a.column("bound").to_numpy()), 10.0**-DISTANCE_DECIMALS
         parts = []
-        for at in range(0, len(dst), CHUNK_ROWS):
-            d = _pairwise(asked, offered[at : at + CHUNK_ROWS], metric)
-            d = np.round(d, DISTANCE_DECIMALS)
-            d[src[:, None] == dst[None, at : at + CHUNK_ROWS]] = np.inf
-            if d.shape[1] > k:
-                limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
-            r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-            parts.append((r, c + at, d[r, c]))
+        # Slices that stay in a processor's cache.
+        for lo, at in product(range(0, len(src), SLICE_ROWS), range(0, len(dst), CHUNK_ROWS)):
+            mine, theirs, bound = src[lo : lo + SLICE_ROWS], dst[at : at + CHUNK_ROWS], limit[lo : lo + SLICE_ROWS]
+            d = _pairwise(asked[lo : lo + SLICE_ROWS], offered[at : at + CHUNK_ROWS], metric)
+            near = d <= bound[:, None] + slack
+            many = np.flatnonzero(np.count_nonzero(near, axis=1) > k)
+            if len(many):
+                some = d[many]
+                others = np.where(mine[many][:, None] == theirs[None, :], np.inf, some)
+                kth = np.round(np.partition(others, k - 1, axis=1)[:, k - 1], DISTANCE_DECIMALS)
+                bound[many] = np.minimum(bound[many], kth)
+                near[many] = some <= bound[many][:, None] + slack
+            r, c = np.nonzero(near)
+            gap = np.round(d[r, c], DISTANCE_DECIMALS)
+            keep = (gap <= bound[r]) & (mine[r] != theirs[c]) & np.isfinite(gap)
+            parts.append((r[keep] + lo, c[keep] + at, gap[keep]))
         rows, cols, found = (np.concatenate(column) for column in zip(*parts))
         # Columns are in id order, so they break ties.
         order = np.lexsort((cols, found, rows))
         rows, cols, found = rows[order], cols[order], found[order]
         best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-        return pd.DataFrame(
-            {"src": src[rows[best]], "dst": dst[cols[best]], "distance": found[best]}
-        )
+        return _found(a.column("id"), b.column("id"), rows[best], cols[best], found[best])
 
     keys = ["cell", "q", "s"]
     return (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
-        .applyInPandas(nearest, f"src {id_type}, dst {id_type}, distance double")
+        .applyInArrow(nearest, f"src {id_type}, dst {id_type}, distance double")
     )
 
 
+def _found(src: pa.ChunkedArray, dst: pa.ChunkedArray, rows: np.ndarray, cols: np.ndarray, distance: np.ndarray) -> pa.Table:
+    return pa.table([src.take(pa.array(rows)), dst.take(pa.array(cols)), pa.array(distance)], ["src", "dst", "distance"])
+
+
 def _blocks(df: DataFrame, name: str) -> DataFrame:
     """Rows (id, vec, cell, to_pivot, bound) in blocks of ``BLOCK_ROWS`` of near cells, one row of arrays each."""
     id_type = df.schema["id"].dataType.simpleString()
@@ -332,6 +351,8 @@ NEXT_GROUPS, NEXT_PROBES = 3, 4
 # Rounds in which rows meet the neighbours of their neighbours, neighbours that take part, and rows that meet at one.
 ROUNDS = 2
 LISTED, ASKERS = 32, 512
+# Rows of a cell whose meetings share a task's group, and pairs that it holds before it drops those found before.
+MIDS, PAIRS = 1024, 1 << 22
 
 
 def _drawn(sources: DataFrame, wanted: int, n: int, seed: int) -> Column:
@@ -344,13 +365,20 @@ def _drawn(sources: DataFrame, wanted: int, n: int, seed: int) -> Column:
 def _nearest_tops(df: DataFrame, tops: np.ndarray, metric: str, count: int) -> DataFrame:
     """Add ``tops``: numbers of the nearest pivots of pivots, nearest first."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slices = (f.iloc[a : a + SLICE_ROWS] for f in frames for a in range(0, len(f), SLICE_ROWS))
-        for frame in slices:
-            d = _euclid(_space(frame["vec"], metric), tops)
-            yield frame.assign(tops=list(np.argsort(d, axis=1, kind="stable")[:, :count].astype(np.int32)))
+    names = [*df.columns, "tops"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = (b.slice(a, CHUNK_ROWS) for b in batches for a in range(0, b.num_rows, CHUNK_ROWS))
+        for batch in slices:
+            d = _euclid(_space(batch.column("vec"), metric), tops)
+            nearest = np.argsort(d, axis=1, kind="stable")[:, :count].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(nearest.ravel(), np.full(len(d), nearest.shape[1]))], names)
 
-    return df.mapInPandas(run, StructType([*df.schema, StructField("tops", ArrayType(IntegerType()))]))
+    return df.mapInArrow(run, StructType([*df.schema, StructField("tops", ArrayType(IntegerType()))]))
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
 
 
 def _pivot_cells(routed: DataFrame, pivots: DataFrame, metric: str, probes: int, rows_at_once: int) -> DataFrame:
@@ -367,28 +395,28 @@ def _pivot_cells(routed: DataFrame, pivots: DataFrame, metric: str, probes: int,
     right = pivots.join(sizes, "top").select("top", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cell", F.col("vec").alias("at"))
     right = right.select(*[F.col(c).alias(c) for c in ("top", "block", "cell", "at")])
 
-    kept, nothing = ["id", "vec", "source", "step"], pd.Series([], dtype=object)
+    kept = ["id", "vec", "source", "step"]
 
-    def choose(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return a[kept].iloc[:0].assign(vec=nothing, cells=nothing)
-        b = b.sort_values("cell", ignore_index=True)
-        cell, places = b["cell"].to_numpy(), _space(b["at"], metric)
+    def choose(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return a.select(kept).slice(0, 0).append_column("cells", pa.array([], pa.list_(pa.int64())))
+        b = b.sort_by("cell")
+        cell, places = b.column("cell").to_numpy(), _space(b.column("at"), metric)
         out = []
-        for at in range(0, len(a), SLICE_ROWS):
-            part = a.iloc[at : at + SLICE_ROWS]
-            d = _euclid(_space(part["vec"], metric), places)
+        for at in range(0, len(a), CHUNK_ROWS):
+            part = a.select(kept).slice(at, CHUNK_ROWS)
+            d = _euclid(_space(part.column("vec"), metric), places)
             order = np.argsort(d, axis=1, kind="stable")
-            home = part["step"].to_numpy() == 0
-            cells = [cell[o[: probes if h else NEXT_PROBES]] for o, h in zip(order, home)]
-            out.append(part[kept].assign(cells=cells))
-        return pd.concat(out)
+            wanted = np.minimum(np.where(part.column("step").to_numpy() == 0, probes, NEXT_PROBES), len(cell))
+            chosen = order[np.arange(len(cell))[None, :] < wanted[:, None]]
+            out.append(part.append_column("cells", _lists(cell[chosen], wanted)))
+        return pa.concat_tables(out)
 
     keys = ["top", "block"]
     return (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
-        .applyInPandas(choose, f"id {id_type}, vec {vec_type}, source boolean, step int, cells array<long>")
+        .applyInArrow(choose, f"id {id_type}, vec {vec_type}, source boolean, step int, cells array<long>")
     )
 
 
@@ -411,9 +439,8 @@ def _tree_graph(
     tops = pivots.where(_drawn(sources, int(np.ceil(np.sqrt(wanted))), n, seed)).orderBy("id")
     matrix = _space(tops.select("vec").toPandas()["vec"], metric)  # about the root of the number of pivots
     grouped = _nearest_tops(pivots, matrix, metric, 1).select("cell", "vec", F.get("tops", F.lit(0)).alias("top"))
-    visits = materialize(
-        _pivot_cells(_nearest_tops(rows, matrix, metric, 1 + NEXT_GROUPS), grouped, metric, probes, 4 * query_rows), "visits"
-    )
+    routed = materialize(_nearest_tops(rows, matrix, metric, 1 + NEXT_GROUPS), "routed")
+    visits = materialize(_pivot_cells(routed, grouped, metric, probes, 4 * query_rows), "visits")
     home = visits.where("step = 0")
     placed = home.where("source").select("id", "vec", F.get("cells", F.lit(0)).alias("cell"))
     at_home = home.select("id", "vec", F.lit(float("inf")).alias("bound"), F.slice("cells", 1, 1).alias("targets"))
@@ -426,55 +453,134 @@ def _tree_graph(
     )
     second = _block_join(materialize(beyond, "beyond"), placed, k, metric, query_rows, source_rows)
     found = materialize(_k_best(first.drop("rank").unionByName(second), k), "knn-second")
-    for _ in range(ROUNDS if wanted > 1 else 0):
-        met = _neighbours_of_neighbours(found, rows, k, metric)
-        best = found.drop("rank").unionByName(met).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+    if wanted == 1:
+        return found
+    seats = home.groupBy(F.col("id").alias("mid")).agg(F.min(F.get("cells", F.lit(0))).alias("cell"))
+    parts = F.ceil(F.count(F.lit(1)).over(W.partitionBy("cell")) / MIDS).cast("int")
+    seats = materialize(
+        seats.withColumn("part", F.pmod(F.xxhash64("mid"), parts).cast("int")).withColumn("cuts", F.lit(1)), "seats"
+    )
+    found = found.withColumn("fresh", F.lit(True))
+    for _ in range(ROUNDS):
+        met, seats = _neighbours_of_neighbours(found, rows, seats, k, metric)
+        listed = found.select("src", "dst", "distance", F.lit(False).alias("fresh"))
+        best = listed.unionByName(met.withColumn("fresh", F.lit(True))).repartition("src")
+        best = best.groupBy("src", "dst").agg(F.min("distance").alias("distance"), F.bool_and("fresh").alias("fresh"))
         found = materialize(_k_best(best, k), "knn-met")
     return found
 
 
-def _neighbours_of_neighbours(found: DataFrame, rows: DataFrame, k: int, metric: str) -> DataFrame:
-    """(src, dst, distance) of rows that list a common row, or that one row lists, within the k-th distance of ``src``.
+def _neighbours_of_neighbours(found: DataFrame, rows: DataFrame, seats: DataFrame, k: int, metric: str) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, distance) of rows that list a common row, or that one row lists, within the k-th distance of ``src``;
+    and the seats (mid, cell, part, cuts) for the next round.
 
-    Lists hold the ``LISTED`` nearest. The row between is the key; keys are dealt into buckets. Those that list a row are cut by a hash
-    into parts of about ``ASKERS``, and what the row itself lists is sent to every part, so a hub makes no large group.
+    Lists hold the ``LISTED`` nearest. The row between is the key; those of a cell, whose lists have much in common, meet in one
+    group, to which a row is sent once. Those that list a row are cut by a hash into parts of about ``ASKERS``, and what the row
+    itself lists is sent to every part, so a hub makes no large group. Pairs of which neither is ``fresh`` on the list met before.
     """
     id_type = rows.schema["id"].dataType.simpleString()
-    lists = materialize(found.where(F.col("rank") <= LISTED).select("src", "dst"), "lists")
-    counted = lists.groupBy(F.col("dst").alias("mid")).agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("cuts"))
-    backward = lists.select(F.col("dst").alias("mid"), F.col("src").alias("id")).join(counted, "mid")
-    forward = lists.select(F.col("src").alias("mid"), F.col("dst").alias("id")).join(counted, "mid", "left")
-    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1))
-    members = backward.select("mid", own.alias("cut"), "id").unionByName(forward.select("mid", every.alias("cut"), "id")).distinct()
-    buckets = max(1, lists.count() // (1 << 15))
-    met = (
-        members.join(rows.select("id", "vec", "source"), "id")
-        .join(_reach(found, k), "id", "left")
-        .select(
-            F.pmod(F.xxhash64("mid"), F.lit(buckets)).cast("int").alias("bucket"),
-            "cut",
-            "mid",
-            "id",
-            "vec",
-            F.coalesce("reach", F.lit(float("inf"))).alias("bound"),
-            "source",
-        )
+    lists = found.where(F.col("rank") <= LISTED).select("src", "dst", "fresh")
+    counted = lists.groupBy(F.col("dst").alias("mid")).agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("now"))
+    seats = materialize(
+        seats.join(counted, "mid", "left").select("mid", "cell", "part", F.greatest("cuts", "now").alias("cuts")), "seats"
+    )
+    group = ["cell", "part", "cut"]
+    # Those of a hub may meet in another part than before.
+    fresh = (F.col("fresh") | (F.col("cuts") > 1)).alias("fresh")
+    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("cut")
+    every = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")
+    backward = lists.select(F.col("dst").alias("mid"), F.col("src").alias("id"), "fresh").join(seats, "mid")
+    forward = lists.select(F.col("src").alias("mid"), F.col("dst").alias("id"), "fresh").join(seats, "mid")
+    links = materialize(
+        backward.select("cell", "part", own, "mid", "id", fresh).unionByName(
+            forward.select("cell", "part", every, "mid", "id", fresh)
+        ),
+        "links",
+    )
+    listed = found.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("listed"))
+    people = (
+        links.select(*group, "id").distinct()
+        .join(rows.select("id", "vec", "source").join(listed, "id", "left").join(_reach(found, k), "id", "left"), "id")
+        .select(*[F.col(c).alias(c) for c in (*group, "id", "vec", "source", "listed")], F.coalesce("reach", F.lit(float("inf"))).alias("bound"))
     )
 
-    def meet(own: pd.DataFrame) -> pd.DataFrame:
-        ids, bound, source = own["id"].to_numpy(), own["bound"].to_numpy(), own["source"].to_numpy()
-        places = _space(own["vec"], metric)
-        parts = [pd.DataFrame({"src": ids[:0], "dst": ids[:0], "distance": bound[:0]})]
-        for i in own.groupby("mid").indices.values():
-            d = np.round(_pairwise(places[i], places[i], metric), DISTANCE_DECIMALS)
-            near = (d <= bound[i][:, None]) & source[i][None, :]
-            np.fill_diagonal(near, False)
-            r, c = np.nonzero(near)
-            parts.append(pd.DataFrame({"src": ids[i[r]], "dst": ids[i[c]], "distance": d[r, c]}))
-        return pd.concat(parts).drop_duplicates(["src", "dst"])
-
-    return met.groupBy("bucket", "cut").applyInPandas(meet, f"src {id_type}, dst {id_type}, distance double")
+    met = links.groupBy(*group).cogroup(people.groupBy(*group)).applyInArrow(
+        lambda links, people: _meet(links, people, metric), f"src {id_type}, dst {id_type}, distance double"
+    )
+    return met, seats
+
+
+def _meet(links: pa.Table, people: pa.Table, metric: str) -> pa.Table:
+    """New pairs (src, dst, distance) of rows (id, vec, source, listed, bound) that share a ``mid`` of the links (mid, id, fresh)."""
+    people = people.sort_by("id")
+    ids, n = people.column("id").to_numpy(), len(people)
+    named, first, many = np.unique(ids, return_index=True, return_counts=True)
+    once = len(named) == n
+    source, bound = (people.column(c).to_numpy() for c in ("source", "bound"))
+    places = _space(people.column("vec"), metric) if n else np.zeros((0, 1))
+    mid, fresh = np.unique(links.column("mid").to_numpy(), return_inverse=True)[1], links.column("fresh").to_numpy()
+    at = np.searchsorted(named, links.column("id").to_numpy())
+    member = first[at]
+    if not once:  # an id that several rows have stands for all of them
+        copies = many[at]
+        ahead = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        mid, fresh, member = np.repeat(mid, copies), np.repeat(fresh, copies), np.repeat(member, copies) + ahead
+    key = mid * n + member
+    order = np.lexsort((fresh, key))
+    order = order[np.diff(key[order], prepend=-1) > 0]  # not fresh if one of its lists is not
+    mid, fresh, member = mid[order], fresh[order], member[order]
+    ends = np.flatnonzero(np.diff(mid, append=-1)) + 1
+    known = _listed_pairs(people.column("listed"), named) if once else np.zeros(0, np.int64)
+    done, keys, gaps, held = [], [], [], 0
+    limit = bound + 10.0**-DISTANCE_DECIMALS
+
+    def settle() -> None:
+        pair, place = np.unique(np.concatenate(keys), return_index=True)
+        gap = np.round(np.concatenate(gaps)[place], DISTANCE_DECIMALS)
+        keep = gap <= bound[pair // n]
+        if len(known):
+            keep &= known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] != pair
+        if not once:
+            keep &= ids[pair // n] != ids[pair % n]
+        done.append((pair[keep], gap[keep]))
+
+    begin = 0
+    for end in ends.tolist():
+        i, new = member[begin:end], fresh[begin:end]
+        begin = end
+        j = i[new]
+        if not len(j) or len(i) < 2:
+            continue
+        d = _pairwise(places[j], places[i], metric)
+        r, c = np.nonzero((d <= limit[j][:, None]) & source[i][None, :])
+        keys.append(j[r] * n + i[c])
+        gaps.append(d[r, c])
+        if len(j) < len(i):
+            r, c = np.nonzero((d <= limit[i][None, :]) & source[j][:, None] & ~new[None, :])
+            keys.append(i[c] * n + j[r])
+            gaps.append(d[r, c])
+        held += len(gaps[-1]) + len(gaps[-2]) if len(gaps) > 1 else len(gaps[-1])
+        if held > PAIRS:
+            settle()
+            keys, gaps, held = [], [], 0
+    if keys:
+        settle()
+    pair, gap = (np.concatenate(v) if done else np.zeros(0, t) for v, t in zip(list(zip(*done)) or [(), ()], (np.int64, float)))
+    pair, place = np.unique(pair, return_index=True)
+    apart = pair // max(1, n) != pair % max(1, n)
+    pair, gap = pair[apart], gap[place][apart]
+    return _found(people.column("id"), people.column("id"), pair // max(1, n), pair % max(1, n), gap)
+
+
+def _listed_pairs(lists: pa.ChunkedArray, named: np.ndarray) -> np.ndarray:
+    """Of rows with the sorted ids ``named``, the pairs (row times their number plus row) of which one lists the other."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    row, listed = np.repeat(np.arange(len(named)), lengths), pc.list_flatten(lists).to_numpy()
+    if not len(listed):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(named, listed), len(named) - 1)
+    here = named[at] == listed
+    return np.sort(row[here] * len(named) + at[here])
 
 
 def knn_graph(
