@@ -112,6 +112,10 @@ class _Neighbourhood:
         return np.sort(out[out > cell]).tolist()
 
 
+def _tasks(tree: CellTree) -> int:
+    return max(1, min(1024, tree.cells // 16))
+
+
 def _cell_pairs(nodes: DataFrame, tree: CellTree) -> DataFrame:
     """(a, b, slice): pairs of cells that may share an edge, a cell with itself included; at most ``PARTNERS`` in a slice of ``a``."""
 
@@ -135,7 +139,7 @@ def _cell_pairs(nodes: DataFrame, tree: CellTree) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], ["a", "b", "slice"])
 
     # A number of its own: rows this narrow would be put together into one task.
-    spread = cells.select("cell").repartition(max(1, min(1024, tree.cells // 16)), "cell")
+    spread = cells.select("cell").repartition(_tasks(tree), "cell")
     return spread.mapInArrow(pair, "a int, b int, slice int")
 
 
@@ -257,7 +261,7 @@ def reachability_edges(nodes: DataFrame, tree: CellTree) -> DataFrame:
         return pa.table({"u": u, "v": v, "weight": w})
 
     both = own.select("a", "slice", *held).unionByName(other.select("a", "slice", *held))
-    return both.groupBy("a", "slice").applyInArrow(connect, "u long, v long, weight double")
+    return both.repartition(_tasks(tree), "a", "slice").groupBy("a", "slice").applyInArrow(connect, "u long, v long, weight double")
 
 
 _OUT = "kind string, node long, into long, cluster string, parent string, size long, acc double, below double, wanted boolean"

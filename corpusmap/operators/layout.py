@@ -346,16 +346,23 @@ def _moved(
     def add(to: np.ndarray, slot: np.ndarray, source: _State, weight: np.ndarray, pulls: np.ndarray) -> None:
         here = (source.there[slot] > 0) & (state.there[to] > 0)
         to, slot, weight, pulls = to[here], slot[here], weight[here], pulls[here]
-        dx, dy = state.x[to] - source.x[slot], state.y[to] - source.y[slot]
-        d2 = dx * dx + dy * dy
-        apart = (d2 > 0) | np.isnan(d2)
-        pull = np.where(apart, -2.0 * a * b * d2 ** (b - 1.0) / (1.0 + a * d2**b), 0.0)
-        push = np.where(apart, 2.0 * b / ((0.001 + d2) * (1.0 + a * d2**b)), 0.0)
-        for force, sums in ((weight * _clipped(pull * dx), fx), (weight * _clipped(pull * dy), fy), (weight, mass)):
-            sums += np.bincount(to[pulls], force[pulls], m)
-        for force, sums in ((_clipped(push * dx), gx), (_clipped(push * dy), gy)):
-            sums += np.bincount(to[~pulls], force[~pulls], m)
         met[:] += np.bincount(to, minlength=m)
+        for pulling in (True, False):
+            mine = pulls if pulling else ~pulls
+            if not mine.any():
+                continue
+            at, there, w = (v if mine.all() else v[mine] for v in (to, slot, weight))
+            dx, dy = state.x[at] - source.x[there], state.y[at] - source.y[there]
+            d2 = dx * dx + dy * dy
+            apart = (d2 > 0) | np.isnan(d2)
+            if pulling:
+                pull = np.where(apart, -2.0 * a * b * d2 ** (b - 1.0) / (1.0 + a * d2**b), 0.0)
+                for force, sums in ((w * _clipped(pull * dx), fx), (w * _clipped(pull * dy), fy), (w, mass)):
+                    sums += np.bincount(at, force, m)
+            else:
+                push = np.where(apart, 2.0 * b / ((0.001 + d2) * (1.0 + a * d2**b)), 0.0)
+                for force, sums in ((_clipped(push * dx), gx), (_clipped(push * dy), gy)):
+                    sums += np.bincount(at, force, m)
 
     with np.errstate(all="ignore"):
         if edges:

@@ -1,7 +1,9 @@
 """The density hierarchy against a textbook version over all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmap.operators import cells, density, hierarchy
 
@@ -179,3 +181,40 @@ def test_core_distances_against_all_pairs(spark, k, cell_rows):
     got = {r["id"]: r["core"] for r in density.core_distance(df, k, cell_rows).collect()}
     gaps = np.sort(np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1]), axis=1)
     assert got == ({i: gaps[i, k] for i in range(len(xy))} if k < len(xy) else {})
+
+
+def test_partners_of_cells_are_sought_by_many_tasks(spark):
+    xy = np.random.default_rng(5).uniform(size=(3000, 2))
+    df = cored_points(spark, xy, 6)
+    tree = cells.fit_cells(df, 50)
+    pairs = hierarchy._cell_pairs(hierarchy._nodes(df, tree), tree)
+    assert pairs.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    assert pairs.groupBy("a", "slice").count().agg(F.max("count")).first()[0] <= hierarchy.PARTNERS
+
+
+@pytest.mark.parametrize("gap", [0.0, 0.4, 1.5, 30.0])
+@pytest.mark.parametrize("lattice", [False, True])
+@pytest.mark.parametrize("n", [1, 2, 40])
+def test_crossing_edges_complete_the_tree_of_two_cells(n, lattice, gap):
+    rng = np.random.default_rng(n)
+    xy = rng.integers(0, 6, size=(n + 30, 2)) / 6 if lattice else rng.uniform(size=(n + 30, 2))
+    xy = xy + gap * (np.arange(n + 30) >= n)[:, None]
+    core = rng.choice([0.1, 0.3, 0.5], n + 30)
+
+    def place(rows):
+        x, y, c = xy[rows, 0], xy[rows, 1], core[rows]
+        up, weight = np.full(len(x), -1), np.zeros(len(x))
+        u, v, w = hierarchy.spanning_tree(x, y, c)
+        up[v], weight[v] = u, w
+        return hierarchy._Place(pa.table({"node": np.arange(len(x)), "x": x, "y": y, "core": c, "up": up, "weight": weight}))
+
+    a, b = place(slice(0, n)), place(slice(n, n + 30))
+    u, v, w = hierarchy.crossing_edges(a, b)
+    assert np.array_equal(w, np.maximum(np.hypot(a.x[u] - b.x[v], a.y[u] - b.y[v]), np.maximum(a.core[u], b.core[v])))
+    edges = sorted([*zip(w, u, n + v), *((p.weight[i], at + p.up[i], at + i) for p, at in ((a, 0), (b, n)) for i in np.flatnonzero(p.up >= 0))])
+    root, weights = list(range(n + 30)), []
+    for weight, i, j in edges:
+        if root[i] != root[j]:
+            weights.append(weight)
+            root = [root[i] if r == root[j] else r for r in root]
+    assert weights == sorted(hierarchy.spanning_tree(xy[:, 0], xy[:, 1], core)[2])

@@ -1,4 +1,8 @@
+import hashlib
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +232,53 @@ def test_som_density_has_empty_cells(spark):
     assigned = spark.createDataFrame([(1, 0, 0), (2, 0, 0)], "id int, som_x int, som_y int")
     got = {(r["som_x"], r["som_y"]): r["density"] for r in som.som_density(assigned, 2, 2).collect()}
     assert got == {(0, 0): 2, (0, 1): 0, (1, 0): 0, (1, 1): 0}
+
+
+def test_words_of_a_block_are_sent_once(spark):
+    texts = spark.createDataFrame([(i, f"shared words w{i}") for i in range(50)], "id long, words string").coalesce(1)
+    rows = vectors._counted(texts, 3).collect()
+    sent = [(w, n) for r in rows if r["bucket"] >= 0 for w, n in zip(r["words"].split(b" "), np.frombuffer(r["counts"], "<i4"))]
+    assert sorted(sent) == sorted([(b"shared", 50), (b"words", 50), *((f"w{i}".encode(), 1) for i in range(50))])
+    assert [r["ids"] for r in rows if r["bucket"] < 0] == [list(range(50))]
+
+
+def test_embed_text_of_odd_rows(spark):
+    """Texts of one id add up, on each of its rows; no id, no text and no words give a zero vector."""
+    rows = [(1, "alpha beta"), (1, "beta gamma"), (2, "alpha"), (None, "alpha"), (None, None), (3, None), (4, " ,- "), (5, "delta")]
+    got = vectors.embed_text(spark.createDataFrame(rows, "id long, text string"), dims=40).collect()
+    assert sorted(r["id"] or 0 for r in got) == [0, 0, 1, 1, 2, 3, 4, 5]
+
+    def signs(word):
+        parts = [hashlib.md5(f"42|0|{word}".encode()).hexdigest()[8 * p : 8 * p + 8] for p in range(2)]
+        return np.array([1.0 if int(parts[d // 32], 16) >> d % 32 & 1 else -1.0 for d in range(40)])
+
+    idf = {w: math.log(9 / (n + 1)) for w, n in (("alpha", 3), ("beta", 2), ("gamma", 1), ("delta", 1))}
+    words = {1: "alpha beta beta gamma", 2: "alpha", 5: "delta"}
+    for r in got:
+        total = sum((idf[w] * signs(w) for w in words.get(r["id"], "").split()), np.zeros(40))
+        assert np.allclose(r["embedding"], total / max(np.linalg.norm(total), 1e-12), atol=1e-6)
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_meeting_yields_new_pairs_only(twice):
+    rng = np.random.default_rng(8)
+    n = 40
+    ids = np.arange(n) * 7 if not twice else np.repeat(np.arange(n // 2) * 7, 2)
+    vec, bound, source = rng.normal(size=(n, 5)), rng.uniform(0.5, 1.2, n), rng.random(n) < 0.8
+    listed = [rng.choice(ids, 4).tolist() for _ in range(n)]
+    links = [(int(m), int(i), bool(rng.random() < 0.5)) for m in range(12) for i in rng.choice(ids, 9)]
+    people = pa.table({"id": ids, "vec": pa.array(vec.tolist()), "source": source, "listed": listed, "bound": bound})
+    met = neighbours._meet(pa.table(list(zip(*links)), ["mid", "id", "fresh"]), people, "cosine").to_pylist()
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    wanted = set()
+    for m in range(12):
+        old = {i for mid, i, fresh in links if mid == m and not fresh}
+        here = [r for r in range(n) if any(mid == m and i == ids[r] for mid, i, _ in links)]
+        for r in here:
+            for c in here:
+                new = ids[r] not in old or ids[c] not in old
+                known = not twice and ids[c] in listed[r]
+                if new and not known and r != c and source[c] and 1 - unit[r] @ unit[c] <= bound[r]:
+                    wanted.add((int(ids[r]), int(ids[c]), round(1 - unit[r] @ unit[c], 6)))
+    assert {(r["src"], r["dst"], round(r["distance"], 6)) for r in met} == wanted
+    assert twice or len(met) == len(wanted)
